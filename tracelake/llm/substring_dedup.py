@@ -4,9 +4,12 @@ A window is ``k`` consecutive words. Its minimiser is the smallest hash of its `
 of a document that share it travel as one packed string (a super-k-mer) to the bucket of that minimiser, where equal
 windows always meet. There the windows are grouped exactly, and those that also start in a smaller doc_id are marked.
 
-Skew: a passage that many documents share is collapsed before the shuffle (equal packed strings of one batch go out
-once, under the smallest doc_id; the others are already known to be repeats). Minimisers with more than a
-1/``2*HOT`` share of all super-k-mers, a list of at most ``2*HOT`` hashes, are dealt out by the hash of each window instead.
+Before any text travels, the minimisers alone are dealt out and sorted: a super-k-mer whose minimiser occurs
+nowhere else can't hold a repeated window and stays at home.
+
+Skew: a passage that many documents share is collapsed before each shuffle (equal minimisers, and equal packed strings, of
+one piece of text go out once; the others are already known to be repeats). Minimisers with more than HOT_ROWS super-k-mers,
+the HOT most frequent of them at most, are dealt out by the hash of each window instead.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ from .common import buffer_of, key_of, longs, no_nulls, pieces, read, whole_keys
 from .windows import Hashes, groups_of, mix, runs_of, sliding_min, words_of
 
 WORDS = 13
-PART = 2
-#: A minimiser is hot above a share of 1 / (2 * HOT).
-HOT = 2048
+PART = 3
+HOT = 8192
+HOT_ROWS = 4096
 
 SUPER = "key long, doc long, th int, start int, n int, packed binary"
 
@@ -39,7 +42,7 @@ def _packed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[take])])
 
 
-def _super(data: np.ndarray, offsets: np.ndarray, k: int, m: int, hot: np.ndarray):
+def _super(data: np.ndarray, offsets: np.ndarray, k: int, m: int):
     """Super-k-mers of some rows: key, row, first word, windows, and their bytes as (buffer, start, end, hashes)."""
     packed, ws, we, row = words_of(data, offsets)
     if len(ws) < k:
@@ -51,44 +54,54 @@ def _super(data: np.ndarray, offsets: np.ndarray, k: int, m: int, hot: np.ndarra
     least = sliding_min(part, k - m + 1)
     valid = row[k - 1 :] == row[: len(row) - k + 1]
     row = row[: len(valid)]
-    is_hot = np.isin(least, hot) if len(hot) else None
-    if is_hot is not None:
-        least = np.where(is_hot, h.of(ws[: len(valid)], we[k - 1 :]), least)
-    a, z = runs_of(least, row, valid, is_hot)
+    a, z = runs_of(least, row, valid)
     first = np.searchsorted(row, row[a], "left") if len(a) else a
     return least[a].view(np.int64), row[a], a - first, z - a + 1, packed, ws[a], we[z + k - 1], h
 
 
-def _batches(batches: Iterator[pa.RecordBatch]):
-    """doc, th, bytes and offsets of pieces of a few MB."""
+def _batches(batches, text: int = 2):
+    """The batch's rows, bytes and offsets of pieces of a few MB."""
     for batch in batches:
         if batch.num_rows:
-            data, at = buffer_of(batch.column(2))
-            doc, th = longs(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            data, at = buffer_of(batch.column(text))
             for a, b in pieces(at):
-                yield doc[a:b], th[a:b], data[at[a] : at[b]], at[a : b + 1] - at[a]
-
-
-def _heavy(rows: DataFrame, k: int, m: int) -> np.ndarray:
-    """Hashes of the minimisers with more than a 1 / (2 * HOT) share of all super-k-mers.
-
-    Each piece of text reports those above half that share in it. One that is above the share overall has at least
-    half of its count in such pieces, so none is missed, and at most 4 * HOT can be reported as that frequent.
-    """
-    none = np.zeros(0, np.uint64)
-
-    def step(batches):
-        for _, _, data, at in _batches(batches):
-            if found := _super(data, at, k, m, none):
-                key, n = np.unique(found[0], return_counts=True)
-                big = n * 4 * HOT >= n.sum()
-                big &= n > 1
-                yield pa.RecordBatch.from_arrays([pa.array([None, *key[big].tolist()], pa.int64()), pa.array([int(n.sum()), *n[big].tolist()], pa.int64())], ["key", "n"])
-
-    counts = rows.mapInArrow(step, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "key").limit(4 * HOT + 1).collect()
-    total = sum(r.n for r in top if r.key is None)
-    return np.array([r.key for r in top if r.key is not None and r.n * 4 * HOT > total and r.n > 256], np.int64).view(np.uint64)
+                yield batch.slice(a, b - a), data[at[a] : at[b]], at[a : b + 1] - at[a]
+
+
+def tied_minimisers(rows: DataFrame, k: int = WORDS, m: int = PART) -> DataFrame:
+    """uid, start of the super-k-mers whose minimiser occurs more than once; and, with null uid, key and n of frequent ones."""
+
+    def sample(batches):
+        for part, data, at in _batches(batches, 1):
+            if found := _super(data, at, k, m):
+                key, row, start = found[:3]
+                _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                n = count[inverse]
+                known = n > 1
+                known[first] = False  # one goes out for all of them
+                uid = longs(part.column(0))[row]
+                key = np.where(known, mix(uid.view(np.uint64) + start.astype(np.uint64)).view(np.int64), key)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(uid), pa.array(start.astype(np.int32)), pa.array(np.where(known, 2, n).astype(np.int32))], ["key", "uid", "start", "n"])
+
+    def tie(batches):
+        for batch in whole_keys(batches, "key", 500_000, 16 << 20):
+            key, n = longs(batch.column(0)), longs(batch.column(3))
+            new = np.append(True, key[1:] != key[:-1])
+            total = np.add.reduceat(n, np.flatnonzero(new))
+            tied = total[np.cumsum(new) - 1] > 1
+            hot = total > HOT_ROWS
+            rows_, more = int(tied.sum()), int(hot.sum())
+            keep = pa.array(tied)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([batch.column(1).filter(keep), pa.nulls(more, pa.int64())]), pa.concat_arrays([batch.column(2).filter(keep), pa.nulls(more, pa.int32())]),
+                    pa.concat_arrays([pa.nulls(rows_, pa.int64()), pa.array(key[new][hot])]), pa.concat_arrays([pa.nulls(rows_, pa.int64()), pa.array(total[hot])]),
+                ],
+                ["uid", "start", "key", "n"],
+            )
+
+    dealt = rows.mapInArrow(sample, "key long, uid long, start int, n int").repartition("key").sortWithinPartitions("key")
+    return written(dealt.mapInArrow(tie, "uid long, start int, key long, n long"))
 
 
 def repeated_spans(docs: DataFrame, k: int = WORDS, m: int = PART) -> DataFrame:
@@ -96,25 +109,47 @@ def repeated_spans(docs: DataFrame, k: int = WORDS, m: int = PART) -> DataFrame:
 
     doc is the id (the smallest long for null), th a hash of the text: together they name the rows of one text and id.
     """
-    rows = docs.select(key_of().alias("doc"), F.hash(whole_text()).alias("th"), whole_text().alias("t"))
-    hot = _heavy(rows, k, m)
+    uid = F.xxhash64("doc_id", whole_text()).alias("uid")
+    tied = tied_minimisers(docs.select(uid, whole_text().alias("t")), k, m)
+    hot = np.array([r.key for r in tied.where("uid is null").orderBy(F.col("n").desc(), "key").limit(HOT).collect()], np.int64).view(np.uint64)
+    places = tied.where("uid is not null").groupBy("uid").agg(F.collect_list("start").alias("starts"))
+    rows = docs.select(uid, key_of().alias("doc"), F.hash(whole_text()).alias("th"), whole_text().alias("t"))
+    rows = rows.join(places.hint("shuffle_hash"), "uid").select("doc", "th", "t", "starts")
 
     def cut(batches):
-        for doc, th, data, at in _batches(batches):
-            found = _super(data, at, k, m, hot)
+        for part, data, at in _batches(batches):
+            found = _super(data, at, k, m)
             if not found or not len(found[0]):
                 continue
             key, row, start, n, packed, s, e, h = found
-            ids = doc[row]
-            leader = groups_of(packed, s, e, h)
-            least = np.full(len(ids), np.iinfo(np.int64).max)
-            np.minimum.at(least, leader, ids)
-            known = ids > least[leader]  # the same string is here under a smaller id, which goes out
-            key = np.where(known, mix(ids.view(np.uint64)).view(np.int64), key)
-            for part in (~known, known):
-                if part.any():
-                    body = _packed(packed, s[part], e[part]) if part is not known else pa.nulls(int(part.sum()), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(ids[part]), pa.array(th[row][part], pa.int32()), pa.array(start[part].astype(np.int32)), pa.array(n[part].astype(np.int32)), body], ["key", "doc", "th", "start", "n", "packed"])
+            listed = part.column(3)
+            own = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(listed.offsets)))
+            may = np.isin(row << 32 | start, own << 32 | np.asarray(listed.flatten()).astype(np.int64))
+            ids, th = longs(part.column(0)), part.column(1).to_numpy(zero_copy_only=False)
+            is_hot = may & np.isin(key.view(np.uint64), hot)
+            for single in (False, True):
+                pick = np.flatnonzero(is_hot if single else may & ~is_hot)
+                if not len(pick):
+                    continue
+                if single:  # each window by itself, named by its own hash
+                    ws, we, word_row = words_of(data, at)[1:]
+                    row0 = np.searchsorted(word_row, row[pick], "left")
+                    item = np.repeat(np.arange(len(pick)), n[pick])
+                    w = row0[item] + start[pick][item] + np.arange(len(item)) - np.repeat(np.cumsum(n[pick]) - n[pick], n[pick])
+                    r, first, count, a, z = row[pick][item], w - row0[item], np.ones(len(w), np.int64), ws[w], we[w + k - 1]
+                    name = h.of(a, z).view(np.int64)
+                else:
+                    r, first, count, a, z, name = row[pick], start[pick], n[pick], s[pick], e[pick], key[pick]
+                doc = ids[r]
+                leader = groups_of(packed, a, z, h)
+                least = np.full(len(doc), np.iinfo(np.int64).max)
+                np.minimum.at(least, leader, doc)
+                known = doc > least[leader]  # the same string is here under a smaller id
+                name = np.where(known, mix(doc.view(np.uint64) + first.astype(np.uint64)).view(np.int64), name)
+                for sel in (~known, known):
+                    if sel.any():
+                        body = pa.nulls(int(sel.sum()), pa.binary()) if sel is known else _packed(packed, a[sel], z[sel])
+                        yield pa.RecordBatch.from_arrays([pa.array(name[sel]), pa.array(doc[sel]), pa.array(th[r][sel], pa.int32()), pa.array(first[sel].astype(np.int32)), pa.array(count[sel].astype(np.int32)), body], ["key", "doc", "th", "start", "n", "packed"])
 
     def mark(batches):
         for batch in whole_keys(batches, "key"):

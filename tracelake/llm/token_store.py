@@ -11,6 +11,7 @@ Shards are the rows of a Parquet table in the shared folder, written and committ
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -29,7 +30,7 @@ END = 1
 SHARD_TOKENS = 1 << 20
 ROUNDS = 4
 FREQUENT = 24
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 
 def re_pair(ids: np.ndarray, first: int = FIRST, rounds: int = ROUNDS, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,37 +122,83 @@ class Shard:
         return expand(self.symbols[a:z], self.rules, self.lengths)[start - before : stop - before]
 
 
-_tokenizers: dict = {}
+#: ASCII punctuation that the tokenizer splits off a preceding run of letters (the apostrophe may join it).
+TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 
-def encoder(path: str):
-    """text (bytes) -> ids as little-endian u4 bytes, by the tokenizers library.
+class Encoder:
+    """Texts (bytes) to ids (little-endian u4 bytes), by the tokenizers library.
 
-    The tokenizer drops white space and never joins over it, so a text's ids are those of its words in order; each
-    distinct word is encoded once (the cache is bounded), which the tests compare with whole texts.
+    The tokenizer drops white space, never joins over it, lower-cases, and splits letters from punctuation. So the ids of a
+    text are those of its words in order, and a word of letters and then punctuation has the ids of both parts.
+    Each distinct part is encoded once, while the bounded caches last; the tests compare with whole texts.
     """
-    from tokenizers import Tokenizer
 
-    if path not in _tokenizers:
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    tok, seen = _tokenizers[path]
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    def ids_of(texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in seen})
-        found = {}
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            for w, e in zip(some, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                found[w] = np.array(e.ids, "<u4").tobytes()
-        seen.update(found)
-        out = [b"".join([seen[w] for w in words]) for words in split]
-        if len(seen) > CACHE_WORDS:
-            for w in found:
-                del seen[w]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def runs(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters only: many at one go, cut where a token ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        end = np.flatnonzero(self.ends[ids]) + 1
+        if len(end) != len(words):  # a letter that isn't one after normalisation
+            return self.each([w.decode() for w in words])
+        raw, cut = ids.tobytes(), (end * 4).tolist()
+        return [raw[p:q] for p, q in zip([0, *cut], cut)]
+
+    def resolve(self, words: set[bytes]) -> dict[bytes, bytes]:
+        split, plain, letters = {}, [], {}
+        for w in words:
+            s = w.decode("utf-8", "replace")
+            head = s.rstrip(TAIL)
+            if head.isalpha():
+                cut = len(w) - len(s) + len(head)
+                split[w] = low, tail = w[:cut].lower(), w[cut:]
+                if low not in self.parts:
+                    letters[low] = None
+                if tail and tail not in self.parts:
+                    self.parts[tail] = self.each([tail.decode()])[0]
+            else:
+                plain.append(w)
+        todo = list(letters)
+        for i in range(0, len(todo), 1000):
+            self.parts.update(zip(todo[i : i + 1000], self.runs(todo[i : i + 1000]), strict=True))
+        out = {w: self.parts[low] + self.parts[tail] if tail else self.parts[low] for w, (low, tail) in split.items()}
+        out |= zip(plain, self.each([w.decode("utf-8", "replace") for w in plain]), strict=True)
+        if len(self.parts) > CACHE_WORDS:
+            for low in todo:
+                del self.parts[low]
+        if len(self.words) + len(out) <= CACHE_WORDS:
+            self.words.update(out)
         return out
 
-    return ids_of
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        get = self.words.get
+        split = [t.split() for t in texts]
+        found = [list(map(get, words)) for words in split]
+        new = self.resolve({w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None})
+        return [b"".join(ids) if None not in ids else b"".join([new[w] if x is None else x for w, x in zip(words, ids, strict=True)]) for words, ids in zip(split, found, strict=True)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One per worker process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def write_shards(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -159,9 +206,6 @@ def write_shards(docs: DataFrame, path: str | None = None, shard_tokens: int = S
     path = path or public_tokenizers.path("word_bpe_49k.json")
 
     def encode(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids_of = encoder(path)
         end = np.array([END], "<u4").tobytes()
         part, made = TaskContext.get().partitionId(), 0

@@ -79,13 +79,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return packed, place[starts], place[ends] + 1, row
 
 
-def runs_of(value: np.ndarray, row: np.ndarray, valid: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of the maximal runs of valid neighbours with one value and row; ``alone`` ones stand by themselves."""
+def runs_of(value: np.ndarray, row: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of the maximal runs of valid neighbours with one value and row."""
     cut = np.ones(len(value), bool)
     cut[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1]) | ~valid[:-1]
-    if alone is not None:
-        cut |= alone
-        cut[1:] |= alone[:-1]
     cut |= ~valid
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(value)) - 1
