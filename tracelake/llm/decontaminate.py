@@ -5,7 +5,9 @@ symbol, tells whether to move on. Two sequences at a small edit distance give ou
 A repetition has its own random bits and looks at SAMPLED of the output places; windows that agree there with an item
 are candidates. Every word of every text starts a window; items are entered from several of their words
 (ANCHORS), so a damaged beginning doesn't hide them. A candidate is verified by the edit distance of the whole
-item to the best-fitting stretch of the text around it, in bytes of the normalised text.
+item to the best-fitting stretch of the text around it, in bytes of the normalised text. Most candidates fall before
+that, by a bound that loses none: the edits that the item's parts of PART bytes need, each at its best place,
+never add up to more than those of the whole item.
 
 Items are fetched in blocks of at most BLOCK_BYTES, each of which goes through all texts.
 """
@@ -29,6 +31,8 @@ STEPS = 20
 ANCHORS = 3
 ANCHOR_WORDS = 12
 BLOCK_BYTES = 16 << 20
+PART = 64
+SEARCH_BYTES = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -72,6 +76,34 @@ def edit_to_best(item: np.ndarray, text: np.ndarray, most: int) -> int:
     return int(min(row.min(), most + 1))
 
 
+def least_edits(parts: np.ndarray, sizes: np.ndarray, which: np.ndarray, texts: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each search the fewest edits between part ``which`` and any stretch of text row ``owner``, many searches at a time.
+
+    A column of the edit table is two bit vectors of one machine word per search (Myers 1999). parts: (n, PART) bytes of
+    which ``sizes`` count; texts: rows padded with 255, which no part has.
+    """
+    equal = np.zeros((len(parts), 256), U)
+    for i in range(parts.shape[1]):
+        inside = np.flatnonzero(i < sizes)
+        equal[inside, parts[inside, i]] |= U(1) << U(i)
+    equal = equal.ravel()
+    base, one, last = which * 256, U(1), (sizes[which] - 1).astype(U)
+    score = sizes[which].astype(np.int32)
+    best, up, down = score.copy(), np.full(len(which), ~U(0)), np.zeros(len(which), U)
+    for column in np.ascontiguousarray(texts.T):
+        eq = equal[base + column[owner]]
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        more, less = down | ~(h | up), up & h
+        score += ((more >> last) & one).astype(np.int32)
+        score -= ((less >> last) & one).astype(np.int32)
+        np.minimum(best, score, out=best)
+        more <<= one
+        less <<= one
+        up, down = less | ~(v | more), more & v
+    return best
+
+
 class Index:
     """A block of items: their normalised bytes, and the keys of their walks by repetition."""
 
@@ -121,6 +153,35 @@ class Index:
         pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
         return pairs[0], pairs[1]
 
+    def most(self, body: np.ndarray) -> int:
+        return math.floor(len(body) * (1 - self.similarity) + 1e-9)
+
+    def plausible(self, item: np.ndarray, packed: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which candidates (text [begin, end)) may be within the allowed edits, by the edits their parts need."""
+        live = np.ones(len(item), bool)
+        order = np.lexsort((item, end - begin))
+        longest = (end - begin)[order]
+        a = 0
+        while a < len(order):
+            z = a + 1
+            while z < len(order) and z - a < 4096 and (z + 1 - a) * longest[z] <= SEARCH_BYTES:
+                z += 1
+            some, width = order[a:z], int(longest[z - 1])
+            place = begin[some][:, None] + np.arange(width)[None, :]
+            texts = np.where(place < end[some][:, None], packed[np.minimum(place, len(packed) - 1)], np.uint8(255))
+            own, kind = np.unique(item[some], return_inverse=True)
+            bodies = [self.bytes[i] for i in own.tolist()]
+            each = np.array([-(-len(b) // PART) for b in bodies])
+            parts = np.concatenate([np.pad(b, (0, -len(b) % PART)) for b in bodies]).reshape(-1, PART)
+            sizes = np.concatenate([np.minimum(PART, len(b) - PART * np.arange(k)) for b, k in zip(bodies, each.tolist(), strict=True)])
+            n = each[kind]
+            owner = np.repeat(np.arange(len(some)), n)
+            which = (np.cumsum(each) - each)[kind][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            edits = np.bincount(owner, weights=least_edits(parts, sizes, which, texts, owner), minlength=len(some))
+            live[some] = edits <= np.array([self.most(b) for b in bodies])[kind]
+            a = z
+        return live
+
     def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, float]]:
         """(row, item_id, first word, words, edit distance, similarity) for each row and item: the best place in the row."""
         packed, ws, we, row = words_of(LOWER[data], offsets)
@@ -133,22 +194,27 @@ class Index:
         own = row[middle]
         lo, hi = np.searchsorted(row, own, "left"), np.searchsorted(row, own, "right")
         slack = np.ceil(size * (1 - self.similarity)).astype(np.int64) + 2
+        order = np.lexsort((begin, own, item))
+        item, own, begin, slack, lo, hi = (x[order] for x in (item, own, begin, slack, lo, hi))
+        first, past = np.maximum(lo, begin - slack), np.minimum(hi, begin + self.words[item] + 2 * slack)
+        new = np.ones(len(item), bool)  # of neighbouring candidates the first; its text holds what the others would
+        step = begin // np.maximum(slack, 1)
+        new[1:] = (item[1:] != item[:-1]) | (own[1:] != own[:-1]) | (step[1:] != step[:-1])
+        some = np.flatnonzero((first < past) & new)
+        some = some[self.plausible(item[some], packed, ws[first[some]], we[past[some] - 1])]
         best: dict[tuple[int, int], tuple] = {}
         reached: dict[tuple[int, int], int] = {}
-        for k in np.lexsort((begin, own, item)).tolist():
+        for k in some.tolist():
             pair = (int(own[k]), int(item[k]))
             if begin[k] < reached.get(pair, -1) or best.get(pair, (1,))[0] == 0:
                 continue  # inside the stretch already compared
             body = self.bytes[item[k]]
-            most = math.floor(len(body) * (1 - self.similarity) + 1e-9)
-            a, z = max(lo[k], begin[k] - slack[k]), min(hi[k], begin[k] + size[k] + 2 * slack[k])
-            if a >= z:
-                continue
-            text = packed[ws[a] : we[z - 1]]
+            most = self.most(body)
+            text = packed[ws[first[k]] : we[past[k] - 1]]
             reached[pair] = begin[k] + slack[k]
             d = 0 if body.tobytes() in text.tobytes() else edit_to_best(body, text, most)
             if d <= most and d < best.get(pair, (most + 1,))[0]:
-                best[pair] = (d, int(begin[k] - lo[k]), int(size[k]), 1 - d / max(1, len(body)))
+                best[pair] = (d, int(begin[k] - lo[k]), int(self.words[item[k]]), 1 - d / max(1, len(body)))
         return [(r, int(self.ids[i]), max(0, b), n, d, s) for (r, i), (d, b, n, s) in sorted(best.items())]
 
 
