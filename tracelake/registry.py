@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import relational, rules, texts, views
+
+MODULES = (views, relational, texts, rules)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracles() -> dict:
-    return {}
+    return {k: sql for m in MODULES for k, sql in m.ORACLES.items()}
