@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buffer_of, longs, pieces, read, whole_text
-from .windows import Hashes, U, mix, words_of
+from .windows import LOWER, Hashes, U, mix, words_of
 
 SIMILARITY = 0.8
 REPEATS = 10
@@ -33,8 +33,6 @@ ANCHOR_WORDS = 12
 BLOCK_BYTES = 16 << 20
 PART = 64
 SEARCH_BYTES = 1 << 20
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 
 HIT = "doc_id long, item_id long, first_word long, n_words int, edit_distance int, similarity double"
 

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, buffer_of, key_of, longs, read, whole_text, written
+from .common import NULL_ID, buffer_of, key_of, longs, pieces, read, whole_text, written
+from .windows import LOWER, SPACE, mix
 
 MAGIC = b"RPG1"
 FIRST = 49408
@@ -30,7 +31,8 @@ END = 1
 SHARD_TOKENS = 1 << 20
 ROUNDS = 4
 FREQUENT = 24
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
+PIECE = 4 << 20
 
 
 def re_pair(ids: np.ndarray, first: int = FIRST, rounds: int = ROUNDS, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,18 +77,30 @@ def re_pair(ids: np.ndarray, first: int = FIRST, rounds: int = ROUNDS, frequent:
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int = FIRST) -> np.ndarray:
-    """The ids that symbols stand for."""
-    seq = seq.astype(np.int64)
-    while True:
-        deep = seq >= first
-        if not deep.any():
-            return seq.astype(np.uint32)
-        size = 1 + deep
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
-        out[at] = np.where(deep, rules[np.where(deep, seq - first, 0), 0] if len(rules) else 0, seq)
-        out[at[deep] + 1] = rules[seq[deep] - first, 1]
-        seq = out
+    """The ids that symbols stand for. A rule's sides come before it, so each is expanded once; then the symbols are looked up."""
+    if not len(rules):
+        return seq.astype(np.uint32)
+    size = np.append(np.ones(first, np.int64), lengths)
+    begin = np.cumsum(size) - size
+    flat = np.empty(int(size.sum()), np.uint32)
+    flat[:first] = np.arange(first)
+    sides = rules.astype(np.int64)
+    # All rules of one depth at a time: their sides are expanded already.
+    left = np.arange(len(rules))
+    known = np.arange(len(size)) < first
+    while len(left):
+        ready = known[sides[left]].all(1)
+        now, left = left[ready], left[~ready]
+        for side in (0, 1):
+            source = sides[now, side]
+            to = begin[now + first] + (size[sides[now, 0]] if side else 0)
+            n = size[source]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            flat[np.repeat(to, n) + step] = flat[np.repeat(begin[source], n) + step]
+        known[now + first] = True
+    n = size[seq]
+    end = np.cumsum(n)
+    return flat[np.repeat(begin[seq] - end + n, n) + np.arange(int(end[-1]) if len(end) else 0)]
 
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray) -> bytes:
@@ -123,7 +137,9 @@ class Shard:
 
 
 #: ASCII punctuation that the tokenizer splits off a preceding run of letters (the apostrophe may join it).
-TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+IS_TAIL = np.isin(np.arange(256), list(TAIL))
+IS_LETTER = np.isin(np.arange(256), list(range(97, 123)))
 
 
 class Encoder:
@@ -131,64 +147,141 @@ class Encoder:
 
     The tokenizer drops white space, never joins over it, lower-cases, and splits letters from punctuation. So the ids of a
     text are those of its words in order, and a word of letters and then punctuation has the ids of both parts.
-    Each distinct part is encoded once, while the bounded caches last; the tests compare with whole texts.
+    Each distinct word of a few MB is looked up once; past CACHE_WORDS remembered words only those used again are kept. A run of ASCII letters in
+    lower case is left as it is by the normaliser and the splitter, so it goes to the model without them. The tests
+    compare with whole texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
     def each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def runs(self, words: list[bytes]) -> list[bytes]:
+    def runs(self, words: list[bytes], tokenizer) -> list[bytes]:
         """Ids of words of letters only: many at one go, cut where a token ends a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
         end = np.flatnonzero(self.ends[ids]) + 1
         if len(end) != len(words):  # a letter that isn't one after normalisation
             return self.each([w.decode() for w in words])
         raw, cut = ids.tobytes(), (end * 4).tolist()
         return [raw[p:q] for p, q in zip([0, *cut], cut)]
 
-    def resolve(self, words: set[bytes]) -> dict[bytes, bytes]:
-        split, plain, letters = {}, [], {}
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            head = s.rstrip(TAIL)
-            if head.isalpha():
-                cut = len(w) - len(s) + len(head)
-                split[w] = low, tail = w[:cut].lower(), w[cut:]
-                if low not in self.parts:
-                    letters[low] = None
-                if tail and tail not in self.parts:
-                    self.parts[tail] = self.each([tail.decode()])[0]
-            else:
-                plain.append(w)
+    def learn(self, words: set[bytes]) -> None:
+        """Remembers the ids of new words."""
+        plain = [w for w in words if w.isalpha()]
+        for i in range(0, len(plain), 1000):
+            self.words.update(zip(plain[i : i + 1000], self.runs(plain[i : i + 1000], self.model), strict=True))
+        parts, split, letters, tails, whole = self.parts, [], {}, {}, []
+        for w in words.difference(plain):
+            head = w.rstrip(TAIL)
+            if not head.decode("utf-8", "replace").isalpha():
+                whole.append(w)
+                continue
+            tail = w[len(head) :]
+            split.append((w, head, tail))
+            if head not in parts:
+                letters[head] = None
+            if tail and tail not in parts:
+                tails[tail] = None
         todo = list(letters)
         for i in range(0, len(todo), 1000):
-            self.parts.update(zip(todo[i : i + 1000], self.runs(todo[i : i + 1000]), strict=True))
-        out = {w: self.parts[low] + self.parts[tail] if tail else self.parts[low] for w, (low, tail) in split.items()}
-        out |= zip(plain, self.each([w.decode("utf-8", "replace") for w in plain]), strict=True)
-        if len(self.parts) > CACHE_WORDS:
-            for low in todo:
-                del self.parts[low]
-        if len(self.words) + len(out) <= CACHE_WORDS:
-            self.words.update(out)
-        return out
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        get = self.words.get
-        split = [t.split() for t in texts]
-        found = [list(map(get, words)) for words in split]
-        new = self.resolve({w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None})
-        return [b"".join(ids) if None not in ids else b"".join([new[w] if x is None else x for w, x in zip(words, ids, strict=True)]) for words, ids in zip(split, found, strict=True)]
+            parts.update(zip(todo[i : i + 1000], self.runs(todo[i : i + 1000], self.tokenizer), strict=True))
+        parts.update(zip(tails, self.each([t.decode() for t in tails]), strict=True))
+        self.words.update((w, parts[head] + parts[tail] if tail else parts[head]) for w, head, tail in split)
+        self.words.update(zip(whole, self.each([w.decode("utf-8", "replace") for w in whole]), strict=True))
+
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.words) > CACHE_WORDS:
+            self.before, self.words = self.words, {}
+            self.parts.clear()
+        new = [w for w, ids in zip(words, map(self.words.get, words), strict=True) if ids is None]
+        old = [w for w in new if w in self.before]
+        self.words.update(zip(old, map(self.before.__getitem__, old), strict=True))
+        self.learn(set(new).difference(old) if old else set(new))
+        return list(map(self.words.__getitem__, words))
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts (bytes and their offsets), each followed by END, and how many each has."""
+        data, rows = LOWER[data], len(offsets) - 1
+        start, end = units_of(data, offsets)
+        if not len(start):
+            return np.full(rows, END, np.uint32), np.ones(rows, np.int64)
+        first, kind = distinct(data, start, end)
+        raw = data.tobytes()
+        found = self.known([raw[a:z] for a, z in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+        found.append(np.array([END], "<u4").tobytes())
+        after = np.searchsorted(start, offsets[1:])  # units up to the end of each text
+        kind = np.insert(kind, after, len(found) - 1)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = size[kind]
+        upto = np.cumsum(n)
+        shift = (np.cumsum(size) - size)[kind] - upto + n
+        out = np.frombuffer(b"".join(found), "<u4")[np.repeat(shift, n) + np.arange(int(upto[-1]))]
+        return out, np.diff(upto[after + np.arange(rows)], prepend=0)
+
+
+def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of lower-cased texts; punctuation that follows a run of ASCII letters up to a word's end
+    is a unit of its own."""
+    word = ~SPACE[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    first[inner], last[inner - 1] = word[inner], word[inner - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    head, some = end.copy(), np.arange(len(start))
+    while len(some):  # back over punctuation
+        some = some[IS_TAIL[data[head[some] - 1]]]
+        head[some] -= 1
+        some = some[head[some] > start[some]]
+    cut = np.flatnonzero((head > start) & (head < end))
+    letters = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(IS_LETTER[data], out=letters[1:])
+    cut = cut[letters[head[cut]] - letters[start[cut]] == head[cut] - start[cut]]
+    head = head[cut]
+    start = np.insert(start, cut + 1, head)
+    end = np.insert(end, cut, head)
+    return start, end
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each kind of slices [start, end), and for each slice the number of its kind. Found by hash, and compared."""
+    size = end - start
+    eight = np.ndarray(len(data) + 9, "<u8", np.pad(data, (8, 8)).tobytes(), strides=(1,))
+    room = (8 * (8 - np.minimum(size, 8))).astype(np.uint64)
+    head, tail = eight[start + 8] << room, eight[end] >> room
+    h = mix(head * np.uint64(0x9E3779B97F4A7C15) ^ mix(tail + size.astype(np.uint64)))
+    raw, long = data.tobytes(), np.flatnonzero(size > 16)
+    middle = [zlib.crc32(raw[a:z]) for a, z in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    h[long] ^= np.array(middle, np.uint64) << np.uint64(32)
+    order = np.argsort(h)
+    h = h[order]
+    new = np.append(True, h[1:] != h[:-1])
+    first, kind = order[new], np.empty(len(h), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    its = first[kind]
+    same = (size == size[its]) & (head == head[its]) & (tail == tail[its])
+    long = long[its[long] != long]
+    same[long] &= np.array([raw[a:z] == raw[p : p + z - a] for a, z, p in zip(start[long].tolist(), end[long].tolist(), start[its[long]].tolist(), strict=True)], bool)
+    if not same.all():  # two words with one hash
+        names: dict[bytes, int] = {}
+        kind = np.array([names.setdefault(raw[a:z], len(names)) for a, z in zip(start.tolist(), end.tolist(), strict=True)])
+        first = np.unique(kind, return_index=True)[1]
+    return first, kind
 
 
 _encoders: dict[str, Encoder] = {}
@@ -207,30 +300,33 @@ def write_shards(docs: DataFrame, path: str | None = None, shard_tokens: int = S
 
     def encode(batches):
         ids_of = encoder(path)
-        end = np.array([END], "<u4").tobytes()
-        part, made = TaskContext.get().partitionId(), 0
-        docs_, ids_, total = [], [], 0
+        part, made, total = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def shard():
-            nonlocal made
+            nonlocal made, total
             made += 1
-            counts = np.array([len(x) // 4 for x in ids_], np.int64)
-            blob = pack(np.frombuffer(b"".join(ids_), "<u4"), np.array(docs_, np.int64), counts)
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([blob], pa.binary())], ["shard", "n_tokens", "blob"])
+            doc, count, ids = map(np.concatenate, zip(*held, strict=True))
+            blob = pack(ids, doc, count)
+            held.clear()
+            total = 0
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())], ["shard", "n_tokens", "blob"])
 
         for batch in batches:
             data, at = buffer_of(batch.column(1))
-            raw, doc = data.tobytes(), longs(batch.column(0)).tolist()
-            for a in range(0, len(doc), 500):
-                span = at[a : a + 501].tolist()
-                for d, x in zip(doc[a : a + 500], ids_of([raw[p:q] for p, q in zip(span, span[1:])]), strict=True):
-                    docs_.append(d)
-                    ids_.append(x + end)
-                    total += len(x) // 4 + 1
+            doc = longs(batch.column(0))
+            for a, b in pieces(at, PIECE):
+                ids, count = ids_of(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                upto = np.append(0, np.cumsum(count))
+                x = 0
+                while x < len(count):
+                    z = min(len(count), int(np.searchsorted(upto, upto[x] + shard_tokens - total)))
+                    held.append((doc[a + x : a + z], count[x:z], ids[upto[x] : upto[z]]))
+                    total += int(upto[z] - upto[x])
+                    x = z
                     if total >= shard_tokens:
                         yield shard()
-                        docs_, ids_, total = [], [], 0
-        if docs_:
+        if held:
             yield shard()
 
     rows = docs.select(key_of().alias("doc"), whole_text().alias("t")).repartitionByRange("doc").sortWithinPartitions("doc", "t")
