@@ -52,10 +52,14 @@ def normalize_sql(c: Column) -> Column:
     return squash(replaced(c, SQL_LITERALS))
 
 
+#: What Python strips.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def normalize_context(c: Column) -> Column:
     """The part of a context before its first colon; all of it where that part is empty. Null without one."""
-    whole = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    head = F.regexp_extract(whole, r"(?Us)^([^:]+?)(?:\s*:.*)?$", 1)
+    whole = F.btrim(c, F.lit(BLANKS))
+    head = F.btrim(F.substring_index(whole, ":", 1), F.lit(BLANKS))
     return F.when(whole == "", None).otherwise(F.when(head == "", whole).otherwise(head))
 
 
