@@ -15,8 +15,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ FIT_ROWS = 5000
 CHAIN = 48
 SLOTS = 1 << 18
 CHANCE = 1e-6
+LEAST = 3
 STEMS = (4, 5, 6, 7)
 REJECT = 0.7
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -120,6 +122,8 @@ def toxic_forms(docs: list[list[str]], labels: np.ndarray, chance: float = CHANC
     A word counts once for each neighbour it is seen with, so that copies of one toxic text don't make all of
     its words toxic.
     """
+    count = Counter(form for words, y in zip(docs, labels, strict=True) if y for w in set(words) for form in forms_of(w))
+    often = {form for form, n in count.items() if n >= LEAST}
     bad: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
     good: dict[str, set] = defaultdict(set)
     for toxic in (True, False):
@@ -128,6 +132,8 @@ def toxic_forms(docs: list[list[str]], labels: np.ndarray, chance: float = CHANC
                 line = ["", *words, ""]
                 for w, i in {w: i for i, w in enumerate(words)}.items():
                     for form in forms_of(w):
+                        if form not in often:
+                            continue
                         if toxic:
                             bad[form][0].add(line[i])
                             bad[form][1].add(line[i + 2])
@@ -137,7 +143,7 @@ def toxic_forms(docs: list[list[str]], labels: np.ndarray, chance: float = CHANC
     out = set()
     for form, (left, right) in bad.items():
         k = min(len(left), len(right))
-        if k < 3:
+        if k < LEAST:
             continue
         n = k + len(good.get(form, ()))
         q = min(k / n, 1 - 1e-9)
@@ -149,7 +155,7 @@ def toxic_forms(docs: list[list[str]], labels: np.ndarray, chance: float = CHANC
 def fit(texts: list[str], labels: list[int], passes: int = 30, seed: int = 1) -> Crf:
     """Fits the chain by gradient steps on the conditional likelihood, then the curve from marginals to document labels."""
     y = np.array(labels, np.float64)
-    docs = [tokens_of(t) for t in texts]
+    docs = [[intern(w) for w in tokens_of(t)] for t in texts]
     forms = toxic_forms(docs, y)
     bad = {w for d, t in zip(docs, y, strict=True) if t for w in set(d) if not forms.isdisjoint(forms_of(w))}
     crf = Crf(np.zeros(SLOTS), -4.0, np.zeros((2, 2)))
