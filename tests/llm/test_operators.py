@@ -157,6 +157,33 @@ def test_edit_to_best():
     assert decontaminate.edit_to_best(b("abc"), b(""), 9) == 3
 
 
+def test_part_bound_loses_nothing():
+    r = np.random.RandomState(2)
+    parts, sizes, texts, whole = [], [], [], []
+    for _ in range(60):
+        item = r.randint(97, 101, r.randint(1, 200)).astype(np.uint8)
+        text = np.concatenate([r.randint(97, 101, 40), item[r.rand(len(item)) > 0.1], r.randint(97, 101, 30)]).astype(np.uint8)
+        n = -(-len(item) // decontaminate.PART)
+        parts.append(np.pad(item, (0, -len(item) % decontaminate.PART)).reshape(n, -1))
+        sizes.append(np.minimum(decontaminate.PART, len(item) - decontaminate.PART * np.arange(n)))
+        texts.append(np.pad(text, (0, 300 - len(text)), constant_values=255))
+        whole.append(decontaminate.edit_to_best(item, text, len(item)))
+    owner = np.repeat(np.arange(60), list(map(len, parts)))
+    edits = decontaminate.least_edits(np.concatenate(parts), np.concatenate(sizes), np.arange(len(owner)), np.stack(texts), owner)
+    assert (np.bincount(owner, weights=edits) <= whole).all()
+    one = [i for i in range(60) if len(parts[i]) == 1]
+    assert [edits[np.flatnonzero(owner == i)[0]] for i in one] == [whole[i] for i in one]
+
+
+def test_words_with_one_hash(monkeypatch):
+    data = np.frombuffer(b"aa bb aa " + b"c" * 30 + b" " + b"c" * 14 + b"d" + b"c" * 15, np.uint8)
+    start, end = token_store.units_of(data, np.array([0, 5, len(data)]))
+    for _ in range(2):
+        first, kind = token_store.distinct(data, start, end)
+        assert [data[start[first[k]] : end[first[k]]].tobytes() for k in kind] == [data[a:z].tobytes() for a, z in zip(start, end)] and len(first) == 4
+        monkeypatch.setattr(token_store, "mix", lambda x: np.zeros_like(x))
+
+
 def test_mixing(spark, docs_of):
     rows = [(i, f"t{i}") for i in range(3000)]
     docs = docs_of(rows + [(None, None), (5, "t5")])
