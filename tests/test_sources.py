@@ -62,7 +62,7 @@ def test_archives_and_exports(spark, tmp_path):
     e = log_events(spark, DATA)
     logs.write_archive(e, str(tmp_path / "w"))
     assert spark.read.parquet(str(tmp_path / "w")).where("archive_id = 'A'").count() == e.where("archive_id = 'A'").count()
-    export(spark.createDataFrame([('a "q", b', None)], "x string, y string"), str(tmp_path / "c"))
+    export(spark.createDataFrame([('a "q", b', None)], "x string, y string").coalesce(1), str(tmp_path / "c"))
     assert next((tmp_path / "c").glob("*.csv")).read_text() == 'x,y\n"a ""q"", b",\n'
 
 
@@ -116,3 +116,30 @@ def test_edges(spark):
     texts = spark.createDataFrame([(1, None), (2, ""), (3, "SELECT 1")], "id int, text string")
     assert rules.sql_findings(texts, "postgres").count() == 0 and rules.query_findings(texts).count() == 0
     assert filters.by_context(none, "with").count() == 0
+
+
+def test_configuration(spark, tmp_path):
+    from tracelake.operators import dictionary
+    from tracelake.sources.configuration import read_configuration
+
+    ns = 'xmlns="http://example.org/md"'
+    put(tmp_path / "Catalogs", "a.xml", f"<MetaDataObject {ns}><Catalog><Properties><Name>Товары</Name></Properties><ChildObjects><Attribute><Properties><Name>Цена</Name></Properties></Attribute>"
+        "<TabularSection><Properties><Name>Цены</Name></Properties><ChildObjects><Attribute><Properties><Name>Дата</Name></Properties></Attribute></ChildObjects></TabularSection></ChildObjects></Catalog></MetaDataObject>")
+    put(tmp_path / "Enums", "b.xml", f"<MetaDataObject {ns}><Enum><Properties><Name>Виды</Name></Properties><ChildObjects><EnumValue><Properties><Name>Опт</Name></Properties></EnumValue></ChildObjects></Enum></MetaDataObject>")
+    put(tmp_path, "bad.xml", "<oops")
+    rows = read_configuration(spark, str(tmp_path))
+    assert {(r.kind, r.name, r.section, r.member_kind, r.member) for r in rows.collect()} == {
+        ("Справочник", "Товары", None, None, None), ("Справочник", "Товары", None, "attribute", "Цена"), ("Справочник", "Товары", None, "tabular_section", "Цены"),
+        ("Справочник", "Товары", "Цены", "attribute", "Дата"), ("Перечисление", "Виды", None, None, None), ("Перечисление", "Виды", None, "enum_value", "Опт"),
+    }
+    refs = dictionary.references(spark.createDataFrame([(1, "Перечисление.Виды.Опт, Перечисление.Виды.Розница, Справочник.Услуги")], "id int, text string"))
+    assert [r.member for r in dictionary.missing_members(refs, rows.where("member is not null")).collect()] == ["Розница"]
+    assert [r.name for r in dictionary.missing_objects(refs, rows).collect()] == ["Услуги"]
+
+
+def test_plan_texts(spark):
+    from tracelake.functions.plan_texts import canonical_json_plan, canonical_numbered_plan, canonical_xml_plan
+
+    rows = spark.createDataFrame([('<p b="1" a="2" ActualRows="9"/>', '[{"Plan": {"b": 1, "Actual Rows": 2, "a": {"Buffers": 1}}}]', "1> Scan (cost 0.123456)\n2>  Seek"), ("<p", "{", None), (None, None, "")], "x string, j string, n string")
+    got = rows.select(canonical_xml_plan("x").alias("x"), canonical_json_plan("j").alias("j"), canonical_numbered_plan("n").alias("n")).collect()
+    assert list(map(tuple, got)) == [('<p a="2" b="1"></p>', '[{"Plan":{"a":{},"b":1}}]', "Scan (cost 0.123) Seek"), ("<p", "{", None), (None, None, "")]
