@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import normalize_context, normalize_sql, sql_hash
+from .functions.text import normalize_sql, sql_hash
 
 ROLES = ("rphost", "rmngr", "ragent", "1cv8c")
 
@@ -18,7 +18,9 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = F.when(k % 2 == 0, "DBMSSQL").otherwise("DBPOSTGRS")
     t = F.when(kind == "click", "CALL").when(kind == "view", "SCALL").when(kind == "purchase", sql).when(kind == "error", error).otherwise(lock)
     text = F.when(kind == "purchase", F.concat(F.lit("SELECT * FROM t"), k % 12, F.lit(" WHERE id = "), "event_id"))
-    context = F.when(k % 5 != 0, F.concat(F.lit("Doc.Op"), k % 20, F.lit(".Module : "), k, F.lit(" : call")))
+    # In an archive this is a stored column, made once by the log reader.
+    operation = F.when(k % 5 != 0, F.concat(F.lit("Doc.Op"), k % 20, F.lit(".Module")))
+    context = F.concat(operation, F.lit(" : "), k, F.lit(" : call"))
     locks = F.concat(
         F.lit('{"Regions":"Reg.R'), k % 3, F.lit(" Exclusive, Doc.D"), k % 2, F.lit(' Shared","WaitConnections":"'), user, F.lit(","), user + 1,
         F.lit('","DeadlockConnectionIntersections":"'), user, F.lit("->Reg.R"), k % 3, F.lit(" | "), user + 1, F.lit("->Doc.D"), k % 2, F.lit('"}'),
@@ -29,7 +31,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base.select(
         F.col("event_id").alias("id"), F.when(F.dayofmonth("ts") <= 15, "A").otherwise("B").alias("archive_id"), "ts",
         (F.round(F.col("value") * 1000).cast("long") * (1 + k * k)).alias("duration_us"), t.alias("event_type"), user.cast("int").alias("session_id"),
-        F.concat(F.lit("u"), user).alias("user_name"), context.alias("context"), normalize_context(context).alias("context_normalized"),
+        F.concat(F.lit("u"), user).alias("user_name"), context.alias("context"), operation.alias("context_normalized"),
         F.lit("app").alias("process"), F.element_at(F.array(*map(F.lit, ROLES)), (user % 4 + 1).cast("int")).alias("process_role"), (1000 + user % 7).cast("int").alias("process_pid"),
         text.alias("sql_text"), normalize_sql(text).alias("sql_text_normalized"), plan.alias("plan_text"),
         F.when(text.isNotNull(), k * 10).alias("rows_read"), F.when(text.isNotNull(), k % 7).alias("rows_modified"), extra.alias("extra"),
