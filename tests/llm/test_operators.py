@@ -150,6 +150,25 @@ def test_decontamination(spark, docs_of):
     assert decontaminate.contamination(docs_of(rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_letter_edits():
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n)).encode()
+    bodies = [say(r.randint(15, 60)) for _ in range(80)] + [b"q w e r t", b"sixteen letters.", b"the short item xyz", b"w" * 7 + b"".join(b"%d" % (i * 7919) for i in range(40))]
+    index = decontaminate.Index([(i, b.decode()) for i, b in enumerate(bodies)])
+    rng = np.random.RandomState(1)
+    for share in (0.04, 0.1, 0.2):
+        texts, true = [], set()
+        for i, b in enumerate(bodies * 3):
+            copy = decontaminate.damaged(np.frombuffer(b, np.uint8), int(len(b) * share), rng)
+            texts.append(b" ".join([say(r.randint(0, 30)), copy, say(r.randint(0, 30))]))
+            true.add((i, i % len(bodies)))
+        at = np.cumsum([0, *map(len, texts)])
+        got = {h[:2] for h in index.search(np.frombuffer(b"".join(texts), np.uint8), at)}
+        assert len(got & true) >= decontaminate.TARGET * len(true) - 1
+        assert all(x in got for x in true if len(bodies[x[1]]) < decontaminate.SHORT)  # none missed
+
+
 def test_edit_to_best():
     b = lambda s: np.frombuffer(s.encode(), np.uint8)
     assert decontaminate.edit_to_best(b("kitten"), b("xxkittenyy"), 9) == 0

@@ -1,13 +1,17 @@
 """Benchmark decontamination: CGK embeddings, bit-sampling LSH over item-sized windows, exact edit verification.
 
-The CGK walk copies a word sequence symbol by symbol; after each output a random bit, drawn from the step and the
-symbol, tells whether to move on. Two sequences at a small edit distance give outputs at a small Hamming distance.
-A repetition has its own random bits and looks at SAMPLED of the output places; windows that agree there with an item
-are candidates. Every word of every text starts a window; items are entered from several of their words
-(ANCHORS), so a damaged beginning doesn't hide them. A candidate is verified by the edit distance of the whole
-item to the best-fitting stretch of the text around it, in bytes of the normalised text. Most candidates fall before
-that, by a bound that loses none: the edits that the item's parts of PART bytes need, each at its best place,
-never add up to more than those of the whole item.
+The CGK walk copies a byte sequence symbol by symbol; after each output a random bit, drawn from the step and the
+byte, tells whether to move on. Two sequences at a small edit distance give outputs at a small Hamming distance.
+A repetition has its own random bits and looks at SAMPLED of the output places; windows that agree there with a
+stretch of an item are candidates. Walks start at every word of the texts and of the items (inside words of over
+LONG_WORD bytes also at places told by the two bytes there) and end at a pad after the item or text, so an item is
+met where any of its stretches is little damaged. The number of repetitions is the least with which TARGET of the
+shortest items are met in copies with as many random letter edits as allowed, found by trial when the index is built.
+Items below SHORT bytes have too few stretches: they are cut into one part more than the allowed edits, of which
+one must occur unchanged, so none is missed.
+A candidate is verified by the edit distance of the whole item to the best-fitting stretch of the text around it, in
+bytes of the normalised text. Most candidates fall before that, by a bound that loses none: the edits that the item's
+parts of PART bytes need, each at its best place, never add up to more than those of the whole item.
 
 Items are fetched in blocks of at most BLOCK_BYTES, each of which goes through all texts.
 """
@@ -15,6 +19,7 @@ Items are fetched in blocks of at most BLOCK_BYTES, each of which goes through a
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +30,19 @@ from .common import buffer_of, longs, pieces, read, whole_text
 from .windows import LOWER, Hashes, U, mix, words_of
 
 SIMILARITY = 0.8
-REPEATS = 10
-SAMPLED = 4
-STEPS = 20
-ANCHORS = 3
-ANCHOR_WORDS = 12
+#: Share of the items to be met at ``SIMILARITY``, the items and copies of each tried for it, and the repetitions at most.
+TARGET = 0.99
+TRIED = 64
+COPIES = 8
+MOST_REPEATS = 32
+SAMPLED = 12
+STEPS = 28
+#: The numbers of sampled places after which walks that no item shares are dropped.
+LEVELS = (3, 5, 7, 9)
+STARTS = 1 << 15
+SHORT = 48
+LONG_WORD = 24
+STOP = 255
 BLOCK_BYTES = 16 << 20
 PART = 64
 SEARCH_BYTES = 1 << 20
@@ -37,27 +50,63 @@ SEARCH_BYTES = 1 << 20
 HIT = "doc_id long, item_id long, first_word long, n_words int, edit_distance int, similarity double"
 
 
+@lru_cache
 def sampled_steps(repeat: int) -> list[int]:
     """The output places a repetition looks at, spread over the walk, in order."""
     rng = np.random.RandomState(1000 + repeat)
     return sorted(rng.choice(STEPS, SAMPLED, replace=False).tolist())
 
 
+@lru_cache
+def moves(repeat: int) -> np.ndarray:
+    """By step and byte, whether the walk moves on; at STOP it stays."""
+    bits = mix(np.arange(256, dtype=U) ^ mix(np.array([repeat + 1], U)))
+    out = ((bits[None, :] >> np.arange(STEPS, dtype=U)[:, None]) & U(1)).astype(np.int64)
+    out[:, STOP] = 0
+    return out
+
+
 def walk(symbols: np.ndarray, start: np.ndarray, repeat: int, keep=None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the walks from ``start`` over ``symbols``; ``keep(n, key)`` may drop some after the n-th sampled place."""
-    rest = mix(symbols ^ mix(np.array([repeat + 1], U)))
-    at, key, n, last = start, np.full(len(start), repeat, U), 0, len(symbols) - 1
-    wanted = sampled_steps(repeat)
+    """Which walks from ``start`` over ``symbols`` go to the end, and their keys; ``keep(n, key)`` may drop some after the n-th sampled place."""
+    move, wanted = moves(repeat), sampled_steps(repeat)
+    left, at, key, n = np.arange(len(start)), start, np.full(len(start), repeat, U), 0
     for j in range(wanted[-1] + 1):
+        here = symbols[at]
         if j in wanted:
-            key = (key ^ symbols[at]) * U(0x9E3779B97F4A7C15)
+            key = (key ^ here) * U(0x9E3779B97F4A7C15)
             key ^= key >> U(29)
             n += 1
-            if keep is not None:
-                live = keep(n, key)
-                start, at, key = start[live], at[live], key[live]
-        at = np.minimum(at + ((rest[at] >> U(j)) & U(1)).astype(np.int64), last)
-    return start, key
+            if keep is not None and n in LEVELS:
+                live = np.flatnonzero(keep(n, key))
+                left, at, key, here = left[live], at[live], key[live], here[live]
+        at = at + move[j][here]
+    return left, key
+
+
+def stopped(packed: np.ndarray, ws: np.ndarray, we: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with STOP after each row; the walks' starts in them, in ``packed``, and their rows."""
+    last = np.append(row[1:] != row[:-1], True)
+    symbols = np.insert(packed, we[last], STOP)
+    word = np.arange(len(ws))
+    start = ws
+    long = np.flatnonzero(we - ws > LONG_WORD)
+    if len(long):
+        n = (we - ws)[long] - 2
+        inner = np.repeat(long, n)
+        place = ws[inner] + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        some = mix(packed[place].astype(U) * U(256) + packed[place + 1]) % U(4) == 0
+        word, start = np.append(word, inner[some]), np.append(start, place[some])
+    rank = np.cumsum(last) - last
+    return symbols, start + rank[word], start, row[word]
+
+
+def damaged(body: np.ndarray, edits: int, rng: np.random.RandomState) -> bytes:
+    """``body`` with so many of its places replaced by a letter, preceded by one or left out, at random."""
+    out = [bytes([c]) for c in body.tolist()]
+    for i in rng.choice(len(out), edits, replace=False).tolist():
+        letter = bytes([rng.randint(97, 123)])
+        out[i] = (letter, letter + out[i], b"")[rng.randint(3)]
+    return b"".join(out)
 
 
 def edit_to_best(item: np.ndarray, text: np.ndarray, most: int) -> int:
@@ -110,72 +159,138 @@ class Index:
         raw = [t.encode() for _, t in items]
         at = np.cumsum([0, *map(len, raw)])
         packed, ws, we, row = words_of(LOWER[np.frombuffer(b"".join(raw), np.uint8)], at)
-        symbols = np.append(Hashes(packed).of(ws, we), U(0))
         first = np.searchsorted(row, np.arange(len(items)))
         self.words = np.bincount(row, minlength=len(items))
         self.ids = np.array([i for i, _ in items], np.int64)
-        full = self.words > 0
         self.bytes = [packed[ws[a] : we[a + n - 1]] if n else packed[:0] for a, n in zip(first.tolist(), self.words.tolist(), strict=True)]
-        starts, items_, ahead = [], [], []
-        for k in range(ANCHORS):
-            off = self.words * k // ANCHORS
-            ok = full & ((k == 0) | (self.words - off >= ANCHOR_WORDS))
-            starts.append((first + off)[ok])
-            items_.append(np.flatnonzero(ok))
-            ahead.append(off[ok])
-        start, item, ahead = map(np.concatenate, (starts, items_, ahead))
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.allowed = np.array([self.most(b) for b in self.bytes], np.int64)
         self.levels, self.keys = [], []
-        for r in range(REPEATS):
-            levels = [set() for _ in range(SAMPLED)]
-            _, key = walk(symbols, start, r, lambda n, key, levels=levels: levels[n - 1].update(key.tolist()) or np.ones(len(key), bool))
-            maps = []
-            for some in levels:
-                bits = np.zeros(1 << 20, bool)
-                bits[(np.array(list(some), U) >> U(44)).astype(np.int64)] = True
-                maps.append(bits)
-            order = np.argsort(key, kind="stable")
-            self.levels.append(maps)
-            self.keys.append((key[order], item[order], ahead[order]))
-
-    def candidates(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (item, word where it would begin) of all windows that meet an item in some repetition."""
-        found = []
-        everywhere = np.arange(len(symbols) - 1)
-        for r in range(REPEATS):
-            start, key = walk(symbols, everywhere, r, lambda n, key, r=r: self.levels[r][n - 1][(key >> U(44)).astype(np.int64)])
-            keys, item, ahead = self.keys[r]
+        if (self.sizes >= SHORT).any():
+            symbols, place, start, item = stopped(packed, ws, we, row)
+            whole = self.sizes[item] >= SHORT
+            place, item, ahead = place[whole], item[whole], (start - ws[first[item]])[whole]
+            for r in range(self.repeats()):
+                self._add(symbols, place, item, ahead, r)
+        self.seeds = self._seeds()
+
+    def _add(self, symbols, place, item, ahead, r: int) -> None:
+        bits = min(24, max(16, int(len(place) * 40).bit_length()))
+        maps = {n: np.zeros(1 << bits, bool) for n in LEVELS}
+
+        def note(n, key):
+            maps[n][(key >> U(64 - bits)).astype(np.int64)] = True
+            return np.ones(len(key), bool)
+
+        _, key = walk(symbols, place, r, note)
+        order = np.argsort(key, kind="stable")
+        self.levels.append((U(64 - bits), maps))
+        self.keys.append((key[order], item[order], ahead[order]))
+
+    def repeats(self) -> int:
+        """The least number of repetitions with which TARGET of the shortest items (not SHORT ones) are met in copies that have
+        as many random edits as allowed."""
+        rng = np.random.RandomState(11)
+        tried = [i for i in np.argsort(self.sizes, kind="stable").tolist() if self.sizes[i] >= SHORT][:TRIED]
+        whole = [self.bytes[i].tobytes() for i in tried]
+        # Other text follows a copy: the ends of item and text would meet too easily.
+        rows = [whole, [damaged(self.bytes[i], self.allowed[i], rng) + b" " + whole[n - 1][::-1] for _ in range(COPIES) for n, i in enumerate(tried)]]
+        sides = []
+        for texts in rows:
+            words = words_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+            symbols, place, _, row = stopped(*words)
+            sides.append((symbols, place, row))
+        met = np.zeros(len(rows[1]), bool)
+        for r in range(MOST_REPEATS):
+            a, b = (np.stack([walk(symbols, place, r)[1], (row % len(tried)).astype(U)], 1) for symbols, place, row in sides)
+            known = set(map(tuple, a.tolist()))
+            met[sides[1][2][[x in known for x in map(tuple, b.tolist())]]] = True
+            if met.mean() >= TARGET:
+                return r + 1
+        return MOST_REPEATS
+
+    def _seeds(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the SHORT items, by size of part: its sorted hashes, items and places in them."""
+        parts: dict[int, list] = {}
+        for i in np.flatnonzero((self.sizes > 0) & (self.sizes < SHORT)).tolist():
+            body, n = self.bytes[i], int(self.allowed[i]) + 1
+            hashes = Hashes(body)
+            cuts = [len(body) * k // n for k in range(n + 1)]
+            for a, z in zip(cuts, cuts[1:]):
+                parts.setdefault(z - a, []).append((int(hashes.of(np.array([a]), np.array([z]))[0]), i, a))
+        out = []
+        for size, found in sorted(parts.items()):
+            found.sort()
+            h, i, a = zip(*found, strict=True)
+            out.append((size, np.array(h, U), np.array(i), np.array(a)))
+        return out
+
+    def candidates(self, packed: np.ndarray, ws: np.ndarray, we: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Item, row, byte where it would begin, and the bytes between that and the place that met: of all that meet an item."""
+        found = [np.zeros((4, 0), np.int64)]
+
+        def meet(keys, key, start, own):
+            keys, item, ahead = keys
             a, z = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             n = z - a
             which = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([item[which], np.repeat(start, n) - ahead[which]]))
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        return pairs[0], pairs[1]
+            found.append(np.stack([item[which], np.repeat(own, n), np.repeat(start, n) - ahead[which], ahead[which]]))
+
+        if self.keys:
+            symbols, place, start, own = stopped(packed, ws, we, row)
+            for a in range(0, len(place), STARTS):
+                some = slice(a, a + STARTS)
+                for r, (shift, maps) in enumerate(self.levels):
+                    left, key = walk(symbols, place[some], r, lambda n, key, shift=shift, maps=maps: maps[n][(key >> shift).astype(np.int64)])
+                    meet(self.keys[r], key, start[some][left], own[some][left])
+        if self.seeds:
+            last = np.append(row[1:] != row[:-1], True)
+            head, tail, kept = ws[np.append(True, last[:-1])], we[last], row[last]
+            hashes = Hashes(packed)
+            for size, *keys in self.seeds:
+                for a in range(0, len(packed) - size + 1, 1 << 20):
+                    at = np.arange(a, min(a + (1 << 20), len(packed) - size + 1))
+                    n = np.searchsorted(head, at, "right") - 1
+                    inside = (n >= 0) & (at + size <= tail[n])
+                    at, n = at[inside], n[inside]
+                    meet(keys, hashes.of(at, at + size), at, kept[n])
+        return np.concatenate(found, axis=1)
 
     def most(self, body: np.ndarray) -> int:
         return math.floor(len(body) * (1 - self.similarity) + 1e-9)
 
-    def plausible(self, item: np.ndarray, packed: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Which candidates (text [begin, end)) may be within the allowed edits, by the edits their parts need."""
+    def plausible(self, item: np.ndarray, packed: np.ndarray, begin: np.ndarray, latest: np.ndarray, low: np.ndarray, high: np.ndarray, half: bool) -> np.ndarray:
+        """Which candidates may be within the allowed edits, by the edits their parts need (``half``: the first half of them).
+
+        The item begins from ``begin`` to ``latest``; its row is [low, high).
+        """
         live = np.ones(len(item), bool)
-        order = np.lexsort((item, end - begin))
-        longest = (end - begin)[order]
+        spare = latest - begin
+        longest = self.sizes[item] + (self.sizes[item] // PART + 1) * spare
+        order = np.lexsort((item, longest))
+        longest = longest[order]
         a = 0
         while a < len(order):
             z = a + 1
             while z < len(order) and z - a < 4096 and (z + 1 - a) * longest[z] <= SEARCH_BYTES:
                 z += 1
-            some, width = order[a:z], int(longest[z - 1])
-            place = begin[some][:, None] + np.arange(width)[None, :]
-            texts = np.where(place < end[some][:, None], packed[np.minimum(place, len(packed) - 1)], np.uint8(255))
+            some = order[a:z]
             own, kind = np.unique(item[some], return_inverse=True)
             bodies = [self.bytes[i] for i in own.tolist()]
             each = np.array([-(-len(b) // PART) for b in bodies])
             parts = np.concatenate([np.pad(b, (0, -len(b) % PART)) for b in bodies]).reshape(-1, PART)
             sizes = np.concatenate([np.minimum(PART, len(b) - PART * np.arange(k)) for b, k in zip(bodies, each.tolist(), strict=True)])
-            n = each[kind]
+            n = (each[kind] + 1) // 2 if half else each[kind]
             owner = np.repeat(np.arange(len(some)), n)
-            which = (np.cumsum(each) - each)[kind][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            edits = np.bincount(owner, weights=least_edits(parts, sizes, which, texts, owner), minlength=len(some))
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            which = (np.cumsum(each) - each)[kind][owner] + nth
+            # A part lies as far from the beginning as in the item, give or take the edits.
+            at = begin[some][owner] + nth * PART
+            upto = np.minimum(high[some][owner], at + sizes[which] + spare[some][owner])
+            at = np.maximum(low[some][owner], at)
+            place = at[:, None] + np.arange(max(1, int((upto - at).max())))[None, :]
+            texts = np.where(place < upto[:, None], packed[np.minimum(place, len(packed) - 1)], np.uint8(255))
+            edits = np.bincount(owner, weights=least_edits(parts, sizes, which, texts, np.arange(len(owner))), minlength=len(some))
             live[some] = edits <= np.array([self.most(b) for b in bodies])[kind]
             a = z
         return live
@@ -185,34 +300,35 @@ class Index:
         packed, ws, we, row = words_of(LOWER[data], offsets)
         if not len(ws):
             return []
-        item, begin = self.candidates(np.append(Hashes(packed).of(ws, we), U(0)))
-        size = self.words[item]
-        # Which row the candidate lies in: that of the word that gave it, somewhere in [begin, begin + size).
-        middle = np.clip(begin + size // 2, 0, len(ws) - 1)
-        own = row[middle]
+        item, own, begin, ahead = self.candidates(packed, ws, we, row)
+        if not len(item):
+            return []
+        # Of the places in one step the one that met nearest the item's beginning; the text from the first to the last is searched.
+        bucket = begin // np.maximum(self.allowed[item], 1)
+        order = np.lexsort((ahead, bucket, own, item))
+        item, own, begin, bucket = (x[order] for x in (item, own, begin, bucket))
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1])
+        new = np.flatnonzero(new)
+        begins, latest = np.minimum.reduceat(begin, new), np.maximum.reduceat(begin, new)
+        item, own, begin = item[new], own[new], begin[new]
         lo, hi = np.searchsorted(row, own, "left"), np.searchsorted(row, own, "right")
-        slack = np.ceil(size * (1 - self.similarity)).astype(np.int64) + 2
-        order = np.lexsort((begin, own, item))
-        item, own, begin, slack, lo, hi = (x[order] for x in (item, own, begin, slack, lo, hi))
-        first, past = np.maximum(lo, begin - slack), np.minimum(hi, begin + self.words[item] + 2 * slack)
-        new = np.ones(len(item), bool)  # of neighbouring candidates the first; its text holds what the others would
-        step = begin // np.maximum(slack, 1)
-        new[1:] = (item[1:] != item[:-1]) | (own[1:] != own[:-1]) | (step[1:] != step[:-1])
-        some = np.flatnonzero((first < past) & new)
-        some = some[self.plausible(item[some], packed, ws[first[some]], we[past[some] - 1])]
+        low, high, begins, latest = ws[lo], we[hi - 1], begins - self.allowed[item], latest + self.allowed[item]
+        first, past = np.maximum(low, begins), np.minimum(high, latest + self.sizes[item])
+        some = np.flatnonzero(first < past)
+        for half in (True, False):
+            some = some[self.plausible(item[some], packed, begins[some], latest[some], low[some], high[some], half)]
+        word = np.clip(np.searchsorted((ws + we) // 2, begin), lo, hi - 1) - lo
         best: dict[tuple[int, int], tuple] = {}
-        reached: dict[tuple[int, int], int] = {}
         for k in some.tolist():
             pair = (int(own[k]), int(item[k]))
-            if begin[k] < reached.get(pair, -1) or best.get(pair, (1,))[0] == 0:
-                continue  # inside the stretch already compared
-            body = self.bytes[item[k]]
-            most = self.most(body)
-            text = packed[ws[first[k]] : we[past[k] - 1]]
-            reached[pair] = begin[k] + slack[k]
+            if best.get(pair, (1,))[0] == 0:
+                continue
+            body, most = self.bytes[item[k]], int(self.allowed[item[k]])
+            text = packed[first[k] : past[k]]
             d = 0 if body.tobytes() in text.tobytes() else edit_to_best(body, text, most)
             if d <= most and d < best.get(pair, (most + 1,))[0]:
-                best[pair] = (d, int(begin[k] - lo[k]), int(self.words[item[k]]), 1 - d / max(1, len(body)))
+                best[pair] = (d, int(word[k]), int(self.words[item[k]]), 1 - d / max(1, len(body)))
         return [(r, int(self.ids[i]), max(0, b), n, d, s) for (r, i), (d, b, n, s) in sorted(best.items())]
 
 
