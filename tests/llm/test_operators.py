@@ -105,6 +105,13 @@ def test_media(docs_of):
     assert media.media_columns(docs_of([])).count() == 0
 
 
+def test_short_media(docs_of):
+    texts = ["The first of two short texts that say different things.", "Quite another short text, about something else!"]
+    a, b = media.media_columns(docs_of(list(enumerate(texts)))).collect()
+    assert a.payload_bytes == b.payload_bytes == media.UNIT and a.fingerprint and b.fingerprint
+    assert a.fingerprint != b.fingerprint and a.feature != b.feature
+
+
 def test_peaks_follow_the_tone():
     t = np.arange(8000) / 8000
     _, h = media.peak_pairs((128 + 100 * np.sin(2 * np.pi * 1000 * t)).astype(np.uint8))

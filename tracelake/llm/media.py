@@ -6,6 +6,7 @@ import hashlib
 import io
 import wave
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,8 @@ def stored(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def peak_pairs(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frame numbers and hashes of pairs of spectral peaks: per frame the strongest bin of each band, paired with the
-    same and the next band's peak in the frames ahead. A hash holds both bins and the distance in frames."""
+    other bands' peaks in the frame itself, and with the same and the next band's peak in the frames ahead. A hash holds both
+    bins and the distance in frames. A payload of one unit has one frame and so only pairs of the first kind."""
     wave_ = (samples.astype(np.float32) - 128) / 128
     count = max(1, (len(wave_) - FRAME) // HOP + 1)
     peaks = np.empty((count, len(BANDS) - 1), np.int64)
@@ -70,6 +72,9 @@ def peak_pairs(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for b, (lo, hi) in enumerate(zip(BANDS, BANDS[1:])):
             peaks[a : a + len(frames), b] = power[:, lo:hi].argmax(1) + lo
     t, h = [], []
+    for b, c in combinations(range(peaks.shape[1]), 2):
+        t.append(np.arange(count))
+        h.append(peaks[:, b] << 14 | peaks[:, c] << 4)
     for d in range(1, AHEAD + 1):
         now, then = peaks[:-d], peaks[d:]
         for b in range(peaks.shape[1]):
