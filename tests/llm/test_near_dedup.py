@@ -104,6 +104,13 @@ def test_simhash(docs_of):
     assert sorted(kept, key=str) == sorted({c for _, _, c in brute_simhash(rows)}, key=str)
 
 
+def test_one_of_each_by_component(docs_of):
+    r = random.Random(8)
+    a, b, c, d, e, f = (" ".join(str(r.getrandbits(20)) for _ in range(60)) for _ in range(6))
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (5, d), (5, e), (5, e), (5, a), (7, f), (3, f)]
+    assert sorted(((x.doc_id, x.text) for x in simhash.one_of_each(docs_of(rows)).collect()), key=str) == sorted([(1, a), (None, b), (None, c), (5, d), (5, e), (3, f)], key=str)
+
+
 def test_links_of_one_large_posting(spark):
     r = random.Random(5)
     fps = sorted({0xABCD << 48 | r.getrandbits(10) << r.choice([0, 20]) for _ in range(1500)})

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, key_of, read, whole_text, written
+from .common import NULL_ID, buffer_of, key_of, read, whole_text, written
 from .components import connected_components
 
 MAX_BITS = 2
@@ -51,17 +51,21 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp (signed long) of each row; null texts count as empty, whose fingerprint is 0."""
+def fingerprints(docs: DataFrame, words: int = 3, hashed: bool = False) -> DataFrame:
+    """doc_id, fp (signed long) of each row, and its text's hash if ``hashed``; null texts count as empty, whose fingerprint is 0."""
+    more = ["hash"] * hashed
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = buffer_of(batch.column(1))
             raw = data.tobytes()
             fp = [_signed(fingerprint(raw[a:z], words)) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("t")).mapInArrow(step, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("t"))
+    if hashed:
+        rows = rows.withColumn("hash", F.xxhash64("t"))
+    return rows.mapInArrow(step, ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
 
 
 def _roots(fp: np.ndarray, out: tuple[int, ...]) -> np.ndarray:
@@ -132,6 +136,15 @@ def links(fps: DataFrame) -> DataFrame:
     return posted.repartition("c", "k").sortWithinPartitions("c", "k").mapInArrow(_edges, "src long, dst long").distinct()
 
 
+def components(fps: DataFrame) -> DataFrame:
+    """fp, root, component_id of each distinct fingerprint in (doc_id, fp): its component's first fingerprint and smallest doc_id."""
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(links(distinct.select("fp")))
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return written(named.join(best, "root").select("fp", "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id among texts linked, directly or not, at 2 or fewer bits.
 
@@ -140,20 +153,19 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     Repeated rows share a component. Other columns are left out. No rows give no rows.
     """
     fps = written(fingerprints(docs, words))
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(distinct.select("fp")))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = written(named.join(best, "root").select("fp", "component_id"))
+    names = components(fps).select("fp", "component_id")
     return fps.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose component has a smaller doc_id. Rows with a null doc_id
-    stay only if no other row of their component has an id; of repeated rows one stays."""
-    found = near_duplicates(docs)
-    keep = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(key_of().alias("_key"))
-    return docs.withColumn("_key", key_of()).join(keep, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    """One row of ``docs``, all columns, of each component: the one with the smallest doc_id (null comes last), of several with that
+    id the one with the first text hash; of rows equal in both one stays."""
+    fps = written(fingerprints(docs, hashed=True))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("_key"), F.col("hash").alias("_hash"))).alias("k")
+    keep = fps.join(components(fps).select("fp", "root"), "fp").groupBy("root").agg(first).select("k.*")
+    keys = ["_none", "_key", "_hash"]
+    rows = docs.withColumn("_none", F.col("doc_id").cast("long").isNull()).withColumn("_key", key_of()).withColumn("_hash", F.xxhash64(whole_text()))
+    return rows.join(keep, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
