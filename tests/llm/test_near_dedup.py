@@ -2,9 +2,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import xxhash
 
-from tracelake.llm import simhash, substring_dedup, suffix_dedup
+from tracelake.llm import simhash, substring_dedup, suffix_dedup, suffix_order
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -141,13 +142,37 @@ def test_substring_dedup(docs_of, monkeypatch):
     assert sorted(got) == brute_words(rows, 13)
 
 
+def spans_of(df):
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
+
+
 def test_suffix_dedup(docs_of, monkeypatch):
     rows = corpus(3)
-    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs_of(rows)).collect()]
-    assert sorted(got) == brute_bytes(rows, 400)
+    for length in (400, 60, 15):
+        assert spans_of(suffix_dedup.suffix_dedup(docs_of(rows), length)) == brute_bytes(rows, length)
     monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 2)
-    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs_of(rows)).collect()]
-    assert sorted(got) == brute_bytes(rows, 400)
+    assert spans_of(suffix_dedup.suffix_dedup(docs_of(rows))) == brute_bytes(rows, 400)
+    monkeypatch.setattr(suffix_dedup, "FEW_NAMES", 0)  # hot names by a shuffled join
+    assert spans_of(suffix_dedup.suffix_dedup(docs_of(rows), 60)) == brute_bytes(rows, 60)
+
+
+def test_suffix_dedup_of_periodic_texts(docs_of):
+    rows = [(1, "a" * 100_000), (2, "ab" * 700), (3, "b" * 399), (4, "b" * 400), (5, "b" * 401), (6, ("x" * 500 + "y") * 5), (7, "a" * 399 + "é")]
+    assert spans_of(suffix_dedup.suffix_dedup(docs_of(rows))) == brute_bytes(rows, 400)
+
+
+def test_suffix_order():
+    r = random.Random(1)
+    for _ in range(200):
+        alphabet = r.choice([1, 2, 4, 26])
+        b = bytes(r.randint(97, 96 + alphabet) for _ in range(r.randint(1, 500)))
+        b += r.choice([b"", b"x" + b[: len(b) // 2] + b[len(b) // 3 :]])
+        length = min(len(b), r.choice([1, 2, 7, 8, 9, 20, 31, 32, 62, 63, 100, 150]))
+        start = np.array(sorted(r.sample(range(len(b) - length + 1), r.randint(1, len(b) - length + 1))))
+        found = suffix_order.SuffixOrder(np.frombuffer(b, np.uint8), start, length)
+        strings = [b[i : i + length] for i in found.order]
+        assert sorted(found.order) == start.tolist() and strings == sorted(strings)
+        assert found.common.tolist() == [x == y for x, y in zip(strings, strings[1:])]
 
 
 def test_empty_and_extra_columns(spark, docs_of):

@@ -1,67 +1,56 @@
 """Repeats of ``length`` bytes by difference-cover blockwise suffix sorting.
 
-1. Cover sample. Positions whose residue modulo ``V`` is in a perfect difference set ``D`` are the sample. For any
-   two positions i and j some d < V puts both i + d and j + d in it, so two equal windows of ``length`` bytes share
-   a sampled suffix with the same first ``length - V + 1`` bytes. Sorting the sample by these ranks (as hashes) tells
-   which samples tie; a suffix none of whose samples ties is unique and leaves here, so only the long ties go on.
-2. Blocks. The suffixes that may tie are sorted one bucket at a time. A bucket is named by the smallest part hash in the
+1. Cover sample of the corpus. Positions of a text whose residue modulo V is in a difference cover are the sample. For any
+   two positions i and j some d < V puts both i + d and j + d in it, so two equal strings of ``length`` bytes share
+   a sampled string of ``length - V + 1`` bytes. Samples whose hash occurs once are unique, and so are the suffixes
+   that have no other samples: they leave here. (The hash only keeps too many: what follows compares bytes.)
+2. Blocks. The suffixes left are sorted one bucket at a time. A bucket is named by the smallest part hash in the
    suffix's first ``length`` bytes, so equal ones meet, and neighbouring suffixes travel as one packed string.
-   (Buckets by prefix would send ``length`` bytes for every single suffix.) Inside a bucket suffixes are sorted
-   by hash and compared by their bytes.
+   (Buckets by leading bytes would send ``length`` bytes for every single suffix.) Whole buckets of a few MB are a block;
+   its difference-cover sample is ranked, then its suffixes are put in order, long ties by the sample's ranks
+   (``suffix_order``). Those that share ``length`` bytes with a neighbour in that order are repeats.
 
-Skew: equal strings of one batch go out once, marked as seen twice. Bucket names with more than ``HOT_ROWS`` rows
-and a 1 / HOT_SHARE share of all (so HOT_SHARE names at most) are dealt out suffix by suffix, as 128-bit digests.
+Skew: equal strings of one batch go out once, marked as seen twice. Buckets with more than HOT_ROWS strings are dealt
+out suffix by suffix, as 128-bit digests; their names are joined to the strings, by broadcast only if they are few.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, longs, no_nulls, pieces, read, whole_keys, whole_text, written
+from .common import buffer_of, key_of, longs, no_nulls, pieces, read, whole_keys, whole_text, written
 from .substring_dedup import _packed, covered, with_spans
+from .suffix_order import cover_of, repeated
 from .windows import Hashes, groups_of, mix, runs_of, sliding_min
 
 LENGTH = 400
-Q = 17
-V = Q * Q + Q + 1
 PART = 16
 HOT_ROWS = 4096
-HOT_SHARE = 4096
+#: Names of hot buckets are broadcast up to this number (8 MB).
+FEW_NAMES = 1_000_000
 
-ROWS = "key long, uid long, start int, n int, twice boolean, packed binary"
+ROWS = "key long, doc long, th long, start int, n int, twice boolean, packed binary"
+NAMES = ["key", "doc", "th", "start", "n", "twice", "packed"]
 
 
-def difference_set(q: int) -> list[int]:
-    """A perfect difference set modulo q*q + q + 1 for a prime q: the zeros of a linear recurrence of order three
-    over the integers modulo q (Singer's construction), found by trying its coefficients."""
-    v = q * q + q + 1
-    for a, b, c in product(range(q), range(q), range(1, q)):
-        s = [0, 0, 1]
-        while len(s) < v:
-            s.append((a * s[-1] + b * s[-2] + c * s[-3]) % q)
-        zeros = [i for i, x in enumerate(s) if x == 0]
-        if len(zeros) == q + 1 and len({(x - y) % v for x in zeros for y in zeros}) == v:
-            return zeros
-    raise ValueError(f"{q} is not a prime")
+def _identity() -> list:
+    """A text's id and the hash of its bytes: rows that share both get each other's spans."""
+    return [key_of().alias("doc"), F.xxhash64(whole_text()).alias("th")]
 
 
-def _uid():
-    return F.xxhash64("doc_id", whole_text())
-
-
-def _batches(batches):
+def _batches(batches, text: int):
+    """Of pieces of a few MB: where they are, the batch, their bytes and the offsets of their rows."""
     for batch in batches:
         if batch.num_rows:
-            data, at = buffer_of(batch.column(1))
-            uid = longs(batch.column(0))
+            data, at = buffer_of(batch.column(text))
             for a, b in pieces(at):
-                yield slice(a, b), batch, uid[a:b], data[at[a] : at[b]], at[a : b + 1] - at[a]
+                yield slice(a, b), batch, data[at[a] : at[b]], at[a : b + 1] - at[a]
 
 
 def _within(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +60,15 @@ def _within(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tied_samples(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """uid, pos: the sampled positions of each text whose rank (their first length - V + 1 bytes) another sample shares."""
-    cover, size = np.array(difference_set(Q)), length - V + 1
+    """uid, pos: the sampled positions of each text whose first length - V + 1 bytes another sample may share."""
+    v, cover = cover_of(length * 4 // 5)
+    size = length - v + 1
 
     def sample(batches):
-        for _, _, uid, data, at in _batches(batches):
+        for part, batch, data, at in _batches(batches, 1):
+            uid = longs(batch.column(0))[part]
             room = np.diff(at)
-            places = (np.arange(0, room.max() + V, V)[:, None] + cover[None, :]).ravel()
+            places = (np.arange(0, room.max() + v, v)[:, None] + cover[None, :]).ravel()
             row, nth = _within(np.searchsorted(places, np.maximum(room - size, -1), "right"))
             pos = places[nth]
             key = Hashes(data).of(at[row] + pos, at[row] + pos + size)
@@ -102,83 +93,97 @@ def tied_samples(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """uid, spans: the byte ranges [s, e) of each text covered by ``length``-byte strings that start somewhere else too."""
-    rows = docs.select(_uid().alias("uid"), F.encode(whole_text(), "utf-8").alias("t")).where(F.octet_length("t") >= length)
-    tied = tied_samples(rows, length)
+    """doc, th, spans: the byte ranges [s, e) of each text covered by ``length``-byte strings that start somewhere else too."""
+    uid = F.xxhash64("doc_id", whole_text()).alias("uid")  # two texts with one uid only keep each other's samples
+    rows = docs.select(uid, *_identity(), F.encode(whole_text(), "utf-8").alias("t")).where(F.octet_length("t") >= length)
+    tied = tied_samples(rows.select("uid", "t"), length)
+    v, part_size = cover_of(length * 4 // 5)[0], min(PART, length)
 
     def cut(batches):
-        for part, batch, uid, data, at in _batches(batches):
-            pos = batch.column(2).slice(part.start, part.stop - part.start)
-            row, _ = _within(np.diff(np.asarray(pos.offsets)))
-            p = at[row] + np.asarray(pos.flatten())
-            # Suffix i may tie if a tied sample lies in [i, i + V).
-            may = covered(len(data), np.maximum(p - V + 1, at[row]), p + 1)
+        for part, batch, data, at in _batches(batches, 2):
             if len(data) < length:
                 continue
-            own = np.repeat(np.arange(len(uid)), np.diff(at))[: len(data) - length + 1]
+            doc, th = (longs(batch.column(i))[part] for i in (0, 1))
+            pos = batch.column(3).slice(part.start, part.stop - part.start)
+            row, _ = _within(np.diff(np.asarray(pos.offsets)))
+            p = at[row] + np.asarray(pos.flatten())
+            inside = p < at[row + 1]
+            row, p = row[inside], p[inside]
+            # Suffix i may tie if a tied sample lies in [i, i + v).
+            may = covered(len(data), np.maximum(p - v + 1, at[row]), p + 1)
+            own = np.repeat(np.arange(len(doc)), np.diff(at))[: len(data) - length + 1]
             valid = may[: len(own)] & (np.arange(len(own)) + length <= at[own + 1])
             h = Hashes(data)
-            i = np.arange(len(data) - PART + 1)
-            least = sliding_min(h.of(i, i + PART), length - PART + 1)
+            i = np.arange(len(data) - part_size + 1)
+            least = sliding_min(h.of(i, i + part_size), length - part_size + 1)
             a, z = runs_of(least, own, valid)
             if not len(a):
                 continue
             leader = groups_of(data, a, z + length, h)
             many = np.bincount(leader, minlength=len(a))[leader] > 1
             known = leader != np.arange(len(a))
-            key = np.where(known, mix(uid[own[a]].view(np.uint64) + a.astype(np.uint64)), least[a]).view(np.int64)
+            key = np.where(known, mix(th[own[a]].view(np.uint64) + a.astype(np.uint64)), least[a]).view(np.int64)
             for sel in (~known, known):
                 if sel.any():
                     body = pa.nulls(int(sel.sum()), pa.binary()) if sel is known else _packed(data, a[sel], z[sel] + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[sel]), pa.array(uid[own[a[sel]]]), pa.array((a - at[own[a]])[sel].astype(np.int32)), pa.array((z - a + 1)[sel].astype(np.int32)), pa.array(many[sel]), body], ["key", "uid", "start", "n", "twice", "packed"])
-
-    blocks = written(rows.join(tied.hint("shuffle_hash"), "uid").select("uid", "t", "pos").mapInArrow(cut, ROWS))
-    least = max(HOT_ROWS, blocks.count() // HOT_SHARE)
-    hot = np.array([r.key for r in blocks.where("packed is not null").groupBy("key").count().where(F.col("count") > least).collect()], np.int64)
+                    r = own[a[sel]]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[sel]), pa.array(doc[r]), pa.array(th[r]), pa.array((a - at[own[a]])[sel].astype(np.int32)), pa.array((z - a + 1)[sel].astype(np.int32)), pa.array(many[sel]), body], NAMES)
 
     def deal(batches):
         for batch in batches:
-            pick = np.isin(longs(batch.column(0)), hot)
-            yield batch.filter(pa.array(~pick))
-            batch = batch.filter(pa.array(pick))
-            uid, start, twice = longs(batch.column(1)), longs(batch.column(2)), batch.column(4).to_pylist()
+            pick = batch.column(7)
+            batch = batch.select(NAMES)
+            yield batch.filter(pc.invert(pick))
+            batch = batch.filter(pick)
+            doc, th, start, twice = longs(batch.column(1)), longs(batch.column(2)), longs(batch.column(3)), batch.column(5).to_pylist()
             seen: dict[bytes, int] = {}
             out = []
-            for i, body in enumerate(batch.column(5).to_pylist()):
-                for j in range(len(body) - length + 1 if body is not None else 0):
+            for i, body in enumerate(batch.column(6).to_pylist()):
+                for j in range(len(body) - length + 1):
                     digest = hashlib.blake2b(body[j : j + length], digest_size=16).digest()
+                    one = [int.from_bytes(digest[:8], "little", signed=True), int(doc[i]), int(th[i]), int(start[i]) + j, 1, twice[i], digest]
                     if digest in seen:
-                        out[seen[digest]][4] = True
-                        out.append([int.from_bytes(digest[8:], "little", signed=True) ^ int(uid[i]) ^ j, int(uid[i]), int(start[i]) + j, 1, True, None])
+                        out[seen[digest]][5] = True
+                        one[0] ^= int(th[i]) ^ j
+                        one[5:] = [True, None]
                     else:
                         seen[digest] = len(out)
-                        out.append([int.from_bytes(digest[:8], "little", signed=True), int(uid[i]), int(start[i]) + j, 1, twice[i], digest])
+                    out.append(one)
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(batch.schema.names, x, strict=True)) for x in out], schema=batch.schema)
+                yield pa.RecordBatch.from_pylist([dict(zip(NAMES, x, strict=True)) for x in out], schema=batch.schema)
 
     def mark(batches):
         for batch in whole_keys(batches, "key"):
-            uid, start, n = longs(batch.column(1)), longs(batch.column(2)), longs(batch.column(3))
-            twice = batch.column(4).to_numpy(zero_copy_only=False)
-            lost = batch.column(5).is_null().to_numpy(zero_copy_only=False)
-            data, at = buffer_of(no_nulls(batch.column(5), b""))
+            doc, th, start, n = (longs(batch.column(i)) for i in range(1, 5))
+            twice = batch.column(5).to_numpy(zero_copy_only=False)
+            lost = batch.column(6).is_null().to_numpy(zero_copy_only=False)
+            data, at = buffer_of(no_nulls(batch.column(6), b""))
             room = np.diff(at)
-            row, nth = _within(np.where(lost, 0, np.maximum(room - length + 1, 1)))
-            a = at[row] + nth
+            single = ~lost & (room < length)  # a digest stands for the suffix
+            row, nth = _within(np.where(lost | single, 0, room - length + 1))
             again = twice[row]
-            if len(a):
-                leader = groups_of(data, a, np.minimum(a + length, at[row + 1]))
-                again = again | (np.bincount(leader, minlength=len(a))[leader] > 1)
-            x, z = runs_of(np.zeros(len(a), np.int8), row, again)
-            r = np.append(row[x], np.flatnonzero(lost))
-            s = np.append(start[row[x]] + nth[x], start[lost])
-            e = np.append(start[row[x]] + nth[z], start[lost] + n[lost] - 1) + length
+            if len(row):
+                again = again | repeated(data, at[row] + nth, length)
+            some = np.flatnonzero(single)
+            alone = twice[some]
+            if len(some):
+                leader = groups_of(data, at[some], at[some + 1])
+                alone = alone | (np.bincount(leader, minlength=len(some))[leader] > 1)
+            x, z = runs_of(np.zeros(len(row), np.int8), row, again)
+            whole = np.append(np.flatnonzero(lost), some[alone])
+            r = np.append(row[x], whole)
+            s = np.append(start[row[x]] + nth[x], start[whole])
+            e = np.append(start[row[x]] + nth[z], start[whole] + n[whole] - 1) + length
             if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(uid[r]), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["uid", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(th[r]), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["doc", "th", "s", "e"])
 
-    dealt = blocks.mapInArrow(deal, ROWS) if len(hot) else blocks
-    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(mark, "uid long, s int, e int")
-    return written(found.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    blocks = written(rows.join(tied.hint("shuffle_hash"), "uid").select("doc", "th", "t", "pos").mapInArrow(cut, ROWS))
+    hot = written(blocks.where("packed is not null").groupBy("key").count().where(F.col("count") > HOT_ROWS).select("key", F.lit(True).alias("hot")))
+    if names := hot.count():
+        is_hot = F.coalesce("hot", F.lit(False)) & F.col("packed").isNotNull()
+        blocks = blocks.join(F.broadcast(hot) if names <= FEW_NAMES else hot, "key", "left").select(*NAMES, is_hot.alias("hot")).mapInArrow(deal, ROWS)
+    found = blocks.repartition("key").sortWithinPartitions("key").mapInArrow(mark, "doc long, th long, s int, e int")
+    return written(found.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
@@ -206,7 +211,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True)
             cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows = with_spans(docs, repeated_spans(docs, length), [_uid().alias("uid")])
+    rows = with_spans(docs, repeated_spans(docs, length), _identity())
     out = rows.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
 
