@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import wave
 import zlib
 from collections import Counter
@@ -224,6 +225,17 @@ def test_mixing(spark, docs_of):
     assert abs(cdf.rate - 300) < 1 and abs(cdf.cdf[-1] - 1) < 1e-9
 
 
+def test_mixing_of_null_source_and_named_columns(spark, docs_of):
+    docs = docs_of([(i, "x") for i in range(900)]).selectExpr("doc_id", "text", "if(doc_id < 300, null, if(doc_id < 600, '(none)', 'b')) as source", "7 as _copy", "8 as _n", "9 as _of")
+    with pytest.raises(ValueError):
+        mixing.mixed(docs)
+    out = mixing.mixed(docs, copy=None)
+    assert out.columns == docs.columns and {r._copy for r in out.collect()} == {7}
+    assert mixing.rates(docs).count() == 3
+    only = Counter(r.source for r in mixing.mixed(docs, {None: 2.0, "b": 1.0}, total=1200, copy="nth").collect())
+    assert set(only) == {None, "b"} and abs(only[None] - 800) < 120
+
+
 def test_mixing_oracle(spark):
     got = registry.QUERIES["op7_poisson_mixing"](spark, DATA).collect()
     con = duckdb.connect()
@@ -247,6 +259,64 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def brute_licenses(texts, names, threshold=licenses.THRESHOLD):
+    """(license, score) of each text, by every window of every notice's length."""
+    words = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+    terms = lambda t: [w for w in re.findall(r"[^\W_]+", t.lower()) if w not in licenses.STOP]
+    known = {w for _, t in [*licenses.TEMPLATES, *licenses.LICENSE_TEXTS] for w in terms(t)}
+    n = len(texts)
+    idf = {w: math.log((1 + n) / (1 + sum(w in x for x in words))) + 1 for w in known}
+
+    def cosine(part, notice):
+        a, b = (Counter(w for w in x if w not in licenses.STOP) for x in (part, notice))
+        x, y = ({w: c * idf[w] for w, c in z.items() if w in known} for z in (a, b))
+        others = sum(c for w, c in a.items() if w not in known) * (math.log(1 + n) + 1) ** 2
+        long = math.sqrt(sum(v * v for v in x.values()) + others) * math.sqrt(sum(v * v for v in y.values()))
+        return sum(v * y.get(w, 0) for w, v in x.items()) / long if long else 0.0
+
+    out = []
+    for w, name in zip(words, names):
+        found = []
+        for k, t in licenses.TEMPLATES:
+            notice = re.findall(r"[^\W_]+", t.lower())
+            while notice[0] in licenses.STOP:
+                notice = notice[1:]
+            while notice[-1] in licenses.STOP:
+                notice = notice[:-1]
+            found += [(-round(cosine(w[i : i + len(notice)], notice), 9), k) for i in range(len(w)) if w[i] in notice and w[i] not in licenses.STOP]
+        if name and re.search(licenses.LICENSE_FILE, name):
+            found += [(-round(cosine(w, re.findall(r"[^\W_]+", t.lower())), 9), k) for k, t in licenses.LICENSE_TEXTS]
+        best = min((f for f in found if -f[0] >= threshold), default=None)
+        out.append((best[1], round(-best[0], 6)) if best else (None, None))
+    return out
+
+
+def test_license_scores(spark):
+    r = random.Random(4)
+    vocab = "license software rights version public the of free copy granted general mit some other words apache 2 0 3 notice".split()
+    mit, bsd = dict(licenses.LICENSE_TEXTS)["MIT"], dict(licenses.LICENSE_TEXTS)["BSD-3-Clause"]
+    texts = [" ".join(r.choice(vocab) for _ in range(r.randint(0, 40))) for _ in range(40)]
+    texts += ["One paragraph says: released\nunder the MIT\n\nLicense. And it goes on.", "This work is licensed under the GNU General Public License,\nversion 3.", "/* This work is licensed under the GNU General Public\n * License, version 2. */ int x;"]
+    texts += ["Copyright (c) 2021 Some One\n\n" + mit, mit.replace("software", "program"), bsd + " end", "Released under the MIT License. plus words", None, "", "word " * 30_000 + "Licensed under CC BY 4.0."]
+    names = [r.choice(["a/LICENSE", "a/b.py", None]) for _ in texts]
+    names[43:46] = "x/LICENSE", "y/COPYING.txt", "z/license.md"
+    rows = [(i, n, t) for i, (n, t) in enumerate(zip(names, texts))] * 2  # each row twice
+    got = {}
+    for row in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect():
+        got.setdefault(row.doc_id, []).append((row.license, row.score) if row.origin in ("file", "header") else (None, None))
+    want = brute_licenses(texts * 2, names * 2)
+    assert got == {i: [w, w] for i, w in enumerate(want[: len(texts)])}
+    assert [k for k, _ in want[40:47]] == ["MIT", "GPL-3.0", "GPL-2.0", "MIT", "MIT", "BSD-3-Clause", "MIT"] and want[len(texts) - 1] == ("CC-BY-4.0", 1.0)
+
+
+def test_license_of_repeated_rows(spark):
+    one = [(1, "p/x.py", "Released under the MIT License. something else")]
+    scan = lambda rows: {(r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert scan(one) == scan(one * 2) == scan(one * 5) == {("MIT", "header")}
+    both = [(1, "p/x.py", "All rights reserved."), (1, "p/x.py", "nothing")]  # one id and path, two texts
+    assert scan(both) == {("Proprietary", "header"), (None, "none")}
+
+
 def test_license_lines(spark, documents):
     got = {r.doc_id: r for r in registry.QUERIES["op1_license_scan"](spark, DATA).collect()}
     assert len(got) == len(documents)

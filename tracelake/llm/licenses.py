@@ -1,8 +1,15 @@
-"""License scans: sparse TF-IDF cosine of text lines to notice templates, and inheritance along directories.
+"""License scans: sparse TF-IDF cosine of headers and licence files to templates, and inheritance along directories.
 
-DataFrame operations only. The vector space has the words of the templates without STOP words; a line's other words
-count as terms seen nowhere else, so they lengthen it without matching. Document frequencies of the template words are
+DataFrame operations only. The vector space has the words of the templates without STOP words; every other word of a text
+is a term seen nowhere else, so it lengthens the vector without matching. Document frequencies of the template words are
 counted over all texts.
+
+* Headers: each window of a text that begins with a word of a notice and has as many words as it (from its first to its last
+  that isn't in STOP) is compared with the notice, wherever it stands and however its lines are broken.
+* Licence files (by name): the vector of the whole text is compared with the templates of whole licences, too.
+
+A text is only looked at if it holds an anchor of some template: words that weigh so much that without any of them the cosine
+can't reach the threshold. Windows and cosines are array expressions inside the row, so no row meets another one here.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, whole_text
+from .common import read, whole_text, written
 
 #: License id and a short notice or title in the words commonly used; several rows may stand for one license.
 TEMPLATES = [
@@ -37,80 +44,168 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved."),
 ]
+#: Fixed texts of whole licences, for licence files.
+LICENSE_TEXTS = [
+    (
+        "MIT",
+        "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
+        "whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+        "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain "
+        "the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used "
+        "to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY "
+        "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
+        "STRICT LIABILITY, OR TORT ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "ISC",
+        "ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA "
+        "OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT "
+        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+]
 STOP = set("the of and to in is a any this that are with or into for by on as be without use all form source person work code".split())
-THRESHOLD = 0.7
-WORD = r"[\p{L}\p{N}]+"
+THRESHOLD = 0.8
+NO_WORD = r"[^\p{L}\p{N}]+"
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.\-_][^/]*)?$"
 
 
+def words_of(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
+
+
 def terms_of(text: str) -> list[str]:
-    return [w for w in re.findall(r"[^\W_]+", text.lower()) if w not in STOP]
+    return [w for w in words_of(text) if w not in STOP]
 
 
-def vocabulary(templates=TEMPLATES) -> list[str]:
-    return sorted({w for _, t in templates for w in terms_of(t)})
+def width_of(notice: str) -> int:
+    """Words from the first to the last that isn't in STOP."""
+    at = [i for i, w in enumerate(words_of(notice)) if w not in STOP]
+    return at[-1] - at[0] + 1 if at else 0
 
 
-def _pattern(words: list[str]) -> str:
-    return r"(?<![\p{L}\p{N}])(" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + r")(?![\p{L}\p{N}])"
+def vocabulary(templates) -> list[str]:
+    return sorted({w for _, t in templates for w in terms_of(t)})
 
 
-def _matches(text: Column, words: list[str]) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(_pattern(words)), F.lit(1))
+def _strings(words) -> Column:
+    return F.array(*(F.lit(w) for w in words)) if words else F.array().cast("array<string>")
 
 
-def frequencies(files: DataFrame, words: list[str]) -> tuple[int, dict[str, int]]:
-    """Number of texts, and of texts with each of the (fixed, few) words. One row with a sum per word comes back."""
-    found = files.select(F.array_distinct(_matches(F.col("_t"), words)).alias("m"))
-    row = found.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(F.array_contains("m", w).cast("long")), F.lit(0)).alias(f"w{i}") for i, w in enumerate(words))).first()
-    return row["n"], {w: row[f"w{i}"] for i, w in enumerate(words)}
+def _words(text: str = "_t") -> Column:
+    return F.array_remove(F.split(F.lower(text), NO_WORD), "")
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", id_: str = "doc_id", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def frequencies(files: DataFrame, words: list[str]) -> tuple[int, dict[str, int]]:
+    """Number of texts, and of texts with each of the (fixed, few) words, by grouped counts; one row per word comes back."""
+    found = files.select(F.explode(F.array_append(F.array_intersect(_words(), _strings(words)), F.lit(""))).alias("w"))
+    count = {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return count.pop("", 0), {w: count.get(w, 0) for w in words}
+
+
+def weighted(template: str, idf: dict[str, float]) -> dict[str, float]:
+    """The template's unit vector."""
+    counts = Counter(terms_of(template))
+    length = math.sqrt(sum((c * idf[w]) ** 2 for w, c in counts.items()))
+    return {w: c * idf[w] / length for w, c in counts.items()}
+
+
+def anchors(share: dict[str, float], threshold: float) -> list[str]:
+    """The heaviest terms, so many that the others alone stay below the threshold: a cosine is at most the length of the part of
+    the template's vector that the text has words of."""
+    left, out = 1.0, []
+    for w in sorted(share, key=lambda w: (-share[w], w)):
+        if left < threshold**2 - 1e-9:
+            break
+        out.append(w)
+        left -= share[w] ** 2
+    return out
+
+
+def _cosine(words: Column, shares: Column, idf: Column, alone: float) -> Column:
+    """Cosine of an array of words to a template (map from term to share). Terms with a weight count by their numbers, others each by itself."""
+    kept = F.filter(words, lambda w: ~F.array_contains(_strings(sorted(STOP)), w))
+    known = F.filter(kept, lambda w: F.map_contains_key(idf, w))
+    weights = F.transform(F.array_distinct(known), lambda w: F.struct(w.alias("w"), (F.size(F.filter(known, lambda y: y == w)) * F.element_at(idf, w)).alias("x")))
+    add = lambda of: lambda a, p: a + of(p)
+    dot = F.aggregate(weights, F.lit(0.0), add(lambda p: p["x"] * F.coalesce(F.try_element_at(shares, p["w"]), F.lit(0.0))))
+    square = F.aggregate(weights, F.lit(0.0), add(lambda p: p["x"] * p["x"])) + (F.size(kept) - F.size(known)) * F.lit(alone**2)
+    return F.when(square > 0, dot / F.sqrt(square)).otherwise(0.0)
+
+
+def scores(rows: DataFrame, templates, whole, threshold: float) -> Column:
+    """The best (negative score, license) of a text, or null: over the windows of its words, and for licence files over all its words."""
+    words = vocabulary([*templates, *whole])
+    n, df = frequencies(rows, words)
+    idf = {w: math.log((1 + n) / (1 + df[w])) + 1 for w in words}
+    alone = math.log(1 + n) + 1
+    weight = F.create_map(*(F.lit(x) for w in words for x in (w, idf[w])))
+    table = lambda share: F.create_map(*(F.lit(x) for w, y in share.items() for x in (w, y)))
+    pair = lambda score, license_: F.struct((-F.round(score, 9)).alias("negative"), license_.alias("license"))
+
+    shares = [(license_, width_of(t), weighted(t, idf)) for license_, t in templates]
+    longest = max((n for _, n, _ in shares), default=1)
+    given = F.array(*(F.struct(F.lit(k).alias("license"), F.lit(n).alias("width"), table(x).alias("share")) for k, n, x in shares))
+    first = _strings(sorted({w for _, _, x in shares for w in x}))
+    at = F.filter(F.sequence(F.lit(1), F.size("_words")), lambda i: F.array_contains(first, F.element_at("_words", i)))
+    windows = F.transform(at, lambda i: F.slice("_words", i, longest))
+    one = lambda w: F.transform(
+        F.filter(given, lambda t: F.map_contains_key(t["share"], w[0])), lambda t: pair(_cosine(F.slice(w, F.lit(1), t["width"]), t["share"], weight, alone), t["license"])
+    )
+    heads = F.array_min(F.flatten(F.transform(windows, one)))
+    any_anchor = sorted({w for _, _, x in shares for w in anchors(x, threshold)})
+    best = F.when(F.arrays_overlap("_words", _strings(any_anchor)), heads)
+
+    # A whole licence: so many of its heaviest terms at least must be there.
+    files = [(k, weighted(t, idf)) for k, t in whole]
+    least = min((next(i for i in range(1, len(x) + 1) if sum(sorted((y * y for y in x.values()), reverse=True)[:i]) >= threshold**2 - 1e-9) for _, x in files), default=0)
+    if files:
+        all_ = F.array(*(F.struct(F.lit(k).alias("license"), table(x).alias("share")) for k, x in files))
+        enough = F.col("_path").rlike(LICENSE_FILE) & (F.size(F.array_intersect("_words", _strings(sorted({w for _, x in files for w in x})))) >= least)
+        best = F.least(best, F.when(enough, F.array_min(F.transform(all_, lambda t: pair(_cosine(F.col("_words"), t["share"], weight, alone), t["license"])))))
+    return F.when(-best["negative"] >= threshold, best)
+
+
+def scan(files: DataFrame, path: str = "path", text: str = "text", id_: str = "doc_id", templates=TEMPLATES, whole=LICENSE_TEXTS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, license, score, origin, license_path of each row of ``files``.
 
-    A text has the license of its line with the highest cosine to a template, if that reaches ``threshold`` (ties: the first
-    license by name); origin is then ``file`` for a license file (by its base name) and ``header`` otherwise. A text without
+    A text has the license of the window with the highest cosine to a notice (``templates``), or of the whole text's to a whole
+    licence (``whole``) if it is a licence file by its base name; the score must reach ``threshold`` (ties: the first license by
+    name). Origin is then ``file`` for a licence file and ``header`` otherwise. A text without
     one takes that of the nearest directory above it that holds a license file with one (the highest score, then the first
     path), as ``inherited``; else origin is ``none`` and license, score and license_path are null. Null and empty texts can
-    only inherit; a null path has no directories. Rows with one id and path share a result, listed per row. Other columns are
-    left out. No rows give no rows.
+    only inherit; a null path has no directories. Texts of any length are looked at whole; each row is scored by itself, repeated
+    ones alike. Other columns are left out. No rows give no rows.
     """
-    words = vocabulary(templates)
     rows = files.select(F.col(id_).alias("_id"), F.col(path).cast("string").alias("_path"), whole_text(text).alias("_t"))
-    n, df = frequencies(rows, words)
-    idf = {w: math.log((1 + n) / (1 + df[w])) + 1 for w in words}
-    alone = math.log(1 + n) + 1
-    spark = files.sparkSession
-    weights = F.create_map(*(F.lit(x) for w in words for x in (w, idf[w])))
-    parts = []
-    for t, (license_, notice) in enumerate(templates):
-        counts = Counter(terms_of(notice))
-        length = math.sqrt(sum((c * idf[w]) ** 2 for w, c in counts.items()))
-        parts += [(t, license_, w, c * idf[w] / length) for w, c in counts.items()]
-    postings = F.broadcast(spark.createDataFrame(parts, "_template int, license string, term string, share double"))
-
-    # The lines that share a word with a template; all others have cosine 0.
-    lines = rows.where(F.lower("_t").rlike(_pattern(words))).select("_id", "_path", F.posexplode(F.split("_t", r"\R")).alias("_line", "_s"))
-    lines = lines.withColumn("_m", _matches(F.col("_s"), words)).where(F.size("_m") > 0)
-    lines = lines.withColumn("_others", F.regexp_count("_s", F.lit(WORD)) - F.size("_m"))
-    stops = sorted(STOP)
-    lines = lines.withColumn("_others", F.greatest(F.lit(0), F.col("_others") - F.size(_matches(F.col("_s"), stops))))
-    line = ["_id", "_path", "_line", "_others"]
-    counted = lines.select(*line, F.explode("_m").alias("term")).groupBy(*line, "term").agg(F.count(F.lit(1)).alias("c"))
-    weighed = counted.withColumn("x", F.col("c") * F.element_at(weights, F.col("term")))
-    per_line = weighed.groupBy(*line).agg(F.collect_list(F.struct("term", "x")).alias("terms"), F.sum(F.col("x") * F.col("x")).alias("square"))
-    length = F.sqrt(F.col("square") + F.col("_others") * F.lit(alone**2)).alias("length")
-    scored = per_line.select("_id", "_path", "_line", length, F.explode("terms").alias("p")).select("_id", "_path", "_line", "length", "p.*")
-    scored = scored.join(postings, "term").groupBy("_id", "_path", "_line", "length", "_template", "license").agg((F.sum(F.col("x") * F.col("share")) / F.col("length")).alias("score"))
-    best = F.min(F.struct((-F.round("score", 9)).alias("negative"), "license")).alias("b")
-    own = scored.where(F.round("score", 9) >= threshold).groupBy("_id", "_path").agg(best).select("_id", "_path", F.col("b.license").alias("license"), (-F.col("b.negative")).alias("score"))
+    best = scores(rows, templates, whole, threshold)
+    found = rows.select("_id", "_path", _words().alias("_words")).select("_id", "_path", best.alias("b"))
+    marked = written(found.select("_id", "_path", F.col("b.license").alias("license"), (-F.col("b.negative")).alias("score")))
 
     is_file = F.col("_path").rlike(LICENSE_FILE)
     folder = F.regexp_replace("_path", r"/?[^/]*$", "")
-    holders = own.where(is_file).groupBy(folder.alias("_dir")).agg(F.min(F.struct((-F.col("score")).alias("negative"), F.col("_path").alias("license_path"), "license")).alias("h"))
-    names = rows.select("_id", "_path")
-    marked = names.join(own, [names["_id"].eqNullSafe(own["_id"]), names["_path"].eqNullSafe(own["_path"])], "left").select(names["_id"], names["_path"], "license", "score")
+    holders = marked.where(is_file & F.col("license").isNotNull()).groupBy(folder.alias("_dir")).agg(F.min(F.struct((-F.col("score")).alias("negative"), F.col("_path").alias("license_path"), "license")).alias("h"))
     # Directories are far fewer than files: each finds its nearest holder once.
     dirs = marked.where("license is null and _path is not null").select(folder.alias("_own")).distinct()
     steps = F.split("_own", "/")
