@@ -26,7 +26,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that all sources weigh the same, in random order."""
-    return mixing.mixed(docs).drop("_copy")
+    return mixing.mixed(docs, copy=None)
 
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
