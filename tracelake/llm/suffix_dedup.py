@@ -32,6 +32,7 @@ from .windows import Hashes, groups_of, mix, runs_of, sliding_min
 LENGTH = 400
 PART = 16
 HOT_ROWS = 4096
+BLOCK_BYTES = 3 << 19
 #: Names of hot buckets are broadcast up to this number (8 MB).
 FEW_NAMES = 1_000_000
 
@@ -59,6 +60,19 @@ def _within(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
 
 
+def whole_buckets(batches):
+    """Whole buckets, of about BLOCK_BYTES together if they are small."""
+    for batch in whole_keys(batches, "key"):
+        key = longs(batch.column(0))
+        first = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        size = np.append(0, np.cumsum(longs(no_nulls(pc.binary_length(batch.column(6)), 0))))[first]
+        a = 0
+        while a < len(first) - 1:
+            z = max(a + 1, int(np.searchsorted(size, size[a] + BLOCK_BYTES, "right")) - 1)
+            yield batch.slice(int(first[a]), int(first[z] - first[a]))
+            a = z
+
+
 def tied_samples(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """uid, pos: the sampled positions of each text whose first length - V + 1 bytes another sample may share."""
     v, cover = cover_of(length * 4 // 5)
@@ -153,7 +167,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([dict(zip(NAMES, x, strict=True)) for x in out], schema=batch.schema)
 
     def mark(batches):
-        for batch in whole_keys(batches, "key"):
+        for batch in whole_buckets(batches):
             doc, th, start, n = (longs(batch.column(i)) for i in range(1, 5))
             twice = batch.column(5).to_numpy(zero_copy_only=False)
             lost = batch.column(6).is_null().to_numpy(zero_copy_only=False)
