@@ -6,8 +6,9 @@ fitted to those token labels; it scores a word by its own hashed features (the w
 and neighbours by the transitions. Forward-backward marginals give toxic spans, and their strongest and their sum
 give the document's score through a logistic curve fitted on documents.
 
-The fit takes at most FIT_ROWS labelled documents (the ones with the smallest hashes); scoring takes every text whole,
-in chains of CHAIN words.
+The fit takes at most FIT_ROWS labelled documents of FIT_BYTES together (the ones with the smallest hashes); scoring takes
+every text whole, as one chain. It is worked on in pieces of PIECE words, all pieces at once; what a piece tells the next and the
+one before it is carried over exactly, so the pieces don't show in the result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import buffer_of, read, whole_text
 
 FIT_ROWS = 5000
-CHAIN = 48
+FIT_BYTES = 32 << 20
+PIECE = 48
 SLOTS = 1 << 18
 CHANCE = 1e-6
 LEAST = 3
@@ -38,7 +40,7 @@ CACHE = 400_000
 
 
 def tokens_of(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    return [w.lower() for w in TOKEN.findall(text)]
 
 
 def slots_of(word: str) -> list[int]:
@@ -64,15 +66,15 @@ class Crf:
         for w in words:
             x = get(w)
             if x is None:
-                x = self.bias + float(self.weight[slots_of(w)].sum())
+                x = self.bias + float(self.weight[slots_of(w.lower())].sum())
                 if len(self.seen) < CACHE:
                     self.seen[w] = x
             out.append(x)
         return np.array(out)
 
 
-def chains(lengths: np.ndarray, size: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Cuts documents into chains: the places of their words as a (chains, size) matrix into the joined words, and a mask."""
+def pieces_of(lengths: np.ndarray, size: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents in pieces: the places of their words as a (pieces, size) matrix into the joined words, a mask, and each piece's number in its document."""
     per = -(-lengths // size)
     doc = np.repeat(np.arange(len(lengths)), per)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
@@ -80,35 +82,54 @@ def chains(lengths: np.ndarray, size: int = CHAIN) -> tuple[np.ndarray, np.ndarr
     have = np.minimum(lengths[doc] - nth * size, size)
     step = np.arange(size)
     mask = step[None, :] < have[:, None]
-    return np.where(mask, begin[:, None] + step[None, :], 0), mask
+    return np.where(mask, begin[:, None] + step[None, :], 0), mask, nth
+
+
+def _carried(steps: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], nth: np.ndarray, back: bool) -> np.ndarray:
+    """The ratio that comes into each piece from its document's others. A step maps a ratio x to (c + d x) / (a + b x)."""
+    a, b, c, d = np.ones(len(nth)), np.zeros(len(nth)), np.zeros(len(nth)), np.ones(len(nth))
+    for p, q, r, s in steps:
+        a, b, c, d = p * a + q * c, p * b + q * d, r * a + s * c, r * b + s * d
+        norm = a + b + c + d
+        a, b, c, d = a / norm, b / norm, c / norm, d / norm
+    out = np.ones(len(nth))
+    order = np.argsort(nth, kind="stable")
+    cut = np.searchsorted(nth[order], np.arange(1, (nth.max() if len(nth) else 0) + 2))
+    levels = [order[x:y] for x, y in zip(cut, cut[1:])]
+    for to in reversed(levels) if back else levels:
+        source, to = (to, to - 1) if back else (to - 1, to)
+        out[to] = (c[source] + d[source] * out[source]) / (a[source] + b[source] * out[source])
+    return out
+
 
+def forward_backward(emit: np.ndarray, mask: np.ndarray, move: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(state 1) per place, and the expected transitions [from, to] over all documents. emit: log-score of state 1 against 0.
 
-def forward_backward(emit: np.ndarray, mask: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(state 1) per place, and the expected transitions [from, to] over all chains. emit: log-score of state 1 against 0."""
+    With two states a message is one ratio, of state 1 to state 0, and a step maps it by a fraction of two linear terms;
+    such maps compose, so each piece is first composed to one map, and the messages between pieces follow from these.
+    """
     n, size = emit.shape
     odds = np.exp(np.clip(emit, -30, 30))
-    local = np.stack([1 / (1 + odds), odds / (1 + odds)], -1)
-    local[~mask] = 0.5
-    step = np.exp(move)
-    alpha, scale = np.empty((n, size, 2)), np.ones((n, size))
-    now = local[:, 0]
+    (s00, s01), (s10, s11) = np.exp(move)
+    one, zero = np.ones(n), np.zeros(n)
+    carry = (nth > 0).any()
+    ahead = _carried([(np.where(m, s00, one), np.where(m, s10 * o, zero), np.where(m, s01, zero), np.where(m, s11 * o, one)) for o, m in zip(odds.T, mask.T)], nth, False) if carry else one
+    behind = _carried([(np.where(m, s00, one), np.where(m, s01 * o, zero), np.where(m, s10, zero), np.where(m, s11 * o, one)) for o, m in zip(odds.T[::-1], mask.T[::-1])], nth, True) if carry else one
+    left, right, b = np.empty((n, size)), np.empty((n, size)), behind
     for t in range(size):
-        now = local[:, 0] if t == 0 else (alpha[:, t - 1] @ step) * local[:, t]
-        scale[:, t] = now.sum(1)
-        alpha[:, t] = now / scale[:, t : t + 1]
-    beta = np.ones((n, 2))
-    marginal, pairs = np.empty((n, size)), np.zeros((2, 2))
+        left[:, t] = odds[:, t] * ahead  # ratio of the words up to here
+        ahead = (s01 + s11 * left[:, t]) / (s00 + s10 * left[:, t])
     for t in range(size - 1, -1, -1):
-        post = alpha[:, t] * beta
-        marginal[:, t] = post[:, 1] / post.sum(1)
-        if t:
-            right = local[:, t] * beta
-            live = mask[:, t]
-            both = alpha[:, t - 1][:, :, None] * step[None] * right[:, None, :]
-            pairs += (both[live] / both[live].sum((1, 2), keepdims=True)).sum(0) if live.any() else 0
-            beta = np.where(live[:, None], right @ step.T, 1.0)
-            beta /= beta.sum(1, keepdims=True)
-    return np.where(mask, marginal, 0.0), pairs
+        right[:, t] = b  # ratio of the words after
+        b = np.where(mask[:, t], (s10 + s11 * odds[:, t] * b) / (s00 + s01 * odds[:, t] * b), b)
+    ratio = left * right
+    go = odds * right
+    frm, to, live = left[:, :-1].ravel(), go[:, 1:].ravel(), mask[:, 1:].ravel()
+    late = np.flatnonzero(nth > 0)
+    frm, to = np.append(frm[live], left[late - 1, -1]), np.append(to[live], go[late, 0])
+    w = np.stack([np.full(len(frm), s00), s01 * to, s10 * frm, s11 * frm * to])
+    pairs = (w / w.sum(0)).sum(1).reshape(2, 2)
+    return np.where(mask, ratio / (1 + ratio), 0.0), pairs
 
 
 def forms_of(word: str) -> list[str]:
@@ -159,59 +180,55 @@ def fit(texts: list[str], labels: list[int], passes: int = 30, seed: int = 1) ->
     forms = toxic_forms(docs, y)
     bad = {w for d, t in zip(docs, y, strict=True) if t for w in set(d) if not forms.isdisjoint(forms_of(w))}
     crf = Crf(np.zeros(SLOTS), -4.0, np.zeros((2, 2)))
-    # Chains that hold a toxic word, and as many others again.
+    # The documents that hold a toxic word, and as many others again (a thousand at least).
     rng = np.random.RandomState(seed)
-    cut = [(w[a : a + CHAIN], bool(t)) for w, t in zip(docs, y, strict=True) for a in range(0, len(w), CHAIN)]
-    with_bad = [c for c, t in cut if t and not bad.isdisjoint(c)]
-    others = [c for c, t in cut if bad.isdisjoint(c)]
-    pick = with_bad[:4000] + [others[i] for i in rng.permutation(len(others))[: max(1000, len(with_bad[:4000]))]]
+    with_bad = [d for d, t in zip(docs, y, strict=True) if t and not bad.isdisjoint(d)]
+    others = [d for d in docs if d and bad.isdisjoint(d)]
+    pick = with_bad + [others[i] for i in rng.permutation(len(others))[: max(1000, len(with_bad))]]
     if with_bad:
-        lengths = np.array([len(c) for c in pick])
-        words = [w for c in pick for w in c]
-        at, mask = chains(lengths)
-        truth = np.array([w in bad for w in words], np.float64)
-        slots = np.array([slots_of(w) for w in words])
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(w, len(number)) for d in pick for w in d])
+        slots = np.array([slots_of(w) for w in number])
+        truth = np.array([w in bad for w in number], np.float64)[which]
+        at, mask, nth = pieces_of(np.array([len(d) for d in pick]))
         gold = truth[at] * mask
-        g = gold.astype(int)
-        moved = np.zeros((2, 2))
-        for i in (0, 1):
-            for j in (0, 1):
-                moved[i, j] = ((g[:, :-1] == i) & (g[:, 1:] == j) & mask[:, 1:]).sum()
+        g, late = gold.astype(int), np.flatnonzero(nth > 0)
+        frm, to, live = g[:, :-1], g[:, 1:], mask[:, 1:]
+        moved = np.bincount(np.append((frm * 2 + to)[live], g[late - 1, -1] * 2 + g[late, 0]), minlength=4).reshape(2, 2).astype(float)
         square = np.full(SLOTS, 1e-2)
         for _ in range(passes):
-            emit = crf.bias + crf.weight[slots].sum(1)
-            p, pairs = forward_backward(emit[at], mask, crf.move)
-            err = (gold - p)[mask]
-            step = np.bincount(slots[at[mask]].ravel(), weights=np.repeat(err, slots.shape[1]), minlength=SLOTS) - 0.01 * crf.weight
+            emit = (crf.bias + crf.weight[slots].sum(1))[which]
+            p, pairs = forward_backward(emit[at], mask, crf.move, nth)
+            err = gold - p
+            per_word = np.bincount(which[at[mask]], weights=err[mask], minlength=len(slots))
+            step = np.bincount(slots.ravel(), weights=np.repeat(per_word, slots.shape[1]), minlength=SLOTS) - 0.01 * crf.weight
             square += step**2
             crf.weight += 0.5 * step / np.sqrt(square)
             crf.bias += 0.5 * err.sum() / mask.sum() ** 0.5 / 10
             crf.move += 0.5 * (moved - pairs) / (moved.sum(1, keepdims=True) + 1)
             crf.move -= crf.move.mean()
-    top, total = summarise(crf, docs)
+    top, total, _ = summarise(crf, docs)
     crf.curve = logistic(top, total, y)
     return crf
 
 
-def summarise(crf: Crf, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Per document the strongest marginal and the expected number of toxic words."""
-    lengths = np.array([len(d) for d in docs])
-    top, total = np.zeros(len(docs)), np.zeros(len(docs))
-    if lengths.sum():
-        p = marginals(crf, docs, lengths)
-        owner = np.repeat(np.arange(len(docs)), lengths)
-        np.maximum.at(top, owner, p)
-        total = np.bincount(owner, weights=p, minlength=len(docs))
-    return top, total
+def summarise(crf: Crf, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document the strongest marginal and the expected number of toxic words; and the marginals of all words in a row."""
+    lengths = np.array([len(d) for d in docs], np.int64)
+    p = marginals(crf, docs, lengths)
+    owner = np.repeat(np.arange(len(docs)), lengths)
+    top = np.zeros(len(docs))
+    np.maximum.at(top, owner, p)
+    return top, np.bincount(owner, weights=p, minlength=len(docs)), p
 
 
 def marginals(crf: Crf, docs: list[list[str]], lengths: np.ndarray) -> np.ndarray:
     emit = crf.emission([w for d in docs for w in d])
-    at, mask = chains(lengths)
     out = np.empty(len(emit))
-    for a in range(0, len(at), 4096):
-        p, _ = forward_backward(emit[at[a : a + 4096]], mask[a : a + 4096], crf.move)
-        out[at[a : a + 4096][mask[a : a + 4096]]] = p[mask[a : a + 4096]]
+    if len(emit):
+        at, mask, nth = pieces_of(lengths)
+        p, _ = forward_backward(emit[at], mask, crf.move, nth)
+        out[at[mask]] = p[mask]
     return out
 
 
@@ -237,56 +254,61 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Crf:
-    """A chain fitted on at most ``fit_rows`` labelled documents that aren't held out. Without labels it scores all alike."""
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Crf:
+    """A chain fitted on labelled documents that aren't held out: at most ``fit_rows``, of at most ``fit_bytes`` together (one, if
+    it is longer). Of labels that differ for one id the higher counts. Without labels it scores all alike."""
     rule = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out())
-    some = rule.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("t")).join(F.broadcast(some), "doc_id").select("doc_id", "t", "toxic").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.t))
-    return fit([r.t for r in rows], [r.toxic for r in rows])
+    some = rule.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("t")).join(F.broadcast(some), "doc_id").withColumn("th", F.xxhash64("t"))
+    sizes = rows.select("doc_id", "th", F.octet_length("t").alias("n")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(fit_rows).collect()
+    room = np.cumsum([r.n for r in sizes]) <= fit_bytes
+    keys = [(r.doc_id, r.th) for r, fits in zip(sizes, room.tolist(), strict=True) if fits or r is sizes[0]]
+    if not keys:
+        return fit([], [])
+    chosen = docs.sparkSession.createDataFrame(keys, "doc_id long, th long")
+    found = {(r.doc_id, r.th): r for r in rows.join(F.broadcast(chosen), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).collect()}
+    used = [found[k] for k in sorted(found)]
+    return fit([r.t for r in used], [r.toxic for r in used])
 
 
 def _scores(crf: Crf, texts: list[str]) -> np.ndarray:
-    return score_of(crf, *summarise(crf, [tokens_of(t) for t in texts]))
+    return score_of(crf, *summarise(crf, [TOKEN.findall(t) for t in texts])[:2])
+
+
+SPANS = "array<struct<begin:int,end:int,marginal:double>>"
 
 
-def score(docs: DataFrame, crf: Crf) -> DataFrame:
-    """doc_id, score of each row. Only the text is looked at."""
+def score(docs: DataFrame, crf: Crf, least: float = 0.5) -> DataFrame:
+    """doc_id, score, spans of each row: spans are the character offsets of the words whose marginal reaches ``least``, in order.
+    Only the text is looked at."""
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
     def step(batches):
         for batch in batches:
-            text = batch.column(1)
             for a in range(0, batch.num_rows, 500):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 500), pa.array(_scores(crf, text.slice(a, 500).to_pylist()))], ["doc_id", "score"])
+                texts = batch.column(1).slice(a, 500).to_pylist()
+                docs_ = [TOKEN.findall(t) for t in texts]
+                top, total, p = summarise(crf, docs_)
+                end = np.cumsum([len(d) for d in docs_])
+                spans: list[list[dict]] = [[] for _ in texts]
+                for i in np.flatnonzero(top >= least).tolist():
+                    own = p[end[i] - len(docs_[i]) : end[i]]
+                    found = [m.span() for m in TOKEN.finditer(texts[i])]
+                    spans[i] = [{"begin": found[j][0], "end": found[j][1], "marginal": float(own[j])} for j in np.flatnonzero(own >= least)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 500), pa.array(score_of(crf, top, total)), pa.array(spans, kind)], ["doc_id", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text()).mapInArrow(step, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text()).mapInArrow(step, f"doc_id long, score double, spans {SPANS}")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row.
+    """doc_id, held_out, score, predicted, spans of each row.
 
     Null and empty texts get the score of a text without toxic words; a null doc_id is not held out. Repeated rows
-    get equal scores. Texts of any length are taken whole. Other columns play no part. No rows give no rows.
+    get equal scores. Texts of any length are taken whole. Offsets are characters of the text as it is. Other columns play no
+    part. No rows give no rows.
     """
     rows = score(docs, learn(docs, labels))
-    return rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
-
-
-def spans(docs: DataFrame, crf: Crf, least: float = 0.5) -> DataFrame:
-    """doc_id, begin, end, marginal: character offsets (in the lower-cased text) of words whose marginal reaches ``least``."""
-
-    def step(batches):
-        for batch in batches:
-            out = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = list(TOKEN.finditer(t.lower()))
-                if found:
-                    p = marginals(crf, [[m[0] for m in found]], np.array([len(found)]))
-                    out += [(i, found[j].start(), found[j].end(), float(p[j])) for j in np.flatnonzero(p >= least)]
-            cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "begin", "end", "marginal"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text()).mapInArrow(step, "doc_id long, begin int, end int, marginal double")
+    return rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), "spans")
 
 
 def accepted(docs: DataFrame, crf: Crf, reject: float = REJECT) -> DataFrame:
