@@ -1,8 +1,9 @@
 """Token ids as a Re-Pair grammar per shard, in a binary format that decodes any id range by itself.
 
 A shard holds the ids of consecutive documents (ascending doc_id). Frequent neighbouring pairs of symbols are
-replaced by nonterminals, round after round, the non-overlapping occurrences of all frequent pairs at once.
-Symbols stay below 2**16, so a shard has at most 2**16 - FIRST rules. Layout, little-endian:
+replaced by nonterminals, round after round, the non-overlapping occurrences of all frequent pairs at once, until no pair
+is left that occurs FREQUENT times (and half of them without overlap) or the symbols are used up: they stay below 2**16, so
+a shard has at most 2**16 - FIRST rules. Layout, little-endian:
 
     4s magic | u4 rules, docs, symbols | u2 rule pairs | u4 expansion lengths | i8 doc ids | u4 ids per doc | u2 symbols
 
@@ -29,38 +30,54 @@ MAGIC = b"RPG1"
 FIRST = 49408
 END = 1
 SHARD_TOKENS = 1 << 20
-ROUNDS = 4
 FREQUENT = 24
 CACHE_WORDS = 400_000
 PIECE = 4 << 20
 
 
-def re_pair(ids: np.ndarray, first: int = FIRST, rounds: int = ROUNDS, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules (n, 2) and the expansion length of each rule."""
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct u4 keys, for each key the number of its kind, and how many each kind has."""
+    both = np.sort(keys.astype(np.uint64) << np.uint64(32) | np.arange(len(keys), dtype=np.uint64))
+    s = (both >> np.uint64(32)).astype(np.uint32)
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    inverse = np.empty(len(s), np.int64)
+    inverse[both & np.uint64(0xFFFFFFFF)] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return s[at], inverse, np.diff(at, append=len(s))
+
+
+def re_pair(ids: np.ndarray, first: int = FIRST, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules (n, 2) and the expansion length of each rule.
+
+    After the first round only pairs with a symbol of the last round, and those that were frequent before it, can be frequent."""
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
-    for _ in range(rounds):
-        free = (1 << 16) - first - len(lengths)
-        if len(seq) < 2 or free <= 0:
-            break
-        pair = (seq[:-1] << np.uint32(16)) | seq[1:]
-        slot = (pair * np.uint32(2654435761)) >> np.uint32(12)
-        often = np.bincount(slot, minlength=1 << 20) >= frequent
-        at = np.flatnonzero(often[slot])
-        kind, inverse, count = np.unique(pair[at], return_inverse=True, return_counts=True)
+    live = None
+    while len(seq) > 1 and (free := (1 << 16) - first - len(lengths)) > 0:
+        if live is None:
+            slot = ((seq[:-1] << np.uint32(16) | seq[1:]) * np.uint32(2654435761)) >> np.uint32(12)
+            at = np.flatnonzero((np.bincount(slot, minlength=1 << 20) >= frequent)[slot])
+        else:
+            at = np.flatnonzero(live[:-1])
+        kind, inverse, count = counted(seq[at] << np.uint32(16) | seq[at + 1])
         best = np.argsort(-count, kind="stable")[:free]
         best = best[count[best] >= frequent]
         if not len(best):
             break
         rank = np.full(len(kind), len(kind))
         rank[best] = np.arange(len(best))
-        place = np.full(len(seq) + 1, len(kind), np.int32)  # one before and one after the pairs
-        place[at + 1] = rank[inverse]
-        mid = place[1:-1]
-        chosen = np.flatnonzero((mid < len(best)) & (mid < place[:-2]) & (mid <= place[2:]))
-        used = np.bincount(mid[chosen], minlength=len(best)) >= max(2, frequent // 2)
-        chosen = chosen[used[mid[chosen]]]
+        mine = rank[inverse]
+        at, mine = at[mine < len(best)], mine[mine < len(best)]
+        # A pair is taken unless one that overlaps it is more frequent, or the same and before it.
+        beside = at[1:] - at[:-1] == 1
+        take = np.ones(len(at), bool)
+        take[1:] &= ~beside | (mine[1:] < mine[:-1])
+        take[:-1] &= ~beside | (mine[:-1] <= mine[1:])
+        used = np.bincount(mine[take], minlength=len(best)) >= max(2, frequent // 2)
+        take &= used[mine]
+        chosen = at[take]
         if not len(chosen):
             break
         name = np.cumsum(used) - 1 + first + len(lengths)
@@ -69,10 +86,16 @@ def re_pair(ids: np.ndarray, first: int = FIRST, rounds: int = ROUNDS, frequent:
         known = np.concatenate([np.ones(first, np.int64), lengths])
         lengths = np.concatenate([lengths, known[sides].sum(1)])
         rules.append(sides)
-        seq[chosen] = name[mid[chosen]]
+        seq[chosen] = name[mine[take]]
+        live = np.zeros(len(seq), bool)
+        live[at] = True
+        live[chosen] = True
         stay = np.ones(len(seq), bool)
         stay[chosen + 1] = False
-        seq = seq[stay]
+        before = chosen - 1
+        before -= ~stay[before]  # over a place that goes
+        live[before[before >= 0]] = True
+        seq, live = seq[stay], live[stay]
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), lengths
 
 
