@@ -1,4 +1,7 @@
-"""Media columns: WAV payloads, short-time Fourier transforms and spectral-peak pair fingerprints."""
+"""Media columns: WAV payloads, short-time Fourier transforms and spectral-peak pair fingerprints.
+
+The WAV files are a written table in the shared folder; sizes, digests and fingerprints are those of the files read back.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, read, whole_text
+from .common import buffer_of, read, whole_text, written
 
 UNIT = 576
 PAD = 255
@@ -87,7 +90,7 @@ def peak_pairs(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t[order].astype(np.int32), h[order].astype(np.int32)
 
 
-def features(media: DataFrame, keep_array: bool = True) -> DataFrame:
+def features(media: DataFrame) -> DataFrame:
     """What is read back from stored WAV files: sizes, digests, and the time-coded fingerprint array.
 
     feature digests the fingerprint array: its number of pairs and the sha256 of its (frame, hash) pairs.
@@ -95,18 +98,20 @@ def features(media: DataFrame, keep_array: bool = True) -> DataFrame:
 
     def step(batches):
         for batch in batches:
-            rows = []
+            rows, times, hashes = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
             for body in batch.column(2):
                 body = body.as_py()
                 payload = from_wav(body)
                 t, h = peak_pairs(np.frombuffer(payload, np.uint8))
-                code = np.stack([t, h], 1)
-                pairs = [{"t": x, "hash": y} for x, y in code.tolist()] if keep_array else None
-                feature = f"{len(t)}:{hashlib.sha256(code.astype('<i4').tobytes()).hexdigest()[:32]}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(body), hashlib.sha256(body).hexdigest(), feature, pairs))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("t", pa.int32()), ("hash", pa.int32())])))
-            cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], NAMES)
+                times.append(t)
+                hashes.append(h)
+                feature = f"{len(t)}:{hashlib.sha256(np.stack([t, h], 1).astype('<i4').tobytes()).hexdigest()[:32]}"
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(body), hashlib.sha256(body).hexdigest(), feature))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)]
+            pairs = pa.StructArray.from_arrays([np.concatenate(times), np.concatenate(hashes)], ["t", "hash"])
+            coded = pa.ListArray.from_arrays(pa.array(np.cumsum([len(t) for t in times]), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, coded], NAMES)
 
     return media.mapInArrow(step, f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, fingerprint {FINGERPRINT}")
 
@@ -114,18 +119,17 @@ def features(media: DataFrame, keep_array: bool = True) -> DataFrame:
 NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "fingerprint"]
 
 
-def media_columns(docs: DataFrame, text: str = "text", keep_array: bool = True) -> DataFrame:
-    """The stored form of each text and what is read back from it.
+def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The stored form of each text and what is read back from it, with the fingerprint array.
 
     One row per input row. Null and empty texts become one unit of 255. Equal texts give equal values; a null doc_id
-    stays null. Texts of any length are taken whole. Other columns are left out. No rows give no rows. With
-    ``keep_array`` the fingerprint column holds the array, else it is null.
+    stays null. Texts of any length are taken whole. Other columns are left out. No rows give no rows.
     """
-    return features(stored(docs, text), keep_array)
+    return features(written(stored(docs, text)))
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(read(spark, sf_dir, "documents"), keep_array=False).drop("fingerprint")
+    return media_columns(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op5_media_columns": op5_media_columns}
