@@ -1,6 +1,6 @@
 """Language identification of web pages by Bayesian fusion of four kinds of evidence.
 
-* text: naive Bayes over hashed byte trigrams, fitted on at most FIT_ROWS documents with a known language;
+* text: naive Bayes over hashed byte trigrams, counted over all documents with a known language, of which there may be any number;
 * the language that the markup declares and the suffix of the host's name: how often each goes with each language is
   counted over all pages, by the text's posterior;
 * the host: a prior smoothed towards that of its domain, which is smoothed towards all pages, from grouped sums of
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import buffer_of, pieces, read, whole_text, written
 
-FIT_ROWS = 3000
-LANGUAGES = 32
 SLOTS = 1 << 15
+#: Languages whose counts a task holds, and whose model is fetched and broadcast (8 MB), at one time.
+AT_ONCE = 64
 #: Neighbouring trigrams overlap: their logarithms count for less than independent ones would.
 TEMPER = 0.2
 KAPPA = 4.0
@@ -32,44 +32,77 @@ def _slots(data: np.ndarray) -> np.ndarray:
     return ((low[:-2] * 961 + low[1:-1] * 31 + low[2:]) * 2654435761 >> 7) % SLOTS
 
 
-def trigram_model(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages (the LANGUAGES most frequent at most) and log-probabilities of trigram slots, (SLOTS, languages)."""
-    known = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id"), whole_text().alias("t")).where("lang is not null")
-    langs = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect())
-    some = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).distinct()
-    counts = np.full((SLOTS, max(1, len(langs))), 0.1)
-    for r in known.join(F.broadcast(some), "doc_id").collect():
-        if r.lang in langs:
-            data = np.frombuffer(r.t.lower().encode(), np.uint8)
-            if len(data) > 2:
-                counts[:, langs.index(r.lang)] += np.bincount(_slots(data), minlength=SLOTS)
-    return langs, np.log(counts / counts.sum(0)).astype(np.float32)
+def trigram_counts(docs: DataFrame) -> DataFrame:
+    """lang, slot, n: how often each trigram slot occurs in the documents of each known language; a language without any has slot null."""
 
+    def step(batches):
+        held: dict[str, np.ndarray] = {}
 
-def text_evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
-    """page_id, url, declared, loglik (one entry per language) of each page."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+        def counts():
+            for lang, n in held.items():
+                slot = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(slot) + 1)), pa.array([None, *slot.tolist()], pa.int32()), pa.array(np.append(0, n[slot]))], ["lang", "slot", "n"])
+            held.clear()
 
-    def step(batches):
-        table = shared.value
         for batch in batches:
-            texts = [MARKUP.sub(" ", t).lower().encode() for t in batch.column(3).to_pylist()]
-            data, at = buffer_of(pa.array(texts, pa.binary()))
-            out = np.zeros((len(texts), table.shape[1]))
-            for a, b in pieces(at, 1 << 20):
-                part, own = data[at[a] : at[b]], at[a : b + 1] - at[a]
-                if len(part) > 2:
-                    score = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[_slots(part)], axis=0, dtype=np.float64)])
-                    last = len(score) - 1
-                    out[a:b] = score[np.clip(own[1:] - 2, 0, last)] - score[np.clip(own[:-1], 0, last)]
-                    out[a:b][np.diff(own) < 3] = 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array((out * TEMPER).tolist(), pa.list_(pa.float64()))], ["page_id", "url", "declared", "loglik"])
-
+            langs = np.array(batch.column(0).to_pylist(), object)
+            texts = pa.array([t.lower().encode() for t in batch.column(1).to_pylist()], pa.binary())
+            for lang in sorted(set(langs.tolist())):
+                data, at = buffer_of(texts.filter(pa.array(langs == lang)))
+                n = held.setdefault(lang, np.zeros(SLOTS, np.int64))
+                for a, b in pieces(at, 1 << 20):
+                    part, own = data[at[a] : at[b]], at[a : b + 1] - at[a]
+                    if len(part) > 2:
+                        place = np.arange(len(part) - 2)
+                        inside = place + 2 < own[np.searchsorted(own, place, "right")]
+                        n += np.bincount(_slots(part)[inside], minlength=SLOTS)
+                if len(held) >= AT_ONCE:
+                    yield from counts()
+        yield from counts()
+
+    known = docs.select(F.col("lang").cast("string").alias("lang"), whole_text().alias("t")).where("lang is not null")
+    return written(known.mapInArrow(step, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")))
+
+
+def trigram_model(counts: DataFrame, langs: list[str]) -> np.ndarray:
+    """Log-probabilities of the trigram slots of some languages, (SLOTS, languages)."""
+    model = np.full((SLOTS, len(langs)), 0.1)
+    rows = counts.where(F.col("lang").isin(langs) & F.col("slot").isNotNull()).toArrow()
+    number = np.array([langs.index(k) for k in rows.column("lang").to_pylist()], np.int64)
+    np.add.at(model, (rows.column("slot").to_numpy(), number), rows.column("n").to_numpy())
+    return np.log(model / model.sum(0)).astype(np.float32)
+
+
+def text_evidence(pages: DataFrame, langs: list[str], models) -> DataFrame:
+    """page_id, url, declared, loglik (one entry per language) of each page. ``models``: tables of the languages' slots, side by side."""
     html = whole_text("html")
     declared = F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1))
     known = F.when(declared == "", "none").when(declared.isin(langs), declared).otherwise("other")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), whole_text("url").alias("url"), known.alias("declared"), html.alias("html"))
-    return rows.mapInArrow(step, "page_id long, url string, declared string, loglik array<double>")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), whole_text("url").alias("url"), known.alias("declared"), html.alias("html"), F.array().cast("array<double>").alias("loglik"))
+    names = ["page_id", "url", "declared", "html", "loglik"]
+
+    def step_of(shared):
+        def step(batches):
+            table = shared.value
+            for batch in batches:
+                texts = [MARKUP.sub(" ", t).lower().encode() for t in batch.column(3).to_pylist()]
+                data, at = buffer_of(pa.array(texts, pa.binary()))
+                out = np.zeros((len(texts), table.shape[1]))
+                for a, b in pieces(at, 1 << 20):
+                    part, own = data[at[a] : at[b]], at[a : b + 1] - at[a]
+                    if len(part) > 2:
+                        score = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[_slots(part)], axis=0, dtype=np.float64)])
+                        last = len(score) - 1
+                        out[a:b] = score[np.clip(own[1:] - 2, 0, last)] - score[np.clip(own[:-1], 0, last)]
+                        out[a:b][np.diff(own) < 3] = 0
+                both = [x + y for x, y in zip(batch.column(4).to_pylist(), (out * TEMPER).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(both, pa.list_(pa.float64()))], names)
+
+        return step
+
+    for model in models:
+        rows = rows.mapInArrow(step_of(pages.sparkSession.sparkContext.broadcast(model)), "page_id long, url string, declared string, html string, loglik array<double>")
+    return rows.drop("html")
 
 
 def _softmax(x):
@@ -85,13 +118,15 @@ def identify(pages: DataFrame, docs: DataFrame, kappa: float = KAPPA) -> DataFra
     null page_id stays null; repeated rows get equal results and each counts in its host's sums. Ties go to the first language
     by name. Pages are taken whole. Other columns are left out. No pages give no rows; without labelled documents lang is null.
     """
-    langs, model = trigram_model(docs)
+    counts = trigram_counts(docs)
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not langs:
         return pages.select(F.col("page_id").cast("long").alias("page_id"), *(F.lit(None).cast("string").alias(c) for c in ("host", "declared", "text_lang", "lang")), F.lit(None).cast("double").alias("confidence"))
     size = range(len(langs))
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$|^([^.]*)$", 0)
-    rows = text_evidence(pages, langs, model).withColumn("host", host).withColumn("domain", domain)
+    models = (trigram_model(counts, langs[i : i + AT_ONCE]) for i in range(0, len(langs), AT_ONCE))
+    rows = text_evidence(pages, langs, models).withColumn("host", host).withColumn("domain", domain)
     rows = written(rows.withColumn("suffix", F.regexp_extract("host", r"([^.]+)$", 1)).withColumn("q", _softmax(F.col("loglik"))))
     sums = [F.sum(F.col("q")[i]).alias(f"c{i}") for i in size]
     each = [f"c{i}" for i in size]
