@@ -1,10 +1,11 @@
 """SimHash near-duplicates: a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most 2 bits share at least 6 of their 8 positional bytes. Every
-fingerprint is posted under each choice of 6 (position, byte) entries, so a pair reaches the guaranteed number of
-shared bytes exactly when it meets in a posting; there the 2 bytes left decide. A posting holds at most 65,536
-distinct fingerprints, and inside it neighbours are looked up in a 65,536-entry table, so no posting costs the
-square of its size and none is capped.
+Two 64-bit fingerprints that differ in at most 2 bits share at least 6 of their 8 positional bytes. A list per single
+(position, byte) entry would hold a 256th of all fingerprints, and tallying all its pairs would cost the square of that. So
+the entries are posted together: every fingerprint under each choice of 6 of its 8 entries, where all pairs that can reach
+the guaranteed number meet. For each of those the shared positional bytes are tallied, pairs that reach 6 stay, and their
+bits are compared. A posting holds at most 65,536 distinct fingerprints, and inside a larger one neighbours are looked up in a
+65,536-entry table of the two entries left, so no posting costs the square of its size and none is capped.
 """
 
 from __future__ import annotations
@@ -68,6 +69,18 @@ def fingerprints(docs: DataFrame, words: int = 3, hashed: bool = False) -> DataF
     return rows.mapInArrow(step, ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
 
 
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the 8 positional bytes two columns of fingerprints share."""
+    return ((a ^ b).view(np.uint8).reshape(*a.shape, 8) == 0).sum(-1)
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The count filter, then the bits."""
+    out = shared_bytes(a, b) >= KEPT_BYTES
+    out[out] = np.bitwise_count((a[out] ^ b[out]).view(np.uint64)) <= MAX_BITS
+    return out
+
+
 def _roots(fp: np.ndarray, out: tuple[int, ...]) -> np.ndarray:
     """Within a posting: for each member the index of its class's first member, classes linked at MAX_BITS or fewer bits."""
     u = fp.view(np.uint64)
@@ -75,8 +88,9 @@ def _roots(fp: np.ndarray, out: tuple[int, ...]) -> np.ndarray:
     table = np.full(1 << 16, -1, np.int64)
     table[rest] = np.arange(len(fp))
     if len(fp) < 200:
-        d = rest[:, None] ^ rest[None, :]
-        a, b = np.nonzero(np.bitwise_count(d) <= MAX_BITS)
+        a, b = (x.ravel() for x in np.indices((len(fp), len(fp))))
+        near = linked(fp[a], fp[b])
+        a, b = a[near], b[near]
     else:
         near = table[rest[:, None] ^ NEAR[None, :]]
         a, k = np.nonzero(near >= 0)
@@ -102,7 +116,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst = [], []
         two = at[:-1][size == 2]
         if len(two):
-            good = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= MAX_BITS
+            good = linked(fp[two], fp[two + 1])
             src.append(fp[two][good])
             dst.append(fp[two + 1][good])
         for a, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
