@@ -8,8 +8,9 @@ Before any text travels, the minimisers alone are dealt out and sorted: a super-
 nowhere else can't hold a repeated window and stays at home.
 
 Skew: a passage that many documents share is collapsed before each shuffle (equal minimisers, and equal packed strings, of
-one piece of text go out once; the others are already known to be repeats). Minimisers with more than HOT_ROWS super-k-mers,
-the HOT most frequent of them at most, are dealt out by the hash of each window instead.
+one piece of text go out once; the others are already known to be repeats). Minimisers with more than HOT_ROWS super-k-mers
+are dealt out by the hash of each window instead. Their names go to every task, so there may be FEW_NAMES of them (8 MB): if there
+are more, HOT_ROWS is doubled until they fit; every other bucket then has less than that number, and than a FEW_NAMES-th of all.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .windows import Hashes, groups_of, mix, runs_of, sliding_min, words_of
 
 WORDS = 13
 PART = 3
-HOT = 8192
 HOT_ROWS = 4096
+FEW_NAMES = 1_000_000
 
 SUPER = "key long, doc long, th int, start int, n int, packed binary"
 
@@ -111,7 +112,10 @@ def repeated_spans(docs: DataFrame, k: int = WORDS, m: int = PART) -> DataFrame:
     """
     uid = F.xxhash64("doc_id", whole_text()).alias("uid")
     tied = tied_minimisers(docs.select(uid, whole_text().alias("t")), k, m)
-    hot = np.array([r.key for r in tied.where("uid is null").orderBy(F.col("n").desc(), "key").limit(HOT).collect()], np.int64).view(np.uint64)
+    names, least = tied.where("uid is null"), HOT_ROWS
+    while names.where(F.col("n") > least).count() > FEW_NAMES:
+        least *= 2
+    hot = names.where(F.col("n") > least).select("key").toArrow().column("key").to_numpy().view(np.uint64)
     places = tied.where("uid is not null").groupBy("uid").agg(F.collect_list("start").alias("starts"))
     rows = docs.select(uid, key_of().alias("doc"), F.hash(whole_text()).alias("th"), whole_text().alias("t"))
     rows = rows.join(places.hint("shuffle_hash"), "uid").select("doc", "th", "t", "starts")
