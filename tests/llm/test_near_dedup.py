@@ -112,6 +112,15 @@ def test_one_of_each_by_component(docs_of):
     assert sorted(((x.doc_id, x.text) for x in simhash.one_of_each(docs_of(rows)).collect()), key=str) == sorted([(1, a), (None, b), (None, c), (5, d), (5, e), (3, f)], key=str)
 
 
+def test_count_filter():
+    r = np.random.RandomState(3)
+    a = r.randint(-(2**62), 2**62, 500)
+    b = a ^ (1 << r.randint(0, 62, 500)) ^ (1 << r.randint(0, 62, 500)) ^ np.where(r.rand(500) < 0.5, 0, 255 << 8 * r.randint(0, 7, 500))
+    bytes_ = lambda x: int(x).to_bytes(8, "little", signed=True)
+    assert simhash.shared_bytes(a, b).tolist() == [sum(p == q for p, q in zip(bytes_(x), bytes_(y))) for x, y in zip(a, b)]
+    assert simhash.linked(a, b).tolist() == [((int(x) ^ int(y)) % 2**64).bit_count() <= 2 for x, y in zip(a, b)]
+
+
 def test_links_of_one_large_posting(spark):
     r = random.Random(5)
     fps = sorted({0xABCD << 48 | r.getrandbits(10) << r.choice([0, 20]) for _ in range(1500)})
@@ -138,8 +147,10 @@ def test_substring_dedup(docs_of, monkeypatch):
         got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs_of(rows), k).collect()]
         assert sorted(got) == brute_words(rows, k)
     monkeypatch.setattr(substring_dedup, "HOT_ROWS", 2)
-    got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs_of(rows)).collect()]
-    assert sorted(got) == brute_words(rows, 13)
+    for few in (1_000_000, 3, 0):  # names that fit, that fit after doublings, and none
+        monkeypatch.setattr(substring_dedup, "FEW_NAMES", few)
+        got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs_of(rows)).collect()]
+        assert sorted(got) == brute_words(rows, 13)
 
 
 def spans_of(df):

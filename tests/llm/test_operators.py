@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -57,35 +58,51 @@ def test_toxicity(spark, docs_of):
     docs, labels = read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels")
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     got = [r for r in toxicity.toxicity(docs, labels).collect() if r.held_out and r.doc_id in truth]
-    assert np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.95
+    hits = sum(r.predicted and truth[r.doc_id] for r in got)
+    assert hits >= 0.75 * sum(truth[r.doc_id] for r in got) and hits >= 0.85 * sum(r.predicted for r in got)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     crf = toxicity.learn(docs, labels)
-    assert [t[0] for t in spans_text(toxicity.spans(docs_of([(1, "You utter idiot and moron, be nice")]), crf))] == ["idiot", "moron"]
+    text = "\u0130 You utter IDIOT and moron, be nice"  # a letter whose lower case is longer
+    row = toxicity.score(docs_of([(1, text)]), crf).first()
+    assert [text[x.begin : x.end] for x in row.spans] == ["IDIOT", "moron"] and all(x.marginal >= 0.5 for x in row.spans)
+    long = toxicity.score(docs_of([(1, "calm words of no harm " * 40_000 + text)]), crf).first()
+    assert [x.begin - 880_000 for x in long.spans] == [x.begin for x in row.spans]
     odd = toxicity.score(docs_of(ODD), crf).collect()
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
-    kept = toxicity.accepted(docs_of(ODD + [(5, "idiot moron scum trash idiot pathetic loser")]).selectExpr("*", "1 as row", "2 as t"), crf)
-    assert 5 not in [r.doc_id for r in kept.collect()] and kept.columns[-2:] == ["row", "t"]
+    kept = toxicity.accepted(docs_of(ODD + [(5, "idiot moron scum trash idiot pathetic loser")]).selectExpr("*", "1 as row", "2 as t", "3 as spans"), crf)
+    assert 5 not in [r.doc_id for r in kept.collect()] and kept.columns[-3:] == ["row", "t", "spans"]
     assert toxicity.toxicity(docs_of(ODD), spark.createDataFrame([], labels.schema)).count() == len(ODD)
 
 
-def spans_text(df):
-    text = "You utter idiot and moron, be nice".lower()
-    return [(text[r.begin : r.end], r.marginal) for r in df.orderBy("begin").collect()]
+def test_toxicity_learns_alike(spark, docs_of):
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["nice", "day", "scum", "idiot", "tree"] if i % 2 else ["nice", "day", "sun", "tree"]) for _ in range(30))) for i in range(60)]
+    docs = docs_of(rows + rows[:9] + [(3, "another text of that id")])
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(60)] + [(4, 0, 1), (6, 0, None)], "doc_id long, quality int, toxic int")
+    a, b = toxicity.learn(docs, labels), toxicity.learn(docs.repartition(5), labels.orderBy(F.desc("toxic")))
+    assert (a.weight == b.weight).all() and a.curve == b.curve
+    assert toxicity.learn(docs, labels, fit_bytes=1).curve is not None
 
 
 def test_forward_backward():
     r = np.random.RandomState(3)
-    emit, move = r.randn(1, 5), r.randn(2, 2)
-    weight = np.zeros((5, 2)), 0.0
-    total = 0.0
-    for code in range(32):
-        s = [code >> i & 1 for i in range(5)]
-        w = math.exp(sum(e * x for e, x in zip(emit[0], s)) + sum(move[a, b] for a, b in zip(s, s[1:])))
-        total += w
-        for i, x in enumerate(s):
-            weight[0][i, x] += w
-    got, pairs = toxicity.forward_backward(emit, np.ones((1, 5), bool), move)
-    assert np.allclose(got[0], weight[0][:, 1] / total) and np.isclose(pairs.sum(), 4)
+    for lengths in ([5], [9, 1, 4], [12]):
+        emit, move, size = r.randn(sum(lengths)), r.randn(2, 2), 4
+        want, changes, at = [], 0, 0
+        for n in lengths:
+            own, total, sums = emit[at : at + n], 0.0, np.zeros(n)
+            for code in range(2**n):
+                s = [code >> i & 1 for i in range(n)]
+                w = math.exp(sum(e * x for e, x in zip(own, s)) + sum(move[a, b] for a, b in zip(s, s[1:])))
+                total += w
+                sums += w * np.array(s)
+            want += (sums / total).tolist()
+            changes, at = changes + n - 1, at + n
+        place, mask, nth = toxicity.pieces_of(np.array(lengths), size)
+        got, pairs = toxicity.forward_backward(emit[place], mask, move, nth)
+        flat = np.empty(len(emit))
+        flat[place[mask]] = got[mask]
+        assert np.allclose(flat, want) and np.isclose(pairs.sum(), changes)
 
 
 def test_media(docs_of):
@@ -113,6 +130,40 @@ def test_short_media(docs_of):
     assert a.fingerprint != b.fingerprint and a.feature != b.feature
 
 
+def test_media_fingerprint_by_hand(docs_of):
+    """The transform as its defining sum, and the peaks and pairs one by one."""
+    r = random.Random(1)
+    texts = {1: "short", 2: "".join(r.choice("abc de\n") for _ in range(1500)), 3: "é" * 300 + "x" * 700}
+    odd = docs_of(list(texts.items())).selectExpr("*", "1 as media", "2 as n_bytes", "3 as fingerprint")
+    got = {x.doc_id: x for x in media.media_columns(odd).collect()}
+    n = media.FRAME
+    angle = np.exp(-2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n)
+    for i, text in texts.items():
+        raw = text.encode()
+        raw += b"\xff" * (-len(raw) % 576)
+        x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
+        peaks = []
+        for a in range(0, len(x) - n + 1, media.HOP):
+            power = np.abs(angle @ (x[a : a + n] * np.hanning(n))).round(3)
+            peaks.append([lo + int(power[lo:hi].argmax()) for lo, hi in zip(media.BANDS, media.BANDS[1:])])
+        want = []
+        for t, now in enumerate(peaks):
+            want += [(t, now[b] << 14 | now[c] << 4) for b in range(5) for c in range(b + 1, 5)]
+            for d in range(1, media.AHEAD + 1):
+                if t + d < len(peaks):
+                    want += [(t, now[b] << 14 | peaks[t + d][c] << 4 | d) for b in range(5) for c in (b, b + 1) if c < 5]
+        pairs = [(p.t, p.hash) for p in got[i].fingerprint]
+        same = len(set(pairs) & set(want))
+        assert len(pairs) == len(want) and same >= 0.97 * len(set(want))  # single precision may move a tie
+        code = hashlib.sha256(np.array(pairs, "<i4").tobytes()).hexdigest()[:32]
+        assert got[i].feature == f"{len(pairs)}:{code}"
+
+
+def test_very_long_media(docs_of):
+    (row,) = media.media_columns(docs_of([(1, "some words " * 300_000)])).collect()
+    assert row.n_bytes == 3_300_000 and row.payload_bytes % 576 == 0 and max(p.t for p in row.fingerprint) == (row.payload_bytes - media.FRAME) // media.HOP
+
+
 def test_peaks_follow_the_tone():
     t = np.arange(8000) / 8000
     _, h = media.peak_pairs((128 + 100 * np.sin(2 * np.pi * 1000 * t)).astype(np.uint8))
@@ -328,12 +379,60 @@ def test_license_lines(spark, documents):
 def test_language(spark):
     pages, docs = read(spark, DATA, "pages"), read(spark, DATA, "documents")
     got = language_id.identify(pages, docs).collect()
-    want = {r.page_id: r.declared for r in language_id.text_evidence(pages, ["en", "fr", "de", "es"], np.zeros((language_id.SLOTS, 4), np.float32)).collect()}
-    assert len(got) == pages.count() and np.mean([r.lang == want[r.page_id] for r in got if want[r.page_id] in ("en", "fr", "de", "es")]) > 0.9
-    odd = spark.createDataFrame([(1, None, None), (2, "http://h.example.de/x", ""), (None, "no address", "<html lang=fr>"), (4, "http://h.example.de/x", "<p>the and of that with"), (4, "http://h.example.de/x", "<p>the and of that with")], pages.schema)
-    assert sorted(str(r.page_id) for r in language_id.identify(odd.selectExpr("*", "1 as q", "2 as host"), docs).collect()) == ["1", "2", "4", "4", "None"]
+    langs = ["de", "en", "es", "fr"]
+    want = {r.page_id: r.declared for r in language_id.text_evidence(pages, langs, [np.zeros((language_id.SLOTS, 4), np.float32)]).collect()}
+    assert len(got) == pages.count() and np.mean([r.lang == want[r.page_id] for r in got if want[r.page_id] in langs]) > 0.9
+    odd = spark.createDataFrame([(1, None, None), (2, "http://h.example.de/x", ""), (None, "no address", "<html lang=fr>"), (4, "http://h.example.de/x", "<p>the and of that with"), (4, "http://h.example.de/x", "<p>the and of that with"), (5, "http://long.example.de/x", "der die das und " * 200_000)], pages.schema)
+    found = language_id.identify(odd.selectExpr("*", "1 as q", "2 as host", "3 as loglik"), docs).collect()
+    assert sorted(str(r.page_id) for r in found) == ["1", "2", "4", "4", "5", "None"] and [r.lang for r in found if r.page_id == 5] == ["de"]
     assert language_id.identify(pages.limit(0), docs).count() == 0
-    assert [r.lang for r in language_id.identify(odd, docs.limit(0)).collect()] == [None] * 5
+    assert [r.lang for r in language_id.identify(odd, docs.limit(0)).collect()] == [None] * 6
+
+
+def test_language_by_hand(spark, monkeypatch):
+    """Counts, model and fusion against the formulas worked out row by row; 70 languages, of which some are rare."""
+    r = random.Random(5)
+    monkeypatch.setattr(language_id, "AT_ONCE", 7)
+    langs = sorted({f"{a}{b}" for a in "abcdefghij" for b in "xyzuvwq"})
+    word = {k: ["".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(12)] for k in langs}
+    say = lambda k, n: " ".join(r.choice(word[k]) for _ in range(n))
+    docs = [(i, say(k, 60), k, "s", 0) for i, k in enumerate([*langs, *langs[:5] * 6])] + [(999, "no language", None, "s", 0), (998, None, "ax", "s", 0)]
+    pages = []
+    for i in range(150):
+        k = r.choice(langs[:12])
+        told = r.choice([f' lang="{k}"', "", ' lang="zz"'])
+        pages.append((i, f"http://h{i % 9}.site{i % 4}.{r.choice(['de', 'com'])}/p", f"<html{told}><p>{say(k, r.randint(0, 12))}</p></html>"))
+    spark_pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {x.page_id: x for x in language_id.identify(spark_pages, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+
+    def slots(t):
+        return language_id._slots(np.frombuffer(t.lower().encode(), np.uint8)) if len(t.encode()) > 2 else []
+
+    n, size = len(langs), language_id.SLOTS
+    count = np.full((n, size), 0.1)
+    for _, t, k, *_ in docs:
+        for x in slots(t or "") if k else []:
+            count[langs.index(k), x] += 1
+    model = np.log(count / count.sum(1, keepdims=True))
+    rows = []
+    for i, url, html in pages:
+        loglik = np.array([sum(model[j, x] for x in slots(language_id.MARKUP.sub(" ", html))) for j in range(n)]) * language_id.TEMPER
+        q = np.exp(loglik - loglik.max())
+        host = url.split("/")[2]
+        told = re.search(r'lang="(..)"', html)
+        rows.append((i, host, ".".join(host.split(".")[-2:]), host.split(".")[-1], "none" if not told else told[1] if told[1] in langs else "other", loglik, q / q.sum()))
+    total = sum(x[6] for x in rows) + 1
+    prior, kappa, kinds = total / total.sum(), language_id.KAPPA, n + 2
+    of = lambda c, v: [x[6] for x in rows if x[c] == v]
+    for i, host, domain, suffix, told, loglik, q in rows:
+        low = (sum(of(2, domain)) + kappa * prior) / (len(of(2, domain)) + kappa)
+        own = (np.maximum(sum(of(1, host)) - q, 0) + kappa * low) / (len(of(1, host)) - 1 + kappa)
+        says = np.log((sum(of(4, told)) + 0.5) / (total - 1 + 0.5 * kinds))
+        ends = np.log((sum(of(3, suffix)) + 4 * prior) / total)
+        logs = loglik + np.log(own) + says + ends
+        p = np.exp(logs - logs.max())
+        p /= p.sum()
+        assert got[i].lang == langs[int(p.argmax())] and abs(got[i].confidence - p.max()) < 1e-3 and got[i].host == host
 
 
 def test_pipeline(spark, documents):
