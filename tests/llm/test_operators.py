@@ -225,7 +225,22 @@ def test_decontamination_of_letter_edits():
         at = np.cumsum([0, *map(len, texts)])
         got = {h[:2] for h in index.search(np.frombuffer(b"".join(texts), np.uint8), at)}
         assert len(got & true) >= decontaminate.TARGET * len(true) - 1
-        assert all(x in got for x in true if len(bodies[x[1]]) < decontaminate.SHORT)  # none missed
+        assert all(x in got for x in true if index.seeded[x[1]])  # none missed
+
+
+@pytest.mark.parametrize("words", [(1, 1), (2, 4), (5, 8), (9, 14), (15, 30), (31, 60)])
+def test_decontamination_by_length(words):
+    """Recall of items of few and many words, from verbatim copies to the most edits, in one text after another."""
+    r, rng = random.Random(words[0]), np.random.RandomState(words[1])
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n)).encode()
+    bodies = list({say(r.randint(*words)) for _ in range(60)})
+    index = decontaminate.Index([(i, b.decode()) for i, b in enumerate(bodies)])
+    for share in (0, 0.05, 0.1, 0.2):
+        copies = [decontaminate.damaged(np.frombuffer(b, np.uint8), int(len(b) * share + 1e-9), rng) for b in bodies]
+        texts = [b" ".join([say(r.randint(0, 30)), c, say(r.randint(0, 30))]) for c in copies]
+        got = {h[:2] for h in index.search(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))}
+        assert sum((i, i) in got for i in range(len(bodies))) >= (0.95 if share else 1) * len(bodies)
 
 
 def test_edit_to_best():
