@@ -5,10 +5,11 @@ byte, tells whether to move on. Two sequences at a small edit distance give outp
 A repetition has its own random bits and looks at SAMPLED of the output places; windows that agree there with a
 stretch of an item are candidates. Walks start at every word of the texts and of the items (inside words of over
 LONG_WORD bytes also at places told by the two bytes there) and end at a pad after the item or text, so an item is
-met where any of its stretches is little damaged. The number of repetitions is the least with which TARGET of the
+met where its stretches are little damaged. A place is a candidate when walks from two starts met the item in line with it,
+so that phrases which texts merely share don't count. The number of repetitions is the least with which TARGET of the
 shortest items are met in copies with as many random letter edits as allowed, found by trial when the index is built.
-Items below SHORT bytes have too few stretches: they are cut into one part more than the allowed edits, of which
-one must occur unchanged, so none is missed.
+Items below SHORT bytes or FEW_STARTS starts have too few stretches: they are cut into one part more than the allowed edits,
+of which one must occur unchanged, so none is missed.
 A candidate is verified by the edit distance of the whole item to the best-fitting stretch of the text around it, in
 bytes of the normalised text. Most candidates fall before that, by a bound that loses none: the edits that the item's
 parts of PART bytes need, each at its best place, never add up to more than those of the whole item.
@@ -35,12 +36,13 @@ TARGET = 0.99
 TRIED = 64
 COPIES = 8
 MOST_REPEATS = 32
-SAMPLED = 12
+SAMPLED = 11
 STEPS = 28
 #: The numbers of sampled places after which walks that no item shares are dropped.
 LEVELS = (3, 5, 7, 9)
 STARTS = 1 << 15
 SHORT = 48
+FEW_STARTS = 8
 LONG_WORD = 24
 STOP = 255
 BLOCK_BYTES = 16 << 20
@@ -166,9 +168,10 @@ class Index:
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
         self.allowed = np.array([self.most(b) for b in self.bytes], np.int64)
         self.levels, self.keys = [], []
-        if (self.sizes >= SHORT).any():
-            symbols, place, start, item = stopped(packed, ws, we, row)
-            whole = self.sizes[item] >= SHORT
+        symbols, place, start, item = stopped(packed, ws, we, row) if len(ws) else (packed, *[np.zeros(0, np.int64)] * 3)
+        self.seeded = (self.sizes > 0) & ((self.sizes < SHORT) | (np.bincount(item, minlength=len(items)) < FEW_STARTS))
+        whole = (self.sizes > 0)[item] & ~self.seeded[item]
+        if whole.any():
             place, item, ahead = place[whole], item[whole], (start - ws[first[item]])[whole]
             for r in range(self.repeats()):
                 self._add(symbols, place, item, ahead, r)
@@ -188,31 +191,34 @@ class Index:
         self.keys.append((key[order], item[order], ahead[order]))
 
     def repeats(self) -> int:
-        """The least number of repetitions with which TARGET of the shortest items (not SHORT ones) are met in copies that have
+        """The least number of repetitions with which TARGET of the shortest items (not those with seeds) are met in copies that have
         as many random edits as allowed."""
         rng = np.random.RandomState(11)
-        tried = [i for i in np.argsort(self.sizes, kind="stable").tolist() if self.sizes[i] >= SHORT][:TRIED]
+        tried = np.array([i for i in np.argsort(self.sizes, kind="stable").tolist() if self.sizes[i] and not self.seeded[i]][:TRIED])
         whole = [self.bytes[i].tobytes() for i in tried]
         # Other text follows a copy: the ends of item and text would meet too easily.
-        rows = [whole, [damaged(self.bytes[i], self.allowed[i], rng) + b" " + whole[n - 1][::-1] for _ in range(COPIES) for n, i in enumerate(tried)]]
+        copies = [damaged(self.bytes[i], self.allowed[i], rng) + b" " + whole[n - 1][::-1] for _ in range(COPIES) for n, i in enumerate(tried)]
         sides = []
-        for texts in rows:
-            words = words_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-            symbols, place, _, row = stopped(*words)
-            sides.append((symbols, place, row))
-        met = np.zeros(len(rows[1]), bool)
+        for texts in (whole, copies):
+            at = np.cumsum([0, *map(len, texts)])
+            packed, ws, we, row = words_of(np.frombuffer(b"".join(texts), np.uint8), at)
+            symbols, place, start, own = stopped(packed, ws, we, row)
+            sides.append((symbols, place, start - ws[np.searchsorted(row, own)], own))
+        found = np.zeros((4, 0), np.int64)
         for r in range(MOST_REPEATS):
-            a, b = (np.stack([walk(symbols, place, r)[1], (row % len(tried)).astype(U)], 1) for symbols, place, row in sides)
-            known = set(map(tuple, a.tolist()))
-            met[sides[1][2][[x in known for x in map(tuple, b.tolist())]]] = True
-            if met.mean() >= TARGET:
+            (a, b), n = (walk(symbols, place, r)[1] for symbols, place, *_ in sides), len(tried)
+            x, y = (p.ravel() for p in np.nonzero(sides[0][3][:, None] == sides[1][3][None, :] % n)) if r == 0 else (x, y)
+            hit = a[x] == b[y]
+            ahead, here = sides[0][2][x[hit]], sides[1][2][y[hit]]
+            found = np.append(found, np.stack([tried[sides[0][3][x[hit]]], sides[1][3][y[hit]], here - ahead, ahead]), axis=1)
+            if len(np.unique(self.twice(found)[1])) >= TARGET * len(copies):
                 return r + 1
         return MOST_REPEATS
 
     def _seeds(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of the SHORT items, by size of part: its sorted hashes, items and places in them."""
+        """Of the items with seeds, by size of part: its sorted hashes, items and places in them."""
         parts: dict[int, list] = {}
-        for i in np.flatnonzero((self.sizes > 0) & (self.sizes < SHORT)).tolist():
+        for i in np.flatnonzero(self.seeded).tolist():
             body, n = self.bytes[i], int(self.allowed[i]) + 1
             hashes = Hashes(body)
             cuts = [len(body) * k // n for k in range(n + 1)]
@@ -226,7 +232,8 @@ class Index:
         return out
 
     def candidates(self, packed: np.ndarray, ws: np.ndarray, we: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Item, row, byte where it would begin, and the bytes between that and the place that met: of all that meet an item."""
+        """Item, row, byte where it would begin, and the bytes between that and the place that met: of all that meet an item
+        in one of its seeds, or by walks from two starts."""
         found = [np.zeros((4, 0), np.int64)]
 
         def meet(keys, key, start, own):
@@ -243,6 +250,7 @@ class Index:
                 for r, (shift, maps) in enumerate(self.levels):
                     left, key = walk(symbols, place[some], r, lambda n, key, shift=shift, maps=maps: maps[n][(key >> shift).astype(np.int64)])
                     meet(self.keys[r], key, start[some][left], own[some][left])
+            found = [self.twice(np.concatenate(found, axis=1))]
         if self.seeds:
             last = np.append(row[1:] != row[:-1], True)
             head, tail, kept = ws[np.append(True, last[:-1])], we[last], row[last]
@@ -256,6 +264,25 @@ class Index:
                     meet(keys, hashes.of(at, at + size), at, kept[n])
         return np.concatenate(found, axis=1)
 
+    def twice(self, found: np.ndarray) -> np.ndarray:
+        """Those of the meetings that another one of their item and row supports: from another start, as many edits off as allowed at most."""
+        start = found[2] + found[3]
+        order = np.lexsort((start, found[2], found[1], found[0]))
+        found, start = found[:, order], start[order]
+        new = np.ones(len(start), bool)
+        new[1:] = (found[:, 1:] != found[:, :-1]).any(0)  # several repetitions meet at one start
+        found, start = found[:, new], start[new]
+        item, own, begin, _ = found
+        gap, live = self.allowed[item], np.zeros(len(item), bool)
+        step, left = 1, np.arange(len(item))
+        while len(left := left[left + step < len(item)]):
+            a, b = left, left + step
+            left = left[(item[a] == item[b]) & (own[a] == own[b]) & (begin[b] - begin[a] <= gap[a])]
+            good = left[start[left] != start[left + step]]
+            live[good] = live[good + step] = True
+            step += 1
+        return found[:, live]
+
     def most(self, body: np.ndarray) -> int:
         return math.floor(len(body) * (1 - self.similarity) + 1e-9)
 
