@@ -117,6 +117,12 @@ def regressions(baseline: DataFrame, current: DataFrame, threshold: float = 2.0,
     return out
 
 
+def matched_count(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """total_operations_matched: signatures that both archives have, before any filter."""
+    a, b = (with_signature(x).select("signature").distinct() for x in (baseline, current))
+    return a.join(b, "signature").agg(F.count(F.lit(1)).alias("total_operations_matched"))
+
+
 def change_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("change_type").agg(F.count(F.lit(1)).alias("n"))
 

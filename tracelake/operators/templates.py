@@ -1,29 +1,48 @@
-"""Ready-made reports, by name, in Spark SQL over the temporary view ``events``."""
+"""Ready-made reports, by name, in Spark SQL over ``{events}``. Equal ranks go by the last columns of the order."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+JSON = "get_json_object(extra, '$.{}')".format
 TEMPLATES = {
-    "top_slow_sql": "SELECT sql_text_hash, count(*) AS calls, sum(duration_us) / 1000D AS total_ms, avg(duration_us) / 1000D AS avg_ms, max(duration_us) / 1000D AS max_ms"
-    " FROM {events} WHERE event_type = 'DBMSSQL' AND sql_text_normalized IS NOT NULL GROUP BY 1 ORDER BY total_ms DESC NULLS LAST, 1 LIMIT 100",
-    "long_server_calls": "SELECT id, ts, event_type, duration_us / 1000000D AS seconds, session_id, user_name, context FROM {events} WHERE event_type IN ('CALL', 'SCALL') AND duration_us > 10000000"
-    " ORDER BY duration_us DESC, id LIMIT 100",
-    "top_contexts_slow": "SELECT context, count(*) AS calls, sum(duration_us) / 1000D AS total_ms, avg(duration_us) / 1000D AS avg_ms FROM {events} WHERE context IS NOT NULL GROUP BY context"
-    " ORDER BY total_ms DESC NULLS LAST, context LIMIT 50",
-    "deadlocks_by_hour": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS hour, count(*) AS deadlocks FROM {events} WHERE event_type = 'TDEADLOCK' GROUP BY 1 ORDER BY 1",
-    "locks_top_resources": "SELECT get_json_object(extra, '$.Regions') AS regions, count(*) AS locks, sum(duration_us) / 1000D AS total_ms FROM {events} WHERE event_type = 'TLOCK' GROUP BY 1"
-    " ORDER BY total_ms DESC NULLS LAST, 1 LIMIT 50",
-    "lock_wait_sessions": "SELECT id, ts, session_id, get_json_object(extra, '$.WaitConnections') AS waits FROM {events} WHERE event_type = 'TLOCK' AND get_json_object(extra, '$.WaitConnections') IS NOT NULL"
-    " ORDER BY ts DESC, id DESC LIMIT 100",
-    "exceptions_feed": "SELECT id, ts, process_role, get_json_object(extra, '$.Exception') AS exception, get_json_object(extra, '$.Descr') AS descr FROM {events} WHERE event_type = 'EXCP' ORDER BY ts DESC, id DESC LIMIT 200",
-    "errors_by_type": "SELECT get_json_object(extra, '$.Exception') AS exception, count(*) AS n FROM {events} WHERE event_type = 'EXCP' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 50",
-    "memory_heavy_events": "SELECT id, ts, event_type, try_cast(get_json_object(extra, '$.MemoryPeak') AS BIGINT) AS peak FROM {events} WHERE get_json_object(extra, '$.MemoryPeak') IS NOT NULL ORDER BY peak DESC, id LIMIT 100",
-    "events_by_role_and_type": "SELECT process_role, event_type, count(*) AS n FROM {events} GROUP BY 1, 2 ORDER BY 1, 2",
-    "activity_by_hour": "SELECT hour(ts) AS hour, count(*) AS n, coalesce(sum(duration_us), 0) / 1000D AS total_ms, count_if(event_type = 'EXCP') AS exceptions FROM {events} GROUP BY 1 ORDER BY 1",
-    "sessions_overview": "SELECT session_id, user_name, count(*) AS n, sum(duration_us) / 1000D AS total_ms, min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT context_normalized) AS contexts FROM {events}"
-    " WHERE session_id IS NOT NULL GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 100",
-    "events_count_overview": "SELECT event_type, count(*) AS n, round(count(*) * 100D / sum(count(*)) OVER (), 2) AS percent FROM {events} GROUP BY event_type ORDER BY n DESC, 1",
+    "top_slow_sql": """
+        SELECT max_by(coalesce(sql_text, sql_text_normalized), CASE WHEN coalesce(sql_text, sql_text_normalized) IS NOT NULL THEN struct(coalesce(duration_us, 0), -id) END) AS query,
+          count(*) AS calls, sum(duration_us) / 1000D AS total_ms, avg(duration_us) / 1000D AS avg_ms, max(duration_us) / 1000D AS max_ms
+        FROM {events} WHERE event_type = 'DBMSSQL' AND sql_text_hash IS NOT NULL GROUP BY sql_text_hash ORDER BY total_ms DESC NULLS LAST, sql_text_hash LIMIT 100""",
+    "long_server_calls": """
+        SELECT ts, process_role, context, duration_ms FROM (
+          SELECT id, ts, process_role, context, duration_us / 1000D AS duration_ms FROM {events} WHERE event_type IN ('CALL', 'SCALL') AND duration_us > 10000000)
+        ORDER BY duration_ms DESC, id LIMIT 100""",
+    "top_contexts_slow": """
+        SELECT context, count(*) AS calls, sum(duration_us) / 1000D AS total_ms, avg(duration_us) / 1000D AS avg_ms
+        FROM {events} WHERE context IS NOT NULL GROUP BY context ORDER BY total_ms DESC NULLS LAST, context LIMIT 50""",
+    "deadlocks_by_hour": """
+        SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS hour, count(*) AS deadlocks FROM {events} WHERE event_type = 'TDEADLOCK' GROUP BY 1 ORDER BY 1""",
+    "locks_top_resources": f"""
+        SELECT {JSON("Regions")} AS resource, count(*) AS lock_events FROM {{events}} WHERE event_type = 'TLOCK' GROUP BY 1 ORDER BY lock_events DESC, resource LIMIT 50""",
+    "lock_wait_sessions": f"""
+        SELECT ts, session_id, user_name, wait_for FROM (SELECT id, ts, session_id, user_name, {JSON("WaitConnections")} AS wait_for FROM {{events}} WHERE event_type = 'TLOCK')
+        WHERE wait_for IS NOT NULL ORDER BY ts DESC, id DESC LIMIT 100""",
+    "exceptions_feed": f"""
+        SELECT ts, process_role, context, exception, description FROM (
+          SELECT id, ts, process_role, context, {JSON("Exception")} AS exception, {JSON("Descr")} AS description FROM {{events}} WHERE event_type = 'EXCP')
+        ORDER BY ts DESC, id DESC LIMIT 200""",
+    "errors_by_type": f"""
+        SELECT {JSON("Exception")} AS exception_type, count(*) AS cnt FROM {{events}} WHERE event_type = 'EXCP' GROUP BY 1 ORDER BY cnt DESC, 1 LIMIT 50""",
+    "memory_heavy_events": f"""
+        SELECT ts, event_type, process_role, context, memory, memory_peak FROM (
+          SELECT id, ts, event_type, process_role, context, {JSON("Memory")} AS memory, {JSON("MemoryPeak")} AS memory_peak FROM {{events}})
+        WHERE memory_peak IS NOT NULL ORDER BY try_cast(memory_peak AS BIGINT) DESC NULLS LAST, id LIMIT 100""",
+    "events_by_role_and_type": """
+        SELECT process_role, event_type, count(*) AS cnt FROM {events} GROUP BY 1, 2 ORDER BY process_role, cnt DESC, event_type""",
+    "activity_by_hour": """
+        SELECT hour(ts) AS hour_of_day, count(*) AS events, sum(duration_us) / 1000D AS total_ms, count_if(event_type = 'EXCP') AS exceptions FROM {events} GROUP BY 1 ORDER BY 1""",
+    "sessions_overview": """
+        SELECT session_id, user_name, count(*) AS events, sum(duration_us) / 1000D AS total_ms, min(ts) AS first_event, max(ts) AS last_event, count(DISTINCT context) AS unique_contexts
+        FROM {events} WHERE session_id IS NOT NULL GROUP BY 1, 2 ORDER BY total_ms DESC NULLS LAST, session_id, user_name LIMIT 100""",
+    "events_count_overview": """
+        SELECT event_type, count(*) AS cnt, round(count(*) * 100D / sum(count(*)) OVER (), 2) AS percent FROM {events} GROUP BY event_type ORDER BY cnt DESC, event_type""",
 }
 
 

@@ -31,11 +31,16 @@ def slow_queries(events: DataFrame, sort_by: str = "total_duration", limit: int
     us = F.col("duration_us")
     grouped = statements(events, types).groupBy("sql_text_hash").agg(
         slowest_text().alias("query"), F.count(F.lit(1)).alias("calls"), ms(F.sum(us)).alias("total_duration_ms"), ms(F.avg(us)).alias("avg_duration_ms"),
-        ms(F.max(us)).alias("max_duration_ms"), F.sum("rows_read").alias("total_rows_read"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), names("process_role").alias("process_roles"),
+        ms(F.max(us)).alias("max_duration_ms"), F.sum(F.coalesce("rows_read", F.lit(0))).alias("total_rows_read"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), names("process_role").alias("process_roles"),
     )
     return grouped.orderBy(F.col(SLOW_ORDERS.get(sort_by, "total_duration_ms")).desc_nulls_last(), "sql_text_hash").limit(limit)
 
 
+def slow_queries_total(events: DataFrame, types=SQL_TYPES) -> DataFrame:
+    """total_rows: how many statements there are beyond the report's limit too."""
+    return statements(events, types).agg(F.count_distinct("sql_text_hash").alias("total_rows"))
+
+
 def time_unit(since=None, until=None) -> str:
     """minute for spans under 2 hours, hour for spans under 2 days, day beyond; hour where the span isn't known."""
     if not since or not until:
@@ -78,6 +83,10 @@ def events_feed(events: DataFrame, types=(), presence: str | None = None, limit:
     return rows.select("id", "ts", "event_type", "process_role", "process_pid", "context", ms(F.col("duration_us")).alias("duration_ms"), "extra").orderBy(F.col("ts").desc(), F.col("id").desc()).limit(limit)
 
 
+def events_feed_total(events: DataFrame, types=(), presence: str | None = None) -> DataFrame:
+    return by_context(of_types(events, types), presence).agg(F.count(F.lit(1)).alias("total_rows"))
+
+
 def type_counts(events: DataFrame, limit: int = 200) -> DataFrame:
     return events.where("event_type is not null").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "event_type").limit(limit)
 
@@ -96,6 +105,27 @@ def top_operations(events: DataFrame, sort_by: str = "total_duration", types=(),
     return operations(events, types, sql_types).orderBy(F.col(OPERATION_ORDERS.get(sort_by, "total_duration_ms")).desc_nulls_last(), "operation").limit(limit)
 
 
+def operations_total(events: DataFrame, types=()) -> DataFrame:
+    return of_types(events, types).where("context_normalized <> ''").agg(F.count_distinct("context_normalized").alias("total_rows"))
+
+
+# Event types by how bad they are; the report's chips are in this order, other types follow by name.
+CHIPS = ("TDEADLOCK", "TTIMEOUT", "EXCP", "EXCPCNTX", "TLOCK")
+
+
+def in_chip_order(rows: DataFrame, chips=CHIPS) -> DataFrame:
+    place = F.array_position(F.array(*map(F.lit, chips)), F.col("event_type"))
+    return rows.orderBy(F.when(place > 0, place).otherwise(len(chips) + 1), "event_type")
+
+
+def sorted_cells(rows: DataFrame, column: str, descending: bool = False, tie: str = "id") -> DataFrame:
+    """Rows by a text column that may hold numbers: those first, as numbers, then the texts; nulls come last; equal ones by ``tie``."""
+    cell = F.trim(column)
+    number = F.regexp_replace(F.regexp_replace(cell, "[\u00a0 ]", ""), ",", ".").try_cast("double")
+    keys = [number, F.lower(cell)]
+    return rows.orderBy(F.col(column).isNull(), *(k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys), tie)
+
+
 def activity_heatmap(events: DataFrame, metric: str = "count") -> DataFrame:
     """Monday is y = 0; x is the hour; cells without events don't appear."""
     value = {
@@ -132,5 +162,11 @@ def plan_counts(events: DataFrame) -> DataFrame:
     return with_plan(events).groupBy(engine).agg(F.count(F.lit(1)).alias("n"))
 
 
+def engine_of() -> Column:
+    """The stored engine, or else the one that the event's type tells."""
+    told = F.when(F.col("event_type") == "DBMSSQL", "mssql").when(F.col("event_type") == "DBPOSTGRS", "postgres")
+    return F.coalesce(F.nullif("engine", F.lit("")), told)
+
+
 def event(events: DataFrame, id_: int) -> DataFrame:
     return events.where(F.col("id") == id_).limit(1)

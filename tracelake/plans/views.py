@@ -12,7 +12,7 @@ from ..operators import templates as te
 from ..operators import usage as us
 from ..operators import views as vi
 
-OPERATION, SESSION = "Doc.Op7.Module", 7
+OPERATION, SESSION = "Doc.Op8.Module", 7
 SINCE, UNTIL = "2024-01-02 00:00:00", "2024-01-20 12:00:00"
 ROLES = "string_agg(DISTINCT process_role, ', ' ORDER BY process_role)"
 SLOWEST = "arg_max(sql_text, row(coalesce(duration_us, 0), -id))"
@@ -31,7 +31,7 @@ def add(name: str, make, sql: str | None = None, log: bool = True) -> None:
 def slow_sql(where: str, order: str, limit: int = 100) -> str:
     return (
         f"SELECT sql_text_hash, {SLOWEST} AS query, count(*) AS calls, sum(duration_us)::BIGINT / 1000.0{D} AS total_duration_ms, avg(duration_us) / 1000.0{D} AS avg_duration_ms,"
-        f" max(duration_us) / 1000.0{D} AS max_duration_ms, sum(rows_read)::BIGINT AS total_rows_read, min(ts) AS first_seen, max(ts) AS last_seen, {ROLES} AS process_roles"
+        f" max(duration_us) / 1000.0{D} AS max_duration_ms, sum(coalesce(rows_read, 0))::BIGINT AS total_rows_read, min(ts) AS first_seen, max(ts) AS last_seen, {ROLES} AS process_roles"
         f" FROM ev WHERE event_type = 'DBMSSQL' AND sql_text_normalized IS NOT NULL AND {where} GROUP BY sql_text_hash ORDER BY {order} DESC NULLS LAST, sql_text_hash LIMIT {limit}"
     )
 
@@ -62,6 +62,10 @@ add("a6_events_feed", vi.events_feed, FEED.format("true"))
 add("a6_feed_of_types", lambda e: vi.events_feed(e, ("EXCP", "TDEADLOCK")), FEED.format("event_type IN ('EXCP', 'TDEADLOCK')"))
 add("a6_feed_with_context", lambda e: vi.events_feed(e, presence="with"), FEED.format("context IS NOT NULL AND trim(context) <> ''"))
 add("a6_feed_without_context", lambda e: vi.events_feed(e, presence="without"), FEED.format("NOT (context IS NOT NULL AND trim(context) <> '')"))
+add("a1_total_rows", vi.slow_queries_total, "SELECT count(DISTINCT sql_text_hash) AS total_rows FROM ev WHERE event_type = 'DBMSSQL' AND sql_text_normalized IS NOT NULL")
+add("a6_total_rows", lambda e: vi.events_feed_total(e, ("EXCP", "TLOCK"), "without"), "SELECT count(*) AS total_rows FROM ev WHERE event_type IN ('EXCP', 'TLOCK') AND NOT (context IS NOT NULL AND trim(context) <> '')")
+add("a7_total_rows", lambda e: vi.operations_total(e, ("CALL", "EXCP")), "SELECT count(DISTINCT context_normalized) AS total_rows FROM ev WHERE event_type IN ('CALL', 'EXCP') AND context_normalized <> ''")
+add("p4_engines", lambda e: e.select("id", vi.engine_of().alias("engine")), "SELECT id, coalesce(engine, CASE event_type WHEN 'DBMSSQL' THEN 'mssql' WHEN 'DBPOSTGRS' THEN 'postgres' END) AS engine FROM ev")
 add("a6_type_counts", vi.type_counts, "SELECT event_type, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, 1 LIMIT 200")
 for key, column in vi.OPERATION_ORDERS.items():
     add(
@@ -98,7 +102,7 @@ for prefix, of, where in (("a10_operation", lambda e: an.of_operation(e, OPERATI
 LINE = "SELECT id, ts, event_type, session_id, process_role, process_pid, duration_ms, sql_text, context FROM ev WHERE {}"
 add("k7_operation_timeline", lambda e: an.timeline(an.of_operation(e, OPERATION)), LINE.format(OF_OP) + " ORDER BY ts DESC, id DESC LIMIT 50")
 add("k7_session_timeline", lambda e: an.timeline(an.of_session(e, SESSION), 200, False), LINE.format(OF_SESSION) + " ORDER BY ts, id LIMIT 200")
-add("k7_operation_exceptions", lambda e: an.exceptions(an.of_operation(e, OPERATION)), f"SELECT id, ts, session_id, process_role, duration_ms, extra FROM ev WHERE event_type = 'EXCP' AND {OF_OP} ORDER BY ts DESC, id DESC LIMIT 30")
+add("k7_operation_exceptions", lambda e: an.exceptions(an.of_operation(e, "Doc.Op7.Module")), "SELECT id, ts, session_id, process_role, duration_ms, extra FROM ev WHERE event_type = 'EXCP' AND context_normalized = 'Doc.Op7.Module' ORDER BY ts DESC, id DESC LIMIT 30")
 add("k7_list_deadlocks", an.list_deadlocks, "SELECT id, ts, session_id, process_role, process_pid, context_normalized, duration_ms, extra FROM ev WHERE event_type = 'TDEADLOCK' ORDER BY ts DESC, id DESC LIMIT 200")
 DEAD = ", d AS (SELECT *, json_extract_string(extra, '$.Regions') AS rg, json_extract_string(extra, '$.WaitConnections') AS wc, json_extract_string(extra, '$.DeadlockConnectionIntersections') AS ix FROM ev WHERE event_type = 'TDEADLOCK')"
 add("x15_regions", an.lock_regions, DEAD + ", r AS (SELECT id, trim(unnest(string_split(rg, ','))) AS raw FROM d) SELECT id, raw, regexp_extract(raw, '^(.*)\\s+(\\S+)$', 1) AS object_name, regexp_extract(raw, '(\\S+)$', 1) AS mode FROM r")
@@ -122,24 +126,39 @@ TOPS = f", a AS ({TOP % 'A'}), b AS ({TOP % 'B'}), c AS (SELECT b.sql_text_hash,
 add("a14_in_both", lambda e: co.common_statements(e, "A", "B"), TOPS + " SELECT * FROM c")
 add("a14_regressed", lambda e: co.slower(co.common_statements(e, "A", "B")), TOPS + " SELECT * FROM c WHERE delta_percent >= 50")
 add("a14_improved", lambda e: co.faster(co.common_statements(e, "A", "B")), TOPS + " SELECT * FROM c WHERE delta_percent <= -30")
-add("a14_only_a", lambda e: co.only_in(e, "A", "B", 4), TOPS.replace("LIMIT 50", "LIMIT 4") + " SELECT * FROM a WHERE sql_text_hash NOT IN (SELECT sql_text_hash FROM b)")
-add("a14_only_b", lambda e: co.only_in(e, "B", "A", 4), TOPS.replace("LIMIT 50", "LIMIT 4") + " SELECT * FROM b WHERE sql_text_hash NOT IN (SELECT sql_text_hash FROM a)")
+add("a14_only_a", lambda e: co.only_in(e, "A", "B"), TOPS + " SELECT * FROM a WHERE sql_text_hash NOT IN (SELECT sql_text_hash FROM b)")
+add("a14_only_b", lambda e: co.only_in(e, "B", "A"), TOPS + " SELECT * FROM b WHERE sql_text_hash NOT IN (SELECT sql_text_hash FROM a)")
 LOAD = f"SELECT context_normalized AS operation, arg_max(context, row(duration_us, -id)) AS context, count(*) AS samples, round(quantile_cont(duration_us, 0.5) / 1000.0{D}, 3) AS p50, round(quantile_cont(duration_us, 0.95) / 1000.0{D}, 3) AS p95 FROM ev WHERE context_normalized <> '' AND duration_us > 0 AND %s GROUP BY 1"
 add("a15_load_operations", co.load_operations, LOAD % "true")
 SIG = "trim(operation) || '|' || substr(trim(regexp_replace(context, '\\s+', ' ', 'g')), 1, 200)"
 REG = (
-    f", a AS ({LOAD % 'id % 3 < 2'}), b AS ({LOAD % 'id % 3 > 0'}), a2 AS (SELECT {SIG} AS signature, * FROM a), b2 AS (SELECT {SIG} AS signature, * FROM b),"
+    f", a AS ({LOAD % "archive_id = 'A'"}), b AS ({LOAD % "archive_id = 'B'"}), a2 AS (SELECT {SIG} AS signature, * FROM a), b2 AS (SELECT {SIG} AS signature, * FROM b),"
     " j AS (SELECT coalesce(a2.signature, b2.signature) AS signature, coalesce(b2.operation, a2.operation) AS operation, a2.samples AS base_samples, a2.p50 AS base_p50, a2.p95 AS base_p95, b2.samples AS cur_samples, b2.p50 AS cur_p50, b2.p95 AS cur_p95 FROM a2 FULL JOIN b2 ON a2.signature = b2.signature),"
-    " k AS (SELECT *, CASE WHEN base_samples IS NULL THEN 'new' WHEN cur_samples IS NULL THEN 'disappeared' WHEN cur_p95 / base_p95 >= 1.1 THEN 'regression' WHEN cur_p95 / base_p95 <= 1.0::DOUBLE / 1.1::DOUBLE THEN 'improvement' ELSE 'stable' END AS change_type FROM j)"
+    " k AS (SELECT *, CASE WHEN base_samples IS NULL THEN 'new' WHEN cur_samples IS NULL THEN 'disappeared' WHEN cur_p95 / base_p95 >= 1.2 THEN 'regression' WHEN cur_p95 / base_p95 <= 1.0::DOUBLE / 1.2::DOUBLE THEN 'improvement' ELSE 'stable' END AS change_type FROM j)"
 )
-add(
-    "a16_regressions",
-    lambda e: co.regressions(co.load_operations(e.where("id % 3 < 2")), co.load_operations(e.where("id % 3 > 0")), 1.1).withColumn("priority_score", F.round("priority_score", 3)).withColumn("p95_ratio", F.round("p95_ratio", 6)).withColumn("count_ratio", F.round("count_ratio", 6)),
-    REG + " SELECT *, CASE WHEN base_samples > 0 AND cur_samples > 0 THEN round(cur_p95 / base_p95, 6) END AS p95_ratio, CASE WHEN cur_samples > 0 THEN round(cur_samples::DOUBLE / base_samples, 6) END AS count_ratio,"
+FIGURES = (
+    "CASE WHEN base_samples > 0 AND cur_samples > 0 THEN round(cur_p95 / base_p95, 6) END AS p95_ratio, CASE WHEN cur_samples > 0 THEN round(cur_samples::DOUBLE / base_samples, 6) END AS count_ratio,"
     " round(CASE change_type WHEN 'new' THEN cur_p95 * ln(cur_samples + 1) WHEN 'disappeared' THEN base_p95 * ln(base_samples + 1) * 0.1 WHEN 'regression' THEN (cur_p95 / base_p95 - 1) * ln(cur_samples + 1) * cur_p95 ELSE 0 END, 3) AS priority_score,"
-    " CASE WHEN least(base_samples, cur_samples) >= 20 THEN 'high' WHEN least(base_samples, cur_samples) >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM k WHERE coalesce(base_samples, 0) >= 5 OR coalesce(cur_samples, 0) >= 5",
+    " CASE WHEN least(base_samples, cur_samples) >= 20 THEN 'high' WHEN least(base_samples, cur_samples) >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM k WHERE coalesce(base_samples, 0) >= 5 OR coalesce(cur_samples, 0) >= 5"
+)
+
+
+def regressions(events, **more):
+    a, b = (co.load_operations(co.archive(events, x)) for x in "AB")
+    return co.regressions(a, b, 1.2, **more)
+
+
+def rounded(rows):
+    return rows.withColumns({"priority_score": F.round("priority_score", 3), "p95_ratio": F.round("p95_ratio", 6), "count_ratio": F.round("count_ratio", 6)})
+
+
+add("a16_regressions", lambda e: rounded(regressions(e)), REG + f" SELECT *, {FIGURES}")
+add(
+    "a16_first_of_each_class", lambda e: rounded(regressions(e, top_n=2)),
+    REG + f", f AS (SELECT *, {FIGURES}) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY change_type ORDER BY CASE WHEN change_type = 'improvement' THEN p95_ratio ELSE -priority_score END, signature) <= 2",
 )
-add("a16_change_counts", lambda e: co.change_counts(co.regressions(co.load_operations(e.where("id % 3 < 2")), co.load_operations(e.where("id % 3 > 0")), 1.1)), REG + " SELECT change_type, count(*) AS n FROM k WHERE coalesce(base_samples, 0) >= 5 OR coalesce(cur_samples, 0) >= 5 GROUP BY 1")
+add("a16_change_counts", lambda e: co.change_counts(regressions(e)), REG + " SELECT change_type, count(*) AS n FROM k WHERE coalesce(base_samples, 0) >= 5 OR coalesce(cur_samples, 0) >= 5 GROUP BY 1")
+add("a16_matched", lambda e: co.matched_count(*(co.load_operations(co.archive(e, x)) for x in "AB")), REG + " SELECT count(*) AS total_operations_matched FROM k WHERE base_samples IS NOT NULL AND cur_samples IS NOT NULL")
 ALL = "id, ts, event_type, duration_us, session_id, user_name, context"
 add("k2_first_100", lambda e: vi.preset(e, "first_100"), f"SELECT {ALL}, sql_text FROM ev ORDER BY ts, id LIMIT 100")
 add("k2_longest", lambda e: vi.preset(e, "longest"), f"SELECT {ALL}, sql_text FROM ev WHERE own_us IS NOT NULL ORDER BY duration_us DESC NULLS LAST, id LIMIT 100")
@@ -148,10 +167,26 @@ add("k3_plan_page", lambda e: vi.plan_page(e, "mssql", 50, 10), "SELECT id AS ev
 add("k10_event", lambda e: vi.event(e, 42).select("id", "ts", "event_type"), "SELECT id, ts, event_type FROM ev WHERE id = 42")
 add("a17_plan_counts", vi.plan_counts, "SELECT coalesce(engine, 'unknown') AS engine, count(*) AS n FROM ev WHERE plan_text <> '' GROUP BY 1")
 add("f9_containing", lambda e: fi.containing(e.select("id", "event_type", "context"), "op17"), "SELECT id, event_type, context FROM ev WHERE contains(lower(id::VARCHAR), 'op17') OR contains(lower(event_type), 'op17') OR contains(lower(context), 'op17')")
-for number, (name, text) in enumerate(te.TEMPLATES.items(), 1):
-    sql = text.replace("{events}", "ev").replace("1000000D", "1000000.0::DOUBLE").replace("1000D", "1000.0::DOUBLE").replace("100D", "100.0::DOUBLE").replace("TIMESTAMP_NTZ", "TIMESTAMP").replace("sum(duration_us)", "sum(duration_us)::BIGINT")
-    sql = sql.replace("get_json_object", "json_extract_string").replace("coalesce(sum(duration_us)::BIGINT, 0)", "coalesce(sum(duration_us), 0)::BIGINT").replace("hour(ts) AS", "hour(ts)::INT AS").replace("count_if(event_type = 'EXCP')", "count(*) FILTER (WHERE event_type = 'EXCP')")
-    add(f"qt{number}_{name}", lambda e, name=name: te.template(e, name), sql)
+MS = "sum(duration_us)::BIGINT / 1000.0::DOUBLE AS total_ms, avg(duration_us) / 1000.0::DOUBLE AS avg_ms"
+TEMPLATE_SQL = {
+    "top_slow_sql": f"SELECT {SLOWEST} AS query, count(*) AS calls, {MS}, max(duration_us) / 1000.0::DOUBLE AS max_ms FROM ev WHERE event_type = 'DBMSSQL' AND sql_text_hash IS NOT NULL GROUP BY sql_text_hash ORDER BY total_ms DESC NULLS LAST, sql_text_hash LIMIT 100",
+    "long_server_calls": "SELECT ts, process_role, context, duration_us / 1000.0::DOUBLE AS duration_ms FROM ev WHERE event_type IN ('CALL', 'SCALL') AND duration_us > 10000000 ORDER BY duration_us DESC, id LIMIT 100",
+    "top_contexts_slow": f"SELECT context, count(*) AS calls, {MS} FROM ev WHERE context IS NOT NULL GROUP BY context ORDER BY total_ms DESC NULLS LAST, context LIMIT 50",
+    "deadlocks_by_hour": "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS deadlocks FROM ev WHERE event_type = 'TDEADLOCK' GROUP BY hour ORDER BY hour",
+    "locks_top_resources": "SELECT json_extract_string(extra, '$.Regions') AS resource, count(*) AS lock_events FROM ev WHERE event_type = 'TLOCK' GROUP BY resource ORDER BY lock_events DESC, resource LIMIT 50",
+    "lock_wait_sessions": "SELECT ts, session_id, user_name, json_extract_string(extra, '$.WaitConnections') AS wait_for FROM ev WHERE event_type = 'TLOCK' AND json_extract_string(extra, '$.WaitConnections') IS NOT NULL ORDER BY ts DESC, id DESC LIMIT 100",
+    "exceptions_feed": "SELECT ts, process_role, context, json_extract_string(extra, '$.Exception') AS exception, json_extract_string(extra, '$.Descr') AS description FROM ev WHERE event_type = 'EXCP' ORDER BY ts DESC, id DESC LIMIT 200",
+    "errors_by_type": "SELECT json_extract_string(extra, '$.Exception') AS exception_type, count(*) AS cnt FROM ev WHERE event_type = 'EXCP' GROUP BY exception_type ORDER BY cnt DESC, exception_type LIMIT 50",
+    "memory_heavy_events": "SELECT ts, event_type, process_role, context, json_extract_string(extra, '$.Memory') AS memory, json_extract_string(extra, '$.MemoryPeak') AS memory_peak FROM ev WHERE json_extract(extra, '$.MemoryPeak') IS NOT NULL"
+    " ORDER BY json_extract_string(extra, '$.MemoryPeak')::BIGINT DESC, id LIMIT 100",
+    "events_by_role_and_type": "SELECT process_role, event_type, count(*) AS cnt FROM ev GROUP BY process_role, event_type",
+    "activity_by_hour": "SELECT hour(ts)::INT AS hour_of_day, count(*) AS events, sum(duration_us)::BIGINT / 1000.0::DOUBLE AS total_ms, count(*) FILTER (WHERE event_type = 'EXCP') AS exceptions FROM ev GROUP BY hour_of_day",
+    "sessions_overview": "SELECT session_id, user_name, count(*) AS events, sum(duration_us)::BIGINT / 1000.0::DOUBLE AS total_ms, min(ts) AS first_event, max(ts) AS last_event, count(DISTINCT context) AS unique_contexts FROM ev"
+    " WHERE session_id IS NOT NULL GROUP BY session_id, user_name ORDER BY total_ms DESC NULLS LAST, session_id, user_name LIMIT 100",
+    "events_count_overview": "SELECT event_type, count(*) AS cnt, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 2) AS percent FROM ev GROUP BY event_type",
+}
+for number, name in enumerate(te.TEMPLATES, 1):
+    add(f"qt{number}_{name}", lambda e, name=name: te.template(e, name), TEMPLATE_SQL[name])
 add(
     "a18_usage_summary", lambda e: us.tops(e, {"event_type": 5, "process_role": 3, "user_name": 10}),
     ", c AS (SELECT 'event_type' AS kind, event_type AS value, count(*) AS n, 5 AS most FROM ev GROUP BY 2 UNION ALL SELECT 'process_role', process_role, count(*), 3 FROM ev GROUP BY 2 UNION ALL SELECT 'user_name', user_name, count(*), 10 FROM ev GROUP BY 2)"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: The plan nodes that a statement may consist of.
@@ -24,12 +27,14 @@ def _walk(plan, tables: set[str]) -> None:
     name = plan.getClass().getSimpleName()
     if name not in READ_ONLY:
         raise Rejected(f"{name} isn't allowed")
-    inner = _items(plan.innerChildren()) if name == "UnresolvedWith" else []
     if name == "UnresolvedWith":
-        tables = tables | {alias.alias().lower() for alias in inner}
+        for definition in _items(plan.innerChildren()):  # each sees the names before it, and itself if it is recursive
+            alias = definition.alias().lower()
+            _walk(definition, tables | {alias} if plan.allowRecursion() else tables)
+            tables = tables | {alias}
     if name == "UnresolvedRelation" and [p.lower() for p in _items(plan.multipartIdentifier())] not in [[t] for t in tables]:
         raise Rejected(f"unknown table {plan.multipartIdentifier().mkString('.')}")
-    for child in [*inner, *_items(plan.children())]:
+    for child in _items(plan.children()):
         _walk(child, tables)
     for expression in _items(plan.expressions()):
         _walk_expression(expression, tables)
@@ -50,10 +55,40 @@ def check(spark: SparkSession, sql: str, tables: set[str]) -> None:
     _walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), {t.lower() for t in tables})
 
 
-def console(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int | None = None) -> DataFrame:
-    """The rows of a read-only statement over the tables, which are temporary views by these names; ``max_rows`` limits the report."""
+def console(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int | None = None, args: dict | list | None = None) -> DataFrame:
+    """The rows of a read-only statement over the tables, which are temporary views by these names. ``args`` are the values of its
+    parameters (``:name`` or ``?``); ``max_rows`` limits the report."""
     check(spark, sql, set(tables))
     for name, table in tables.items():
         table.createOrReplaceTempView(name)
-    out = spark.sql(sql)
+    out = spark.sql(sql, args=args)
     return out if max_rows is None else out.limit(max_rows)
+
+
+@dataclass
+class Result:
+    """A report: columns with their types, cells as a JSON value each, and whether there were more rows than asked for."""
+
+    columns: list[tuple[str, str]]
+    rows: list[list]
+    truncated: bool
+
+
+def cell(x):
+    """Numbers, booleans and texts as they are, times in ISO form, lists and structs by their parts, anything else as a text."""
+    if x is None or isinstance(x, (bool, int, float, str)):
+        return x
+    if isinstance(x, (datetime.date, datetime.datetime)):
+        return x.isoformat()
+    if isinstance(x, dict):
+        return {str(k): cell(v) for k, v in x.items()}
+    if isinstance(x, (list, tuple)):
+        return [cell(v) for v in x]
+    return str(x)
+
+
+def report(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int = 10_000, args: dict | list | None = None) -> Result:
+    """The first ``max_rows`` rows of a statement, for a person to look at: one row more is asked for, which tells whether it goes on."""
+    out = console(spark, sql, tables, max_rows + 1, args)
+    rows = out.collect()
+    return Result(out.dtypes, [[cell(x) for x in r] for r in rows[:max_rows]], len(rows) > max_rows)
