@@ -79,12 +79,16 @@ def canonical_pg_text(c: Column) -> Column:
 
 
 def canonical_query(c: Column) -> Column:
-    """A query text without // and /* */ comments."""
-    return squash(replaced(c, [(r"(?m)//.*?$", ""), (r"/\*[\s\S]*?\*/", "")]))
+    """A query text without comments to the end of a line (//) and in /* */."""
+    return squash(F.regexp_replace(c, r"//[^\n]*|(?s:/\*.*?\*/)", ""))
+
+
+# Punctuation that doesn't count in a description.
+PUNCTUATION = ".,!?;:()[]{}\"'«»-—"
 
 
 def canonical_description(c: Column) -> Column:
-    return squash(F.regexp_replace(F.lower(F.trim(c)), r"[.,!?;:()\[\]{}\"'«»\-—]+", " "))
+    return squash(F.translate(F.lower(c), PUNCTUATION, " " * len(PUNCTUATION)))
 
 
 def cache_key(text: Column, kind: str, prompt: str, model: str) -> Column:
@@ -96,27 +100,46 @@ def short_key(*parts: Column) -> Column:
 
 
 def unwrap_executesql(c: Column) -> Column:
-    """The statement that a call of sp_executesql wraps; other texts as they are."""
-    inner = F.regexp_extract(c, r"(?is)\bsp_executesql\s+(?:@\w+\s*=\s*)?N?'((?:[^']|'')*)'", 1)
+    """The statement that a call of sp_executesql wraps, as ``exec sp_executesql N'...'`` or ``{call sp_executesql(N'...'``, where the
+    text is such a call as a whole; other texts as they are."""
+    head = r"(?is)^\s*(?:\{\s*call\s+sp_executesql\s*\(|(?:exec(?:ute)?\s+)?sp_executesql\b)\s*"
+    inner = F.regexp_extract(c, head + r"N'((?:[^']|'')*)'\s*(?:[,)].*)?$", 1)
     return F.when(inner == "", c).otherwise(F.replace(inner, F.lit("''"), F.lit("'")))
 
 
+# Beginnings of table names and the types that only the business platform makes.
+PLATFORM_TABLES = "reference document accumrg accumrgt inforg enum const seq chrc node fld pkg task bp crrd crab crref accrg accrged".split()
+PLATFORM_TYPES = ("mchar", "mvarchar", "fulleq")
+
+
 def is_platform_sql(c: Column) -> Column:
     """Whether a statement names tables or types that only the business platform makes."""
-    tables = r"(?i)\b_(?:Reference|Document|AccumRg|InfoRg|AccRg|Enum|Const|Chrc|Node|Task|BPr|Seq|Acc|CKinds)\w*\d+"
-    return c.rlike(tables) | c.rlike(r"(?i)(?:::|\bAS\s+)(mchar|mvarchar|fulleq)\b")
+    tables = rf"(?i)(?<!\w)_(?:{'|'.join(PLATFORM_TABLES)})\d+"
+    return F.coalesce(c.rlike(tables) | c.rlike(rf"(?i)(?:::\s*|\bAS\s+)(?:{'|'.join(PLATFORM_TYPES)})\b"), F.lit(False))
+
+
+# Names that tell whose execution plan a text is.
+MSSQL_PLAN = ("|--", "Clustered Index Seek", "Clustered Index Scan", "NonClustered Index", "Hash Match", "Stream Aggregate", "Compute Scalar", "Nested Loops", "Bitmap()", "Constant Scan", "Merge Join (")
+MSSQL_TAGS = ("ShowPlanXML", "StmtSimple", "StmtBlock", "QueryPlan", "RelOp")
+POSTGRES_PLAN = (
+    "Seq Scan", "Index Scan", "Index Only Scan", "Bitmap Heap Scan", "Bitmap Index Scan", "Hash Join", "Merge Join", "Nested Loop", "Aggregate", "HashAggregate", "GroupAggregate", "Sort", "Limit", "Append",
+    "Gather", "Materialize", "Memoize", "Unique", "WindowAgg", "CTE Scan", "Subquery Scan", "Result", "ProjectSet",
+)
+POSTGRES_FIGURES = r"\b(?:Planning Time:|Execution Time:|Planning:|Execution:|cost=\d|actual time=)"
 
 
 def plan_engine(c: Column) -> Column:
-    """mssql, postgres or unknown, by the look of an execution plan."""
-    pg_node = c.rlike(r"(?m)^\s*(->\s*)?(Seq Scan|Index Scan|Index Only Scan|Bitmap Heap Scan|Nested Loop|Hash Join|Merge Join|HashAggregate|GroupAggregate|Sort|Limit|Append|Gather)\b")
-    pg_cost = c.rlike(r"\(cost=[\d.]+\.\.[\d.]+\s+rows=\d+")
-    ms_node = c.rlike(r"(?i)(Clustered Index (Scan|Seek)|Index Seek\(|Table Scan\(|Nested Loops\(|Hash Match\(|Compute Scalar\(|Stream Aggregate\(|ShowPlanXML)")
-    pg_json = c.rlike(r'(?s)^\s*[\[{].*"Plan"\s*:')
+    """mssql, postgres or unknown, by the look of an execution plan: its XML, its JSON, or the names in its lines."""
+    bare = F.trim(F.regexp_replace(c, r"^\s+", ""))
+    xml = bare.rlike(rf"^(?:<\?xml|<(?i:{'|'.join(MSSQL_TAGS)})\b)")
+    plan = F.coalesce(F.get_json_object(bare, "$[0].Plan"), F.get_json_object(bare, "$.Plan"))
+    theirs = F.lit(False)
+    for name in MSSQL_PLAN:
+        theirs = theirs | F.lower(bare).contains(name.lower())
+    node, figure = bare.rlike(rf"\b(?:{'|'.join(POSTGRES_PLAN)})\b"), bare.rlike(POSTGRES_FIGURES)
     return (
-        F.when(c.rlike(r"^\s*<"), "mssql").when(pg_json | (pg_node & pg_cost), "postgres").when(ms_node, "mssql")
-        .when(pg_node | pg_cost, "postgres").otherwise("unknown")
-    )
+        F.when(xml, "mssql").when(plan.isNotNull(), "postgres").when(node & figure, "postgres").when(theirs, "mssql").when(node | figure, "postgres").otherwise("unknown")
+    )
 
 
 def file_hour(name: Column) -> Column:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import is_platform_sql
+
 # Rule, severity, patterns in both languages of the platform's query language.
 QUERY_RULES = [
     ("comma_join_implicit", "critical", [r"(?ims)ИЗ\s+\S+\s+КАК\s+\S+\s*,\s*\S+\s+КАК\s+\S+", r"(?ims)FROM\s+\S+\s+(?:AS\s+)?\S+\s*,\s*\S+\s+(?:AS\s+)?\S+"]),
@@ -29,30 +36,113 @@ QUERY_RULES = [
     ("vyrazit_in_where", "warning", [r"(?ims)ГДЕ\b[^;]{0,400}?ВЫРАЗИТЬ\s*\("]),
 ]
 
-#: Anti-patterns of SQL statements: dialect, rule, severity and a pattern over the text with literals masked by mask_literals.
-WHERE = r"(?is)\bWHERE\b(?:(?!\b(?:GROUP\s+BY|ORDER\s+BY|UNION)\b).)*?"
-COLUMN_CALL = r"(?:UPPER|LOWER|SUBSTRING|DATEADD|DATEDIFF|CAST|CONVERT|ISNULL|COALESCE|LEFT|RIGHT|LTRIM|RTRIM|YEAR|MONTH|DAY)\s*\(\s*[^()\s]*[a-z_]"
+# Functions that keep an index on their column from being used.
+MSSQL_CALLS = "UPPER LOWER SUBSTRING DATEADD DATEDIFF CAST CONVERT ISNULL COALESCE LEFT RIGHT LTRIM RTRIM YEAR MONTH DAY".split()
+POSTGRES_CALLS = "UPPER LOWER SUBSTRING TO_CHAR TO_DATE EXTRACT DATE_TRUNC AGE LENGTH TRIM LTRIM RTRIM CAST COALESCE NULLIF".split()
+PLATFORM_TYPES, TEXT_TYPES = "mchar|mvarchar|fulleq", "text|varchar|character varying|bpchar"
+
+WHERE = r"(?is)\bWHERE\b(?:(?!\b(?:GROUP\s+BY|ORDER\s+BY|HAVING|UNION|LIMIT)\b).)*?"
+NAME = r"[a-z_][\w.]*"
+NO_CALL = "IN AND OR NOT EXISTS WHERE ON ANY ALL SOME VALUES SELECT FROM BY HAVING WHEN THEN ELSE AS UNION"
+
+
+def _call(names) -> str:
+    """One of the functions over something that begins with a column, not a literal or parameter."""
+    return rf"\b(?:{'|'.join(names)})\s*\(\s*(?:'[^']*'\s*,\s*|\w+\s+FROM\s+|\w+\s*,\s*)?(?!(?:NULL|TRUE|FALSE)\b)[\[\"]?{NAME}"
+
+
+def _as_type(types: str) -> str:
+    return rf"(?:[\w.$'\"]+\s*::\s*(?:{types})\b(?:\s*\(\d+\))?|\bCAST\s*\([^()]*\bAS\s+(?:{types})\b(?:\s*\(\d+\))?\s*\))"
+
+
+class Statement:
+    """A statement as the rules see it: without comments and words in literals (``text``), with what calls and CASE hold
+    taken out (``flat``), and cut into ``scopes``, one per pair of brackets, where an inner one is left as [select] or []."""
+
+    def __init__(self, text: Column, platform: bool | None, depth: int = 5):
+        self.text = mask_literals(text)
+        self.platform = is_platform_sql(text) if platform is None else F.lit(platform)
+        flat = F.regexp_replace(self.text, r"(?is)\bCASE\b.*?\bEND\b", "x")
+        for _ in range(depth):
+            flat = F.regexp_replace(flat, rf"(?i)\b(?!(?:{NO_CALL.replace(' ', '|')})\b)[a-z_]\w*\s*\([^()]*\)", "f")
+        self.flat = flat
+        rest, parts = self.text, []
+        for _ in range(depth):
+            parts.append(F.regexp_extract_all(rest, F.lit(r"\(([^()]*)\)"), F.lit(1)))
+            rest = F.regexp_replace(F.regexp_replace(rest, r"(?i)\(\s*(?:SELECT|WITH)\b[^()]*\)", " [select] "), r"\([^()]*\)", " [] ")
+        self.top, self.scopes = rest, F.concat(*parts, F.array(rest))
+
+    def has(self, pattern: str) -> Column:
+        return self.text.rlike(pattern)
+
+    def scope(self, *patterns: str, no: str | None = None) -> Column:
+        """Whether one scope matches all of the patterns, and not ``no``."""
+
+        def fits(s):
+            out = F.lit(True) if no is None else ~s.rlike(no)
+            for p in patterns:
+                out = out & s.rlike(p)
+            return out
+
+        return F.exists(self.scopes, fits)
+
+    def filtered_outer_join(self) -> Column:
+        aliases = F.regexp_extract_all(self.text, F.lit(r"(?is)\bLEFT\s+(?:OUTER\s+)?JOIN\s+[^\s()]+\s+(?:AS\s+)?(\w+)\s+(?:WITH\s*\([^()]*\)\s*)?ON\b"), F.lit(1))
+        spans = F.array_join(F.regexp_extract_all(self.text, F.lit(r"(?is)\bWHERE\b((?:(?!\b(?:GROUP\s+BY|ORDER\s+BY|HAVING|UNION)\b).)*)"), F.lit(1)), " ")
+        return F.exists(aliases, lambda a: F.rlike(spans, F.concat(F.lit(r"(?i)\b"), a, F.lit(r"\s*\.")))) & ~self.has(r"(?i)\bIS\s+NULL\b")
+
+    def correlated_projection(self) -> Column:
+        known = F.lit(r"(?is)\b(?:FROM|JOIN)\s+([\w.]+)(?:\s+AS)?(?:\s+(?!(?:WHERE|ON|JOIN|LEFT|RIGHT|INNER|FULL|CROSS|GROUP|ORDER|LIMIT|OFFSET|UNION|HAVING)\b)(\w+))?")
+        names = F.filter(F.concat(F.regexp_extract_all(self.top, known, F.lit(1)), F.regexp_extract_all(self.top, known, F.lit(2))), lambda n: n != "")
+        inner = F.filter(self.scopes, lambda s: s.rlike(r"(?i)^\s*SELECT\b"))
+        uses = F.exists(inner, lambda s: F.exists(names, lambda n: F.rlike(s, F.concat(F.lit(r"(?i)\b"), F.substring_index(n, ".", -1), F.lit(r"\.\w")))))
+        return F.regexp_extract(self.top, r"(?is)\bSELECT\b(.*?)\bFROM\b", 1).contains("[select]") & uses
+
+    def cast_in_where(self) -> Column:
+        """Casts to the platform's own types don't count where these are in use."""
+        text = F.when(self.platform, F.regexp_replace(self.text, "(?i)" + _as_type(PLATFORM_TYPES), "x")).otherwise(self.text)
+        return text.rlike(WHERE + rf"(?:(?<![\w'$]){NAME}\s*::|{_call(POSTGRES_CALLS)})")
+
+    def numeric_text(self) -> Column:
+        column = r"(?:\w+\.)*(\w*id|\w*(?:count|num|version|_no)\w*)"
+        own = F.regexp_extract(self.text, WHERE + rf"(?:\b{column}\s*=\s*'\s*-?\d+(?:\.\d+)?\s*'|'\s*-?\d+(?:\.\d+)?\s*'\s*=\s*{column}\b)", 0)
+        return (own != "") & ~(self.platform & own.rlike(r"(?i)_fld\w*\s*=|=\s*(?:\w+\.)*_fld"))
+
+    def offset(self) -> Column:
+        found = F.regexp_extract_all(self.text, F.lit(r"(?i)\bOFFSET\s+(\d+)"), F.lit(1))
+        return F.coalesce(F.array_max(F.transform(found, lambda x: x.try_cast("long"))), F.lit(0))
+
+
+RANDOM = r"(?is)\bORDER\s+BY\b.*\b(?:random|rand)\b"
+#: Anti-patterns of SQL statements: dialect, rule, severity and the condition.
 SQL_RULES = [
-    ("mssql", "not_in_with_subquery", "Major", r"(?is)\bNOT\s+IN\s*\(\s*SELECT\b"),
-    ("mssql", "or_in_where", "Major", WHERE + r"\bOR\b"),
-    ("mssql", "function_on_column", "Major", WHERE + r"\b" + COLUMN_CALL),
-    ("mssql", "leading_wildcard_like", "Major", r"(?is)\bLIKE\s+N?'%"),
-    ("mssql", "select_star", "Minor", r"(?is)\bSELECT\s+(?:TOP\s+\(?\d+\)?\s+)?\*"),
-    ("mssql", "cross_join", "Critical", r"(?is)\bCROSS\s+JOIN\b"),
-    ("mssql", "large_in_list", "Major", r"(?is)\bIN\s*\((?!\s*SELECT\b)(?:[^(),]*,){99,}[^(),]*\)"),
-    ("postgres", "offset_without_limit", "Warning", r"(?is)\A(?!.*\bLIMIT\b).*\bOFFSET\b"),
-    ("postgres", "large_offset_pagination", "Warning", r"(?is)\bOFFSET\s+\d{4,}"),
-    ("postgres", "ilike_without_trgm", "Warning", r"(?is)\bILIKE\s+'[^']*%"),
-    ("postgres", "like_with_leading_wildcard", "Warning", r"(?is)\bLIKE\s+'%"),
-    ("postgres", "not_in_with_subquery_pg", "Warning", r"(?is)\bNOT\s+IN\s*\(\s*SELECT\b"),
-    ("postgres", "jsonb_without_gin", "Info", r"(?is)(@>|<@|->>|#>|\?\||\?&)"),
-    ("postgres", "cast_in_where_predicate", "Warning", WHERE + r"(?:[a-z_][\w.]*\s*::|\bCAST\s*\(\s*[a-z_])"),
-    ("postgres", "union_instead_of_union_all", "Info", r"(?is)\bUNION\s+(?!ALL\b)"),
-    ("postgres", "distinct_on_large_result", "Info", r"(?is)\bSELECT\s+DISTINCT\b.*\bJOIN\b"),
-    ("postgres", "implicit_type_cast", "Warning", WHERE + r"\b\w*(?:id|num|count|qty)\s*=\s*'\d+'"),
-    ("postgres", "select_star_with_join", "Info", r"(?is)\bSELECT\s+\*.*\bJOIN\b"),
-    ("postgres", "order_by_random", "Critical", r"(?is)\bORDER\s+BY\s+(?:random|rand)\s*\("),
-    ("postgres", "missing_where_on_update_delete", "Critical", r"(?is)\A\s*(?:UPDATE|DELETE)\b(?!.*\bWHERE\b)"),
+    ("mssql", "not_in_with_subquery", "Major", lambda x: x.has(r"(?is)\bNOT\s+IN\s*\(\s*SELECT\b")),
+    ("mssql", "left_join_filtered", "Major", Statement.filtered_outer_join),
+    ("mssql", "or_in_where", "Major", lambda x: x.flat.rlike(WHERE + r"\bOR\b")),
+    ("mssql", "function_on_column", "Major", lambda x: x.has(WHERE + _call(MSSQL_CALLS))),
+    ("mssql", "leading_wildcard_like", "Major", lambda x: x.has(r"(?is)\bLIKE\s+N?'%")),
+    ("mssql", "select_star", "Minor", lambda x: x.has(r"(?is)\bSELECT\s+(?:DISTINCT\s+)?(?:TOP\s+\(?\d+\)?\s+)?\*")),
+    ("mssql", "cross_join", "Critical", lambda x: x.has(r"(?is)\bCROSS\s+JOIN\b")),
+    ("mssql", "large_in_list", "Major", lambda x: x.has(r"(?is)\bIN\s*\((?!\s*SELECT\b)(?:[^(),]*,){99,}[^(),]*\)")),
+    ("postgres", "offset_without_limit", "Warning", lambda x: x.scope(r"(?i)\bOFFSET\b", no=r"(?i)\b(?:LIMIT|FETCH)\b")),
+    ("postgres", "large_offset_pagination", "Critical", lambda x: x.offset() >= 10_000),
+    ("postgres", "large_offset_pagination", "Warning", lambda x: (x.offset() >= 1000) & (x.offset() < 10_000)),
+    ("postgres", "ilike_without_trgm", "Warning", lambda x: x.has(r"(?is)\bILIKE\s+'[^']*%")),
+    ("postgres", "like_with_leading_wildcard", "Warning", lambda x: x.has(r"(?is)\bLIKE\s+'%") & ~x.platform),
+    ("postgres", "like_with_leading_wildcard", "Info", lambda x: x.has(r"(?is)\bLIKE\s+'%") & x.platform),
+    ("postgres", "not_in_with_subquery_pg", "Warning", lambda x: x.has(r"(?is)\bNOT\s+IN\s*\(\s*SELECT\b")),
+    ("postgres", "jsonb_without_gin", "Info", lambda x: x.has(r"(?is)(@>|<@|->>|#>|\?\||\?&)")),
+    ("postgres", "cast_in_where_predicate", "Warning", Statement.cast_in_where),
+    ("postgres", "union_instead_of_union_all", "Info", lambda x: x.has(r"(?is)\bUNION\s+(?!ALL\b)")),
+    ("postgres", "subquery_in_select_list", "Warning", Statement.correlated_projection),
+    ("postgres", "distinct_on_large_result", "Info", lambda x: x.scope(r"(?is)\bSELECT\s+DISTINCT\b.*\bJOIN\b")),
+    ("postgres", "implicit_type_cast", "Warning", Statement.numeric_text),
+    ("postgres", "select_star_with_join", "Info", lambda x: x.scope(r"(?is)\bSELECT\s+(?:DISTINCT\s+)?\*.*\bJOIN\b") & ~x.platform),
+    ("postgres", "order_by_random", "Critical", lambda x: x.scope(RANDOM, no=r"(?i)\bLIMIT\b")),
+    ("postgres", "order_by_random", "Warning", lambda x: x.scope(RANDOM, r"(?i)\bLIMIT\b")),
+    ("postgres", "missing_where_on_update_delete", "Critical", lambda x: x.has(r"(?is)\A\s*(?:UPDATE|DELETE)\b(?!.*\bWHERE\b)")),
+    ("postgres", "mchar_vs_text_comparison", "Warning", lambda x: x.platform & (
+        x.has("(?is)" + _as_type("mchar|mvarchar") + r"\s*=\s*" + _as_type(TEXT_TYPES)) | x.has("(?is)" + _as_type(TEXT_TYPES) + r"\s*=\s*" + _as_type("mchar|mvarchar")))),
 ]
 # Severities from worst to least.
 SEVERITIES = ("Critical", "Blocker", "Major", "Warning", "Minor", "Info")
@@ -71,14 +161,60 @@ def mask_literals(c: Column) -> Column:
     return F.regexp_replace(bare, r"(?<=')[^'%\d]+(?=[^']*'(?:[^']*'[^']*')*[^']*$)", "x")
 
 
-def sql_findings(queries: DataFrame, engine: str, text: str = "text", rules=SQL_RULES) -> DataFrame:
-    """id, rule, severity of each anti-pattern in a statement, one finding per rule; texts beyond 200,000 characters have none."""
-    masked = mask_literals(F.col(text))
-    cells = [F.when(F.col("_m").rlike(p), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for e, r, s, p in rules if e == engine]
-    rows = queries.where(F.length(text) <= LONGEST).select("id", masked.alias("_m"))
+def sql_findings(queries: DataFrame, engine: str, text: str = "text", platform: bool | None = None, rules=SQL_RULES) -> DataFrame:
+    """id, rule, severity of each anti-pattern in a statement, one finding per rule; texts beyond 200,000 characters have none.
+
+    ``platform`` tells whether statements are the business platform's; by default each one's own names and types do."""
+    x = Statement(F.col(text), platform)
+    cells = [F.when(check(x), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for e, r, s, check in rules if e == engine]
+    rows = queries.where(F.length(text) <= LONGEST)
     return rows.select("id", F.explode(F.array_compact(F.array(*cells))).alias("f")).select("id", "f.*")
 
 
+PLACE = "start int, end int, line int, column int, end_line int, end_column int"
+
+
+def _place(text: str, offset: int) -> tuple[int, int]:
+    """Line and column of an offset, from 1; CR LF is one line end."""
+    before = text[:offset].replace("\r\n", "\n").replace("\r", "\n")
+    return before.count("\n") + 1, len(before) - before.rfind("\n")
+
+
+def matches(queries: DataFrame, patterns: list[tuple[str, str]], text: str = "text") -> DataFrame:
+    """id, name, groups, and where: every match of every pattern in the texts. Offsets are from 0, the end excluded."""
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled = [(name, re.compile(p)) for name, p in patterns]
+        for batch in batches:
+            rows = []
+            for i, t in zip(batch["id"], batch["text"], strict=True):
+                for name, p in compiled if t is not None else ():
+                    rows += [(i, name, [g or "" for g in m.groups()], *m.span(), *_place(t, m.start()), *_place(t, m.end())) for m in p.finditer(t)]
+            yield pd.DataFrame(rows, columns=["id", "name", "groups", "start", "end", "line", "column", "end_line", "end_column"])
+
+    return queries.select(F.col("id").cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(step, f"id long, name string, groups array<string>, {PLACE}")
+
+
+def placed_findings(queries: DataFrame, text: str = "text", rules=QUERY_RULES) -> DataFrame:
+    """id, rule, severity and range of every match of every rule."""
+    found = matches(queries, [(r, p) for r, _, patterns in rules for p in patterns], text).drop("groups").withColumnRenamed("name", "rule")
+    severity = F.create_map(*(F.lit(x) for r, s, _ in rules for x in (r, s)))
+    return found.withColumn("severity", severity[F.col("rule")])
+
+
+def report_of(findings: DataFrame, sources: tuple[str, ...] = ("native", "server")) -> DataFrame:
+    """Findings (id, source, rule, severity, range) as a report: of those with one range and rule the first by source stays; ``place``
+    is the order by line, column and severity."""
+    by_source = F.array_position(F.array(*map(F.lit, sources)), F.col("source"))
+    one = first_of_each(findings, ["id", "line", "column", "end_line", "end_column", "rule"], [by_source, "severity"])
+    rank = F.array_position(F.array(*map(F.lit, ("critical", "warning", "info"))), F.lower("severity"))
+    return one.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("line", "column", rank, "rule")))
+
+
+def severity_counts(findings: DataFrame) -> DataFrame:
+    return findings.groupBy("id").agg(*(F.count_if(F.lower("severity") == s).alias(s) for s in ("critical", "warning", "info")))
+
+
 def severity_rank(c: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, SEVERITIES)), c)
 
@@ -95,18 +231,44 @@ def safe_to_explain(c: Column) -> Column:
     return bare.rlike(r"(?i)^\s*(select|with|values|table)\b") & ~bare.rlike(writes) & ~bare.rlike(r";\s*\S")
 
 
-# What an operation's figures mean; of the rules that hold the one with the highest priority counts.
+# What the figures of an operation, a deadlock, a lock or an exception mean: explanation, what it applies to,
+# priority, and the field, comparison and value of each condition.
 EXPLANATIONS = [
-    ("slow_op_heavy_sql", 100, "sql_share >= 0.5"),
-    ("slow_op_locks", 95, "lock_share >= 0.3"),
-    ("slow_op_call_cascade", 80, "calls >= 1000 AND avg_duration_ms <= 50"),
-    ("operation_heavy", 50, "total_duration_ms >= 60000"),
+    ("deadlock_different_order", "deadlock", 90, [("event_type", "==", "TDEADLOCK"), ("regions_count", ">=", 2), ("participants_count", ">=", 2)]),
+    ("deadlock_lock_escalation", "deadlock", 100, [("event_type", "==", "TDEADLOCK"), ("regions_count", "==", 1), ("participants_count", ">=", 2)]),
+    ("deadlock_single_resource", "deadlock", 50, [("event_type", "==", "TDEADLOCK")]),
+    ("exception_deadlock_victim", "exception", 100, [("event_type", "==", "EXCP"), ("descr", "matches", "(?i)deadlock|deadlocked|взаимоблок")]),
+    ("exception_timeout", "exception", 90, [("event_type", "==", "EXCP"), ("descr", "matches", "(?i)timeout|таймаут|превышено время")]),
+    ("lock_timeout", "lock", 100, [("event_type", "==", "TLOCK")]),
+    ("operation_heavy", "operation", 50, [("total_duration_ms", ">=", 60000)]),
+    ("slow_op_call_cascade", "slow_op", 80, [("calls", ">=", 1000), ("avg_duration_ms", "<=", 50)]),
+    ("slow_op_heavy_sql", "slow_op", 100, [("sql_share", ">=", 0.5)]),
+    ("slow_op_locks", "slow_op", 95, [("lock_share", ">=", 0.3)]),
 ]
+COMPARISONS = {
+    "==": lambda c, v: c == v, "!=": lambda c, v: c != v, ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, "<": lambda c, v: c < v,
+    "in": lambda c, v: c.isin(*v), "contains": lambda c, v: c.contains(v), "matches": lambda c, v: c.rlike(v),
+}
 
 
-def explained(figures: DataFrame, rules=EXPLANATIONS) -> DataFrame:
-    """The rows with ``explanation``: the first rule by priority and name whose condition holds, or null."""
-    out = None
-    for name, _, condition in sorted(rules, key=lambda r: (-r[1], r[0])):
-        out = F.when(F.expr(condition), name) if out is None else out.when(F.expr(condition), name)
+def explained(figures: DataFrame, applies_to: tuple[str, ...] = ("operation", "slow_op"), rules=EXPLANATIONS) -> DataFrame:
+    """The rows with ``explanation``: the first rule by priority and name whose conditions all hold, or null. A field that the rows
+    haven't, or that is null, fulfils nothing."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name, kind, _, conditions in sorted(rules, key=lambda r: (-r[2], r[0])):
+        if kind in applies_to and all(f in figures.columns for f, *_ in conditions):
+            out = out.when(F.coalesce(reduce(lambda a, b: a & b, (COMPARISONS[op](F.col(f), v) for f, op, v in conditions)), F.lit(False)), name)
     return figures.withColumn("explanation", out)
+
+
+def rendered(template: str, fields: dict[str, Column]) -> Column:
+    """A text with ``{{name}}`` places filled in: lists joined by commas, what is missing as a dash."""
+    parts = re.split(r"\{\{\s*([\w.]+)\s*\}\}", template)
+    cells = [F.lit(p) if i % 2 == 0 else F.coalesce(F.nullif(fields[p].cast("string"), F.lit("")), F.lit("—")) if p in fields else F.lit("—") for i, p in enumerate(parts)]
+    return F.concat(*cells)
+
+
+def one_of(value: Column, known: dict[str, str], default: str) -> Column:
+    """What a word means, whatever its case and the spaces around it; ``default`` for words that aren't known."""
+    table = F.create_map(*(F.lit(x) for k, v in known.items() for x in (k, v)))
+    return F.coalesce(F.try_element_at(table, F.lower(F.trim(value))), F.lit(default))

@@ -1,69 +1,131 @@
-"""Queries of the rules, over small corpora of our own, and of the explanations, over the log events."""
+"""Queries of the rules and of the explanations. Each event of the test table has one of some shapes of statement, by its id, so
+that every rule goes over a whole table; what must be found in a shape is said beside it."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..adapter import EV, log_events
-from ..operators import dictionary as di
+from ..operators import anatomy as an
 from ..operators import rules as ru
 from ..operators import usage as us
 from ..operators import views as vi
 
-#: id, text, rules that must be found.
-QUERY_TEXTS = [
-    (1, "ВЫБРАТЬ * ИЗ Справочник.Товары КАК Т", ("select_star",)),
-    (2, "ВЫБРАТЬ А ИЗ Т КАК Т ГДЕ А В (ВЫБРАТЬ Б ИЗ Д)", ("in_with_subquery",)),
-    (3, "ВЫБРАТЬ А ИЗ Т КАК Т ГДЕ НЕ В (ВЫБРАТЬ Б ИЗ Д)", ("in_with_subquery", "not_in_with_subquery")),
-    (4, "ВЫБРАТЬ А ИЗ Т КАК Т, Д КАК Д", ("comma_join_implicit",)),
-    (5, "ВЫБРАТЬ А ИЗ Т КАК Т ГДЕ ПОДСТРОКА(А, 1, 2) = 1 ИЛИ Б = 2", ("function_in_where", "or_in_where")),
-    (6, "ВЫБРАТЬ ПЕРВЫЕ 10 А ИЗ Т", ("pervye_without_order",)),
-    (7, "ВЫБРАТЬ ПЕРВЫЕ 10 А ИЗ Т УПОРЯДОЧИТЬ ПО А", ()),
-    (8, "ВЫБРАТЬ РАЗЛИЧНЫЕ А ИЗ Т ОБЪЕДИНИТЬ ВЫБРАТЬ Б ИЗ Д", ("select_distinct", "union_without_all")),
-    (9, "SELECT a FROM t LEFT JOIN (SELECT b FROM d) x", ("subquery_in_join",)),
-    (10, "ВЫБРАТЬ А ПОМЕСТИТЬ ВТ ИЗ Т;", ("temp_table_without_index",)),
-    (11, "ВЫБРАТЬ А ИЗ Т КАК Т ЛЕВОЕ СОЕДИНЕНИЕ РегистрНакопления.Р.Остатки() КАК О", ("virtual_table_in_join",)),
-    (12, "ВЫБРАТЬ А ИЗ Т КАК Т ГДЕ ВЫРАЗИТЬ(А КАК Справочник.Т) = 1", ("vyrazit_in_where",)),
-    (13, "ВЫБРАТЬ А ИЗ Т ОБЪЕДИНИТЬ ВСЕ ВЫБРАТЬ Б ИЗ Д", ()),
+#: Statements in the platform's query language ({n} is the event's number), and for each finding its rule and what it covers.
+QUERY_SHAPES = [
+    ("ВЫБРАТЬ * ИЗ Справочник.Товары КАК Т{n}", [("select_star", "ВЫБРАТЬ *")]),
+    ("ВЫБРАТЬ А ИЗ Т КАК Т ГДЕ А В (ВЫБРАТЬ Б ИЗ Д ГДЕ Б = {n})", [("in_with_subquery", "В (ВЫБРАТЬ")]),
+    ("ВЫБРАТЬ А\r\nИЗ Т КАК Т\r\nГДЕ НЕ В (ВЫБРАТЬ Б ИЗ Д) И А = {n}", [("in_with_subquery", "В (ВЫБРАТЬ"), ("not_in_with_subquery", "НЕ В (ВЫБРАТЬ")]),
+    ("ВЫБРАТЬ А ИЗ Т КАК Т, Д КАК Д{n}", [("comma_join_implicit", "ИЗ Т КАК Т, Д КАК Д{n}")]),
+    ("ВЫБРАТЬ А\nИЗ Т КАК Т\n ГДЕ ПОДСТРОКА(А, 1, 2) = 1\n  ИЛИ Б = {n}", [("function_in_where", "ГДЕ ПОДСТРОКА("), ("or_in_where", "ГДЕ ПОДСТРОКА(А, 1, 2) = 1\n  ИЛИ")]),
+    ("ВЫБРАТЬ ПЕРВЫЕ 10 А ИЗ Т{n}", [("pervye_without_order", "ВЫБРАТЬ ПЕРВЫЕ 10")]),
+    ("ВЫБРАТЬ ПЕРВЫЕ 10 А ИЗ Т УПОРЯДОЧИТЬ ПО А{n}", []),
+    ("ВЫБРАТЬ РАЗЛИЧНЫЕ А ИЗ Т\nОБЪЕДИНИТЬ ВЫБРАТЬ Б ИЗ Д{n}", [("select_distinct", "ВЫБРАТЬ РАЗЛИЧНЫЕ"), ("union_without_all", "ОБЪЕДИНИТЬ ")]),
+    ("ВЫБРАТЬ А ИЗ Т ОБЪЕДИНИТЬ ВСЕ ВЫБРАТЬ Б ИЗ Д{n}", []),
+    ("SELECT a FROM t LEFT JOIN (SELECT b FROM d) x{n}", [("subquery_in_join", "JOIN (SELECT")]),
+    ("ВЫБРАТЬ А ПОМЕСТИТЬ ВТ{n} ИЗ Т;", [("temp_table_without_index", "ПОМЕСТИТЬ ВТ{n} ИЗ Т;")]),
+    ("ВЫБРАТЬ А ПОМЕСТИТЬ ВТ ИЗ Т ИНДЕКСИРОВАТЬ ПО А{n};", []),
+    ("ВЫБРАТЬ А ИЗ Т КАК Т ЛЕВОЕ СОЕДИНЕНИЕ РегистрНакопления.Р{n}.Остатки() КАК О", [("virtual_table_in_join", "СОЕДИНЕНИЕ РегистрНакопления.Р{n}.Остатки(")]),
+    ("ВЫБРАТЬ А ИЗ Т КАК Т ГДЕ ВЫРАЗИТЬ(А КАК Справочник.Т) = {n}", [("vyrazit_in_where", "ГДЕ ВЫРАЗИТЬ(")]),
+    ("select top 5 a from t where upper(a) = 'x' or b in (select c from d)", [("pervye_without_order", "select top 5"), ("function_in_where", "where upper("), ("or_in_where", "where upper(a) = 'x' or"), ("in_with_subquery", "in (select")]),
+    ("ВЫБРАТЬ А, Б ИЗ Т КАК Т ВНУТРЕННЕЕ СОЕДИНЕНИЕ Д КАК Д ПО А = Б ГДЕ А = {n}", []),
+    ("SELECT DISTINCT * FROM t AS t{n}", [("select_distinct", "SELECT DISTINCT")]),
+    ("ВЫБРАТЬ * ИЗ Т; ВЫБРАТЬ * ИЗ Д{n}", [("select_star", "ВЫБРАТЬ *"), ("select_star", "ВЫБРАТЬ *")]),
 ]
-SQL_TEXTS = {
+MANY = ", ".join(map(str, range(100)))
+#: Statements of the database engines: for each finding its rule and severity.
+SQL_SHAPES = {
     "mssql": [
-        (1, "SELECT a FROM t WHERE a NOT IN (SELECT b FROM d)", ("not_in_with_subquery",)),
-        (2, "SELECT TOP 10 * FROM t WHERE a = 1 OR b = 2", ("or_in_where", "select_star")),
-        (3, "SELECT a FROM t WHERE UPPER(a) = 'X'", ("function_on_column",)),
-        (4, "SELECT a FROM t WHERE a LIKE '%x'", ("leading_wildcard_like",)),
-        (5, "SELECT a FROM t CROSS JOIN d", ("cross_join",)),
-        (6, "SELECT a FROM t WHERE b IN (" + ", ".join(map(str, range(100))) + ")", ("large_in_list",)),
-        (7, "SELECT a FROM t WHERE a = 'this OR that' -- OR b", ()),
+        ("SELECT a FROM t WHERE a NOT IN (SELECT b FROM d WHERE c = {n})", [("not_in_with_subquery", "Major")]),
+        ("SELECT a FROM t WHERE a IN (SELECT b FROM d) AND c = {n}", []),
+        ("SELECT TOP 10 * FROM t WHERE a = 1 OR b = {n}", [("or_in_where", "Major"), ("select_star", "Minor")]),
+        ("SELECT a FROM t WHERE CASE WHEN a = 1 OR b = 2 THEN 1 END = {n}", []),
+        ("SELECT a FROM t WHERE iif(a = 1 OR b = 2, 1, 0) = {n}", []),
+        ("SELECT a FROM t WHERE c = 1 AND (a = 1 OR b = {n})", [("or_in_where", "Major")]),
+        ("SELECT a FROM t WHERE UPPER(a) = 'X{n}'", [("function_on_column", "Major")]),
+        ("SELECT a FROM t WHERE YEAR(t.d) = {n} GROUP BY a", [("function_on_column", "Major")]),
+        ("SELECT UPPER(a) FROM t WHERE a = {n}", []),
+        ("SELECT a FROM t WHERE b = DATEADD(1, 2, 3) AND c = {n}", []),
+        ("SELECT a FROM t WHERE a LIKE '%x{n}'", [("leading_wildcard_like", "Major")]),
+        ("SELECT a FROM t WHERE a LIKE N'x%{n}'", []),
+        ("SELECT a FROM t CROSS JOIN d WHERE a = {n}", [("cross_join", "Critical")]),
+        ("SELECT a FROM t WHERE b IN (" + MANY + ")", [("large_in_list", "Major")]),
+        ("SELECT a FROM t WHERE b IN (1, 2, {n})", []),
+        ("SELECT t.a FROM t LEFT JOIN d AS x ON x.id = t.id WHERE x.b = {n}", [("left_join_filtered", "Major")]),
+        ("SELECT t.a FROM t LEFT OUTER JOIN d x ON x.id = t.id WHERE x.b IS NULL AND t.a = {n}", []),
+        ("SELECT t.a FROM t LEFT JOIN d x ON x.id = t.id WHERE t.b = {n}", []),
+        ("SELECT a FROM t WHERE a = 'this OR that' -- OR b {n}", []),
+        ("SELECT count(*) FROM t /* SELECT * */ WHERE a = {n}", []),
     ],
     "postgres": [
-        (1, "SELECT a FROM t ORDER BY a OFFSET 5", ("offset_without_limit",)),
-        (2, "SELECT a FROM t ORDER BY a LIMIT 5 OFFSET 20000", ("large_offset_pagination",)),
-        (3, "SELECT a FROM t WHERE a ILIKE 'x%'", ("ilike_without_trgm",)),
-        (4, "SELECT a FROM t WHERE a LIKE '%x'", ("like_with_leading_wildcard",)),
-        (5, "SELECT a FROM t WHERE a NOT IN (SELECT b FROM d)", ("not_in_with_subquery_pg",)),
-        (6, "SELECT a FROM t WHERE c @> x", ("jsonb_without_gin",)),
-        (7, "SELECT a FROM t WHERE a::text = b", ("cast_in_where_predicate",)),
-        (8, "SELECT a FROM t UNION SELECT b FROM d", ("union_instead_of_union_all",)),
-        (9, "SELECT DISTINCT a FROM t JOIN d ON a = b", ("distinct_on_large_result",)),
-        (10, "SELECT a FROM t WHERE user_id = '12'", ("implicit_type_cast",)),
-        (11, "SELECT * FROM t JOIN d ON a = b", ("select_star_with_join",)),
-        (12, "SELECT a FROM t ORDER BY random() LIMIT 1", ("order_by_random",)),
-        (13, "DELETE FROM t", ("missing_where_on_update_delete",)),
-        (14, "DELETE FROM t WHERE a = 1", ()),
+        ("SELECT a FROM t ORDER BY a OFFSET 7", [("offset_without_limit", "Warning")]),
+        ("SELECT a FROM (SELECT b FROM d LIMIT 3) x OFFSET 5", [("offset_without_limit", "Warning")]),
+        ("SELECT a FROM t ORDER BY a LIMIT 5 OFFSET 20000", [("large_offset_pagination", "Critical")]),
+        ("SELECT a FROM t ORDER BY a LIMIT 5 OFFSET 1000", [("large_offset_pagination", "Warning")]),
+        ("SELECT a FROM t WHERE c = {n} LIMIT 5 OFFSET 999", []),
+        ("SELECT a FROM t WHERE a ILIKE 'x%'", [("ilike_without_trgm", "Warning")]),
+        ("SELECT a FROM t WHERE a ILIKE 'x{n}'", []),
+        ("SELECT a FROM t WHERE a LIKE '%x{n}'", [("like_with_leading_wildcard", "Warning")]),
+        ("SELECT a FROM _Reference12 WHERE a LIKE '%x{n}'", [("like_with_leading_wildcard", "Info")]),
+        ("SELECT a FROM t WHERE a NOT IN (SELECT b FROM d)", [("not_in_with_subquery_pg", "Warning")]),
+        ("SELECT a FROM t WHERE c @> x", [("jsonb_without_gin", "Info")]),
+        ("SELECT a FROM t WHERE a::text = b", [("cast_in_where_predicate", "Warning")]),
+        ("SELECT a FROM t WHERE upper(a) = 'x{n}'", [("cast_in_where_predicate", "Warning")]),
+        ("SELECT a FROM t WHERE date_trunc('day', d) = '2024'", [("cast_in_where_predicate", "Warning")]),
+        ("SELECT a FROM _Reference1 WHERE a::mvarchar = b", []),
+        ("SELECT a FROM t WHERE b = 'x'::text AND c > {n}", []),
+        ("SELECT a FROM t UNION SELECT b FROM d", [("union_instead_of_union_all", "Info")]),
+        ("SELECT a FROM t UNION ALL SELECT b FROM d", []),
+        ("SELECT DISTINCT a FROM t JOIN d ON a = b", [("distinct_on_large_result", "Info")]),
+        ("SELECT DISTINCT a FROM t WHERE b IN (SELECT x FROM y JOIN z ON x = w)", []),
+        ("SELECT a FROM t WHERE user_id = '12'", [("implicit_type_cast", "Warning")]),
+        ("SELECT a FROM t WHERE '12' = t.version_no", [("implicit_type_cast", "Warning")]),
+        ("SELECT a FROM t WHERE name = '12'", []),
+        ("SELECT * FROM t JOIN d ON a = b", [("select_star_with_join", "Info")]),
+        ("SELECT * FROM t WHERE EXISTS (SELECT 1 FROM x JOIN d ON a = b)", []),
+        ("SELECT * FROM _Document3 JOIN d ON a = b", []),
+        ("SELECT a FROM t ORDER BY random()", [("order_by_random", "Critical")]),
+        ("SELECT a FROM t ORDER BY random() LIMIT 1", [("order_by_random", "Warning")]),
+        ("DELETE FROM t", [("missing_where_on_update_delete", "Critical")]),
+        ("UPDATE t SET a = {n}", [("missing_where_on_update_delete", "Critical")]),
+        ("DELETE FROM t WHERE a = {n}", []),
+        ("SELECT a, (SELECT max(d.b) FROM d WHERE d.k = t.k) AS m FROM t", [("subquery_in_select_list", "Warning")]),
+        ("SELECT a, (SELECT max(b) FROM d) AS m FROM t", []),
+        ("SELECT a FROM _InfoRg5 WHERE a::mchar = b::text", [("mchar_vs_text_comparison", "Warning"), ("cast_in_where_predicate", "Warning")]),
+        ("SELECT a FROM _InfoRg5 WHERE a::mchar = b::mvarchar(10)", []),
     ],
 }
-OBJECTS = [("Справочник", "Товары"), ("Документ", "Продажа"), ("Перечисление", "Виды")]
-MEMBERS = [("Перечисление", "Виды", "Опт"), ("Справочник", "Товары", "Цена")]
-REFS = [(1, "ВЫБРАТЬ Т.Цена ИЗ Справочник.Товары КАК Т"), (2, "ИЗ Справочник.Тавары"), (3, "ГДЕ А = Перечисление.Виды.Розница"), (4, "Перечисление.Виды.Опт, документ.ПРОДАЖА")]
+SHAPE_OF = "SELECT event_id AS id, (event_id % {})::INT AS shape FROM events"
 
 
-def _texts(spark, rows):
-    return spark.createDataFrame([r[:2] for r in rows], "id int, text string")
+def _texts(shapes):
+    def make(spark, sf_dir):
+        e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"))
+        text = F.element_at(F.array(*(F.lit(t) for t, _ in shapes)), (F.pmod("id", F.lit(len(shapes))) + 1).cast("int"))
+        return e.select("id", F.replace(text, F.lit("{n}"), F.col("id").cast("string")).alias("text"))
 
+    return make
 
-def _expected(rows) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r}')" for i, _, rules in rows for r in rules) + ") AS t(id, rule)"
+
+def _expected(shapes, columns: str, rows) -> str:
+    cells = [f"({i}, " + ", ".join(repr(x) if isinstance(x, str) else str(x) for x in row) + ")" for i, (t, found) in enumerate(shapes) for row in rows(t, found)]
+    return f"WITH s AS ({SHAPE_OF.format(len(shapes))}), f(shape, {columns}) AS (VALUES {', '.join(cells)}) SELECT id, {columns} FROM s JOIN f USING (shape)"
+
+
+def _counted(text, found):
+    return sorted({(r, sum(r == q for q, _ in found)) for r, _ in found})
+
+
+def _placed(text, found):
+    """Line and column where each covered part begins; the parts of one rule follow each other."""
+    out, last = [], {}
+    for rule, part in found:
+        cut = part.partition("{n}")[0]
+        at = text.index(cut, last.get(rule, -1) + 1)
+        last[rule] = at
+        before = text[:at].replace("\r\n", "\n")
+        out.append((rule, before.count("\n") + 1, len(before) - before.rfind("\n")))
+    return out
 
 
 SHARES = (
@@ -73,25 +135,60 @@ SHARES = (
     " WHEN total_duration_ms >= 60000 THEN 'operation_heavy' END AS explanation FROM f"
 )
 
+DEADLOCK_FIGURES = (
+    ", d AS (SELECT id, event_type, len(string_split(json_extract_string(extra, '$.Regions'), ',')) AS regions, list_concat([session_id::VARCHAR], string_split(json_extract_string(extra, '$.WaitConnections'), ','),"
+    " regexp_extract_all(json_extract_string(extra, '$.DeadlockConnectionIntersections'), '(\\S+)->', 1)) AS who FROM ev WHERE event_type = 'TDEADLOCK')"
+    " SELECT id, CASE WHEN regions = 1 AND len(list_distinct(who)) >= 2 THEN 'deadlock_lock_escalation' WHEN regions >= 2 AND len(list_distinct(who)) >= 2 THEN 'deadlock_different_order' ELSE 'deadlock_single_resource' END AS explanation FROM d"
+)
+DESCRIPTION = "CASE WHEN id % 3 = 0 THEN 'Deadlock found ' || id WHEN id % 3 = 1 THEN 'превышено время ожидания' ELSE 'other' END"
+
+
+def _deadlocks(spark, sf_dir):
+    graphs = an.deadlock_graphs(log_events(spark, sf_dir))
+    return ru.explained(graphs.select("id", F.lit("TDEADLOCK").alias("event_type"), F.size("regions").alias("regions_count"), F.size("participants").alias("participants_count")), ("deadlock",)).select("id", "explanation")
+
+
+def _exceptions(spark, sf_dir):
+    rows = log_events(spark, sf_dir).where("event_type IN ('EXCP', 'TLOCK')").select("id", "event_type", F.expr(DESCRIPTION).alias("descr"))
+    return ru.explained(rows, ("exception", "lock")).select("id", "explanation")
+
+
+def _report(spark, sf_dir):
+    """The findings of the rules, and the same once more as of another source."""
+    found = ru.placed_findings(_texts(QUERY_SHAPES)(spark, sf_dir))
+    both = found.withColumn("source", F.lit("native")).unionByName(found.withColumns({"source": F.lit("server"), "severity": F.lit("info")}))
+    return ru.report_of(both)
+
+
 QUERIES = {
-    "n_query_rules": lambda s, d: ru.query_findings(_texts(s, QUERY_TEXTS)).select("id", "rule"),
-    "l_mssql_rules": lambda s, d: ru.sql_findings(_texts(s, SQL_TEXTS["mssql"]), "mssql").select("id", "rule"),
-    "l_postgres_rules": lambda s, d: ru.sql_findings(_texts(s, SQL_TEXTS["postgres"]), "postgres").select("id", "rule"),
-    "m1_missing_objects": lambda s, d: di.missing_objects(di.references(_texts(s, REFS)), s.createDataFrame(OBJECTS, "kind string, name string")),
-    "m6_missing_members": lambda s, d: di.missing_members(di.references(_texts(s, REFS)), s.createDataFrame(MEMBERS, "kind string, name string, member string")),
-    "e1_explained": lambda s, d: ru.explained(
-        vi.operations(log_events(s, d)).join(us.shares(log_events(s, d)), "operation")
-    ).select("operation", "explanation"),
-    "v2_safe_to_explain": lambda s, d: log_events(s, d).where("sql_text is not null").select("id", ru.safe_to_explain(F.when(F.col("id") % 3 == 0, F.concat(F.lit("DELETE FROM t; "), "sql_text")).otherwise(F.col("sql_text"))).alias("safe")),
-    "k9_severity_counts": lambda s, d: ru.sql_findings(_texts(s, SQL_TEXTS["postgres"]), "postgres").groupBy("severity").agg(F.count(F.lit(1)).alias("n")),
+    "n_query_rules": lambda s, d: ru.query_findings(_texts(QUERY_SHAPES)(s, d)).select("id", "rule", "n"),
+    "n_query_ranges": lambda s, d: ru.placed_findings(_texts(QUERY_SHAPES)(s, d)).select("id", "rule", "line", "column"),
+    "k8_report": lambda s, d: _report(s, d).groupBy("id", "source").agg(F.count(F.lit(1)).alias("n"), F.max("place").cast("long").alias("last")),
+    "a22_severities": lambda s, d: ru.severity_counts(ru.placed_findings(_texts(QUERY_SHAPES)(s, d))),
+    "l_mssql_rules": lambda s, d: ru.sql_findings(_texts(SQL_SHAPES["mssql"])(s, d), "mssql").select("id", "rule", "severity"),
+    "l_postgres_rules": lambda s, d: ru.sql_findings(_texts(SQL_SHAPES["postgres"])(s, d), "postgres").select("id", "rule", "severity"),
+    "k9_severity_counts": lambda s, d: ru.sql_findings(_texts(SQL_SHAPES["postgres"])(s, d), "postgres").groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.min(ru.severity_rank(F.col("severity"))).alias("rank")),
+    "e1_explained": lambda s, d: ru.explained(vi.operations(log_events(s, d)).join(us.shares(log_events(s, d)), "operation")).select("operation", "explanation"),
+    "e1_deadlocks": _deadlocks,
+    "e1_exceptions": _exceptions,
+    "v2_safe_to_explain": lambda s, d: log_events(s, d).where("sql_text is not null").select("id", ru.safe_to_explain(F.expr(
+        "CASE id % 5 WHEN 0 THEN concat('DELETE FROM t; ', sql_text) WHEN 1 THEN concat('WITH x AS (', sql_text, ') SELECT * FROM x') WHEN 2 THEN concat(sql_text, '; DROP TABLE t') WHEN 3 THEN concat('/* update */ ', sql_text, ' -- delete') ELSE concat('SET a = 1; ', sql_text) END")).alias("safe")),
+    "x33_rendered": lambda s, d: vi.operations(log_events(s, d)).select("operation", ru.rendered("{{operation}}: {{ calls }} calls, {{missing}}", {"operation": F.col("operation"), "calls": F.col("calls")}).alias("text")),
+    "x34_words": lambda s, d: log_events(s, d).select("id", ru.one_of(F.concat(F.lit(" "), F.upper("event_type")), {"excp": "error", "tlock": "lock"}, "other").alias("word")),
 }
+SEVERITY = {r: s for r, s, _ in ru.QUERY_RULES}
 ORACLES = {
-    "n_query_rules": _expected(QUERY_TEXTS),
-    "l_mssql_rules": _expected(SQL_TEXTS["mssql"]),
-    "l_postgres_rules": _expected(SQL_TEXTS["postgres"]),
-    "m1_missing_objects": "SELECT 2 AS id, 'Справочник' AS kind, 'Тавары' AS name",
-    "m6_missing_members": "SELECT 3 AS id, 'Перечисление' AS kind, 'Виды' AS name, 'Розница' AS member",
+    "n_query_rules": _expected(QUERY_SHAPES, "rule, n", _counted),
+    "n_query_ranges": _expected(QUERY_SHAPES, 'rule, line, "column"', _placed),
+    "k8_report": f"SELECT id, 'native' AS source, count(*) AS n, count(*) AS last FROM ({_expected(QUERY_SHAPES, 'rule, line, c', _placed)}) GROUP BY id",
+    "a22_severities": "SELECT id, " + ", ".join(f"count(*) FILTER (WHERE rule IN ({', '.join(repr(r) for r, s in SEVERITY.items() if s == w)})) AS {w}" for w in ("critical", "warning", "info")) + f" FROM ({_expected(QUERY_SHAPES, 'rule, line, c', _placed)}) GROUP BY id",
+    "l_mssql_rules": _expected(SQL_SHAPES["mssql"], "rule, severity", lambda t, found: found),
+    "l_postgres_rules": _expected(SQL_SHAPES["postgres"], "rule, severity", lambda t, found: found),
+    "k9_severity_counts": f"SELECT severity, count(*) AS n, CASE severity WHEN 'Critical' THEN 1 WHEN 'Warning' THEN 4 ELSE 6 END::BIGINT AS rank FROM ({_expected(SQL_SHAPES['postgres'], 'rule, severity', lambda t, found: found)}) GROUP BY severity",
     "e1_explained": EV + SHARES,
-    "v2_safe_to_explain": EV + "SELECT id, id % 3 <> 0 AS safe FROM ev WHERE sql_text IS NOT NULL",
-    "k9_severity_counts": "SELECT * FROM (VALUES ('Warning', 7::BIGINT), ('Info', 4::BIGINT), ('Critical', 2::BIGINT)) AS t(severity, n)",
+    "e1_deadlocks": EV + DEADLOCK_FIGURES,
+    "e1_exceptions": EV + "SELECT id, CASE WHEN event_type = 'TLOCK' THEN 'lock_timeout' WHEN id % 3 = 0 THEN 'exception_deadlock_victim' WHEN id % 3 = 1 THEN 'exception_timeout' END AS explanation FROM ev WHERE event_type IN ('EXCP', 'TLOCK')",
+    "v2_safe_to_explain": EV + "SELECT id, id % 5 IN (1, 3) AS safe FROM ev WHERE sql_text IS NOT NULL",
+    "x33_rendered": EV + "SELECT context_normalized AS operation, context_normalized || ': ' || count(*) || ' calls, —' AS text FROM ev WHERE context_normalized <> '' GROUP BY 1",
+    "x34_words": EV + "SELECT id, CASE event_type WHEN 'EXCP' THEN 'error' WHEN 'TLOCK' THEN 'lock' ELSE 'other' END AS word FROM ev",
 }
