@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import relational, rules, texts, views
+from .plans import metadata, relational, rules, texts, views
 
-MODULES = (views, relational, texts, rules)
+MODULES = (views, relational, texts, rules, metadata)
 
 
 def queries() -> dict:
