@@ -17,6 +17,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from sys import intern
 
@@ -30,6 +31,7 @@ from .common import buffer_of, read, whole_text
 FIT_ROWS = 5000
 FIT_BYTES = 32 << 20
 PIECE = 48
+WORDS_AT_ONCE = 1 << 17
 SLOTS = 1 << 18
 CHANCE = 1e-6
 LEAST = 3
@@ -85,7 +87,7 @@ def pieces_of(lengths: np.ndarray, size: int = PIECE) -> tuple[np.ndarray, np.nd
     return np.where(mask, begin[:, None] + step[None, :], 0), mask, nth
 
 
-def _carried(steps: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], nth: np.ndarray, back: bool) -> np.ndarray:
+def _carried(steps: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], nth: np.ndarray, back: bool) -> np.ndarray:
     """The ratio that comes into each piece from its document's others. A step maps a ratio x to (c + d x) / (a + b x)."""
     a, b, c, d = np.ones(len(nth)), np.zeros(len(nth)), np.zeros(len(nth)), np.ones(len(nth))
     for p, q, r, s in steps:
@@ -102,8 +104,8 @@ def _carried(steps: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]],
     return out
 
 
-def forward_backward(emit: np.ndarray, mask: np.ndarray, move: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(state 1) per place, and the expected transitions [from, to] over all documents. emit: log-score of state 1 against 0.
+def forward_backward(emit: np.ndarray, mask: np.ndarray, move: np.ndarray, nth: np.ndarray, with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """P(state 1) per place, and the expected transitions [from, to] over all documents if wanted. emit: log-score of state 1 against 0.
 
     With two states a message is one ratio, of state 1 to state 0, and a step maps it by a fraction of two linear terms;
     such maps compose, so each piece is first composed to one map, and the messages between pieces follow from these.
@@ -113,8 +115,8 @@ def forward_backward(emit: np.ndarray, mask: np.ndarray, move: np.ndarray, nth:
     (s00, s01), (s10, s11) = np.exp(move)
     one, zero = np.ones(n), np.zeros(n)
     carry = (nth > 0).any()
-    ahead = _carried([(np.where(m, s00, one), np.where(m, s10 * o, zero), np.where(m, s01, zero), np.where(m, s11 * o, one)) for o, m in zip(odds.T, mask.T)], nth, False) if carry else one
-    behind = _carried([(np.where(m, s00, one), np.where(m, s01 * o, zero), np.where(m, s10, zero), np.where(m, s11 * o, one)) for o, m in zip(odds.T[::-1], mask.T[::-1])], nth, True) if carry else one
+    ahead = _carried(((np.where(m, s00, one), np.where(m, s10 * o, zero), np.where(m, s01, zero), np.where(m, s11 * o, one)) for o, m in zip(odds.T, mask.T)), nth, False) if carry else one
+    behind = _carried(((np.where(m, s00, one), np.where(m, s01 * o, zero), np.where(m, s10, zero), np.where(m, s11 * o, one)) for o, m in zip(odds.T[::-1], mask.T[::-1])), nth, True) if carry else one
     left, right, b = np.empty((n, size)), np.empty((n, size)), behind
     for t in range(size):
         left[:, t] = odds[:, t] * ahead  # ratio of the words up to here
@@ -123,13 +125,16 @@ def forward_backward(emit: np.ndarray, mask: np.ndarray, move: np.ndarray, nth:
         right[:, t] = b  # ratio of the words after
         b = np.where(mask[:, t], (s10 + s11 * odds[:, t] * b) / (s00 + s01 * odds[:, t] * b), b)
     ratio = left * right
+    p = np.where(mask, ratio / (1 + ratio), 0.0)
+    if not with_pairs:
+        return p, None
     go = odds * right
     frm, to, live = left[:, :-1].ravel(), go[:, 1:].ravel(), mask[:, 1:].ravel()
     late = np.flatnonzero(nth > 0)
     frm, to = np.append(frm[live], left[late - 1, -1]), np.append(to[live], go[late, 0])
     w = np.stack([np.full(len(frm), s00), s01 * to, s10 * frm, s11 * frm * to])
     pairs = (w / w.sum(0)).sum(1).reshape(2, 2)
-    return np.where(mask, ratio / (1 + ratio), 0.0), pairs
+    return p, pairs
 
 
 def forms_of(word: str) -> list[str]:
@@ -223,12 +228,17 @@ def summarise(crf: Crf, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray,
 
 
 def marginals(crf: Crf, docs: list[list[str]], lengths: np.ndarray) -> np.ndarray:
-    emit = crf.emission([w for d in docs for w in d])
-    out = np.empty(len(emit))
-    if len(emit):
-        at, mask, nth = pieces_of(lengths)
-        p, _ = forward_backward(emit[at], mask, crf.move, nth)
-        out[at[mask]] = p[mask]
+    """Of all words in a row; some documents at a time."""
+    out, first, upto = np.empty(int(lengths.sum())), 0, np.append(0, np.cumsum(lengths))
+    while first < len(docs):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + WORDS_AT_ONCE, "right")) - 1)
+        own = out[upto[first] : upto[last]]
+        if len(own):
+            emit = crf.emission([w for d in docs[first:last] for w in d])
+            at, mask, nth = pieces_of(lengths[first:last])
+            p, _ = forward_backward(emit[at], mask, crf.move, nth, False)
+            own[at[mask]] = p[mask]
+        first = last
     return out
 
 
