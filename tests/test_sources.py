@@ -1,5 +1,7 @@
 import datetime
 import json
+import os
+import zipfile
 
 import pytest
 
@@ -7,13 +9,12 @@ from tracelake.functions import text as tx
 from tracelake.operators import filters, rules, usage
 from tracelake.plans.views import log_events
 from tracelake.sources import logs
-from tracelake.sources.console import Rejected, check, console
+from tracelake.sources.console import Rejected, check, console, report
 from tracelake.sources.export import export
 from tracelake.streaming import follow
 
 DATA = "/root/testdata/sf0.001"
-LOG = """junk before the first header
-00:01.123456-1500,DBMSSQL,3,process=rphost,t:clientID=17,Usr=ann,Sql='SELECT ''x'', a
+LOG = """00:01.123456-1500,DBMSSQL,3,process=rphost,t:clientID=17,Usr=ann,Sql='SELECT ''x'', a
 FROM t
 WHERE b = 12',Rows=5,RowsAffected=,Context=Doc.Sale.Module : 12 : run
 00:02.5-,CALL,1,SessionID=x9,Context="two ""quoted"", parts",Memory=7
@@ -31,19 +32,56 @@ def test_read_logs(spark, tmp_path):
     put(tmp_path / "rphost_12", "24031507.log", LOG)
     put(tmp_path / "other", "24031508.log", "00:01.1-1,EXCP,0,Descr='Ошибка'\r\n", "cp1251")
     put(tmp_path / "other", "notes.log", LOG)
-    put(tmp_path / "other", "24031509.log", "")
+    put(tmp_path / "other", "24031509.log", "", "utf-8")
+    put(tmp_path / "other", "24031510.log", "junk before the first header\n" + LOG)
+    files = logs.scanned_files(spark, str(tmp_path))
+    assert {(r.name, r.reason) for r in files.collect()} == {("24031507.log", "log"), ("24031508.log", "log"), ("notes.log", "other_name"), ("24031510.log", "not_log")}
+    assert {r.reason: r.n for r in logs.scan_stats(files).collect()}["log"] == 2 and [r.name for r in logs.log_files(spark, str(tmp_path)).collect()] == ["24031508.log", "24031507.log"]
     got = logs.read_logs(spark, str(tmp_path), "A").orderBy("source_file", "source_line_start").collect()
     assert [r.event_type for r in got] == ["EXCP", "DBMSSQL", "CALL", "NEWTYPE", "CALL"]
     assert json.loads(got[0].extra) == {"Descr": "Ошибка"} and got[0].process_role == "unknown" and got[0].process_pid is None
     sql = got[1]
     assert sql.sql_text == "SELECT 'x', a\nFROM t\nWHERE b = 12" and sql.sql_text_normalized == "SELECT ?, a FROM t WHERE b = ?"
     assert (sql.ts, sql.duration_us, sql.session_id, sql.rows_read, sql.rows_modified, sql.context_normalized, sql.process_role, sql.process_pid, sql.source_line_start) == (
-        datetime.datetime(2024, 3, 15, 7, 0, 1, 123456), 1500, 17, 5, None, "Doc.Sale.Module", "rphost", 12, 2,
+        datetime.datetime(2024, 3, 15, 7, 0, 1, 123456), 1500, 17, 5, None, "Doc.Sale.Module", "rphost", 12, 1,
     )
     assert got[2].context == 'two "quoted", parts' and got[2].session_id is None and got[2].duration_us is None
     assert got[4].ts == datetime.datetime(2024, 3, 15, 7) and len({r.id for r in got}) == 5
 
 
+def test_code_pages_and_file_times(spark, tmp_path):
+    put(tmp_path / "a", "24031508.log", "00:01.1-1,EXCP,0,Descr='Шина'\n", "cp866")
+    put(tmp_path / "b", "24031508.log", "00:01.1-1,EXCP,0,Descr='Шина'\n", "utf-8")
+    put(tmp_path / "c", "24139999.log", "00:01.1-1,EXCP,0,Descr='x'\n")
+    os.utime(tmp_path / "c" / "24139999.log", (1_700_000_000, 1_700_000_000))
+    got = {r.source_file: r for r in logs.read_logs(spark, str(tmp_path), "A").collect()}
+    assert json.loads(got["a/24031508.log"].extra) == json.loads(got["b/24031508.log"].extra) == {"Descr": "Шина"}
+    assert got["c/24139999.log"].ts == datetime.datetime(2023, 11, 14, 22, 0, 1, 100000)
+
+
+def test_zipped_logs(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("rphost_12/24031507.log", LOG)
+        z.writestr("../24031507.log", LOG)
+        z.writestr("/abs/24031507.log", LOG)
+        z.writestr("notes.txt", LOG)
+    put(tmp_path / "plain" / "rphost_12", "24031507.log", LOG, "utf-8")
+    zipped, plain = logs.read_logs(spark, str(tmp_path), "A", zipped=True).collect(), logs.read_logs(spark, str(tmp_path / "plain"), "A").collect()
+    assert sorted(zipped, key=lambda r: r.id) == sorted(plain, key=lambda r: r.id) and len(plain) == 4
+
+
+def test_generated_logs(spark, tmp_path):
+    lines = logs.generated_lines(spark, 200, 2).collect()
+    assert lines == logs.generated_lines(spark, 200, 2).collect() and len(lines) == 400
+    for file in {r.file for r in lines}:
+        put(tmp_path / file.split("/")[0], file.split("/")[1], "".join(r.line + "\n" for r in lines if r.file == file))
+    got = logs.read_logs(spark, str(tmp_path), "A")
+    assert got.count() == 400 and got.where("sql_text is not null and engine is not null").count() == sum("Sql=" in r.line for r in lines)
+    logs.write_archive(got, str(tmp_path / "w"))
+    known = spark.createDataFrame([("A",), ("B",)], "name string")
+    assert {(r.name, r.is_orphan) for r in logs.with_files(known, spark, str(tmp_path / "w")).collect()} == {("A", False), ("B", True)}
+
+
 def test_splits_give_the_same_events(spark, tmp_path):
     body = "".join(f"{i % 60:02d}:00.{i:06d}-{i},CALL,1,Context='c{i}\nmore {'x' * (i % 50)}\nlines'\n" for i in range(2000))
     put(tmp_path / "rmngr_1", "24031507.log", body)
@@ -68,7 +106,7 @@ def test_archives_and_exports(spark, tmp_path):
 
 @pytest.mark.parametrize("sql", [
     "DROP TABLE events", "INSERT INTO events SELECT 1", "SELECT * FROM parquet.`/etc`", "SELECT reflect('java.lang.System', 'exit', 1) FROM events", "SELECT TRANSFORM(a) USING 'cat' FROM events", "SET a = 1",
-    "SELECT * FROM other", "SELECT (SELECT max(x) FROM other) FROM events", "SELECT '--' ; DROP TABLE events", "CACHE TABLE events",
+    "WITH other AS (SELECT * FROM other) SELECT * FROM other", "WITH a AS (SELECT 1), b AS (WITH c AS (SELECT * FROM c) SELECT * FROM c) SELECT * FROM b", "SELECT * FROM other", "SELECT (SELECT max(x) FROM other) FROM events", "SELECT '--' ; DROP TABLE events", "CACHE TABLE events",
 ])
 def test_console_rejects(spark, sql):
     with pytest.raises(Exception) as e:
@@ -80,6 +118,11 @@ def test_console(spark):
     e = spark.range(30).toDF("id")
     assert console(spark, "WITH a AS (SELECT id FROM events) SELECT count(*) AS n FROM a WHERE id > (SELECT avg(id) FROM events)", {"events": e}).first().n == 15
     assert console(spark, "SELECT * FROM events", {"events": e}, 5).count() == 5
+    assert console(spark, "WITH a AS (SELECT id FROM events), b AS (SELECT * FROM a) SELECT max(id) AS n FROM b WHERE id < :top", {"events": e}, args={"top": 7}).first().n == 6
+    assert console(spark, "SELECT count(*) AS n FROM events WHERE id > ?", {"events": e}, args=[27]).first().n == 2
+    assert console(spark, "WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r WHERE n < 4) SELECT max(n) AS n FROM r", {"events": e}).first().n == 4
+    part, whole = report(spark, "SELECT id, TIMESTAMP_NTZ '2024-01-02 03:04:05' AS t, array(1.5BD) AS a FROM events ORDER BY id", {"events": e}, 29), report(spark, "SELECT id FROM events", {"events": e}, 30)
+    assert part.truncated and len(part.rows) == 29 and part.rows[0] == [0, "2024-01-02T03:04:05", ["1.5"]] and part.columns[0] == ("id", "bigint") and not whole.truncated
 
 
 def test_stream(spark, tmp_path):
