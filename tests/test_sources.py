@@ -4,6 +4,7 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.functions import text as tx
 from tracelake.operators import filters, rules, usage
@@ -134,6 +135,28 @@ def test_stream(spark, tmp_path):
     assert spark.table("locks").selectExpr("sum(locks) + sum(deadlocks) AS n").first().n == e.where("event_type in ('TLOCK', 'TDEADLOCK')").count()
 
 
+def test_log_stream(spark, tmp_path):
+    run = lambda: follow.follow_logs(spark, str(tmp_path / "in"), "A", str(tmp_path / "w"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    put(tmp_path / "in" / "rphost_12", "24031507.log", LOG)
+    run()
+    put(tmp_path / "in" / "rphost_12", "24031508.log", LOG)
+    run()
+    got = spark.read.parquet(str(tmp_path / "w"))
+    assert got.count() == 8 and got.select("id").distinct().count() == 8 and got.where("process_role = 'rphost'").count() == 8
+
+
+def test_interval_join(spark, tmp_path):
+    e = log_events(spark, DATA)
+    e.write.parquet(str(tmp_path / "in"))
+    side = lambda *types: follow.follow(spark, str(tmp_path / "in"), e.schema).where(F.col("event_type").isin(*types))
+    q = follow.calls_with_locks(side("CALL"), side("TLOCK"), 86_400, "30 days").writeStream.format("memory").queryName("near").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    rows = e.select("id", "ts", "session_id", "event_type").collect()
+    day = datetime.timedelta(days=1)
+    want = {(a.id, b.id) for a in rows if a.event_type == "CALL" for b in rows if b.event_type == "TLOCK" and a.session_id == b.session_id and a.ts - day <= b.ts <= a.ts}
+    assert want and {(r.call_id, r.lock_id) for r in spark.table("near").collect()} == want
+
+
 def test_admission(spark, tmp_path):
     rows = [("k", f"i{n % 3}", n * 60) for n in range(40)]
     spark.createDataFrame(rows, "key string, item string, at long").coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -11,6 +11,12 @@ def field(extra: Column, *names: str) -> Column:
     return F.coalesce(*(F.nullif(F.get_json_object(extra, f"$.{n}"), F.lit("")) for n in names))
 
 
+def problem(extra: Column) -> Column:
+    """The first 200 characters of what isn't a JSON object; null where it is one, or there is none."""
+    kind = F.schema_of_variant(F.try_parse_json(extra))
+    return F.when(extra.isNotNull() & ~F.coalesce(kind.startswith("OBJECT"), F.lit(False)), F.substring(extra, 1, 200))
+
+
 def _parts(c: Column, pattern: str) -> Column:
     found = F.filter(F.transform(F.split(c, pattern), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     return F.coalesce(found, F.array().cast("array<string>"))

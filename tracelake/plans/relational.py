@@ -56,14 +56,13 @@ def _ask(sql: str):
 
 
 def as_of(spark, sf_dir: str):
-    """Each purchase with the latest click of its user at or before it: one union and one window, no range join."""
-    from pyspark.sql.window import Window
-
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type IN ('purchase', 'click')")
-    click = F.when(F.col("event_type") == "click", F.struct("ts", "event_id"))
-    order = Window.partitionBy("user_id").orderBy("ts", F.col("event_type")).rowsBetween(Window.unboundedPreceding, 0)
-    joined = e.withColumn("click", F.last(click, ignorenulls=True).over(order))
-    return joined.where("event_type = 'purchase'").select("event_id", "user_id", F.col("click.ts").alias("click_ts"))
+    """Each purchase with the latest click of its user at or before it."""
+    from ..operators.usage import last_before
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "event_type", F.col("ts").alias("click_ts"))
+    side = lambda kind, *columns: e.where(F.col("event_type") == kind).select(*columns)
+    joined = last_before(side("purchase", "event_id", "user_id", "ts"), side("click", "user_id", "ts", "click_ts"), "user_id", "ts", "click_ts")
+    return joined.select("event_id", "user_id", F.col("last_click_ts").alias("click_ts"))
 
 
 def pivot(spark, sf_dir: str):

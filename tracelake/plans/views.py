@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..adapter import EV, log_events
+from ..functions import deadlocks, plan_lines
 from ..operators import anatomy as an
 from ..operators import compare as co
 from ..operators import filters as fi
@@ -203,3 +204,47 @@ add(
     ", r AS (SELECT session_id, epoch_us(ts) AS s, epoch_us(ts) + duration_us * 100 AS e FROM ev), m AS (SELECT *, CASE WHEN max(e) OVER (PARTITION BY session_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > s THEN 0 ELSE 1 END AS n FROM r),"
     " g AS (SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS grp FROM m) SELECT session_id, min(s) AS start, max(e) AS \"end\", count(*) AS n FROM g GROUP BY session_id, grp",
 )
+add(
+    "w4_groups", lambda e: us.range_groups(e.select("session_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("s"), (F.unix_micros(F.col("ts").cast("timestamp")) + F.col("duration_us") * 100).alias("e"), F.expr("element_at(array('Info', 'Major', 'Critical'), cast(id % 3 + 1 as int))").alias("severity"), F.expr("concat('c', id % 5)").alias("code")), ["session_id"], "s", "e", ("Critical", "Major", "Info")),
+    ", r AS (SELECT session_id, epoch_us(ts) AS s, epoch_us(ts) + duration_us * 100 AS e, 2 - id % 3 AS rank, 'c' || (id % 5) AS code FROM ev), m AS (SELECT *, CASE WHEN max(e) OVER (PARTITION BY session_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > s THEN 0 ELSE 1 END AS n FROM r),"
+    " g AS (SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS grp FROM m), c AS (SELECT session_id, grp, string_agg(code, ',' ORDER BY rank, code) AS codes FROM (SELECT DISTINCT session_id, grp, rank, code FROM g) GROUP BY ALL)"
+    " SELECT session_id, min(s) AS start, max(e) AS \"end\", ['Critical', 'Major', 'Info'][min(rank) + 1] AS severity, any_value(codes) AS codes FROM g JOIN c USING (session_id, grp) GROUP BY session_id, grp",
+)
+add("a18_overall", lambda e: us.overall(e, "process_pid"), "SELECT count(*) AS total, count(DISTINCT process_pid) AS devices FROM ev")
+add(
+    "a19_month_summary", lambda e: us.month_summary(e, "user_name", "ts", "process_pid", F.col("event_type") != "EXCP", F.when(F.col("id") % 3 == 0, "paid").otherwise("free")),
+    "SELECT user_name AS \"user\", date_trunc('month', ts)::TIMESTAMP AS month, count(*) AS used, count(DISTINCT process_pid) AS devices, count(*) FILTER (WHERE id % 3 <> 0) AS free, count(*) FILTER (WHERE id % 3 = 0) AS paid FROM ev WHERE event_type <> 'EXCP' GROUP BY 1, 2",
+)
+add(
+    "a21_cache_stats", lambda e: us.cache_stats(e.select(F.col("event_type").alias("kind"), F.concat(F.lit("k"), "id").alias("key"), (F.col("duration_us") % 1000).alias("size"), (F.col("duration_us") % 37).alias("hits"), F.col("ts").alias("at")), 3),
+    ", c AS (SELECT event_type AS kind, 'k' || id AS key, duration_us % 1000 AS size, duration_us % 37 AS hits, ts AS made FROM ev), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY kind ORDER BY hits DESC, key) <= 3), u AS (SELECT kind, string_agg(key, ',' ORDER BY hits DESC, key) AS most_used FROM b GROUP BY 1)"
+    " SELECT kind, count(*) AS n, sum(size)::BIGINT AS bytes, sum(hits)::BIGINT AS hits, min(made) AS oldest, max(made) AS newest, any_value(most_used) AS most_used FROM c JOIN u USING (kind) GROUP BY kind",
+)
+MIXED = "CASE WHEN id % 4 = 0 THEN concat('{\"a\":', id % 7, ',\"b\":\"x', id % 5, '\"}') WHEN id % 4 = 1 THEN '{\"a\":\"t\",\"b\":[1,2]}' WHEN id % 4 = 2 THEN '{\"a\":true,\"b\":{\"c\":1}}' END"
+add(
+    "a25_json_profile", lambda e: us.json_profile(e.select("event_type", F.expr(MIXED).alias("extra"))),
+    f", x AS (SELECT event_type, {MIXED.replace('concat', 'concat')} AS extra FROM ev), p AS (SELECT event_type, unnest(['a', 'b']) AS key, extra FROM x WHERE extra IS NOT NULL),"
+    " v AS (SELECT event_type, key, CASE json_type(extra, '$.' || key) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind, json_extract_string(extra, '$.' || key) AS text FROM p),"
+    " d AS (SELECT event_type, key, kind, text, count(*) AS n FROM v GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type, key, kind ORDER BY text) AS i FROM d)"
+    " SELECT event_type, key, kind, sum(n)::BIGINT AS n, string_agg(text, '|' ORDER BY text) FILTER (WHERE i <= 3) AS samples FROM r GROUP BY ALL",
+)
+BROKEN = "CASE id % 4 WHEN 0 THEN extra WHEN 1 THEN concat('[1,', id, ']') WHEN 2 THEN concat(repeat('x', 250), id) END"
+add("x18_problems", lambda e: e.select("id", deadlocks.problem(F.expr(BROKEN)).alias("problem")), f"SELECT id, CASE WHEN id % 4 IN (1, 2) THEN substr({BROKEN}, 1, 200) END AS problem FROM ev")
+PLAN_TEXT = "concat('Limit  (cost=0.00..', id, '.5 rows=', id, ' width=8) (actual time=0.1..2.5 rows=10 loops=', id % 3, ')\n  ->  Nested Loop  (cost=0.00..2.00 rows=1 width=4)\n        Join Filter: (a = b)\n        Rows Removed by Filter: ', id * 10, '\n        ->  Seq Scan on t', id, '  (cost=0.00..1.00 rows=1 width=4) (never executed)\n        ->  Index Only Scan using i on d  (cost=0.00..1.00 rows=1 width=4)\n              Heap Fetches: ', id % 2, '\n              Buffers: shared hit=1\n  Workers Planned: 2\nPlanning Time: 0.5 ms\nsomething else')"
+add(
+    "x38_plan_lines", lambda e: plan_lines.annotated(e.select("id", F.expr(PLAN_TEXT).alias("plan_text"))),
+    ", l(n, depth, kind, name, never) AS (VALUES (1, 0, 'node', 'Limit', false), (2, 6, 'node', 'Nested Loop', false), (3, NULL, 'condition', 'Join Filter', NULL), (4, NULL, 'removed', NULL, NULL), (5, 12, 'node', 'Seq Scan', true), (6, 12, 'node', 'Index Only Scan', false), (7, NULL, 'heap_fetches', NULL, NULL), (8, NULL, 'buffers', NULL, NULL), (9, NULL, 'workers', NULL, NULL), (10, NULL, 'timing', 'Planning Time', NULL), (11, NULL, 'other', NULL, NULL))"
+    " SELECT id, n, depth, kind, name, CASE n WHEN 1 THEN id + 0.5::DOUBLE WHEN 2 THEN 2.0::DOUBLE WHEN 5 THEN 1.0::DOUBLE WHEN 6 THEN 1.0::DOUBLE END AS cost, CASE WHEN n = 1 THEN id WHEN n IN (2, 5, 6) THEN 1 END AS rows_expected,"
+    " CASE n WHEN 1 THEN 10.0::DOUBLE END AS rows_met, CASE n WHEN 1 THEN id % 3 END AS loops, never, CASE n WHEN 3 THEN '(a = b)' WHEN 4 THEN (id * 10)::VARCHAR WHEN 7 THEN (id % 2)::VARCHAR WHEN 9 THEN '2' WHEN 10 THEN '0.5' END AS value,"
+    " coalesce((n = 4 AND id * 10 >= 1000) OR (n = 7 AND id % 2 > 0), false) AS flagged FROM ev, l",
+)
+add(
+    "x38_parents", lambda e: plan_lines.parents(plan_lines.annotated(e.select("id", F.expr(PLAN_TEXT).alias("plan_text")))),
+    ", l(n, parent) AS (VALUES (1, NULL), (2, 1), (5, 2), (6, 2)) SELECT id, n, parent FROM ev, l",
+)
+add("k11_chips", lambda e: vi.in_chip_order(vi.type_counts(e)).limit(3), "SELECT event_type, count(*) AS n FROM ev WHERE event_type IN ('TDEADLOCK', 'EXCP', 'EXCPCNTX') GROUP BY 1")
+add(
+    "k6_sorted_cells", lambda e: vi.sorted_cells(e.select("id", F.expr("CASE id % 3 WHEN 0 THEN concat(id % 50, ',5') WHEN 1 THEN concat('b', id % 7) END").alias("cell")), "cell").limit(200),
+    ", c AS (SELECT id, CASE id % 3 WHEN 0 THEN (id % 50) || ',5' WHEN 1 THEN 'b' || (id % 7) END AS cell FROM ev) SELECT id, cell FROM c ORDER BY cell IS NULL, try_cast(replace(cell, ',', '.') AS DOUBLE) NULLS LAST, cell, id LIMIT 200",
+)
+add("f10_postgres_plans", lambda e: vi.plan_page(e, "postgres", 20).select("event_id", "engine"), "SELECT id AS event_id, engine FROM ev WHERE plan_text <> '' AND engine = 'postgres' ORDER BY duration_us DESC, ts DESC, id LIMIT 20")

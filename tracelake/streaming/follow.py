@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import logs
+
 PER_HOUR, COOLDOWN = 10, 300
 
 
@@ -17,6 +19,37 @@ def follow(spark: SparkSession, path: str, schema, files_per_batch: int = 16) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def follow_logs(spark: SparkSession, root: str, archive: str, path: str, checkpoint: str, files_per_batch: int = 16):
+    """Appends the events of each log file that appears below a folder to an archive table; returns the writer, to be started.
+
+    A file is read when it appears, so it must be complete then. The ids of a batch follow those of the one before it."""
+    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.log").option("maxFilesPerTrigger", files_per_batch)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    rows = files.schema(schema).load(root).where(F.element_at(F.split("path", "/"), -1).rlike(logs.FILE_NAME))
+
+    def step(batch: DataFrame, number: int) -> None:
+        def cut(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for t in tables:
+                for file, modified, content in zip(t["path"], t["modificationTime"], t["content"], strict=True):
+                    lines = content.removesuffix(b"\n").split(b"\n")
+                    for a in range(0, len(lines), 10_000):
+                        yield pd.DataFrame({"value": lines[a : a + 10_000], "file": file, "block": 0, "modified": modified})
+
+        lines = batch.select("path", "modificationTime", "content").mapInPandas(cut, "value binary, file string, block long, modified timestamp")
+        events = logs.interpreted(logs.raw_events(lines), archive)
+        logs.write_archive(events.withColumn("id", F.lit(number << 40) + F.col("id")), path)
+
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def calls_with_locks(calls: DataFrame, locks: DataFrame, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
+    """Each call with the locks of its session in the seconds up to it; a join of two streams whose state ends with the watermark."""
+    a = calls.select(F.col("id").alias("call_id"), "session_id", F.col("ts").cast("timestamp").alias("call_at")).withWatermark("call_at", late)
+    b = locks.select(F.col("id").alias("lock_id"), F.col("session_id").alias("_session"), F.col("ts").cast("timestamp").alias("lock_at")).withWatermark("lock_at", late)
+    near = F.expr(f"session_id = _session AND lock_at <= call_at AND lock_at >= call_at - INTERVAL {int(seconds)} SECONDS")
+    return a.join(b, near).select("call_id", "lock_id", "session_id", "call_at", "lock_at")
+
+
 def lock_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Locks and deadlocks by window; events later than ``late`` behind the newest are dropped."""
     rows = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).where(F.col("event_type").isin("TLOCK", "TDEADLOCK"))
