@@ -178,8 +178,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("_key"), F.col("hash").alias("_hash"))).alias("k")
     keep = fps.join(components(fps).select("fp", "root"), "fp").groupBy("root").agg(first).select("k.*")
     keys = ["_none", "_key", "_hash"]
-    rows = docs.withColumn("_none", F.col("doc_id").cast("long").isNull()).withColumn("_key", key_of()).withColumn("_hash", F.xxhash64(whole_text()))
-    return rows.join(keep, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").isNull().alias("_none"), key_of().alias("_key"), F.xxhash64(whole_text()).alias("_hash"))
+    return rows.join(keep, keys, "left_semi").dropDuplicates(keys).select("_row.*")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
