@@ -24,7 +24,7 @@ CLASHES = ["fp", "t", "doc", "key", "th", "uid", "row", "score", "spans", "compo
 
 @pytest.fixture(scope="module")
 def crf(spark):
-    return toxicity.learn(read(spark, DATA, "documents"), read(spark, DATA, "labels"))
+    return toxicity.learn(*(read(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels")))
 
 
 @pytest.fixture(scope="module")
@@ -73,7 +73,7 @@ def test_very_long_text(spark, docs_of, operators, bench, name):
     item = bench.where("text is not null").orderBy("item_id").first()
     long = " ".join(str(r.getrandbits(30)) for _ in range(300_000)) + f" {item.text} You utter idiot. Released under the MIT License."
     make, each = operators[name]
-    rows = {x[0]: x for x in make(docs_of([(1, long), (2, "short"), (3, long[3_000_000:3_001_000])])).collect()}
+    rows = {x[0]: x for x in make(docs_of([(1, long), (2, "short"), (3, long[1_000_000:1_001_000])])).collect()}
     assert not each or set(rows) == {1, 2, 3}
     one = rows.get(1)
     if name == "op1":
@@ -112,8 +112,9 @@ def test_chain_of_odd_rows(spark, docs_of):
     assert chained(spark, docs_of([])).count() == 0
 
 
-def test_pipeline_by_hand(spark, crf, bench):
+def test_pipeline_by_hand(spark, bench):
     """The stages over the smallest documents, each worked out again by itself."""
+    crf = toxicity.learn(read(spark, DATA, "documents"), read(spark, DATA, "labels"))
     docs = [(r.doc_id, r.text, r.source) for r in read(spark, DATA, "documents").collect()]
     docs = [d for d, s in zip(docs, toxicity._scores(crf, [d[1] or "" for d in docs]), strict=True) if s < toxicity.REJECT]
     first = {c for _, _, c in brute_simhash([(i, t) for i, t, _ in docs])}
