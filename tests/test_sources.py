@@ -11,7 +11,7 @@ from tracelake.operators import filters, rules, usage
 from tracelake.plans.views import log_events
 from tracelake.sources import logs
 from tracelake.sources.console import Rejected, check, console, report
-from tracelake.sources.export import export
+from tracelake.sources.export import document, export
 from tracelake.streaming import follow
 
 DATA = "/root/testdata/sf0.001"
@@ -203,6 +203,64 @@ def test_configuration(spark, tmp_path):
     assert [r.name for r in dictionary.missing_objects(refs, rows).collect()] == ["Услуги"]
 
 
+def test_predefined_items_and_index(spark, tmp_path):
+    from tracelake.sources.configuration import indexed_configuration, read_configuration
+
+    item = lambda name, more="": f"<Item><Name>{name}</Name>{more}</Item>"
+    nested = item("Группа", f"<ChildItems>{item('Внутри')}</ChildItems>")
+    put(tmp_path / "in" / "Catalogs" / "Товары" / "Ext", "Predefined.xml", f"<PredefinedData xmlns='http://example.org/p'>{item('Основной')}{nested}</PredefinedData>", "utf-8")
+    put(tmp_path / "in" / "Documents" / "Счет" / "Ext", "Predefined.xml", f"<PredefinedData>{item('Нет')}</PredefinedData>", "utf-8")
+    rows = read_configuration(spark, str(tmp_path / "in")).collect()
+    assert {(r.kind, r.name, r.member_kind, r.member) for r in rows} == {("Справочник", "Товары", "predefined", m) for m in ("Основной", "Группа", "Внутри")}
+    table = lambda: {r.member for r in indexed_configuration(spark, str(tmp_path / "in"), str(tmp_path / "w")).collect()}
+    assert table() == {"Основной", "Группа", "Внутри"}
+    made = sorted(f.name for f in (tmp_path / "w" / "rows").iterdir())
+    assert table() and sorted(f.name for f in (tmp_path / "w" / "rows").iterdir()) == made  # not made anew
+    put(tmp_path / "in" / "Catalogs" / "Услуги" / "Ext", "Predefined.xml", f"<PredefinedData>{item('Другой')}</PredefinedData>", "utf-8")
+    assert "Другой" in table()
+
+
+def test_archive_stats_and_documents(spark, tmp_path):
+    e = log_events(spark, DATA)
+    logs.write_archive(e, str(tmp_path / "w"))
+    got = {r.archive_id: r for r in logs.archive_stats(spark, str(tmp_path / "w")).collect()}
+    assert got["A"].events == e.where("archive_id = 'A'").count() and got["B"].bytes > 0 and got["A"].first < got["B"].last
+    said = json.loads(document(report(spark, "SELECT 1 AS a, 'x' AS b", {}), datetime.datetime(2024, 1, 2)))
+    assert said == {"columns": ["a", "b"], "rows": [[1, "x"]], "exported_at": "2024-01-02T00:00:00"}
+
+
+def test_rule_files(spark):
+    text = """---
+id: slow_one
+applies_to: operation
+priority: 70
+patterns:
+  - field: calls
+    operator: ">="
+    value: 10
+  - field: kind
+    operator: in
+    value: [a, "b c"]
+---
+# Title: {{calls}}
+"""
+    (rule,) = rules.rules_from([text, "no block here"])
+    assert rule == ("slow_one", "operation", 70, [("calls", ">=", 10), ("kind", "in", ["a", "b c"])])
+    rows = spark.createDataFrame([(1, 10, "a"), (2, 9, "a"), (3, 50, "b c"), (4, 50, None)], "id int, calls int, kind string")
+    assert [r.id for r in rules.explained(rows, rules=[rule]).where("explanation = 'slow_one'").orderBy("id").collect()] == [1, 3]
+    assert rules.explained(rows.drop("kind"), rules=[rule]).where("explanation is not null").count() == 0
+
+
+def test_quantiles_and_windows_of_null_keys(spark):
+    from tracelake.operators.compare import exact_quantiles
+
+    rows = spark.createDataFrame([("a", v) for v in (5, 1, 1, 9, 4)] + [("b", 7)], "k string, v long")
+    assert {r.k: (r.p, r.q) for r in exact_quantiles(rows, "k", "v", {"p": 0.5, "q": 0.9}).collect()} == {"a": (4.0, 7.4), "b": (7.0, 7.0)}
+    at = datetime.datetime(2024, 1, 1, 0, 30)
+    events = spark.createDataFrame([(1, 7, at), (2, 7, at + datetime.timedelta(minutes=59)), (3, 7, at + datetime.timedelta(minutes=61)), (4, None, at), (5, None, at)], "id long, session_id int, ts timestamp_ntz")
+    assert {r.id: r.in_the_hour for r in usage.hour_load(events).collect()} == {1: 1, 2: 2, 3: 2, 4: None, 5: None}
+
+
 def test_plan_texts(spark):
     from tracelake.functions.plan_texts import canonical_json_plan, canonical_numbered_plan, canonical_xml_plan
 

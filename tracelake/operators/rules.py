@@ -224,6 +224,68 @@ def first_of_each(findings: DataFrame, key: list[str], order: list) -> DataFrame
     return findings.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def blanked(c: Column) -> Column:
+    """A statement of the same length, with blanks for comments and for what stands in literals."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)/\*.*?\*/|--[^\n]*|'(?:[^']|'')*'|[^'/-]+|."), F.lit(0))
+    blank = lambda x: F.repeat(F.lit(" "), F.length(x))
+    quoted = lambda x: F.concat(F.lit("'"), F.repeat(F.lit(" "), F.length(x) - 2), F.lit("'"))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("/*") | x.startswith("--"), blank(x)).when(x.startswith("'") & (F.length(x) > 1), quoted(x)).otherwise(x)), "")
+
+
+# How bad what a language server reports is, by its rule, and else by its number or word.
+SERVER_RULES = {
+    "QueryParseError": "Blocker", "QueryToMissingMetadata": "Blocker", "VirtualTableCallWithoutParameters": "Critical", "FieldsFromJoinsWithoutIsNull": "Critical", "JoinWithSubQuery": "Major", "JoinWithVirtualTable": "Major",
+    "RefOveruse": "Major", "QueryNestedFieldsByDot": "Major", "FullOuterJoinQuery": "Major", "UnionAll": "Major", "SelectTopWithoutOrderBy": "Major", "IncorrectUseLikeInQuery": "Major", "LogicalOrInJoinQuerySection": "Major",
+    "LogicalOrInTheWhereSectionOfQuery": "Major", "SameMetadataObjectAndChildNames": "Major", "ForbiddenMetadataName": "Major", "AssignAliasFieldsInQuery": "Minor", "UsingLikeInQuery": "Minor", "MultilineStringInQuery": "Minor",
+}
+SERVER_NUMBERS = {"1": "Critical", "2": "Major", "3": "Minor", "4": "Info"}
+
+
+def diagnostics(rows: DataFrame) -> DataFrame:
+    """id, code, message, severity, range and snippet of what a language server says in ``raw`` (JSON) about ``text``. Lines and columns
+    are from 0, as the server counts; the snippet is null beyond the text."""
+    table = lambda d: F.create_map(*(F.lit(x) for pair in d.items() for x in pair))
+    at = lambda path: F.get_json_object("raw", f"$.{path}")
+    place = {f"{e}_{c}": at(f"range.{e}.{c}").try_cast("int") for e in ("start", "end") for c in ("line", "character")}
+    words = F.when(F.initcap(at("severity")).isin(*SEVERITIES), F.initcap(at("severity")))
+    severity = F.coalesce(F.try_element_at(table(SERVER_RULES), F.col("code")), words, F.try_element_at(table(SERVER_NUMBERS), at("severity")), F.lit("Major"))
+    lines, a, z = F.split("text", r"\r\n|\r|\n"), F.col("start_line"), F.col("end_line")
+    first, last = F.get(lines, a), F.substring(F.get(lines, z), F.lit(1), F.col("end_character"))
+    one = F.substring(first, F.col("start_character") + 1, F.col("end_character") - F.col("start_character"))
+    many = F.array_compact(F.concat(F.array(F.substring(first, F.col("start_character") + 1, F.length(first))), F.slice(lines, a + 2, F.greatest(z - a - 1, F.lit(0))), F.array(last)))
+    snippet = F.when(a < F.size(lines), F.when(a == z, one).otherwise(F.array_join(many, "\n")))
+    out = rows.withColumns({"code": at("code"), "message": F.coalesce(at("message"), F.lit("")), **place})
+    return out.select("id", "code", "message", severity.alias("severity"), *place, snippet.alias("snippet"))
+
+
+def rules_from(texts: list[str]) -> list[tuple]:
+    """Explanations from rule files that begin with a block of ``key: value`` lines between ``---``: id, applies_to, priority, and a list of
+    patterns, each with field, operator (``==`` if there is none) and value."""
+    out = []
+    for text in texts:
+        block = re.match(r"---\s*\n(.*?)\n---", text.lstrip("\ufeff"), re.S)
+        head, patterns = {}, []
+        for line in block[1].splitlines() if block else ():
+            m = re.match(r"(\s*)(-\s+)?(\w+):\s*(.*?)\s*$", line)
+            if not m or not m[4] and m[3] == "patterns":
+                continue
+            if m[2]:
+                patterns.append({})
+            (patterns[-1] if m[1] and patterns else head)[m[3]] = _scalar(m[4])
+        if "id" in head:
+            out.append((head["id"], head.get("applies_to", ""), int(head.get("priority", 0)), [(p["field"], p.get("operator", "=="), p.get("value")) for p in patterns if "field" in p]))
+    return out
+
+
+def _scalar(word: str):
+    if word[:1] in "\"'" and word[-1:] == word[:1] and len(word) > 1:
+        return word[1:-1]
+    if word.startswith("[") and word.endswith("]"):
+        return [_scalar(x.strip()) for x in word[1:-1].split(",") if x.strip()]
+    word = word.split(" #")[0].strip()
+    return {"true": True, "false": False}.get(word.lower(), int(word) if re.fullmatch(r"-?\d+", word) else float(word) if re.fullmatch(r"-?\d+\.\d+", word) else word)
+
+
 def safe_to_explain(c: Column) -> Column:
     """Whether a statement may be run again for its plan: it reads, and names no word that changes data or the session."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"/\*[\s\S]*?\*/", " "), r"(?m)--.*?$", " "), r"'[^']*(?:''[^']*)*'", "''")

@@ -160,6 +160,13 @@ def _report(spark, sf_dir):
     return ru.report_of(both)
 
 
+BLANK_TEXT = "concat('SELECT ''a''''b', id, ''' /* x */ - 1 / 2 -- end ', id)"
+RAW = """CASE id % 4
+  WHEN 0 THEN concat('{"code":"UnionAll","message":"m', id, '","severity":1,"range":{"start":{"line":0,"character":0},"end":{"line":0,"character":5}}}')
+  WHEN 1 THEN '{"code":"Other","severity":1,"range":{"start":{"line":0,"character":6},"end":{"line":2,"character":3}}}'
+  WHEN 2 THEN '{"code":"Other","severity":"info","range":{"start":{"line":9,"character":0},"end":{"line":9,"character":1}}}'
+  ELSE '{"code":"Other","range":{"start":{"line":1,"character":0},"end":{"line":1,"character":6}}}' END"""
+
 QUERIES = {
     "n_query_rules": lambda s, d: ru.query_findings(_texts(QUERY_SHAPES)(s, d)).select("id", "rule", "n"),
     "n_query_ranges": lambda s, d: ru.placed_findings(_texts(QUERY_SHAPES)(s, d)).select("id", "rule", "line", "column"),
@@ -173,6 +180,8 @@ QUERIES = {
     "e1_exceptions": _exceptions,
     "v2_safe_to_explain": lambda s, d: log_events(s, d).where("sql_text is not null").select("id", ru.safe_to_explain(F.expr(
         "CASE id % 5 WHEN 0 THEN concat('DELETE FROM t; ', sql_text) WHEN 1 THEN concat('WITH x AS (', sql_text, ') SELECT * FROM x') WHEN 2 THEN concat(sql_text, '; DROP TABLE t') WHEN 3 THEN concat('/* update */ ', sql_text, ' -- delete') ELSE concat('SET a = 1; ', sql_text) END")).alias("safe")),
+    "x35_blanked": lambda s, d: log_events(s, d).select("id", ru.blanked(F.expr(BLANK_TEXT)).alias("text")),
+    "t14_diagnostics": lambda s, d: ru.diagnostics(log_events(s, d).select("id", F.expr(RAW).alias("raw"), F.expr("concat('first ', id, '\\nsecond line\\nthird')").alias("text"))),
     "x33_rendered": lambda s, d: vi.operations(log_events(s, d)).select("operation", ru.rendered("{{operation}}: {{ calls }} calls, {{missing}}", {"operation": F.col("operation"), "calls": F.col("calls")}).alias("text")),
     "x34_words": lambda s, d: log_events(s, d).select("id", ru.one_of(F.concat(F.lit(" "), F.upper("event_type")), {"excp": "error", "tlock": "lock"}, "other").alias("word")),
 }
@@ -189,6 +198,10 @@ ORACLES = {
     "e1_deadlocks": EV + DEADLOCK_FIGURES,
     "e1_exceptions": EV + "SELECT id, CASE WHEN event_type = 'TLOCK' THEN 'lock_timeout' WHEN id % 3 = 0 THEN 'exception_deadlock_victim' WHEN id % 3 = 1 THEN 'exception_timeout' END AS explanation FROM ev WHERE event_type IN ('EXCP', 'TLOCK')",
     "v2_safe_to_explain": EV + "SELECT id, id % 5 IN (1, 3) AS safe FROM ev WHERE sql_text IS NOT NULL",
+    "x35_blanked": EV + "SELECT id, 'SELECT ' || chr(39) || repeat(' ', 4 + length(id::VARCHAR)) || chr(39) || repeat(' ', 9) || '- 1 / 2 ' || repeat(' ', 7 + length(id::VARCHAR)) AS text FROM ev",
+    "t14_diagnostics": EV + "SELECT id, CASE WHEN id % 4 = 0 THEN 'UnionAll' ELSE 'Other' END AS code, CASE WHEN id % 4 = 0 THEN 'm' || id ELSE '' END AS message, CASE id % 4 WHEN 1 THEN 'Critical' WHEN 2 THEN 'Info' ELSE 'Major' END AS severity, CASE id % 4 WHEN 2 THEN 9 WHEN 3 THEN 1 ELSE 0 END AS start_line,"
+    " CASE id % 4 WHEN 1 THEN 6 ELSE 0 END AS start_character, CASE id % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 9 ELSE 1 END AS end_line, CASE id % 4 WHEN 0 THEN 5 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 6 END AS end_character,"
+    " CASE id % 4 WHEN 0 THEN 'first' WHEN 1 THEN id || chr(10) || 'second line' || chr(10) || 'thi' WHEN 3 THEN 'second' END AS snippet FROM ev",
     "x33_rendered": EV + "SELECT context_normalized AS operation, context_normalized || ': ' || count(*) || ' calls, —' AS text FROM ev WHERE context_normalized <> '' GROUP BY 1",
     "x34_words": EV + "SELECT id, CASE event_type WHEN 'EXCP' THEN 'error' WHEN 'TLOCK' THEN 'lock' ELSE 'other' END AS word FROM ev",
 }

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.dictionary import KINDS
+from ..operators.metadata import WITH_ITEMS
 
 # The dump's element names, in the order of KINDS, and those of an object's members.
 ELEMENTS = (
@@ -16,6 +20,12 @@ ELEMENTS = (
     "DocumentJournal", "BusinessProcess", "Task", "ExchangePlan", "Sequence",
 )
 MEMBERS = {"Attribute": "attribute", "Dimension": "dimension", "Resource": "resource", "TabularSection": "tabular_section", "EnumValue": "enum_value"}
+# Folders of the dump, in the order of KINDS; those of kinds with predefined items have a file with these.
+FOLDERS = (
+    "Catalogs", "Documents", "InformationRegisters", "AccumulationRegisters", "AccountingRegisters", "CalculationRegisters", "ChartsOfCharacteristicTypes", "ChartsOfAccounts", "ChartsOfCalculationTypes", "Enums", "Constants",
+    "DocumentJournals", "BusinessProcesses", "Tasks", "ExchangePlans", "Sequences",
+)
+PREDEFINED = r"([^/]+)/([^/]+)/Ext/Predefined\.xml$"
 ROWS = "kind string, name string, register_type string, section string, member_kind string, member string, ord int"
 
 
@@ -55,12 +65,47 @@ def members_of(content: bytes) -> list[tuple]:
     return rows
 
 
+def predefined_of(path: str, content: bytes) -> list[tuple]:
+    """The predefined items, nested ones too, of the object whose folder a file lies in."""
+    found = re.search(PREDEFINED, path)
+    kind = KINDS[FOLDERS.index(found[1])] if found and found[1] in FOLDERS else None
+    if kind not in WITH_ITEMS:
+        return []
+    try:
+        items = [c for c in ET.fromstring(content).iter() if _local(c) == "Item"]
+    except ET.ParseError:
+        return []
+    names = [_child(c, "Name") for c in items]
+    return [(kind, found[2], None, None, "predefined", n.text, i) for i, n in enumerate(names, 1) if n is not None and n.text]
+
+
+def fingerprint(spark: SparkSession, root: str) -> str:
+    """What tells whether any file below a folder has changed: their number and a sum over path, size and time of each."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(root)
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.lit(0)).alias("sum")).first()
+    return f"{row['n']}:{row['sum']}"
+
+
+def indexed_configuration(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """The dictionary as a table at ``path``; made anew only if the dump has changed since."""
+    now = fingerprint(spark, root)
+    stamp = f"{path}/fingerprint"
+    try:
+        same = spark.read.text(stamp).first()
+    except AnalysisException:  # there is no table yet
+        same = None
+    if same is None or same["value"] != now:
+        read_configuration(spark, root).write.mode("overwrite").parquet(f"{path}/rows")
+        spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(stamp)
+    return spark.read.parquet(f"{path}/rows")
+
+
 def read_configuration(spark: SparkSession, root: str) -> DataFrame:
     """One row per object (member null) and per member. Each file is small; Spark deals the files over tasks."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(root).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(root).select("path", "content")
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([r for c in batch["content"] for r in members_of(bytes(c))], columns=["kind", "name", "register_type", "section", "member_kind", "member", "ord"])
+            yield pd.DataFrame([r for p, c in zip(batch["path"], batch["content"], strict=True) for r in (predefined_of if p.endswith("/Predefined.xml") else lambda _, x: members_of(x))(p, bytes(c))], columns=["kind", "name", "register_type", "section", "member_kind", "member", "ord"])
 
     return files.mapInPandas(step, ROWS)

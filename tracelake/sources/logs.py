@@ -276,6 +276,14 @@ def write_archive(events: DataFrame, path: str) -> None:
     events.write.mode("append").partitionBy("archive_id").parquet(path)
 
 
+def archive_stats(spark: SparkSession, path: str) -> DataFrame:
+    """archive_id, events, first and last time of each archive of a table, and the bytes of its files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    size = files.groupBy(F.regexp_extract("path", r"archive_id=([^/]+)/", 1).alias("archive_id")).agg(F.sum("length").alias("bytes"))
+    events = spark.read.parquet(path).groupBy(F.col("archive_id").cast("string").alias("archive_id")).agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return events.join(size, "archive_id")
+
+
 def with_files(archives: DataFrame, spark: SparkSession, root: str) -> DataFrame:
     """The registered archives (name, ...) and whether their folder is gone."""
     there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_extract("path", r"archive_id=([^/]+)/", 1).alias("name")).where("name <> ''").distinct()
