@@ -31,14 +31,14 @@ from .common import buffer_of, read, whole_text
 FIT_ROWS = 5000
 FIT_BYTES = 32 << 20
 PIECE = 48
-WORDS_AT_ONCE = 1 << 17
+WORDS_AT_ONCE = 1 << 16
 SLOTS = 1 << 18
 CHANCE = 1e-6
 LEAST = 3
 STEMS = (4, 5, 6, 7)
 REJECT = 0.7
 TOKEN = re.compile(r"[^\W\d_]+")
-CACHE = 400_000
+CACHE = 100_000
 
 
 def tokens_of(text: str) -> list[str]:
@@ -59,20 +59,20 @@ class Crf:
     move: np.ndarray
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
     seen: dict = field(default_factory=dict, repr=False)
+    before: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
+        return self.__dict__ | {"seen": {}, "before": {}}
 
     def emission(self, words: list[str]) -> np.ndarray:
-        get, out = self.seen.get, []
-        for w in words:
-            x = get(w)
-            if x is None:
-                x = self.bias + float(self.weight[slots_of(w.lower())].sum())
-                if len(self.seen) < CACHE:
-                    self.seen[w] = x
-            out.append(x)
-        return np.array(out)
+        """Log-scores of words. Past CACHE remembered ones only those used again are kept."""
+        if len(self.seen) > CACHE:
+            self.before, self.seen = self.seen, {}
+        seen, before = self.seen, self.before
+        for w in set(words).difference(seen):
+            x = before.get(w)
+            seen[w] = self.bias + float(self.weight[slots_of(w.lower())].sum()) if x is None else x
+        return np.fromiter(map(seen.__getitem__, words), np.float64, len(words))
 
 
 def pieces_of(lengths: np.ndarray, size: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,15 +323,17 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, crf: Crf, reject: float = REJECT) -> DataFrame:
     """The rows of ``docs`` whose score is below ``reject``, all columns, without a shuffle."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), whole_text().alias("t"))
+    packed = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*docs.columns).alias("row"))
+    place = docs.columns.index("text")
 
     def step(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                yield part.filter(pa.array(_scores(crf, part.column(1).to_pylist()) < reject)).select(["row"])
+                texts = part.column(0).flatten()[place].to_pylist()
+                yield part.filter(pa.array(_scores(crf, [t or "" for t in texts]) < reject))
 
-    return packed.mapInArrow(step, packed.select("row").schema).select("row.*")
+    return packed.mapInArrow(step, packed.schema).select("row.*")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
