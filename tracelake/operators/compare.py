@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import context_signature
 from .filters import SQL_TYPES, count_of, ms
-from .views import slow_queries
+from .views import statement_figures, statements
 
 # Percentages from which a statement counts as slower or faster, and the counts that give confidence.
 SLOWER, FASTER = 50.0, -30.0
@@ -33,18 +33,23 @@ def summary(events: DataFrame, a: str, b: str) -> DataFrame:
     return wide.select("metric", "a", "b", change.alias("delta"), F.when(F.col("a") != 0, F.round(change * 100 / F.col("a"), 2)).alias("delta_percent"))
 
 
-def _sides(events: DataFrame, a: str, b: str, limit: int, types) -> tuple[DataFrame, DataFrame]:
-    columns = ["sql_text_hash", "query", "calls", F.col("total_duration_ms").alias("total_ms"), F.col("avg_duration_ms").alias("avg_ms")]
-    return tuple(slow_queries(archive(events, x), "total_duration", limit, types).select(*columns) for x in (a, b))
+def _costliest(events: DataFrame, a: str, b: str, limit: int, types) -> DataFrame:
+    """sql_text_hash, and as ``a`` and ``b`` the statement's figures where it is among an archive's costliest: one pass over both archives."""
+    grouped = statement_figures(statements(events.where(F.col("archive_id").isin(a, b)), types).groupBy("archive_id", "sql_text_hash"))
+    place = F.row_number().over(Window.partitionBy("archive_id").orderBy(F.col("total_duration_ms").desc_nulls_last(), "sql_text_hash"))
+    top = grouped.withColumn("_n", place).where(F.col("_n") <= limit)
+    figures = F.struct("query", "calls", F.col("total_duration_ms").alias("total_ms"), F.col("avg_duration_ms").alias("avg_ms"))
+    side = lambda x: F.max(F.when(F.col("archive_id") == x, figures))
+    return top.groupBy("sql_text_hash").agg(side(a).alias("a"), side(b).alias("b"))
 
 
 def common_statements(events: DataFrame, a: str, b: str, limit: int = 50, types=SQL_TYPES) -> DataFrame:
     """Statements among the costliest of both archives, and the change of their mean duration."""
-    left, right = _sides(events, a, b, limit, types)
-    left = left.select("sql_text_hash", F.col("avg_ms").alias("a_avg_ms"), F.col("calls").alias("a_calls"))
-    right = right.select("sql_text_hash", "query", F.col("avg_ms").alias("b_avg_ms"), F.col("calls").alias("b_calls"))
-    change = F.when(F.col("a_avg_ms") > 0, F.round((F.col("b_avg_ms") - F.col("a_avg_ms")) * 100 / F.col("a_avg_ms"), 2)).otherwise(0.0)
-    return left.join(right, "sql_text_hash").withColumn("delta_percent", change)
+    both = _costliest(events, a, b, limit, types).where("a is not null and b is not null")
+    change = F.when(F.col("a.avg_ms") > 0, F.round((F.col("b.avg_ms") - F.col("a.avg_ms")) * 100 / F.col("a.avg_ms"), 2)).otherwise(0.0)
+    return both.select(
+        "sql_text_hash", F.col("b.query").alias("query"), F.col("a.avg_ms").alias("a_avg_ms"), F.col("b.avg_ms").alias("b_avg_ms"), F.col("a.calls").alias("a_calls"), F.col("b.calls").alias("b_calls"), change.alias("delta_percent")
+    )
 
 
 def slower(common: DataFrame) -> DataFrame:
@@ -57,8 +62,7 @@ def faster(common: DataFrame) -> DataFrame:
 
 def only_in(events: DataFrame, a: str, b: str, limit: int = 50, types=SQL_TYPES) -> DataFrame:
     """Statements among the costliest of ``a`` and not among those of ``b``."""
-    left, right = _sides(events, a, b, limit, types)
-    return left.join(right, "sql_text_hash", "left_anti")
+    return _costliest(events, a, b, limit, types).where("a is not null and b is null").select("sql_text_hash", "a.*")
 
 
 def exact_quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:

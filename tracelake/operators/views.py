@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .filters import SQL_TYPES, by_context, count_of, ms, names, of_types, own_us
@@ -26,14 +26,18 @@ def statements(events: DataFrame, types=SQL_TYPES) -> DataFrame:
     return of_types(events, types).where("sql_text_normalized is not null")
 
 
-def slow_queries(events: DataFrame, sort_by: str = "total_duration", limit: int = 100, types=SQL_TYPES) -> DataFrame:
-    """Statements by their literal-free text, the costliest first; partial sums before one shuffle on the hash."""
+def statement_figures(grouped: GroupedData) -> DataFrame:
     us = F.col("duration_us")
-    grouped = statements(events, types).groupBy("sql_text_hash").agg(
+    return grouped.agg(
         slowest_text().alias("query"), F.count(F.lit(1)).alias("calls"), ms(F.sum(us)).alias("total_duration_ms"), ms(F.avg(us)).alias("avg_duration_ms"),
         ms(F.max(us)).alias("max_duration_ms"), F.sum(F.coalesce("rows_read", F.lit(0))).alias("total_rows_read"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), names("process_role").alias("process_roles"),
     )
-    return grouped.orderBy(F.col(SLOW_ORDERS.get(sort_by, "total_duration_ms")).desc_nulls_last(), "sql_text_hash").limit(limit)
+
+
+def slow_queries(events: DataFrame, sort_by: str = "total_duration", limit: int = 100, types=SQL_TYPES) -> DataFrame:
+    """Statements by their literal-free text, the costliest first; partial sums before one shuffle on the hash."""
+    figures = statement_figures(statements(events, types).groupBy("sql_text_hash"))
+    return figures.orderBy(F.col(SLOW_ORDERS.get(sort_by, "total_duration_ms")).desc_nulls_last(), "sql_text_hash").limit(limit)
 
 
 def slow_queries_total(events: DataFrame, types=SQL_TYPES) -> DataFrame:
