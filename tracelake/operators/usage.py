@@ -109,22 +109,39 @@ def last_before(left: DataFrame, right: DataFrame, by: str, at: str, value: str,
     return joined.select("_row.*", F.coalesce("_own", "_carried").alias(f"last_{value}"))
 
 
-def islands(ranges: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+def grouped_ranges(ranges: DataFrame, by: list[str], start: str, end: str, width: int) -> DataFrame:
+    """The half-open ranges with _group: a number that those of a key share which overlap, directly or by others.
+
+    A key's ranges are dealt out by ``width`` of their starts. What a part begins with, the latest end and the number of groups
+    before it, is told by one row per part, so no task holds all of a busy key."""
+    part = [*by, "_part"]
+    rows = ranges.withColumn("_part", F.floor(F.col(start) / width))
+    within = Window.partitionBy(*part).orderBy(start, end)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    same = lambda a, b: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in part))
+    ends = rows.groupBy(*part).agg(F.max(end).alias("_end")).withColumn("_carried", F.max("_end").over(earlier)).drop("_end")
+    carried = rows.join(ends, same(rows, ends)).select(rows["*"], "_carried")
+    before = F.greatest("_carried", F.max(end).over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = carried.withColumn("_new", F.when(before > F.col(start), 0).otherwise(1))
+    numbered = marked.withColumn("_local", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = marked.groupBy(*part).agg(F.sum("_new").alias("_count")).withColumn("_before", F.coalesce(F.sum("_count").over(earlier), F.lit(0))).drop("_count")
+    return numbered.join(counts, same(numbered, counts)).select(*(numbered[c] for c in ranges.columns), (F.col("_before") + F.col("_local")).alias("_group"))
+
+
+#: A day of microseconds.
+DAY = 86_400_000_000
+
+
+def islands(ranges: DataFrame, by: list[str], start: str, end: str, width: int = DAY) -> DataFrame:
     """Half-open ranges that overlap, merged: one row per group with its bounds and number of ranges."""
-    order = Window.partitionBy(*by).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.withColumn("_new", F.when(before > F.col(start), 0).otherwise(1))
-    grouped = marked.withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = grouped_ranges(ranges, by, start, end, width)
     return grouped.groupBy(*by, "_group").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n")).drop("_group")
 
 
-def range_groups(findings: DataFrame, by: list[str], start: str, end: str, severities: tuple[str, ...]) -> DataFrame:
+def range_groups(findings: DataFrame, by: list[str], start: str, end: str, severities: tuple[str, ...], width: int = DAY) -> DataFrame:
     """Findings whose half-open ranges overlap, as one: its bounds, the worst severity, and the codes, worst first."""
-    order = Window.partitionBy(*by).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = findings.withColumn("_new", F.when(before > F.col(start), 0).otherwise(1))
     rank = F.array_position(F.array(*map(F.lit, severities)), F.col("severity"))
-    grouped = marked.withColumns({"_group": F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_rank": rank})
+    grouped = grouped_ranges(findings, by, start, end, width).withColumn("_rank", rank)
     codes = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("_rank", "code"))), lambda x: x["code"]), ",")
     return grouped.groupBy(*by, "_group").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.min_by("severity", "_rank").alias("severity"), codes.alias("codes")).drop("_group")
 
