@@ -51,31 +51,31 @@ def pieces(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int
         a = min(b, n)
 
 
-def whole_keys(batches: Iterator[pa.RecordBatch], key: str, rows: int = 60_000, size: int = 3 << 20) -> Iterator[pa.RecordBatch]:
-    """Regroups batches sorted by ``key`` so that no key is cut in two."""
+def key_chunks(batches: Iterator[pa.RecordBatch], key: str, rows: int = 60_000, size: int = 3 << 20, most: int = 250_000) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Regroups batches sorted by ``key`` so that no key is cut in two, but for those of more than ``most`` rows, which come in parts of
+    about that many: each batch, and whether its first key began in the batch before."""
     held: list[pa.RecordBatch] = []
-
-    def joined() -> pa.RecordBatch:
-        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
+    open_key = None
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         if sum(b.num_rows for b in held) < rows and sum(b.nbytes for b in held) < size:
             continue
-        keys = longs(batch.column(key))
+        now = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        keys = longs(now.column(key))
         cut = int(np.searchsorted(keys, keys[-1], "left"))  # the last key may go on
-        if cut == 0 and len(held) > 1 and longs(held[-2].column(key))[-1] != keys[0]:
-            last, held = [held[-1]], held[:-1]
-            yield joined()
-            held = last
-        elif cut:
-            held[-1] = batch.slice(0, cut)
-            yield joined()
-            held = [batch.slice(cut)]
+        if cut:
+            yield now.slice(0, cut), keys[0] == open_key
+            now, open_key = now.slice(cut), None
+        if now.num_rows >= most:
+            yield now, keys[-1] == open_key
+            held, open_key = [], keys[-1]
+        else:
+            held = [now]
     if held:
-        yield joined()
+        now = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield now, longs(now.column(key))[0] == open_key
 
 
 def no_nulls(column: pa.Array, value) -> pa.Array:

@@ -11,6 +11,8 @@ Skew: a passage that many documents share is collapsed before each shuffle (equa
 one piece of text go out once; the others are already known to be repeats). Minimisers with more than HOT_ROWS super-k-mers
 are dealt out by the hash of each window instead. Their names go to every task, so there may be FEW_NAMES of them (8 MB): if there
 are more, HOT_ROWS is doubled until they fit; every other bucket then has less than that number, and than a FEW_NAMES-th of all.
+A bucket of more than MOST rows, which is one window dealt out by its hash, goes by in parts, in the order of the ids: of what went by
+a task keeps each string once.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, key_of, longs, no_nulls, pieces, read, whole_keys, whole_text, written
+from .common import buffer_of, key_chunks, key_of, longs, no_nulls, pieces, read, whole_text, written
 from .windows import Hashes, groups_of, mix, runs_of, sliding_min, words_of
 
 WORDS = 13
 PART = 3
 HOT_ROWS = 4096
 FEW_NAMES = 1_000_000
+#: Rows of one bucket that a task holds at a time.
+MOST = 250_000
 
 SUPER = "key long, doc long, th int, start int, n int, packed binary"
 
@@ -85,11 +89,13 @@ def tied_minimisers(rows: DataFrame, k: int = WORDS, m: int = PART) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(uid), pa.array(start.astype(np.int32)), pa.array(np.where(known, 2, n).astype(np.int32))], ["key", "uid", "start", "n"])
 
     def tie(batches):
-        for batch in whole_keys(batches, "key", 500_000, 16 << 20):
+        for batch, goes_on in key_chunks(batches, "key", 500_000, 16 << 20, 2_000_000):
             key, n = longs(batch.column(0)), longs(batch.column(3))
             new = np.append(True, key[1:] != key[:-1])
             total = np.add.reduceat(n, np.flatnonzero(new))
             tied = total[np.cumsum(new) - 1] > 1
+            if goes_on:
+                tied |= key == key[0]
             hot = total > HOT_ROWS
             rows_, more = int(tied.sum()), int(hot.sum())
             keep = pa.array(tied)
@@ -112,7 +118,7 @@ def repeated_spans(docs: DataFrame, k: int = WORDS, m: int = PART) -> DataFrame:
     """
     uid = F.xxhash64("doc_id", whole_text()).alias("uid")
     tied = tied_minimisers(docs.select(uid, whole_text().alias("t")), k, m)
-    names, least = tied.where("uid is null"), HOT_ROWS
+    names, least = tied.where("uid is null").groupBy("key").agg(F.sum("n").alias("n")), HOT_ROWS
     while names.where(F.col("n") > least).count() > FEW_NAMES:
         least *= 2
     hot = names.where(F.col("n") > least).select("key").toArrow().column("key").to_numpy().view(np.uint64)
@@ -156,10 +162,19 @@ def repeated_spans(docs: DataFrame, k: int = WORDS, m: int = PART) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(name[sel]), pa.array(doc[sel]), pa.array(th[r][sel], pa.int32()), pa.array(first[sel].astype(np.int32)), pa.array(count[sel].astype(np.int32)), body], ["key", "doc", "th", "start", "n", "packed"])
 
     def mark(batches):
-        for batch in whole_keys(batches, "key"):
-            doc, start, n = longs(batch.column(1)), longs(batch.column(3)), longs(batch.column(4))
-            th, body = batch.column(2), batch.column(5)
+        least_of: dict[bytes, int] = {}  # the strings of the last key so far, and the smallest id of each: it may go on
+        for batch, goes_on in key_chunks(batches, "key", most=MOST):
+            if not goes_on:
+                least_of = {}
+            before = len(least_of)
+            key, doc, start, n = (longs(batch.column(i)) for i in (0, 1, 3, 4))
+            doc, start, n = (np.append(x, y) for x, y in ((np.array([*least_of.values()], np.int64), doc), (np.zeros(before, np.int64), start), (np.zeros(before, np.int64), n)))
+            th, body = batch.column(2), pa.concat_arrays([pa.array([*least_of], pa.binary()), batch.column(5)])
             lost = body.is_null().to_numpy(zero_copy_only=False)
+            if key[0] != key[-1]:
+                least_of = {}
+            for i in (np.flatnonzero((key == key[-1]) & ~lost[before:]) + before).tolist():
+                least_of.setdefault(body[i].as_py(), int(doc[i]))
             data, at = buffer_of(no_nulls(body, b""))
             hits = [(np.flatnonzero(lost), start[lost], start[lost] + n[lost] + k - 1)]
             packed, ws, we, row = words_of(data, at)
@@ -177,10 +192,11 @@ def repeated_spans(docs: DataFrame, k: int = WORDS, m: int = PART) -> DataFrame:
                 first = np.searchsorted(row, r, "left")
                 hits.append((r, start[r] + a - first, start[r] + z - first + k))
             r, s, e = (np.concatenate(x) for x in zip(*hits, strict=True))
+            r, s, e = (x[r >= before] for x in (r, s, e))
             if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[r]), th.take(pa.array(r)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["doc", "th", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[r]), th.take(pa.array(r - before)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["doc", "th", "s", "e"])
 
-    found = rows.mapInArrow(cut, SUPER).repartition("key").sortWithinPartitions("key").mapInArrow(mark, "doc long, th int, s int, e int")
+    found = rows.mapInArrow(cut, SUPER).repartition("key").sortWithinPartitions("key", "doc").mapInArrow(mark, "doc long, th int, s int, e int")
     return written(found.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
 
 

@@ -11,7 +11,8 @@
    (``suffix_order``). Those that share ``length`` bytes with a neighbour in that order are repeats.
 
 Skew: equal strings of one batch go out once, marked as seen twice. Buckets with more than HOT_ROWS strings are dealt
-out suffix by suffix, as 128-bit digests; their names are joined to the strings, by broadcast only if they are few.
+out suffix by suffix, as 128-bit digests; their names are joined to the strings, by broadcast only if they are few. A digest's rows go
+by in parts of MOST.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, key_of, longs, no_nulls, pieces, read, whole_keys, whole_text, written
+from .common import buffer_of, key_chunks, key_of, longs, no_nulls, pieces, read, whole_text, written
 from .substring_dedup import _packed, covered, with_spans
 from .suffix_order import cover_of, repeated
 from .windows import Hashes, groups_of, mix, runs_of, sliding_min
@@ -33,6 +34,8 @@ LENGTH = 400
 PART = 16
 HOT_ROWS = 4096
 BLOCK_BYTES = 3 << 19
+#: Rows of one bucket that a task holds at a time.
+MOST = 250_000
 #: Names of hot buckets are broadcast up to this number (8 MB).
 FEW_NAMES = 1_000_000
 
@@ -61,15 +64,16 @@ def _within(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def whole_buckets(batches):
-    """Whole buckets, of about BLOCK_BYTES together if they are small."""
-    for batch in whole_keys(batches, "key"):
+    """Whole buckets, of about BLOCK_BYTES together if they are small, and whether the first began before; buckets of over MOST rows, which
+    are digests, come in parts."""
+    for batch, goes_on in key_chunks(batches, "key", most=MOST):
         key = longs(batch.column(0))
         first = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
         size = np.append(0, np.cumsum(longs(no_nulls(pc.binary_length(batch.column(6)), 0))))[first]
         a = 0
         while a < len(first) - 1:
             z = max(a + 1, int(np.searchsorted(size, size[a] + BLOCK_BYTES, "right")) - 1)
-            yield batch.slice(int(first[a]), int(first[z] - first[a]))
+            yield batch.slice(int(first[a]), int(first[z] - first[a])), goes_on and a == 0
             a = z
 
 
@@ -94,12 +98,13 @@ def tied_samples(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(uid[row]), pa.array(pos.astype(np.int32)), pa.array(twice)], ["key", "uid", "pos", "twice"])
 
     def tie(batches):
-        for batch in whole_keys(batches, "key", 500_000, 16 << 20):
+        for batch, goes_on in key_chunks(batches, "key", 500_000, 16 << 20, 2_000_000):
             key = longs(batch.column(0))
             same = key[1:] == key[:-1]
             tied = batch.column(3).to_numpy(zero_copy_only=False).copy()
             tied[1:] |= same
             tied[:-1] |= same
+            tied |= goes_on & (key == key[0])
             yield batch.select(["uid", "pos"]).filter(pa.array(tied))
 
     dealt = rows.mapInArrow(sample, "key long, uid long, pos int, twice boolean").repartition("key").sortWithinPartitions("key")
@@ -167,7 +172,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([dict(zip(NAMES, x, strict=True)) for x in out], schema=batch.schema)
 
     def mark(batches):
-        for batch in whole_buckets(batches):
+        seen: dict[bytes, int | tuple | None] = {}  # digests of the last bucket so far: it may go on. With a place that has no equal yet
+        for batch, goes_on in whole_buckets(batches):
+            if not goes_on:
+                seen = {}
+            key, late = longs(batch.column(0)), []
             doc, th, start, n = (longs(batch.column(i)) for i in range(1, 5))
             twice = batch.column(5).to_numpy(zero_copy_only=False)
             lost = batch.column(6).is_null().to_numpy(zero_copy_only=False)
@@ -183,13 +192,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if len(some):
                 leader = groups_of(data, at[some], at[some + 1])
                 alone = alone | (np.bincount(leader, minlength=len(some))[leader] > 1)
+            own = {} if key[0] != key[-1] else seen
+            for j, i in enumerate(some.tolist()):
+                if key[i] == key[0] and seen and (digest := batch.column(6)[i].as_py()) in seen:
+                    alone[j] = True
+                    if seen[digest] is not None:
+                        late.append(seen[digest])
+                        seen[digest] = None
+                if key[i] == key[-1]:
+                    digest = batch.column(6)[i].as_py()
+                    if digest not in own:
+                        own[digest] = None if alone[j] else (int(doc[i]), int(th[i]), int(start[i]))
+            seen = own
             x, z = runs_of(np.zeros(len(row), np.int8), row, again)
             whole = np.append(np.flatnonzero(lost), some[alone])
             r = np.append(row[x], whole)
             s = np.append(start[row[x]] + nth[x], start[whole])
             e = np.append(start[row[x]] + nth[z], start[whole] + n[whole] - 1) + length
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(th[r]), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["doc", "th", "s", "e"])
+            if len(r) or late:
+                more = np.array(late, np.int64).reshape(-1, 3)
+                s, e = np.append(s, more[:, 2]), np.append(e, more[:, 2] + length)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(doc[r], more[:, 0])), pa.array(np.append(th[r], more[:, 1])), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["doc", "th", "s", "e"])
 
     blocks = written(rows.join(tied.hint("shuffle_hash"), "uid").select("doc", "th", "t", "pos").mapInArrow(cut, ROWS))
     hot = written(blocks.where("packed is not null").groupBy("key").count().where(F.col("count") > HOT_ROWS).select("key", F.lit(True).alias("hot")))
