@@ -3,9 +3,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tracelake.llm import simhash, substring_dedup, suffix_dedup, suffix_order
+from tracelake.llm.common import key_chunks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -167,6 +169,42 @@ def test_suffix_dedup(docs_of, monkeypatch):
     assert spans_of(suffix_dedup.suffix_dedup(docs_of(rows), 60)) == brute_bytes(rows, 60)
 
 
+def test_key_chunks():
+    r = random.Random(6)
+    for _ in range(200):
+        keys = sorted(r.choice([r.randint(0, 9), 5]) for _ in range(r.randint(0, 60)))
+        cuts = sorted(r.randint(0, len(keys)) for _ in range(6))
+        parts = [keys[a:z] for a, z in zip([0, *cuts], [*cuts, len(keys)])]
+        batches = (pa.RecordBatch.from_arrays([pa.array(p, pa.int64())], ["key"]) for p in parts)
+        out, last = [], None
+        for batch, goes_on in key_chunks(batches, "key", r.randint(1, 9), 1 << 20, most := r.randint(2, 12)):
+            got = batch.column(0).to_pylist()
+            assert goes_on == (got[0] == last)
+            assert not goes_on or keys.count(got[0]) >= most
+            out, last = out + got, got[-1]
+        assert out == keys
+
+
+def test_hot_buckets_in_parts(docs_of, monkeypatch):
+    """A shared passage in many rows, whose windows are dealt out by themselves and come in parts of two rows."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(80))
+    rows = [(r.randint(0, 500), f"{' '.join(word() for _ in range(r.randint(0, 20)))} {passage}{' ' + word() if i % 3 else ''}") for i in range(40)]
+    for module in (substring_dedup, suffix_dedup):
+        monkeypatch.setattr(module, "HOT_ROWS", 2)
+        monkeypatch.setattr(module, "MOST", 2)
+        monkeypatch.setattr(module, "pieces", lambda at: ((i, i + 1) for i in range(len(at) - 1)))  # so equal strings go out each
+    docs = docs_of(rows).repartition(3)
+    for module, name in ((substring_dedup, "key_chunks"), (suffix_dedup, "key_chunks")):
+        chunks = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda batches, key, rows=1, size=1, most=2, chunks=chunks: chunks((b.slice(i, 1) for b in batches for i in range(b.num_rows)), key, 1, 1, 2))
+    got = [(str(x.doc_id), x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.substring_dedup(docs).collect()]
+    assert sorted(got) == brute_words(rows, 13)
+    assert spans_of(suffix_dedup.suffix_dedup(docs)) == brute_bytes(rows, 400)
+    assert spans_of(suffix_dedup.suffix_dedup(docs, 60)) == brute_bytes(rows, 60)
+
+
 def test_suffix_dedup_of_periodic_texts(docs_of):
     rows = [(1, "a" * 100_000), (2, "ab" * 700), (3, "b" * 399), (4, "b" * 400), (5, "b" * 401), (6, ("x" * 500 + "y") * 5), (7, "a" * 399 + "é")]
     assert spans_of(suffix_dedup.suffix_dedup(docs_of(rows))) == brute_bytes(rows, 400)
