@@ -60,7 +60,11 @@ def normalize_context(c: Column) -> Column:
     """The part of a context before its first colon; all of it where that part is empty. Null without one."""
     whole = F.btrim(c, F.lit(BLANKS))
     head = F.btrim(F.substring_index(whole, ":", 1), F.lit(BLANKS))
-    return F.when(whole == "", None).otherwise(F.when(head == "", whole).otherwise(head))
+    any_ = F.when(whole == "", None).otherwise(F.when(head == "", whole).otherwise(head))
+    # Most contexts have spaces at their ends at most, which is told by two characters.
+    plain = F.trim(F.substring_index(c, ":", 1))
+    ends = [F.ascii(plain), F.ascii(F.substring(plain, -1, 1))]
+    return F.when((plain == "") | ends[0].isin(*map(ord, BLANKS)) | ends[1].isin(*map(ord, BLANKS)), any_).otherwise(plain)
 
 
 def context_signature(c: Column) -> Column:

@@ -98,7 +98,7 @@ def type_counts(events: DataFrame, limit: int = 200) -> DataFrame:
 def operations(events: DataFrame, types=(), sql_types=SQL_TYPES) -> DataFrame:
     """Business operations by their context, with durations, locks, exceptions and who ran them."""
     sql = F.when(F.col("event_type").isin(*sql_types), F.coalesce("duration_us", F.lit(0))).otherwise(0)
-    return of_types(events, types).where("context_normalized is not null and context_normalized <> ''").groupBy(F.col("context_normalized").alias("operation")).agg(
+    return of_types(events, types).where("context_normalized <> ''").groupBy(F.col("context_normalized").alias("operation")).agg(
         F.count(F.lit(1)).alias("calls"), ms(F.sum(own_us())).alias("total_duration_ms"), ms(F.avg(own_us())).alias("avg_duration_ms"), ms(F.max(own_us())).alias("max_duration_ms"),
         ms(F.sum(sql)).alias("sql_duration_ms"), count_of("TLOCK", "TDEADLOCK").alias("lock_events"), count_of("EXCP").alias("exception_events"),
         F.count_distinct("session_id").alias("unique_sessions"), names("process_role").alias("process_roles"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
