@@ -277,7 +277,7 @@ def clusters(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, seed:
     """(vec_id, cluster, distance) of each kept row, and the centroids (at most k, in the driver).
 
     Rows whose ``embedding`` is null, has another number of components, or a null or non-finite one, are left out. The rest
-    become floors of ``scale`` times their components; one beyond 2**27 raises ValueError, as distances must fit a long. Equal
+    become floors of ``scale`` times their components; one beyond 2**27 raises ValueError, as distances must fit a long (so must their sums). Equal
     distances go to the smaller number. Repeated rows count as often as they are there. A null vec_id stays null and starts a
     centroid only if there are too few others. Fewer rows than k start as many centroids. Other columns are left out. No rows give no rows.
     """

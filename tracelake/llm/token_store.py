@@ -287,7 +287,7 @@ def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     eight = np.ndarray(len(data) + 9, "<u8", np.pad(data, (8, 8)).tobytes(), strides=(1,))
     room = (8 * (8 - np.minimum(size, 8))).astype(np.uint64)
     head, tail = eight[start + 8] << room, eight[end] >> room
-    h = mix(head * np.uint64(0x9E3779B97F4A7C15) ^ mix(tail + size.astype(np.uint64)))
+    h = mix(head * np.uint64(0x9E3779B97F4A7C15) ^ mix(tail ^ size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
     raw, long = data.tobytes(), np.flatnonzero(size > 16)
     middle = [zlib.crc32(raw[a:z]) for a, z in zip(start[long].tolist(), end[long].tolist(), strict=True)]
     h[long] ^= np.array(middle, np.uint64) << np.uint64(32)
