@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import is_platform_sql
+from .sql_rules import SQL_RULES, parse_failed, placed_sql_findings, safe_to_explain, sql_findings
+
+__all__ = ["SQL_RULES", "parse_failed", "placed_sql_findings", "safe_to_explain", "sql_findings"]
 
 # Rule, severity, patterns in both languages of the platform's query language.
 QUERY_RULES = [
@@ -36,117 +38,8 @@ QUERY_RULES = [
     ("vyrazit_in_where", "warning", [r"(?ims)ГДЕ\b[^;]{0,400}?ВЫРАЗИТЬ\s*\("]),
 ]
 
-# Functions that keep an index on their column from being used.
-MSSQL_CALLS = "UPPER LOWER SUBSTRING DATEADD DATEDIFF CAST CONVERT ISNULL COALESCE LEFT RIGHT LTRIM RTRIM YEAR MONTH DAY".split()
-POSTGRES_CALLS = "UPPER LOWER SUBSTRING TO_CHAR TO_DATE EXTRACT DATE_TRUNC AGE LENGTH TRIM LTRIM RTRIM CAST COALESCE NULLIF".split()
-PLATFORM_TYPES, TEXT_TYPES = "mchar|mvarchar|fulleq", "text|varchar|character varying|bpchar"
-
-WHERE = r"(?is)\bWHERE\b(?:(?!\b(?:GROUP\s+BY|ORDER\s+BY|HAVING|UNION|LIMIT)\b).)*?"
-NAME = r"[a-z_][\w.]*"
-NO_CALL = "IN AND OR NOT EXISTS WHERE ON ANY ALL SOME VALUES SELECT FROM BY HAVING WHEN THEN ELSE AS UNION"
-
-
-def _call(names) -> str:
-    """One of the functions over something that begins with a column, not a literal or parameter."""
-    return rf"\b(?:{'|'.join(names)})\s*\(\s*(?:'[^']*'\s*,\s*|\w+\s+FROM\s+|\w+\s*,\s*)?(?!(?:NULL|TRUE|FALSE)\b)[\[\"]?{NAME}"
-
-
-def _as_type(types: str) -> str:
-    return rf"(?:[\w.$'\"]+\s*::\s*(?:{types})\b(?:\s*\(\d+\))?|\bCAST\s*\([^()]*\bAS\s+(?:{types})\b(?:\s*\(\d+\))?\s*\))"
-
-
-class Statement:
-    """A statement as the rules see it: without comments and words in literals (``text``), with what calls and CASE hold
-    taken out (``flat``), and cut into ``scopes``, one per pair of brackets, where an inner one is left as [select] or []."""
-
-    def __init__(self, text: Column, platform: bool | None, depth: int = 5):
-        self.text = mask_literals(text)
-        self.platform = is_platform_sql(text) if platform is None else F.lit(platform)
-        flat = F.regexp_replace(self.text, r"(?is)\bCASE\b.*?\bEND\b", "x")
-        for _ in range(depth):
-            flat = F.regexp_replace(flat, rf"(?i)\b(?!(?:{NO_CALL.replace(' ', '|')})\b)[a-z_]\w*\s*\([^()]*\)", "f")
-        self.flat = flat
-        rest, parts = self.text, []
-        for _ in range(depth):
-            parts.append(F.regexp_extract_all(rest, F.lit(r"\(([^()]*)\)"), F.lit(1)))
-            rest = F.regexp_replace(F.regexp_replace(rest, r"(?i)\(\s*(?:SELECT|WITH)\b[^()]*\)", " [select] "), r"\([^()]*\)", " [] ")
-        self.top, self.scopes = rest, F.concat(*parts, F.array(rest))
-
-    def has(self, pattern: str) -> Column:
-        return self.text.rlike(pattern)
-
-    def scope(self, *patterns: str, no: str | None = None) -> Column:
-        """Whether one scope matches all of the patterns, and not ``no``."""
-
-        def fits(s):
-            out = F.lit(True) if no is None else ~s.rlike(no)
-            for p in patterns:
-                out = out & s.rlike(p)
-            return out
-
-        return F.exists(self.scopes, fits)
-
-    def filtered_outer_join(self) -> Column:
-        aliases = F.regexp_extract_all(self.text, F.lit(r"(?is)\bLEFT\s+(?:OUTER\s+)?JOIN\s+[^\s()]+\s+(?:AS\s+)?(\w+)\s+(?:WITH\s*\([^()]*\)\s*)?ON\b"), F.lit(1))
-        spans = F.array_join(F.regexp_extract_all(self.text, F.lit(r"(?is)\bWHERE\b((?:(?!\b(?:GROUP\s+BY|ORDER\s+BY|HAVING|UNION)\b).)*)"), F.lit(1)), " ")
-        return F.exists(aliases, lambda a: F.rlike(spans, F.concat(F.lit(r"(?i)\b"), a, F.lit(r"\s*\.")))) & ~self.has(r"(?i)\bIS\s+NULL\b")
-
-    def correlated_projection(self) -> Column:
-        known = F.lit(r"(?is)\b(?:FROM|JOIN)\s+([\w.]+)(?:\s+AS)?(?:\s+(?!(?:WHERE|ON|JOIN|LEFT|RIGHT|INNER|FULL|CROSS|GROUP|ORDER|LIMIT|OFFSET|UNION|HAVING)\b)(\w+))?")
-        names = F.filter(F.concat(F.regexp_extract_all(self.top, known, F.lit(1)), F.regexp_extract_all(self.top, known, F.lit(2))), lambda n: n != "")
-        inner = F.filter(self.scopes, lambda s: s.rlike(r"(?i)^\s*SELECT\b"))
-        uses = F.exists(inner, lambda s: F.exists(names, lambda n: F.rlike(s, F.concat(F.lit(r"(?i)\b"), F.substring_index(n, ".", -1), F.lit(r"\.\w")))))
-        return F.regexp_extract(self.top, r"(?is)\bSELECT\b(.*?)\bFROM\b", 1).contains("[select]") & uses
-
-    def cast_in_where(self) -> Column:
-        """Casts to the platform's own types don't count where these are in use."""
-        text = F.when(self.platform, F.regexp_replace(self.text, "(?i)" + _as_type(PLATFORM_TYPES), "x")).otherwise(self.text)
-        return text.rlike(WHERE + rf"(?:(?<![\w'$]){NAME}\s*::|{_call(POSTGRES_CALLS)})")
-
-    def numeric_text(self) -> Column:
-        column = r"(?:\w+\.)*(\w*id|\w*(?:count|num|version|_no)\w*)"
-        own = F.regexp_extract(self.text, WHERE + rf"(?:\b{column}\s*=\s*'\s*-?\d+(?:\.\d+)?\s*'|'\s*-?\d+(?:\.\d+)?\s*'\s*=\s*{column}\b)", 0)
-        return (own != "") & ~(self.platform & own.rlike(r"(?i)_fld\w*\s*=|=\s*(?:\w+\.)*_fld"))
-
-    def offset(self) -> Column:
-        found = F.regexp_extract_all(self.text, F.lit(r"(?i)\bOFFSET\s+(\d+)"), F.lit(1))
-        return F.coalesce(F.array_max(F.transform(found, lambda x: x.try_cast("long"))), F.lit(0))
-
-
-RANDOM = r"(?is)\bORDER\s+BY\b.*\b(?:random|rand)\b"
-#: Anti-patterns of SQL statements: dialect, rule, severity and the condition.
-SQL_RULES = [
-    ("mssql", "not_in_with_subquery", "Major", lambda x: x.has(r"(?is)\bNOT\s+IN\s*\(\s*SELECT\b")),
-    ("mssql", "left_join_filtered", "Major", Statement.filtered_outer_join),
-    ("mssql", "or_in_where", "Major", lambda x: x.flat.rlike(WHERE + r"\bOR\b")),
-    ("mssql", "function_on_column", "Major", lambda x: x.has(WHERE + _call(MSSQL_CALLS))),
-    ("mssql", "leading_wildcard_like", "Major", lambda x: x.has(r"(?is)\bLIKE\s+N?'%")),
-    ("mssql", "select_star", "Minor", lambda x: x.has(r"(?is)\bSELECT\s+(?:DISTINCT\s+)?(?:TOP\s+\(?\d+\)?\s+)?\*")),
-    ("mssql", "cross_join", "Critical", lambda x: x.has(r"(?is)\bCROSS\s+JOIN\b")),
-    ("mssql", "large_in_list", "Major", lambda x: x.has(r"(?is)\bIN\s*\((?!\s*SELECT\b)(?:[^(),]*,){99,}[^(),]*\)")),
-    ("postgres", "offset_without_limit", "Warning", lambda x: x.scope(r"(?i)\bOFFSET\b", no=r"(?i)\b(?:LIMIT|FETCH)\b")),
-    ("postgres", "large_offset_pagination", "Critical", lambda x: x.offset() >= 10_000),
-    ("postgres", "large_offset_pagination", "Warning", lambda x: (x.offset() >= 1000) & (x.offset() < 10_000)),
-    ("postgres", "ilike_without_trgm", "Warning", lambda x: x.has(r"(?is)\bILIKE\s+'[^']*%")),
-    ("postgres", "like_with_leading_wildcard", "Warning", lambda x: x.has(r"(?is)\bLIKE\s+'%") & ~x.platform),
-    ("postgres", "like_with_leading_wildcard", "Info", lambda x: x.has(r"(?is)\bLIKE\s+'%") & x.platform),
-    ("postgres", "not_in_with_subquery_pg", "Warning", lambda x: x.has(r"(?is)\bNOT\s+IN\s*\(\s*SELECT\b")),
-    ("postgres", "jsonb_without_gin", "Info", lambda x: x.has(r"(?is)(@>|<@|->>|#>|\?\||\?&)")),
-    ("postgres", "cast_in_where_predicate", "Warning", Statement.cast_in_where),
-    ("postgres", "union_instead_of_union_all", "Info", lambda x: x.has(r"(?is)\bUNION\s+(?!ALL\b)")),
-    ("postgres", "subquery_in_select_list", "Warning", Statement.correlated_projection),
-    ("postgres", "distinct_on_large_result", "Info", lambda x: x.scope(r"(?is)\bSELECT\s+DISTINCT\b.*\bJOIN\b")),
-    ("postgres", "implicit_type_cast", "Warning", Statement.numeric_text),
-    ("postgres", "select_star_with_join", "Info", lambda x: x.scope(r"(?is)\bSELECT\s+(?:DISTINCT\s+)?\*.*\bJOIN\b") & ~x.platform),
-    ("postgres", "order_by_random", "Critical", lambda x: x.scope(RANDOM, no=r"(?i)\bLIMIT\b")),
-    ("postgres", "order_by_random", "Warning", lambda x: x.scope(RANDOM, r"(?i)\bLIMIT\b")),
-    ("postgres", "missing_where_on_update_delete", "Critical", lambda x: x.has(r"(?is)\A\s*(?:UPDATE|DELETE)\b(?!.*\bWHERE\b)")),
-    ("postgres", "mchar_vs_text_comparison", "Warning", lambda x: x.platform & (
-        x.has("(?is)" + _as_type("mchar|mvarchar") + r"\s*=\s*" + _as_type(TEXT_TYPES)) | x.has("(?is)" + _as_type(TEXT_TYPES) + r"\s*=\s*" + _as_type("mchar|mvarchar")))),
-]
 # Severities from worst to least.
 SEVERITIES = ("Critical", "Blocker", "Major", "Warning", "Minor", "Info")
-LONGEST = 200_000
 
 
 def query_findings(queries: DataFrame, text: str = "text", rules=QUERY_RULES) -> DataFrame:
@@ -155,22 +48,6 @@ def query_findings(queries: DataFrame, text: str = "text", rules=QUERY_RULES) ->
     return queries.select("id", F.explode(F.array(*cells)).alias("f")).where("f.n > 0").select("id", "f.*")
 
 
-def mask_literals(c: Column) -> Column:
-    """Comments dropped, and words inside literals made harmless: what is left of a literal are its wildcards and digits."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"/\*[\s\S]*?\*/", " "), r"(?m)--.*?$", " ")
-    return F.regexp_replace(bare, r"(?<=')[^'%\d]+(?=[^']*'(?:[^']*'[^']*')*[^']*$)", "x")
-
-
-def sql_findings(queries: DataFrame, engine: str, text: str = "text", platform: bool | None = None, rules=SQL_RULES) -> DataFrame:
-    """id, rule, severity of each anti-pattern in a statement, one finding per rule; texts beyond 200,000 characters have none.
-
-    ``platform`` tells whether statements are the business platform's; by default each one's own names and types do."""
-    x = Statement(F.col(text), platform)
-    cells = [F.when(check(x), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for e, r, s, check in rules if e == engine]
-    rows = queries.where(F.length(text) <= LONGEST)
-    return rows.select("id", F.explode(F.array_compact(F.array(*cells))).alias("f")).select("id", "f.*")
-
-
 PLACE = "start int, end int, line int, column int, end_line int, end_column int"
 
 
@@ -226,7 +103,7 @@ def first_of_each(findings: DataFrame, key: list[str], order: list) -> DataFrame
 
 def blanked(c: Column) -> Column:
     """A statement of the same length, with blanks for comments and for what stands in literals."""
-    parts = F.regexp_extract_all(c, F.lit(r"(?s)/\*.*?\*/|--[^\n]*|'(?:[^']|'')*'|[^'/-]+|."), F.lit(0))
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)/\*.*?\*/|--[^\n]*+|'(?:[^']++|'')*+'|[^'/-]++|."), F.lit(0))
     blank = lambda x: F.repeat(F.lit(" "), F.length(x))
     quoted = lambda x: F.concat(F.lit("'"), F.repeat(F.lit(" "), F.length(x) - 2), F.lit("'"))
     return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("/*") | x.startswith("--"), blank(x)).when(x.startswith("'") & (F.length(x) > 1), quoted(x)).otherwise(x)), "")
@@ -286,13 +163,6 @@ def _scalar(word: str):
     return {"true": True, "false": False}.get(word.lower(), int(word) if re.fullmatch(r"-?\d+", word) else float(word) if re.fullmatch(r"-?\d+\.\d+", word) else word)
 
 
-def safe_to_explain(c: Column) -> Column:
-    """Whether a statement may be run again for its plan: it reads, and names no word that changes data or the session."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"/\*[\s\S]*?\*/", " "), r"(?m)--.*?$", " "), r"'[^']*(?:''[^']*)*'", "''")
-    writes = r"(?i)\b(insert|update|delete|truncate|merge|drop|alter|create|grant|revoke|copy|call|do|vacuum|analyze|reindex|cluster|refresh|lock|begin|commit|rollback|savepoint|set|reset|listen|notify|prepare|execute|deallocate)\b"
-    return bare.rlike(r"(?i)^\s*(select|with|values|table)\b") & ~bare.rlike(writes) & ~bare.rlike(r";\s*\S")
-
-
 # What the figures of an operation, a deadlock, a lock or an exception mean: explanation, what it applies to,
 # priority, and the field, comparison and value of each condition.
 EXPLANATIONS = [

@@ -56,6 +56,24 @@ SQL_SHAPES = {
         ("SELECT t.a FROM t LEFT JOIN d x ON x.id = t.id WHERE t.b = {n}", []),
         ("SELECT a FROM t WHERE a = 'this OR that' -- OR b {n}", []),
         ("SELECT count(*) FROM t /* SELECT * */ WHERE a = {n}", []),
+        ("SELECT t.a FROM t LEFT JOIN u ON t.id = u.id WHERE u.x = {n}", [("left_join_filtered", "Major")]),
+        ("SELECT t.a FROM t LEFT JOIN dbo.[u] ON t.id = u.id WHERE [u].x = {n}", [("left_join_filtered", "Major")]),
+        ("SELECT t.a FROM t LEFT JOIN (SELECT b FROM c) AS x ON x.b = t.a WHERE x.b > {n}", [("left_join_filtered", "Major")]),
+        ("SELECT a FROM (SELECT t.a FROM t LEFT JOIN u ON u.i = t.i) q WHERE u.b > {n}", []),
+        ("SELECT t.a FROM t RIGHT JOIN u ON u.i = t.i WHERE u.b > {n}", []),
+        ("SELECT [OR] FROM t WHERE [OR] = {n}", []),
+        ("SELECT a FROM t WHERE b = '-- no comment' OR c = {n}", [("or_in_where", "Major")]),
+        ("SELECT a FROM t WHERE b = {n} -- 'x\nOR c = 2", [("or_in_where", "Major")]),
+        ("SELECT TOP 5 PERCENT * FROM t WHERE a = {n}", [("select_star", "Minor")]),
+        ("SELECT TOP (5) WITH TIES * FROM t ORDER BY a", [("select_star", "Minor")]),
+        ("SELECT a, * FROM t WHERE b = {n}", [("select_star", "Minor")]),
+        ("SELECT a * b, t.* FROM t WHERE EXISTS (SELECT * FROM u)", [("select_star", "Minor")]),
+        ("SELECT a FROM t WHERE LEFT(a, 3) = 'x{n}'", [("function_on_column", "Major")]),
+        ("SELECT a FROM t WHERE b = CONVERT(varchar(10), @p1) AND c = UPPER('x{n}')", []),
+        ("SELECT a FROM t WHERE d > DATEADD(day, {n}, @p1)", []),
+        ("SELECT a FROM t WHERE d > COALESCE(1, (b))", [("function_on_column", "Major")]),
+        ("SELECT 'abc {n}", [("parse_error", "Info")]),
+        ("SELECT (a FROM t WHERE b = {n}", [("parse_error", "Info")]),
     ],
     "postgres": [
         ("SELECT a FROM t ORDER BY a OFFSET 7", [("offset_without_limit", "Warning")]),
@@ -84,8 +102,8 @@ SQL_SHAPES = {
         ("SELECT * FROM t JOIN d ON a = b", [("select_star_with_join", "Info")]),
         ("SELECT * FROM t WHERE EXISTS (SELECT 1 FROM x JOIN d ON a = b)", []),
         ("SELECT * FROM _Document3 JOIN d ON a = b", []),
-        ("SELECT a FROM t ORDER BY random()", [("order_by_random", "Critical")]),
-        ("SELECT a FROM t ORDER BY random() LIMIT 1", [("order_by_random", "Warning")]),
+        ("SELECT a FROM t ORDER BY random()", [("order_by_random_with_limit", "Critical")]),
+        ("SELECT a FROM t ORDER BY random() LIMIT 1", [("order_by_random_with_limit", "Warning")]),
         ("DELETE FROM t", [("missing_where_on_update_delete", "Critical")]),
         ("UPDATE t SET a = {n}", [("missing_where_on_update_delete", "Critical")]),
         ("DELETE FROM t WHERE a = {n}", []),
@@ -93,6 +111,42 @@ SQL_SHAPES = {
         ("SELECT a, (SELECT max(b) FROM d) AS m FROM t", []),
         ("SELECT a FROM _InfoRg5 WHERE a::mchar = b::text", [("mchar_vs_text_comparison", "Warning"), ("cast_in_where_predicate", "Warning")]),
         ("SELECT a FROM _InfoRg5 WHERE a::mchar = b::mvarchar(10)", []),
+        ("UPDATE t SET a = (SELECT max(b) FROM u WHERE u.id = {n})", [("missing_where_on_update_delete", "Critical")]),
+        ("WITH x AS (SELECT {n}) DELETE FROM t", [("missing_where_on_update_delete", "Critical")]),
+        ("WITH x AS (DELETE FROM t RETURNING *) SELECT a FROM x WHERE a > {n}", [("missing_where_on_update_delete", "Critical")]),
+        ("DELETE FROM t; SELECT a FROM u WHERE b = {n}", [("missing_where_on_update_delete", "Critical")]),
+        ("WITH x AS (SELECT {n}) UPDATE t SET a = 1 WHERE b IN (SELECT c FROM x)", []),
+        ("SELECT a FROM t WHERE b = {n} FOR UPDATE", []),
+        ("INSERT INTO t (a) VALUES ({n}) ON CONFLICT (a) DO UPDATE SET b = 2", []),
+        ("SELECT id FROM t WHERE data -> 'k{n}' = '1'", [("jsonb_without_gin", "Info")]),
+        ("SELECT 'a -> b' FROM t WHERE c = {n}", []),
+        ("SELECT a FROM t WHERE a IS DISTINCT FROM {n} AND lower(c) = 'x'", [("cast_in_where_predicate", "Warning")]),
+        ("SELECT extract(year FROM d) FROM t WHERE b = {n}", []),
+        ("SELECT a FROM t WHERE extract(year FROM d) = {n}", [("cast_in_where_predicate", "Warning")]),
+        ("SELECT a FROM t WHERE x IN (SELECT b FROM d UNION SELECT c FROM e WHERE f = {n})", [("union_instead_of_union_all", "Info")]),
+        ("SELECT a FROM t UNION ALL (SELECT b FROM d) ORDER BY random() LIMIT {n}", [("order_by_random_with_limit", "Warning")]),
+        ("SELECT $$ it's ( $$, $q$ WHERE $q$ FROM t WHERE a = {n}", []),
+        ("SELECT E'it\\'s' FROM t WHERE a = {n}", []),
+        ("SELECT a FROM t WHERE b = E'\\' AND c = {n}", [("parse_error", "Info")]),
+        ("SELECT a /* {n} /* inner */ still */ FROM t", []),
+        ("SELECT a FROM t WHERE a::varchar = _fld1::mchar", [("cast_in_where_predicate", "Warning"), ("mchar_vs_text_comparison", "Warning")]),
+        ("SELECT \"select\" FROM \"update\" WHERE \"or\" = {n}", []),
+    ],
+}
+#: Where a rule's finding is: the part of the statement that it covers.
+PLACED = {
+    "mssql": [
+        ("SELECT a\nFROM t\r\nWHERE b NOT IN (SELECT c FROM d) AND e = {n}", [("not_in_with_subquery", "NOT IN (SELECT")]),
+        ("SELECT t.a FROM t\n LEFT JOIN u ON t.i = u.i\n WHERE u.x = {n}", [("left_join_filtered", "u.x")]),
+        ("/* ' */ SELECT a FROM t WHERE a = 1 -- '\n  OR b = {n} OR c = 3", [("or_in_where", "OR"), ("or_in_where", "OR")]),
+        ("SELECT TOP 3\n*\nFROM t CROSS JOIN u{n}", [("select_star", "SELECT TOP 3\n*"), ("cross_join", "CROSS JOIN")]),
+        ("SELECT a FROM t WHERE UPPER ( a ) = 'A' AND b LIKE\n N'%{n}'", [("function_on_column", "UPPER ( a )"), ("leading_wildcard_like", "LIKE\n N'%{n}'")]),
+    ],
+    "postgres": [
+        ("SELECT a FROM t\rORDER BY random ( ) \n OFFSET 2000{n}", [("order_by_random_with_limit", "random ( )"), ("offset_without_limit", "OFFSET"), ("large_offset_pagination", "OFFSET 2000{n}")]),
+        ("SELECT a, (\n SELECT max(b) FROM d\n WHERE d.k = t.k\n) FROM t WHERE c = {n}", [("subquery_in_select_list", "(\n SELECT max(b) FROM d\n WHERE d.k = t.k\n)")]),
+        ("WITH x AS (\nUPDATE t SET a = {n} RETURNING b)\nSELECT DISTINCT * FROM x JOIN y ON 1 = 1", [("missing_where_on_update_delete", "UPDATE t"), ("distinct_on_large_result", "SELECT DISTINCT"), ("select_star_with_join", "SELECT DISTINCT *")]),
+        ("SELECT a FROM t WHERE user_id\n= '{n}'", [("implicit_type_cast", "user_id\n= '{n}'")]),
     ],
 }
 SHAPE_OF = "SELECT event_id AS id, (event_id % {})::INT AS shape FROM events"
@@ -112,6 +166,33 @@ def _expected(shapes, columns: str, rows) -> str:
     return f"WITH s AS ({SHAPE_OF.format(len(shapes))}), f(shape, {columns}) AS (VALUES {', '.join(cells)}) SELECT id, {columns} FROM s JOIN f USING (shape)"
 
 
+def _expected_places(engine: str) -> str:
+    """The same with the place where each part begins, and its text; {n} is filled in by SQL."""
+    cells = []
+    for i, (text, found) in enumerate(PLACED[engine]):
+        for rule, line, column, part in _placed_parts(text, found):
+            cells.append(f"({i}, '{rule}', {line}, {column}, {_quoted(part)})")
+    return f"WITH s AS ({SHAPE_OF.format(len(PLACED[engine]))}), f(shape, rule, line, col, part) AS (VALUES {', '.join(cells)}) SELECT id, rule, line, col AS \"column\", replace(part, '{{n}}', id::VARCHAR) AS snippet FROM s JOIN f USING (shape)"
+
+
+def _quoted(text: str) -> str:
+    """A text as SQL; line ends as chr()."""
+    out = "'" + text.replace("'", "''") + "'"
+    for end in ("\n", "\r"):
+        out = out.replace(end, f"' || chr({ord(end)}) || '")
+    return out
+
+
+def _placed_parts(text, found):
+    out, last = [], {}
+    for rule, part in found:
+        at = text.index(part, last.get(rule, -1) + 1)
+        last[rule] = at
+        before = text[:at].replace("\r\n", "\n").replace("\r", "\n")
+        out.append((rule, before.count("\n") + 1, len(before) - before.rfind("\n"), part))
+    return out
+
+
 def _counted(text, found):
     return sorted({(r, sum(r == q for q, _ in found)) for r, _ in found})
 
@@ -167,6 +248,17 @@ RAW = """CASE id % 4
   WHEN 2 THEN '{"code":"Other","severity":"info","range":{"start":{"line":9,"character":0},"end":{"line":9,"character":1}}}'
   ELSE '{"code":"Other","range":{"start":{"line":1,"character":0},"end":{"line":1,"character":6}}}' END"""
 
+IN_LIST = "concat('SELECT a FROM t WHERE b NOT IN (', array_join(sequence(1L, 90 + id % 20), ', '), ') AND c IN ((1), (2))')"
+BROKEN = """CASE id % 5 WHEN 0 THEN concat('SELECT a FROM t WHERE b = ', chr(39), id) WHEN 1 THEN concat('SELECT (a + ', id, ' FROM t')
+  WHEN 2 THEN concat('SELECT a /* ', id) WHEN 3 THEN concat('no statement ', id) ELSE concat('SELECT ', chr(39), '(', chr(39), ' FROM t -- ', id) END"""
+#: Statements, and whether each may be run again for its plan.
+EXPLAINABLE = [
+    ("SELECT a FROM t WHERE b = 'drop table x'", True), ("EXPLAIN SELECT 1", True), ("TABLE t", True), ("values (1), (2);", True), ("SELECT \"update\" FROM \"set\"", True), ("SELECT $$ DELETE $$", True), ("/* insert */ SELECT 1 -- drop", True),
+    ("SELECT reset_at, updated, set_id FROM t", True), ("SELECT 'a -- b' ; DROP TABLE t", False), ("SELECT 1 UNLISTEN x", False), ("SELECT E'a\\'' ; DROP TABLE t --'", False), ("SELECT \"a'\" ; DROP TABLE t --'", False),
+    ("/* /* */ ' */ ; DROP TABLE t --'", False), ("SELECT a INTO n FROM t", False), ("WITH x AS (DELETE FROM t RETURNING *) SELECT * FROM x", False), ("REFRESH MATERIALIZED VIEW v", False), ("SELECT 1; SELECT 2", False), ("", False), ("SELECT 'open", False),
+    ("SELECT comment, lock FROM t", True), ("SELECT 1 UNION SELECT 2 ORDER BY 1", True), ("copy t to 'x'", False), ("WITH x AS (SELECT 1) SELECT * FROM x", True),
+]
+
 QUERIES = {
     "n_query_rules": lambda s, d: ru.query_findings(_texts(QUERY_SHAPES)(s, d)).select("id", "rule", "n"),
     "n_query_ranges": lambda s, d: ru.placed_findings(_texts(QUERY_SHAPES)(s, d)).select("id", "rule", "line", "column"),
@@ -174,6 +266,11 @@ QUERIES = {
     "a22_severities": lambda s, d: ru.severity_counts(ru.placed_findings(_texts(QUERY_SHAPES)(s, d))),
     "l_mssql_rules": lambda s, d: ru.sql_findings(_texts(SQL_SHAPES["mssql"])(s, d), "mssql").select("id", "rule", "severity"),
     "l_postgres_rules": lambda s, d: ru.sql_findings(_texts(SQL_SHAPES["postgres"])(s, d), "postgres").select("id", "rule", "severity"),
+    "l_mssql_places": lambda s, d: ru.placed_sql_findings(_texts(PLACED["mssql"])(s, d), "mssql").select("id", "rule", "line", "column", "snippet"),
+    "l_postgres_places": lambda s, d: ru.placed_sql_findings(_texts(PLACED["postgres"])(s, d), "postgres").select("id", "rule", "line", "column", "snippet"),
+    "l_in_list_sizes": lambda s, d: ru.sql_findings(log_events(s, d).select("id", F.expr(IN_LIST).alias("text")), "mssql"),
+    "l_parse_failed": lambda s, d: log_events(s, d).select("id", ru.parse_failed(F.expr(BROKEN), "postgres").alias("failed")),
+    "v2_odd_statements": lambda s, d: log_events(s, d).select("id", ru.safe_to_explain(F.element_at(F.array(*(F.lit(t) for t, _ in EXPLAINABLE)), (F.pmod("id", F.lit(len(EXPLAINABLE))) + 1).cast("int"))).alias("safe")),
     "k9_severity_counts": lambda s, d: ru.sql_findings(_texts(SQL_SHAPES["postgres"])(s, d), "postgres").groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.min(ru.severity_rank(F.col("severity"))).alias("rank")),
     "e1_explained": lambda s, d: ru.explained(vi.operations(log_events(s, d)).join(us.shares(log_events(s, d)), "operation")).select("operation", "explanation"),
     "e1_deadlocks": _deadlocks,
@@ -193,6 +290,11 @@ ORACLES = {
     "a22_severities": "SELECT id, " + ", ".join(f"count(*) FILTER (WHERE rule IN ({', '.join(repr(r) for r, s in SEVERITY.items() if s == w)})) AS {w}" for w in ("critical", "warning", "info")) + f" FROM ({_expected(QUERY_SHAPES, 'rule, line, c', _placed)}) GROUP BY id",
     "l_mssql_rules": _expected(SQL_SHAPES["mssql"], "rule, severity", lambda t, found: found),
     "l_postgres_rules": _expected(SQL_SHAPES["postgres"], "rule, severity", lambda t, found: found),
+    "l_mssql_places": _expected_places("mssql"),
+    "l_postgres_places": _expected_places("postgres"),
+    "l_in_list_sizes": "SELECT event_id AS id, 'large_in_list' AS rule, 'Major' AS severity FROM events WHERE event_id % 20 >= 10",
+    "l_parse_failed": "SELECT event_id AS id, event_id % 5 < 4 AS failed FROM events",
+    "v2_odd_statements": "SELECT event_id AS id, [" + ", ".join(str(ok).lower() for _, ok in EXPLAINABLE) + f"][event_id % {len(EXPLAINABLE)} + 1] AS safe FROM events",
     "k9_severity_counts": f"SELECT severity, count(*) AS n, CASE severity WHEN 'Critical' THEN 1 WHEN 'Warning' THEN 4 ELSE 6 END::BIGINT AS rank FROM ({_expected(SQL_SHAPES['postgres'], 'rule, severity', lambda t, found: found)}) GROUP BY severity",
     "e1_explained": EV + SHARES,
     "e1_deadlocks": EV + DEADLOCK_FIGURES,
