@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import wave
 import zlib
 from collections import Counter
@@ -10,6 +11,7 @@ from io import BytesIO
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tracelake.llm import decontaminate, language_id, licenses, media, mixing, registry, token_store, toxicity
-from tracelake.llm.common import read
+from tracelake.llm.common import buffer_of, read
 
 DATA = "/root/testdata/sf0.001"
 ODD = [(3, None), (1, ""), (None, "x y"), (2, "The loser said Hello, WORLD! 12 ünïcodé <|endoftext|> z"), (2, "again"), (7, " \n\t"), (9, "a" * 3000), (9, "a" * 3000)]
@@ -42,6 +44,29 @@ def test_token_store(spark, docs_of, documents):
     assert token_store.token_store(docs_of([])).count() == 0
 
 
+def ids_by_whole_text(texts):
+    encoder = token_store.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    ids, n = encoder(*buffer_of(pa.array([t.encode("utf-8", "replace") for t in texts], pa.binary())))
+    end = np.cumsum(n)
+    got = [ids[a:z].tolist() for a, z in zip(end - n, end, strict=True)]
+    want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    return [(t, g, w) for t, g, w in zip(texts, got, want, strict=True) if g != w]
+
+
+def test_ids_of_every_letter():
+    known = [c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) not in ("Cs", "Cn")]
+    assert ids_by_whole_text([f"A {c}B. {c}. c{c}D{c}! \n{c} {c} x{c}'s .{c} H{c} {c}{c}, {c.upper()}." for c in known]) == []
+    marks = [c for c in known if unicodedata.category(c)[0] == "M"]
+    assert ids_by_whole_text([f"{a}{c} {a}{c}. .{a}{c}!" for c in marks for a in "AHTWYJhkä"]) == []
+
+
+def test_ids_of_odd_texts():
+    special = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "<|endoftext", "a<|EndOfText|>b", "<|", "|>", "< |endoftext|>"]
+    r, pool = random.Random(1), [*" \n\t\r　  \u0085aAbZHTWYJhtwyj09.,'!<|>-_éÉßİ̱̣̊̈́̌漢字ह़क़ড়🙂​ΣςKÅ", *special, "'s", "'LL", " the", " Word.", "  "]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 30))) for _ in range(20_000)]
+    assert ids_by_whole_text([*special, "", " ", "H̱", "Z", "é", *texts]) == []
+
+
 def test_random_access():
     r = np.random.RandomState(0)
     ids = np.concatenate([np.tile([5, 6, 7, 7, 7, 8], 2000), r.randint(0, 300, 20_000), np.full(3001, 9)])

@@ -13,6 +13,7 @@ Shards are the rows of a Parquet table in the shared folder, written and committ
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -168,11 +169,12 @@ IS_LETTER = np.isin(np.arange(256), list(range(97, 123)))
 class Encoder:
     """Texts (bytes) to ids (little-endian u4 bytes), by the tokenizers library.
 
-    The tokenizer drops white space, never joins over it, lower-cases, and splits letters from punctuation. So the ids of a
-    text are those of its words in order, and a word of letters and then punctuation has the ids of both parts.
-    Each distinct word of a few MB is looked up once; past CACHE_WORDS remembered words only those used again are kept. A run of ASCII letters in
-    lower case is left as it is by the normaliser and the splitter, so it goes to the model without them. The tests
-    compare with whole texts.
+    The tokenizer drops white space, never joins over it, composes characters, lower-cases, and splits letters from punctuation. So the
+    ids of a text are those of its words in order, and a word of letters and then punctuation has the ids of both parts, if its letters stay
+    letters. Each distinct word of a few MB is looked up once; past CACHE_WORDS remembered words only those used again are kept. ASCII
+    letters are made lower case beforehand, but for those that something beyond ASCII follows, which may compose with them. A run of
+    ASCII letters in lower case is left as it is by the normaliser and the splitter, so it goes to the model without them. Texts with
+    "<|", which begins the strings of special tokens, go through as they are. The tests compare with whole texts.
     """
 
     def __init__(self, path: str):
@@ -209,7 +211,7 @@ class Encoder:
         parts, split, letters, tails, whole = self.parts, [], {}, {}, []
         for w in words.difference(plain):
             head = w.rstrip(TAIL)
-            if not head.decode("utf-8", "replace").isalpha():
+            if not stays_letters(head.decode("utf-8", "replace")):
                 whole.append(w)
                 continue
             tail = w[len(head) :]
@@ -238,8 +240,20 @@ class Encoder:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some texts (bytes and their offsets), each followed by END, and how many each has."""
-        data, rows = LOWER[data], len(offsets) - 1
+        rows = len(offsets) - 1
+        sign = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))  # <|
+        whole = np.unique(np.searchsorted(offsets, sign, "right") - 1)
+        lower = np.append(data[1:] < 0x80, True)[: len(data)]
+        lower[offsets[1:][offsets[1:] > 0] - 1] = True  # a row's last byte
+        for row in whole.tolist():
+            lower[offsets[row] : offsets[row + 1]] = False
+        data = np.where(lower, LOWER[data], data)
         start, end = units_of(data, offsets)
+        if len(whole):
+            part = ~np.isin(np.searchsorted(offsets, start, "right") - 1, whole)
+            start, end = np.append(start[part], offsets[whole]), np.append(end[part], offsets[whole + 1])
+            order = np.argsort(start)
+            start, end = start[order], end[order]
         if not len(start):
             return np.full(rows, END, np.uint32), np.ones(rows, np.int64)
         first, kind = distinct(data, start, end)
@@ -256,6 +270,11 @@ class Encoder:
         return out, np.diff(upto[after + np.arange(rows)], prepend=0)
 
 
+def stays_letters(word: str) -> bool:
+    """Whether a word is letters alone, also when it is composed and in lower case; told only of scripts whose letters are long settled."""
+    return word.isalpha() and max(word) < "\u0530" and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of lower-cased texts; punctuation that follows a run of ASCII letters up to a word's end
     is a unit of its own."""
@@ -352,7 +371,8 @@ def write_shards(docs: DataFrame, path: str | None = None, shard_tokens: int = S
         if held:
             yield shard()
 
-    rows = docs.select(key_of().alias("doc"), whole_text().alias("t")).repartitionByRange("doc").sortWithinPartitions("doc", "t")
+    # Rows with one id, or none, are dealt out by their texts.
+    rows = docs.select(key_of().alias("doc"), F.xxhash64(whole_text()).alias("h"), whole_text().alias("t")).repartitionByRange("doc", "h").sortWithinPartitions("doc", "h", "t").select("doc", "t")
     return written(rows.mapInArrow(encode, "shard long, n_tokens long, blob binary"))
 
 
@@ -380,7 +400,7 @@ def token_store(docs: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, read back from the written shards.
 
     One row per input row. Null and empty texts have the end id only. A null doc_id comes first and stays null;
-    rows with one id follow each other, ordered by text. Texts of any length are taken whole (a long one makes a
+    rows with one id follow each other, ordered by a hash of the text. Texts of any length are taken whole (a long one makes a
     shard longer). Other columns are left out. No rows give no rows.
     """
     return read_documents(write_shards(docs))
