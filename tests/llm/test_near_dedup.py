@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
 from tracelake.llm import simhash, substring_dedup, suffix_dedup, suffix_order
@@ -114,13 +115,38 @@ def test_one_of_each_by_component(docs_of):
     assert sorted(((x.doc_id, x.text) for x in simhash.one_of_each(docs_of(rows)).collect()), key=str) == sorted([(1, a), (None, b), (None, c), (5, d), (5, e), (3, f)], key=str)
 
 
-def test_count_filter():
+def classes_of(fps, pairs):
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {f: find(f) for f in fps}
+
+
+@pytest.mark.parametrize("longest, least", [(512, 1), (512, 3), (512, 6), (16, 1), (3, 1)])
+def test_count_filter_decides(spark, monkeypatch, longest, least):
+    """Lists of few entries hold pairs that share too little; lists that are too long are split. The classes stay those of all pairs."""
     r = np.random.RandomState(3)
-    a = r.randint(-(2**62), 2**62, 500)
-    b = a ^ (1 << r.randint(0, 62, 500)) ^ (1 << r.randint(0, 62, 500)) ^ np.where(r.rand(500) < 0.5, 0, 255 << 8 * r.randint(0, 7, 500))
-    bytes_ = lambda x: int(x).to_bytes(8, "little", signed=True)
-    assert simhash.shared_bytes(a, b).tolist() == [sum(p == q for p, q in zip(bytes_(x), bytes_(y))) for x, y in zip(a, b)]
-    assert simhash.linked(a, b).tolist() == [((int(x) ^ int(y)) % 2**64).bit_count() <= 2 for x, y in zip(a, b)]
+    base = r.randint(-(2**62), 2**62, 700).tolist()
+    flipped = lambda x, n: int(np.bitwise_xor.reduce([np.int64(x), *(np.int64(1) << np.int64(b) for b in r.choice(63, n, replace=False))]))
+    fps = {*base, *(flipped(b, r.randint(1, 5)) for b in base for _ in range(2)), *(flipped(base[0], r.randint(1, 6)) for _ in range(1200)), *(base[1] & ~0xFFFF | int(x) for x in r.randint(0, 65536, 700))}
+    fps = np.array(sorted(fps), np.int64)
+    u = fp_bits = fps.view(np.uint64)
+    pairs = [(int(fps[i]), int(fps[i + 1 + k])) for i in range(len(u)) for k in np.flatnonzero(np.bitwise_count(fp_bits[i] ^ u[i + 1 :]) <= 2)]
+    monkeypatch.setattr(simhash, "LIST", longest)
+    edges = simhash.links(spark.createDataFrame([(x,) for x in fps.tolist()], "fp long").repartition(3), least).collect()
+    assert classes_of(fps.tolist(), edges) == classes_of(fps.tolist(), pairs)
+    # What meets in lists of one entry mostly shares less than 6 bytes: the tally drops it.
+    two = np.sort(fps)[:2000]
+    x, y = simhash._tallied(two, np.full(len(two), 0xFF, np.uint64), np.full(len(two), len(two)))
+    assert {(int(two[i]), int(two[j])) for i, j in zip(x, y)} == {(a, b) for a, b in pairs if (a ^ b) & 0xFF == 0 and a in set(two.tolist()) and b in set(two.tolist())}
 
 
 def test_links_of_one_large_posting(spark):

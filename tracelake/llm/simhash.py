@@ -1,16 +1,19 @@
 """SimHash near-duplicates: a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most 2 bits share at least 6 of their 8 positional bytes. A list per single
-(position, byte) entry would hold a 256th of all fingerprints, and tallying all its pairs would cost the square of that. So
-the entries are posted together: every fingerprint under each choice of 6 of its 8 entries, where all pairs that can reach
-the guaranteed number meet. For each of those the shared positional bytes are tallied, pairs that reach 6 stay, and their
-bits are compared. A posting holds at most 65,536 distinct fingerprints, and inside a larger one neighbours are looked up in a
-65,536-entry table of the two entries left, so no posting costs the square of its size and none is capped.
+Two 64-bit fingerprints that differ in at most 2 bits share at least 6 of their 8 positional bytes. Every fingerprint is posted by
+(position, byte); all pairs of a list meet there, the positional bytes that a pair shares are tallied, pairs that reach 6 stay, and
+their bits are compared. A list of one entry holds about a 256th of all fingerprints, too many to compare all with all. So
+a list of more than LIST is split by a further entry, again and again: lists of the first one, two, ... six entries that a pair shares.
+How many to begin with follows from the number of fingerprints, so that most lists are short from the start. Each pair is tallied in
+one list only: that of the first entries it shares. At least 6 are shared, so the first of them is among positions 0 to 2, the
+second among 1 to 3, and so on: with d entries there are C(d + 2, 2) lists for each fingerprint. What is still too long with six has at most
+65,536 members, which differ in two bytes only; there neighbours are looked up in a table of these.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -19,13 +22,27 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, buffer_of, key_of, read, whole_text, written
+from .common import NULL_ID, buffer_of, key_of, longs, read, whole_text, written
 from .components import connected_components
 
 MAX_BITS = 2
 KEPT_BYTES = 8 - MAX_BITS
-#: For each choice of bytes to leave out: the mask of those kept, and the places of the two left out.
-POSTINGS = [(sum(0xFF << 8 * i for i in range(8) if i not in out), out) for out in combinations(range(8), MAX_BITS)]
+#: Members of a list whose pairs are all tallied; pairs tallied at one go.
+LIST = 512
+PAIRS = 1 << 20
+
+
+def entries(depth: int) -> list[tuple[int, ...]]:
+    """The positions that can be the first ``depth`` ones that a pair shares."""
+    return [c for c in combinations(range(8), depth) if all(p <= MAX_BITS + i for i, p in enumerate(c))]
+
+
+def mask_of(positions: tuple[int, ...]) -> int:
+    return sum(0xFF << 8 * p for p in positions)
+
+
+#: The places of a list of six entries that are left out, by its mask.
+LEFT_OUT = {_mask: tuple(p for p in range(8) if not _mask >> 8 * p & 1) for _mask in map(mask_of, entries(KEPT_BYTES))}
 NEAR = np.array([0, *(1 << i for i in range(16)), *(1 << i | 1 << j for i, j in combinations(range(16), 2))], np.int64)[1:]
 
 
@@ -69,85 +86,123 @@ def fingerprints(docs: DataFrame, words: int = 3, hashed: bool = False) -> DataF
     return rows.mapInArrow(step, ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
 
 
-def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many of the 8 positional bytes two columns of fingerprints share."""
-    return ((a ^ b).view(np.uint8).reshape(*a.shape, 8) == 0).sum(-1)
-
-
-def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The count filter, then the bits."""
-    out = shared_bytes(a, b) >= KEPT_BYTES
-    out[out] = np.bitwise_count((a[out] ^ b[out]).view(np.uint64)) <= MAX_BITS
-    return out
-
-
-def _roots(fp: np.ndarray, out: tuple[int, ...]) -> np.ndarray:
-    """Within a posting: for each member the index of its class's first member, classes linked at MAX_BITS or fewer bits."""
+def _near_pairs(fp: np.ndarray, out: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Within a list of six entries: the pairs of members that differ in MAX_BITS or fewer of the bits that are left."""
     u = fp.view(np.uint64)
     rest = sum(((u >> np.uint64(8 * i)) & np.uint64(255)).astype(np.int64) << (8 * n) for n, i in enumerate(out))
     table = np.full(1 << 16, -1, np.int64)
     table[rest] = np.arange(len(fp))
-    if len(fp) < 200:
-        a, b = (x.ravel() for x in np.indices((len(fp), len(fp))))
-        near = linked(fp[a], fp[b])
-        a, b = a[near], b[near]
-    else:
-        near = table[rest[:, None] ^ NEAR[None, :]]
-        a, k = np.nonzero(near >= 0)
-        b = near[a, k]
-    root = np.arange(len(fp))
+    near = table[rest[:, None] ^ NEAR[None, :]]
+    a, k = np.nonzero(near >= 0)
+    return a, near[a, k]
+
+
+def _tallied(fp: np.ndarray, mask: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of all lists: rows of one list follow each other up to ``end``. A pair counts where its first shared entries are the list's."""
+    more = end - np.arange(len(fp)) - 1  # rows of the same list behind each row
+    upto = np.append(0, np.cumsum(more))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    a = 0
+    while a < len(fp):
+        z = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS, "right")) - 1)
+        x = np.repeat(np.arange(a, z), more[a:z])
+        y = np.arange(len(x)) + np.repeat(np.arange(a, z) + 1 - (upto[a:z] - upto[a]), more[a:z])
+        differ = (fp[x] ^ fp[y]).view(np.uint64)
+        same = differ.view(np.uint8).reshape(-1, 8) == 0  # by position, as the bytes lie in memory: position 0 is the lowest
+        stay = np.flatnonzero(same.sum(1) >= KEPT_BYTES)
+        stay = stay[np.bitwise_count(differ[stay]) <= MAX_BITS]
+        low = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - top_bit(mask[x[stay]]))
+        first = differ[stay]
+        # Of the positions up to the list's last, the pair shares those of the list and no other.
+        shared = sum(np.where((first >> np.uint64(8 * p)) & np.uint64(0xFF) == 0, np.uint64(0xFF << 8 * p), np.uint64(0)) for p in range(8))
+        stay = stay[(shared & low) == mask[x[stay]]]
+        found.append((x[stay], y[stay]))
+        a = z
+    x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+    return x, y
+
+
+def top_bit(mask: np.ndarray) -> np.ndarray:
+    """How many bits reach to the end of the highest byte of a mask."""
+    return sum(np.where(mask >> np.uint64(8 * p) != 0, np.uint64(8), np.uint64(0)) for p in range(8))
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest that links a, b reach."""
+    root = np.arange(n)
     while True:
         before = root.copy()
         np.minimum.at(root, a, root[b])
+        np.minimum.at(root, b, root[a])
         root = root[root]
         if (root == before).all():
             return root
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning edges of each posting. Rows: choice, kept bytes, fp, sorted by the first two."""
-    held: list[np.ndarray] = []
+    """Spanning links of each list. Rows: mask of its entries, their bytes, fp; sorted by the first two."""
 
-    def solve(c: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        cut = np.ones(len(c), bool)
-        cut[1:] = (c[1:] != c[:-1]) | (key[1:] != key[:-1])
-        at = np.append(np.flatnonzero(cut), len(c))
+    def solve(mask: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        at = np.append(np.flatnonzero(np.append(True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))), len(mask))
         size = np.diff(at)
-        src, dst = [], []
-        two = at[:-1][size == 2]
-        if len(two):
-            good = linked(fp[two], fp[two + 1])
-            src.append(fp[two][good])
-            dst.append(fp[two + 1][good])
-        for a, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            part = fp[a : a + n]
-            root = _roots(part, POSTINGS[c[a]][1])
-            far = root != np.arange(n)
-            src.append(part[root[far]])
-            dst.append(part[far])
-        src, dst = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst))
+        end = np.repeat(at[1:], size)
+        small = np.repeat(size <= LIST, size)
+        rows = np.flatnonzero(small)
+        place = np.cumsum(small) - 1
+        x, y = _tallied(fp[rows], mask[rows].view(np.uint64), place[end[rows] - 1] + 1)
+        links = [(rows[x], rows[y])]
+        for a, n in zip(at[:-1][size > LIST].tolist(), size[size > LIST].tolist(), strict=True):
+            x, y = _near_pairs(fp[a : a + n], LEFT_OUT[int(mask[a]) & (2**64 - 1)])
+            links.append((a + x, a + y))
+        x, y = (np.concatenate(c) for c in zip(*links, strict=True))
+        root = spanning(len(fp), x, y)
+        far = root != np.arange(len(fp))
+        src, dst = fp[root[far]], fp[far]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(src, dst)), pa.array(np.maximum(src, dst))], ["src", "dst"])
 
+    held = np.zeros((3, 0), np.int64)
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)])
-        held.append(now)
-        rows = np.concatenate(held, axis=1)
-        cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+        held = np.concatenate([held, np.stack([longs(batch.column(i)) for i in range(3)])], axis=1)
+        cut = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
         n = cut[-1] + 1 if len(cut) else 0
         if n:
-            yield solve(*rows[:, :n])
-        held = [rows[:, n:]]
-    if held and held[0].size:
-        yield solve(*np.concatenate(held, axis=1))
+            yield solve(*np.ascontiguousarray(held[:, :n]))
+        held = held[:, n:]
+    if held.size:
+        yield solve(*np.ascontiguousarray(held))
+
+
+def posted(rows: DataFrame, depth: int) -> DataFrame:
+    """mask, key, fp: each fingerprint in all its lists of ``depth`` entries; of lists (mask, key, fp) in those they are split into."""
+    choices = entries(depth)
+    if "mask" in rows.columns:  # one entry more, behind the last
+        known = F.array(*(F.struct(F.lit(_signed(mask_of(c[:-1]))).alias("bare"), F.lit(_signed(mask_of(c))).alias("mask")) for c in choices))
+        made = F.explode(F.transform(F.filter(known, lambda c: c["bare"] == F.col("mask")), lambda c: c["mask"]))
+    else:
+        made = F.explode(F.array(*(F.lit(_signed(mask_of(c))) for c in choices)))
+    return rows.select(made.alias("mask"), "fp").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(src, dst) edges that span the classes of the distinct fingerprints in column fp."""
-    choices = F.array(*(F.struct(F.lit(i).cast("byte").alias("c"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("k")) for i, (mask, _) in enumerate(POSTINGS)))
-    posted = fps.select("fp", F.explode(choices).alias("p")).select("p.c", "p.k", "fp")
-    return posted.repartition("c", "k").sortWithinPartitions("c", "k").mapInArrow(_edges, "src long, dst long").distinct()
+def links(fps: DataFrame, least: int = 1) -> DataFrame:
+    """(src, dst) edges that span the classes of the distinct fingerprints in column fp. ``least`` is the number of entries to begin with."""
+    n, depth = fps.count(), least
+    while depth < KEPT_BYTES and n >> 8 * depth > LIST // 8:
+        depth += 1
+    lists, found = posted(fps, depth), []
+    while True:
+        long = None
+        if depth < KEPT_BYTES:
+            long = written(lists.groupBy("mask", "key").count().where(F.col("count") > LIST).select("mask", "key"))
+            if not long.limit(1).count():
+                long = None
+        short = lists if long is None else lists.join(long, ["mask", "key"], "left_anti")
+        found.append(short.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_edges, "src long, dst long"))
+        if long is None:
+            return reduce(DataFrame.unionByName, found).distinct()
+        depth += 1
+        lists = written(posted(lists.join(long, ["mask", "key"], "left_semi"), depth))
 
 
 def components(fps: DataFrame) -> DataFrame:
