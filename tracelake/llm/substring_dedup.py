@@ -35,7 +35,7 @@ FEW_NAMES = 1_000_000
 #: Rows of one bucket that a task holds at a time.
 MOST = 250_000
 
-SUPER = "key long, doc long, th int, start int, n int, packed binary"
+SUPER = "key long, doc long, th long, start int, n int, packed binary"
 
 
 def _packed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -122,8 +122,8 @@ def repeated_spans(docs: DataFrame, k: int = WORDS, m: int = PART) -> DataFrame:
     while names.where(F.col("n") > least).count() > FEW_NAMES:
         least *= 2
     hot = names.where(F.col("n") > least).select("key").toArrow().column("key").to_numpy().view(np.uint64)
-    places = tied.where("uid is not null").groupBy("uid").agg(F.collect_list("start").alias("starts"))
-    rows = docs.select(uid, key_of().alias("doc"), F.hash(whole_text()).alias("th"), whole_text().alias("t"))
+    places = tied.where("uid is not null").groupBy("uid").agg(F.collect_set("start").alias("starts"))
+    rows = docs.select(uid, key_of().alias("doc"), F.xxhash64(whole_text()).alias("th"), whole_text().alias("t"))
     rows = rows.join(places.hint("shuffle_hash"), "uid").select("doc", "th", "t", "starts")
 
     def cut(batches):
@@ -159,7 +159,7 @@ def repeated_spans(docs: DataFrame, k: int = WORDS, m: int = PART) -> DataFrame:
                 for sel in (~known, known):
                     if sel.any():
                         body = pa.nulls(int(sel.sum()), pa.binary()) if sel is known else _packed(packed, a[sel], z[sel])
-                        yield pa.RecordBatch.from_arrays([pa.array(name[sel]), pa.array(doc[sel]), pa.array(th[r][sel], pa.int32()), pa.array(first[sel].astype(np.int32)), pa.array(count[sel].astype(np.int32)), body], ["key", "doc", "th", "start", "n", "packed"])
+                        yield pa.RecordBatch.from_arrays([pa.array(name[sel]), pa.array(doc[sel]), pa.array(th[r][sel], pa.int64()), pa.array(first[sel].astype(np.int32)), pa.array(count[sel].astype(np.int32)), body], ["key", "doc", "th", "start", "n", "packed"])
 
     def mark(batches):
         least_of: dict[bytes, int] = {}  # the strings of the last key so far, and the smallest id of each: it may go on
@@ -196,8 +196,8 @@ def repeated_spans(docs: DataFrame, k: int = WORDS, m: int = PART) -> DataFrame:
             if len(r):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[r]), th.take(pa.array(r - before)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["doc", "th", "s", "e"])
 
-    found = rows.mapInArrow(cut, SUPER).repartition("key").sortWithinPartitions("key", "doc").mapInArrow(mark, "doc long, th int, s int, e int")
-    return written(found.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    found = rows.mapInArrow(cut, SUPER).repartition("key").sortWithinPartitions("key", "doc").mapInArrow(mark, "doc long, th long, s int, e int")
+    return written(found.groupBy("doc", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, key: list) -> DataFrame:
@@ -242,7 +242,7 @@ def substring_dedup(docs: DataFrame, k: int = WORDS, m: int = PART, with_text: b
             n, gone, sha, text = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    rows = with_spans(docs, repeated_spans(docs, k, m), [key_of().alias("doc"), F.hash(whole_text()).alias("th")])
+    rows = with_spans(docs, repeated_spans(docs, k, m), [key_of().alias("doc"), F.xxhash64(whole_text()).alias("th")])
     out = rows.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if with_text else out.drop("kept")
 

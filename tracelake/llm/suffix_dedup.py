@@ -108,7 +108,7 @@ def tied_samples(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             yield batch.select(["uid", "pos"]).filter(pa.array(tied))
 
     dealt = rows.mapInArrow(sample, "key long, uid long, pos int, twice boolean").repartition("key").sortWithinPartitions("key")
-    return written(dealt.mapInArrow(tie, "uid long, pos int").groupBy("uid").agg(F.collect_list("pos").alias("pos")))
+    return written(dealt.mapInArrow(tie, "uid long, pos int").groupBy("uid").agg(F.collect_set("pos").alias("pos")))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -220,7 +220,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         is_hot = F.coalesce("hot", F.lit(False)) & F.col("packed").isNotNull()
         blocks = blocks.join(F.broadcast(hot) if names <= FEW_NAMES else hot, "key", "left").select(*NAMES, is_hot.alias("hot")).mapInArrow(deal, ROWS)
     found = blocks.repartition("key").sortWithinPartitions("key").mapInArrow(mark, "doc long, th long, s int, e int")
-    return written(found.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    return written(found.groupBy("doc", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
