@@ -1,16 +1,19 @@
 import datetime
 import json
 import os
+import threading
+import time
 import zipfile
 
 import pytest
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as tx
 from tracelake.operators import filters, rules, usage
 from tracelake.plans.views import log_events
 from tracelake.sources import logs
-from tracelake.sources.console import Rejected, check, console, report
+from tracelake.sources.console import Rejected, TimedOut, check, console, report
 from tracelake.sources.export import document, export
 from tracelake.streaming import follow
 
@@ -115,6 +118,39 @@ def test_console_rejects(spark, sql):
     assert isinstance(e.value, Rejected) or "PARSE" in str(e.value).upper()
 
 
+@pytest.mark.parametrize("sql", [
+    "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT id, max(id) OVER w FROM events WINDOW w AS (ORDER BY reflect('java.lang.System', 'getProperty', 'user.home'))",
+    "SELECT id, max(id) OVER w FROM events WINDOW w AS (ORDER BY (SELECT max(id) FROM other))",
+    "SELECT * FROM IDENTIFIER('other')", "SELECT mine(id) FROM events", "SELECT system.builtin.reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT `try_reflect`('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT id FROM events ORDER BY java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT transform(array(1), x -> reflect('java.lang.System', 'getProperty', 'user.home'))",
+    "SELECT id FROM events WHERE id IN (SELECT id FROM other)", "SELECT * FROM range(1000000000000)", "SELECT * FROM events LATERAL VIEW explode(array(reflect('java.lang.System', 'getProperty', 'user.home'))) x AS y",
+    "WITH a AS (SELECT id FROM other) SELECT * FROM a", "SELECT * FROM events PIVOT (max(reflect('java.lang.System', 'getProperty', 'user.home')) FOR id IN (1, 2))",
+])
+def test_console_runs_nothing_else(spark, sql):
+    spark.range(3).createOrReplaceTempView("other")
+    spark.udf.register("mine", lambda x: x, "long")
+    with pytest.raises((Rejected, ParseException)):
+        console(spark, sql, {"events": spark.range(30).toDF("id")})
+
+
+def test_console_ends_in_time(spark):
+    events = spark.range(20_000, numPartitions=2).toDF("id")
+    slow = "SELECT count(*) AS n FROM events a JOIN events b ON sha2(cast(a.id AS string), 512) <> sha2(cast(b.id AS string), 512) JOIN events c ON a.id + b.id <> c.id"
+    others: list = []
+    beside = threading.Thread(target=lambda: others.append(spark.range(2_000_000).selectExpr("max(sha2(cast(id AS string), 512))").count()))
+    beside.start()
+    began = time.monotonic()
+    with pytest.raises(TimedOut):
+        report(spark, slow, {"events": events}, seconds=2)
+    assert time.monotonic() - began < 30
+    beside.join()
+    assert others == [1]
+    assert report(spark, "SELECT max(id) AS n FROM events", {"events": events}, seconds=60).rows == [[19_999]]
+    with pytest.raises(Exception, match="DIVIDE"):  # other errors stay what they are
+        report(spark, "SELECT 1 / (id - id) FROM events", {"events": events}, seconds=60)
+
+
 def test_console(spark):
     e = spark.range(30).toDF("id")
     assert console(spark, "WITH a AS (SELECT id FROM events) SELECT count(*) AS n FROM a WHERE id > (SELECT avg(id) FROM events)", {"events": e}).first().n == 15

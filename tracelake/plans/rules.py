@@ -138,7 +138,7 @@ PLACED = {
     "mssql": [
         ("SELECT a\nFROM t\r\nWHERE b NOT IN (SELECT c FROM d) AND e = {n}", [("not_in_with_subquery", "NOT IN (SELECT")]),
         ("SELECT t.a FROM t\n LEFT JOIN u ON t.i = u.i\n WHERE u.x = {n}", [("left_join_filtered", "u.x")]),
-        ("/* ' */ SELECT a FROM t WHERE a = 1 -- '\n  OR b = {n} OR c = 3", [("or_in_where", "OR"), ("or_in_where", "OR")]),
+        ("/* ' */ SELECT a FROM t WHERE a = 1 -- '\n  OR b = 2 OR c = {n}", [("or_in_where", "OR"), ("or_in_where", "OR")]),
         ("SELECT TOP 3\n*\nFROM t CROSS JOIN u{n}", [("select_star", "SELECT TOP 3\n*"), ("cross_join", "CROSS JOIN")]),
         ("SELECT a FROM t WHERE UPPER ( a ) = 'A' AND b LIKE\n N'%{n}'", [("function_on_column", "UPPER ( a )"), ("leading_wildcard_like", "LIKE\n N'%{n}'")]),
     ],
