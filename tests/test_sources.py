@@ -1,6 +1,7 @@
 import datetime
 import json
 import os
+import random
 import threading
 import time
 import zipfile
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import text as tx
 from tracelake.operators import filters, rules, usage
 from tracelake.plans.views import log_events
-from tracelake.sources import logs
+from tracelake.sources import log_bytes, logs
 from tracelake.sources.console import Rejected, TimedOut, check, console, report
 from tracelake.sources.export import document, export
 from tracelake.streaming import follow
@@ -172,13 +173,86 @@ def test_stream(spark, tmp_path):
 
 
 def test_log_stream(spark, tmp_path):
-    run = lambda: follow.follow_logs(spark, str(tmp_path / "in"), "A", str(tmp_path / "w"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    run = lambda: follow.follow_logs(spark, str(tmp_path / "in"), "A", str(tmp_path / "w"), str(tmp_path / "c"), idle=0).trigger(availableNow=True).start().awaitTermination(120)
     put(tmp_path / "in" / "rphost_12", "24031507.log", LOG)
     run()
     put(tmp_path / "in" / "rphost_12", "24031508.log", LOG)
     run()
     got = spark.read.parquet(str(tmp_path / "w"))
     assert got.count() == 8 and got.select("id").distinct().count() == 8 and got.where("process_role = 'rphost'").count() == 8
+    batch = logs.read_logs(spark, str(tmp_path / "in"), "A").drop("id", "source_line_start")
+    assert sorted(map(str, got.select(*batch.columns).collect())) == sorted(map(str, batch.collect()))
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "cp1251", "utf-16-le", "utf-16-be"])
+def test_growing_files_arrive_once(spark, tmp_path, encoding):
+    """Lines are appended in pieces that cut events, over restarts and to an older file; each whole event arrives once."""
+    file = tmp_path / "in" / "rphost_1" / "24031507.log"
+    file.parent.mkdir(parents=True)
+    written = [f"{n % 60:02d}:00.{n:06d}-1,CALL,1,Usr=имя{n},Context='a\nline {n}\n{'x' * n * 7}'\n" for n in range(40)]
+    data = "".join(written).encode(encoding)
+    if encoding.startswith("utf-16"):
+        data = "\ufeff".encode(encoding) + data
+    cuts = [0, 7, 300, 1001, 1002, len(data) // 3, len(data) // 2 + 1, len(data) - 11, len(data)]
+
+    def run(idle):
+        follow.follow_logs(spark, str(tmp_path / "in"), "A", str(tmp_path / "w"), str(tmp_path / "c"), idle, split=700).trigger(availableNow=True).start().awaitTermination(120)
+
+    for n, (a, z) in enumerate(zip(cuts, cuts[1:])):
+        with file.open("ab") as f:
+            f.write(data[a:z])
+        if n in (2, 3, 4, 6, 7):
+            run(3600)
+    assert sorted(x.user_name for x in spark.read.parquet(str(tmp_path / "w")).collect()) == sorted(f"имя{n}" for n in range(39))
+    run(0)  # has not grown: the last event too
+    late = "59:59.000001-1,CALL,1,Usr=late,Context=b\n"
+    with file.open("ab") as f:
+        f.write(("goes on an event that was passed on\n" + late).encode(encoding))
+    run(3600)
+    run(0)
+    run(0)
+    got = spark.read.parquet(str(tmp_path / "w")).collect()
+    assert sorted(x.user_name for x in got) == sorted([*(f"имя{n}" for n in range(40)), "late"]) and len({x.id for x in got}) == 41
+    assert {x.user_name: x.context for x in got}["имя9"] == f"a\nline 9\n{'x' * 63}"
+
+
+@pytest.mark.parametrize("encoding", ["utf-16-le", "utf-16-be", "utf-32-le", "utf-32-be", "cp1251", "cp866"])
+def test_encodings(spark, tmp_path, encoding, monkeypatch):
+    text = LOG.replace("ann", "Шань") + "".join(f"10:{n:02d}.000001-1,CALL,1,Usr=u{n},Context=Ъ{n}\n" for n in range(60))
+    mark = "\ufeff" if encoding.startswith("utf") else ""
+    put(tmp_path / "in" / "rphost_1", "24031507.log", mark + text, encoding)
+    put(tmp_path / "in" / "rphost_2", "24031508.log", text)
+    monkeypatch.setattr(log_bytes, "SPLIT", 99)
+    got = {}
+    for r in logs.read_logs(spark, str(tmp_path / "in"), "A").collect():
+        got.setdefault(r.process_pid, []).append((r.ts.minute, r.ts.second, r.ts.microsecond, r.event_type, r.user_name, r.context, r.sql_text, r.source_line_start, r.source_file[-4:]))
+    assert len(got[1]) == 64 and sorted(got[1]) == sorted(got[2])
+
+
+def test_encoding_by_first_bytes():
+    phrase = "47:02.139004-1,CALL,1,Context='Документ.Реализация.МодульОбъекта'\n"
+    detect = log_bytes.detect_encoding
+    assert [detect(phrase.encode(e)) for e in ("utf-8", "utf-8-sig", "cp1251")] == ["utf-8", "utf-8-sig", "cp1251"]
+    assert detect(b"\xff\xfe" + phrase.encode("utf-16-le")) == "utf-16-le" and detect(b"\xfe\xff" + phrase.encode("utf-16-be")) == "utf-16-be"
+    assert detect(b"\xff\xfe\0\0" + phrase.encode("utf-32-le")) == "utf-32-le" and detect(b"\0\0\xfe\xff" + phrase.encode("utf-32-be")) == "utf-32-be"
+    assert detect(b"") == "utf-8" and detect(b"plain\n") == "utf-8" and detect(b"\x98\x8f") == "cp866"
+    assert detect(phrase.encode("utf-16-le")) == "utf-16-le"  # without a mark: control characters tell
+    long = (phrase * 2000).encode()[: log_bytes.HEAD]
+    assert detect(long[:-1] if (long[-1] & 0xC0) == 0x80 else long) == "utf-8"  # a character is cut at the end
+
+
+def test_only_heads_are_read(spark, tmp_path, monkeypatch):
+    put(tmp_path / "a_1", "24031507.log", LOG)
+    put(tmp_path / "a_1", "24031508.log", "no log\n")
+    put(tmp_path / "a_1", "other.log", LOG)
+    big = tmp_path / "a_1" / "24031509.log"
+    with big.open("wb") as f:
+        f.write(LOG.encode())
+        f.truncate(3 << 30)  # a hole: reading all of it would take long
+    began = time.monotonic()
+    got = {r.name: (r.reason, r.size) for r in logs.scanned_files(spark, str(tmp_path)).collect()}
+    assert time.monotonic() - began < 20
+    assert got["24031509.log"] == ("log", 3 << 30) and got["24031508.log"][0] == "not_log" and got["other.log"][0] == "other_name" and got["24031507.log"][0] == "log"
 
 
 def test_interval_join(spark, tmp_path):
@@ -193,19 +267,61 @@ def test_interval_join(spark, tmp_path):
     assert want and {(r.call_id, r.lock_id) for r in spark.table("near").collect()} == want
 
 
+def judged(rows, per_hour=10, cooldown=300):
+    held, out = {}, []
+    for key, item, at in rows:
+        mine = held[key] = [(t, i) for t, i in held.get(key, ()) if t > at - 3600]
+        reason = "per_item" if any(i == item and t > at - cooldown for t, i in mine) else "per_key" if len(mine) >= per_hour else None
+        if reason is None:
+            mine.append((at, item))
+        out.append((key, item, at, reason is None, reason))
+    return out
+
+
+def run_stream(df, name, path, mode="append"):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(path)).start()
+    return q
+
+
 def test_admission(spark, tmp_path):
-    rows = [("k", f"i{n % 3}", n * 60) for n in range(40)]
-    spark.createDataFrame(rows, "key string, item string, at long").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("key string, item string, at long").parquet(str(tmp_path / "in"))
-    q = follow.admitted(stream).writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    held, want = [], []
-    for _, item, at in rows:
-        held = [(t, i) for t, i in held if t > at - 3600]
-        ok = not any(i == item and t > at - 300 for t, i in held) and len(held) < 10
-        held += [(at, item)] * ok
-        want.append((at, ok))
-    assert sorted((r["at"], r["admitted"]) for r in spark.table("admitted").collect()) == want
+    """Batch after batch: the verdicts are those of the whole history, and keys that are idle hold no state."""
+    follow.with_state(spark)
+    one = [("k", f"i{n % 3}", 10 + n * 60) for n in range(40)] + [("other", "i", 10 + n * 200) for n in range(12)]
+    two = [("k", f"i{n % 5}", 2400 + n * 30) for n in range(60)] + [("third", "x", 3000)]
+    three = [("late", "i", 40_000), ("late", "i", 40_100)]
+    rows = [one, two, three, [("late", "i", 60_000)], [("end", "i", 90_000)]]
+    (tmp_path / "in").mkdir()
+    schema = "key string, item string, at long"
+    q = run_stream(follow.admitted(spark.readStream.schema(schema).json(str(tmp_path / "in"))), "admitted", tmp_path / "c")
+    held = []
+    for n, batch in enumerate(rows):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("key", "item", "at"), r))) for r in batch))
+        q.processAllAvailable()
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    q.stop()
+    want = judged(sorted(one, key=lambda r: r[2]) + sorted(two, key=lambda r: r[2]) + three + rows[3] + rows[4])
+    got = [tuple(r) for r in spark.table("admitted").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {r[4] for r in want} == {None, "per_item", "per_key"}
+    assert held[1] == 3 and held[-1] == 1  # the others were idle for an hour
+
+
+def test_sessions_of_a_stream(spark, tmp_path):
+    """Events out of order, batch after batch, some so late that they join two sessions: the sessions of the whole table."""
+    r, start = random.Random(3), datetime.datetime(2024, 1, 1)
+    rows = [(r.randint(1, 6), start + datetime.timedelta(minutes=m + r.randint(-40, 0)), r.choice(["CALL", "EXCP", "EXCPCNTX"]), r.randint(1, 99)) for m in sorted(r.randint(0, 3000) for _ in range(500))]
+    rows += [(None, start, "CALL", 1)]
+    schema = "session_id int, ts timestamp, event_type string, duration_us long"
+    table = spark.createDataFrame(rows, schema)
+    (tmp_path / "in").mkdir()
+    q = run_stream(follow.sessions(spark.readStream.schema(schema).json(str(tmp_path / "in")), "20 minutes", "2 hours"), "sessions", tmp_path / "c")
+    for n in range(0, len(rows), 90):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps({"session_id": i, "ts": t.isoformat(), "event_type": e, "duration_us": u}) for i, t, e, u in rows[n : n + 90]))
+        q.processAllAvailable()
+    (tmp_path / "in" / "end.json").write_text(json.dumps({"session_id": 99, "ts": "2025-01-01T00:00:00", "event_type": "CALL", "duration_us": 1}))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("sessions").collect())) == sorted(map(tuple, follow.sessions(table, "20 minutes").collect()))
+    assert spark.table("sessions").count() > 20
 
 
 def test_edges(spark):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import metadata, relational, rules, texts, views
+from .plans import metadata, relational, rules, sketches, texts, views
 
-MODULES = (views, relational, texts, rules, metadata)
+MODULES = (views, relational, texts, rules, metadata, sketches)
 
 
 def queries() -> dict:

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..scratch import written
+from .log_bytes import heads, lines_in_any_encoding
 
 HEADER = re.compile(r"(\d{1,2}):(\d{2})\.(\d{1,6})-(\d*),([^,\s]+),(\d+)(.*)", re.S)
 BEGINS = re.compile(rb"\d{1,2}:\d{2}\.\d{1,6}-\d*,[^,\s]+,\d+")
@@ -155,23 +156,16 @@ def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "file", "line", "modified")), *columns, pa.array(maps, pa.map_(pa.string(), pa.string()))], ["id", "file", "line", "modified", *names, "fields"])
 
 
-def _one_form(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:/+", "file:///")
-
-
 def scanned_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, name, size, reason of the .log files below a folder: ``log``, or why a file is left out: its name (eight digits), or no log by
-    its first line. Spark doesn't list empty files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.log").load(root)
-    files = files.select(_one_form(F.col("path")).alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
-    first = splits_of(lines_of(spark, root)).where("block = 0").select(_one_form(F.col("file")).alias("path"), "is_log")
+    """path, name, size, encoding, reason of the .log files below a folder: ``log``, or why a file is left out: its name (eight digits), or
+    no log by its first line. Of each file only the beginning is read."""
     reason = F.when(~F.col("name").rlike(FILE_NAME), "other_name").when(F.col("is_log"), "log").otherwise("not_log")
-    return files.join(first, "path", "left").select("path", "name", "size", reason.alias("reason"))
+    return heads(spark, root).where("size > 0").select("path", "name", "size", "encoding", reason.alias("reason"))
 
 
 def log_files(spark: SparkSession, root: str) -> DataFrame:
     """path, name, size of the logs below a folder, small ones first."""
-    return scanned_files(spark, root).where("reason = 'log'").drop("reason").orderBy("size", "path")
+    return scanned_files(spark, root).where("reason = 'log'").drop("reason", "encoding").orderBy("size", "path")
 
 
 def scan_stats(files: DataFrame) -> DataFrame:
@@ -267,8 +261,16 @@ def interpreted(raw: DataFrame, archive: str) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, root: str, archive: str, zipped: bool = False) -> DataFrame:
-    """The events of all log files below a folder, or in the zip files there. Runs a first pass over the texts."""
-    return interpreted(raw_events((zipped_lines if zipped else lines_of)(spark, root)), archive)
+    """The events of all log files below a folder, or in the zip files there. Runs a first pass over the texts.
+
+    Files in UTF-16 or UTF-32 (by their first bytes) are read by whole code units; Spark's text reader would cut them anywhere."""
+    if zipped:
+        return interpreted(raw_events(zipped_lines(spark, root)), archive)
+    lines = lines_of(spark, root)
+    wide = [r.encoding for r in heads(spark, root).where("encoding LIKE 'utf-16%' OR encoding LIKE 'utf-32%'").select("encoding").distinct().collect()]  # four at most
+    if wide:  # under another name: to the text reader these files are none that begin with an event
+        lines = lines.unionByName(lines_in_any_encoding(spark, root, tuple(wide)).withColumn("file", F.concat(F.lit("wide:"), "file")))
+    return interpreted(raw_events(lines), archive)
 
 
 def write_archive(events: DataFrame, path: str) -> None:

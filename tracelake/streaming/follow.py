@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources import logs
+from ..operators.filters import own_us
+from ..sources import log_bytes, logs
 
-PER_HOUR, COOLDOWN = 10, 300
+PER_HOUR, COOLDOWN, HOUR = 10, 300, 3600
 
 
 def follow(spark: SparkSession, path: str, schema, files_per_batch: int = 16) -> DataFrame:
@@ -19,27 +20,15 @@ def follow(spark: SparkSession, path: str, schema, files_per_batch: int = 16) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def follow_logs(spark: SparkSession, root: str, archive: str, path: str, checkpoint: str, files_per_batch: int = 16):
-    """Appends the events of each log file that appears below a folder to an archive table; returns the writer, to be started.
+def follow_logs(spark: SparkSession, root: str, archive: str, path: str, checkpoint: str, idle: float = 60, split: int = log_bytes.SPLIT):
+    """Appends the events of the log files below a folder to an archive table as they are written; returns the writer, to be started.
 
-    A file is read when it appears, so it must be complete then. The ids of a batch follow those of the one before it."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.log").option("maxFilesPerTrigger", files_per_batch)
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    rows = files.schema(schema).load(root).where(F.element_at(F.split("path", "/"), -1).rlike(logs.FILE_NAME))
-
-    def step(batch: DataFrame, number: int) -> None:
-        def cut(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for t in tables:
-                for file, modified, content in zip(t["path"], t["modificationTime"], t["content"], strict=True):
-                    lines = content.removesuffix(b"\n").split(b"\n")
-                    for a in range(0, len(lines), 10_000):
-                        yield pd.DataFrame({"value": lines[a : a + 10_000], "file": file, "block": 0, "modified": modified})
-
-        lines = batch.select("path", "modificationTime", "content").mapInPandas(cut, "value binary, file string, block long, modified timestamp")
-        events = logs.interpreted(logs.raw_events(lines), archive)
-        logs.write_archive(events.withColumn("id", F.lit(number << 40) + F.col("id")), path)
-
-    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    Files are read from where the batch before has ended, in splits, so a file of any size that still grows is followed; an event is
+    passed on once the next one begins, or its file has not grown for ``idle`` seconds. The table is written by Spark's file sink: each
+    event is in it once, after restarts too. Ids are hashes of file and place; source_line_start is null, as lines aren't counted."""
+    raw = log_bytes.tail(spark, root, checkpoint, idle, split)
+    rows = raw.select(F.xxhash64("file", "offset").alias("id"), "file", F.lit(None).cast("int").alias("line"), "modified", F.lit("utf-8").alias("encoding"), "body")
+    return logs.interpreted(rows, archive).writeStream.format("parquet").partitionBy("archive_id").option("path", path).option("checkpointLocation", checkpoint)
 
 
 def calls_with_locks(calls: DataFrame, locks: DataFrame, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
@@ -57,26 +46,77 @@ def lock_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hou
     return counts.select(F.col("window.start").alias("bucket"), "locks", "deadlocks")
 
 
-def admitted(requests: DataFrame, per_hour: int = PER_HOUR, cooldown: int = COOLDOWN) -> DataFrame:
-    """key, item, at, admitted: at most ``per_hour`` in any hour of a key, and one per item in ``cooldown`` seconds.
-
-    requests: key, item, at (seconds). State is the times admitted in the last hour, so it is bounded by ``per_hour``.
-    """
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        for batch in batches:
-            batch = batch.sort_values(["at", "item"], kind="stable")
-            verdicts = []
-            for item, at in zip(batch["item"], batch["at"], strict=True):
-                held = [(t, i) for t, i in held if t > at - 3600]
-                ok = not any(i == item and t > at - cooldown for t, i in held) and len(held) < per_hour
-                if ok:
-                    held.append((at, item))
-                verdicts.append(ok)
-            yield batch.assign(admitted=verdicts)
-        state.update(([int(t) for t, _ in held], [str(i) for _, i in held]))
-
-    return requests.select("key", "item", "at").groupBy("key").applyInPandasWithState(
-        step, "key string, item string, at long, admitted boolean", "times array<long>, items array<string>", "append", GroupStateTimeout.NoTimeout
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None, key: str = "session_id") -> DataFrame:
+    """key, start, end, events, own_us, errors of each session: events of one key of which none is ``gap`` or more behind the one before. The
+    end is the last event's time plus the gap.
+
+    Over a stream, ``late`` says how far behind the newest event others may come: a session is passed on once the watermark has gone by
+    its end, and until then late events join sessions, or merge two. What is later is left out. Null keys are left out. Over a table, it
+    is not needed. Partial sums go before the shuffle, so a busy key's rows meet as its partial sessions."""
+    rows = events.where(F.col(key).isNotNull()).withColumn("at", F.col("ts").cast("timestamp"))
+    rows = rows if late is None else rows.withWatermark("at", late)
+    found = rows.groupBy(F.session_window("at", gap).alias("w"), key).agg(
+        F.count(F.lit(1)).alias("events"), F.sum(own_us()).alias("own_us"), F.count_if(F.col("event_type").isin("EXCP", "EXCPCNTX")).alias("errors")
     )
+    return found.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "own_us", "errors")
+
+
+ADMITTED = "key string, item string, at long, admitted boolean, reason string"
+
+
+class Admission(StatefulProcessor):
+    """Of each key the times admitted in the last hour, by item. An hour after the last one a timer drops the state."""
+
+    def __init__(self, per_hour: int, cooldown: int):
+        self.per_hour, self.cooldown = per_hour, cooldown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "at long, item string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [(at, item) for at, item in self.held.get()]
+        batch = pd.concat(list(rows)).sort_values(["at", "item"], kind="stable")
+        verdicts = []
+        for item, at in zip(batch["item"], batch["at"], strict=True):
+            held = [(t, i) for t, i in held if t > at - HOUR]
+            # What concerns the item tells more, so it is named first.
+            reason = "per_item" if any(i == item and t > at - self.cooldown for t, i in held) else "per_key" if len(held) >= self.per_hour else None
+            if reason is None:
+                held.append((at, item))
+            verdicts.append(reason)
+        self._keep(held)
+        yield pd.DataFrame({"key": key[0], "item": batch["item"], "at": batch["at"], "admitted": [r is None for r in verdicts], "reason": verdicts})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() // 1000
+        self._keep([(t, i) for t, i in self.held.get() if t > now - HOUR])
+        yield pd.DataFrame(columns=["key", "item", "at", "admitted", "reason"])
+
+    def _keep(self, held: list[tuple[int, str]]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held:
+            self.held.put([(int(t), str(i)) for t, i in held])
+            self.handle.registerTimer((max(int(t) for t, _ in held) + HOUR) * 1000)
+        else:
+            self.held.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def admitted(requests: DataFrame, per_hour: int = PER_HOUR, cooldown: int = COOLDOWN, late: str = "10 minutes") -> DataFrame:
+    """key, item, at, admitted, reason: at most ``per_hour`` in any hour of a key, and one per item in ``cooldown`` seconds. The reason is null,
+    ``per_item`` or ``per_key``; the first of these two if both hold.
+
+    requests: key, item, at (seconds), at most ``late`` behind the newest. State is the times admitted in the last hour, so it is bounded by
+    ``per_hour``, and it ends with the hour: keys that ask no more hold nothing. Requests of a batch are judged in the order of their
+    times, those with a null key or time not at all. The session must keep state in RocksDB (``with_state``)."""
+    rows = requests.where("key IS NOT NULL AND at IS NOT NULL").select("key", "item", "at", F.timestamp_seconds("at").alias("_at")).withWatermark("_at", late)
+    return rows.groupBy("key").transformWithStateInPandas(Admission(per_hour, cooldown), ADMITTED, "append", "eventTime")
+
+
+def with_state(spark: SparkSession) -> None:
+    """Lets streams that are started from now on keep their state in RocksDB, which timers and lists need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
