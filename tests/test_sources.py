@@ -366,12 +366,62 @@ def test_predefined_items_and_index(spark, tmp_path):
     assert {(r.kind, r.name, r.member_kind, r.member) for r in rows} == {("Справочник", "Товары", "predefined", m) for m in ("Основной", "Группа", "Внутри")}
     table = lambda: {r.member for r in indexed_configuration(spark, str(tmp_path / "in"), str(tmp_path / "w")).collect()}
     assert table() == {"Основной", "Группа", "Внутри"}
-    made = sorted(f.name for f in (tmp_path / "w" / "rows").iterdir())
-    assert table() and sorted(f.name for f in (tmp_path / "w" / "rows").iterdir()) == made  # not made anew
+    made = sorted(f.name for f in (tmp_path / "w").rglob("part*"))
+    assert table() and sorted(f.name for f in (tmp_path / "w").rglob("part*")) == made  # not made anew
     put(tmp_path / "in" / "Catalogs" / "Услуги" / "Ext", "Predefined.xml", f"<PredefinedData>{item('Другой')}</PredefinedData>", "utf-8")
     assert "Другой" in table()
 
 
+def test_index_parses_what_has_changed(spark, tmp_path):
+    from tracelake.sources.configuration import indexed_configuration, read_configuration, refresh_configuration
+
+    catalog = lambda name, field: f"<MetaDataObject><Catalog><Properties><Name>{name}</Name></Properties><ChildObjects><Attribute><Properties><Name>{field}</Name></Properties></Attribute></ChildObjects></Catalog></MetaDataObject>"
+    root, at = tmp_path / "in", str(tmp_path / "w")
+    for n in range(150):
+        put(root / "Catalogs", f"c{n}.xml", catalog(f"К{n}", "Цена"), "utf-8")
+    put(root, "bad.xml", "<oops", "utf-8")
+    refresh = lambda: refresh_configuration(spark, str(root), at)
+    same = lambda: sorted(map(str, indexed_configuration(spark, str(root), at).collect())) == sorted(map(str, read_configuration(spark, str(root)).collect()))
+    assert refresh() == (151, 0) and same() and refresh() == (0, 0)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "w").rglob("part*")}
+    put(root / "Catalogs", "c7.xml", catalog("К7", "НоваяЦена"), "utf-8")
+    assert refresh() == (1, 0) and same()
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "w").rglob("part*")}
+    assert len({f.parent for f in before.keys() ^ after.keys()}) == 1  # one part was rewritten
+    (root / "Catalogs" / "c9.xml").unlink()
+    put(root / "Catalogs", "new.xml", catalog("Новый", "Вес"), "utf-8")
+    assert refresh() == (1, 1) and same()
+    for f in (root / "Catalogs").iterdir():
+        f.unlink()
+    assert refresh() == (0, 150) and same() and indexed_configuration(spark, str(root), at).count() == 0
+
+
+def test_archives_are_pruned(spark, tmp_path):
+    rows = spark.range(200_000).selectExpr("id", "if(id % 2 = 0, 'A', 'B') AS archive_id", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, pmod(id * 7919, 200000)) AS ts", "md5(string(id % 50000)) AS sql_text_hash").repartition(8)
+    block = spark.sparkContext._jsc.hadoopConfiguration()
+    block.set("parquet.block.size", str(64 << 10))
+    block.set("parquet.page.size", str(8 << 10))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        logs.write_archive(rows, str(tmp_path / "w"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        block.unset("parquet.block.size")
+        block.unset("parquet.page.size")
+    table = spark.read.parquet(str(tmp_path / "w"))
+    assert sorted(map(tuple, table.select("id", "sql_text_hash").collect())) == sorted(map(tuple, rows.select("id", "sql_text_hash").collect()))
+    whole = logs.rows_read(table.selectExpr("max(id)"))
+    one = logs.rows_read(table.where("archive_id = 'A'").selectExpr("max(id)"))
+    hour = filters.in_span(table.where("archive_id = 'A'"), None, datetime.datetime(2024, 1, 1, 1))
+    span = logs.rows_read(hour.selectExpr("max(id)"))
+    assert hour.count() == filters.in_span(rows, datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 1, 1)).where("archive_id = 'A'").count() == 1800
+    single = logs.rows_read(table.where("id = 123456").selectExpr("max(ts)"))
+    assert whole["rows"] == 200_000 and one["rows"] == 100_000 and one["files"] < whole["files"]
+    assert span["rows"] < 20_000 and 0 < single["rows"] < 100_000
+    assert table.where("id = 123456").count() == 1 and table.where("sql_text_hash = md5('77')").count() == 4
+
+
 def test_archive_stats_and_documents(spark, tmp_path):
     e = log_events(spark, DATA)
     logs.write_archive(e, str(tmp_path / "w"))

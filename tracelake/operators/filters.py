@@ -16,10 +16,12 @@ CALL_TYPES = ("CALL", "SCALL")
 def filtered(events: DataFrame, since=None, until=None, role: str | None = None, event_type: str | None = None) -> DataFrame:
     """Rows of a closed span of time, a process role and an event type; what is empty doesn't filter."""
     wanted = []
+    stored = "ts_us" in events.columns  # an archive's times, by which files are skipped
+    at, bound = (F.col("ts_us"), lambda x: micros(F.lit(x).cast("timestamp_ntz"))) if stored else (F.col("ts"), lambda x: F.lit(x).cast("timestamp_ntz"))
     if since:
-        wanted.append(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+        wanted.append(at >= bound(since))
     if until:
-        wanted.append(F.col("ts") <= F.lit(until).cast("timestamp_ntz"))
+        wanted.append(at <= bound(until))
     if role:
         wanted.append(F.col("process_role") == role)
     if event_type:
@@ -27,6 +29,19 @@ def filtered(events: DataFrame, since=None, until=None, role: str | None = None,
     return events.where(reduce(lambda a, b: a & b, wanted)) if wanted else events
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds of a time without a zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
+
+
+def in_span(events: DataFrame, since=None, until=None) -> DataFrame:
+    """Events from ``since`` on and before ``until`` (None: no bound). Of a stored archive only the row groups are read that hold such times."""
+    at = F.col("ts_us") if "ts_us" in events.columns else micros(F.col("ts"))
+    bound = lambda x: micros(F.lit(x).cast("timestamp_ntz"))
+    events = events if since is None else events.where(at >= bound(since))
+    return events if until is None else events.where(at < bound(until))
+
+
 def of_types(events: DataFrame, types=()) -> DataFrame:
     return events.where(F.col("event_type").isin(*types)) if types else events
 

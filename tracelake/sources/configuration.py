@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dictionary import KINDS
 from ..operators.metadata import WITH_ITEMS
+from ..scratch import written
 
 # The dump's element names, in the order of KINDS, and those of an object's members.
 ELEMENTS = (
@@ -79,33 +80,68 @@ def predefined_of(path: str, content: bytes) -> list[tuple]:
     return [(kind, found[2], None, None, "predefined", n.text, i) for i, n in enumerate(names, 1) if n is not None and n.text]
 
 
-def fingerprint(spark: SparkSession, root: str) -> str:
-    """What tells whether any file below a folder has changed: their number and a sum over path, size and time of each."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(root)
-    row = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.lit(0)).alias("sum")).first()
-    return f"{row['n']}:{row['sum']}"
+#: Parts that the stored dictionary is written in; a change rewrites those of the files concerned.
+BUCKETS = 64
+#: Files that are read by their paths; of more, all are read and the others left out.
+FEW_FILES = 10_000
 
 
-def indexed_configuration(spark: SparkSession, root: str, path: str) -> DataFrame:
-    """The dictionary as a table at ``path``; made anew only if the dump has changed since."""
-    now = fingerprint(spark, root)
-    stamp = f"{path}/fingerprint"
+def _files(spark: SparkSession, *roots: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(list(roots))
+
+
+def refresh_configuration(spark: SparkSession, root: str, path: str) -> tuple[int, int]:
+    """Brings the stored dictionary at ``path`` up to the dump below ``root``; returns how many files were parsed and how many are gone.
+
+    The table has each file's path and a hash of its size and time. Only files that are new or differ are parsed, and only the
+    parts of the table are rewritten that hold such files, or files that are gone."""
+    bucket = F.pmod(F.xxhash64("file"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    now = written(_files(spark, root).select(F.col("path").alias("file"), F.xxhash64("length", "modificationTime").alias("stamp")).select("*", bucket))
     try:
-        same = spark.read.text(stamp).first()
-    except AnalysisException:  # there is no table yet
-        same = None
-    if same is None or same["value"] != now:
-        read_configuration(spark, root).write.mode("overwrite").parquet(f"{path}/rows")
-        spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(stamp)
-    return spark.read.parquet(f"{path}/rows")
+        table = spark.read.parquet(path)
+    except AnalysisException:  # there is none yet
+        table = spark.createDataFrame([], f"{ROWS}, file string, stamp long, bucket int")
+    known = table.where("kind IS NULL AND file IS NOT NULL").select("file", "stamp", "bucket")
+    changed = written(now.join(known, ["file", "stamp"], "left_anti"))
+    gone = written(known.join(now, "file", "left_anti"))
+    parsed, lost = changed.count(), gone.count()
+    if not parsed and not lost:
+        return 0, 0
+    touched = changed.select("bucket").union(gone.select("bucket")).distinct()
+    stale = changed.select("file").union(gone.select("file"))
+    kept = table.where("file IS NOT NULL").join(touched, "bucket", "left_semi").join(stale, "file", "left_anti")
+    if parsed <= FEW_FILES:
+        paths = [r.file for r in changed.select("file").collect()]
+        content = _files(spark, *paths) if paths else _files(spark, root).limit(0)
+    else:
+        content = _files(spark, root).join(changed.select(F.col("file").alias("path")), "path", "left_semi")
+    members = parsed_rows(content.select("path", "content")).join(changed, "file")
+    none = {c: F.lit(None).cast(t) for c, t in (x.split() for x in ROWS.split(", "))}
+    marks = changed.select(*(v.alias(c) for c, v in none.items()), "file", "stamp", "bucket")
+    parts = touched.select(*(v.alias(c) for c, v in none.items()), F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("stamp"), "bucket")
+    columns = [*none, "file", "stamp", "bucket"]
+    rows = written(kept.select(columns).unionByName(members.select(columns)).unionByName(marks).unionByName(parts))
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return parsed, lost
 
 
-def read_configuration(spark: SparkSession, root: str) -> DataFrame:
-    """One row per object (member null) and per member. Each file is small; Spark deals the files over tasks."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(root).select("path", "content")
+def indexed_configuration(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """The dictionary as a table at ``path``, brought up to the dump first."""
+    refresh_configuration(spark, root, path)
+    return spark.read.schema(f"{ROWS}, file string, stamp long, bucket int").parquet(path).where("kind IS NOT NULL").select(*(x.split()[0] for x in ROWS.split(", ")))
+
+
+def parsed_rows(files: DataFrame) -> DataFrame:
+    """file, and the rows of each file (path, content)."""
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([r for p, c in zip(batch["path"], batch["content"], strict=True) for r in (predefined_of if p.endswith("/Predefined.xml") else lambda _, x: members_of(x))(p, bytes(c))], columns=["kind", "name", "register_type", "section", "member_kind", "member", "ord"])
+            rows = [(p, *r) for p, c in zip(batch["path"], batch["content"], strict=True) for r in (predefined_of if p.endswith("/Predefined.xml") else lambda _, x: members_of(x))(p, bytes(c))]
+            yield pd.DataFrame(rows, columns=["file", "kind", "name", "register_type", "section", "member_kind", "member", "ord"])
+
+    return files.mapInPandas(step, f"file string, {ROWS}")
 
-    return files.mapInPandas(step, ROWS)
+
+def read_configuration(spark: SparkSession, root: str) -> DataFrame:
+    """One row per object (member null) and per member. Each file is small; Spark deals the files over tasks."""
+    return parsed_rows(_files(spark, root).select("path", "content")).drop("file")
