@@ -470,3 +470,12 @@ def test_plan_texts(spark):
     rows = spark.createDataFrame([('<p b="1" a="2" ActualRows="9"/>', '[{"Plan": {"b": 1, "Actual Rows": 2, "a": {"Buffers": 1}}}]', "1> Scan (cost 0.123456)\n2>  Seek"), ("<p", "{", None), (None, None, "")], "x string, j string, n string")
     got = rows.select(canonical_xml_plan("x").alias("x"), canonical_json_plan("j").alias("j"), canonical_numbered_plan("n").alias("n")).collect()
     assert list(map(tuple, got)) == [('<p a="2" b="1"></p>', '[{"Plan":{"a":{},"b":1}}]', "Scan (cost 0.123) Seek"), ("<p", "{", None), (None, None, "")]
+
+
+def test_dialect_leaves_the_rest():
+    from tracelake.sources.dialect import to_spark
+
+    for text in ("SELECT 'arg_max(a, b) QUALIFY 1.0 / 2' AS \"arg_max\" -- x::varchar\nFROM t", "SELECT a.arg_max(1), b FROM t /* ASOF JOIN u ON 1 */", "SELECT 'open", "SELECT max(a) FROM t"):
+        assert to_spark(text) == text
+    assert to_spark("select arg_max(a, quantile_cont(b, .5)) from t") == "select max_by(a, percentile(b, .5)) from t"
+    assert to_spark("SELECT * FROM t ASOF JOIN u ON t.a + 1 >= u.a") == "SELECT * FROM t ASOF JOIN u ON t.a + 1 >= u.a"  # Spark says that it can't

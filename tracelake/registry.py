@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import metadata, relational, rules, sketches, texts, views
+from .plans import dialect, metadata, relational, rules, sketches, texts, views
 
-MODULES = (views, relational, texts, rules, metadata, sketches)
+MODULES = (views, relational, texts, rules, metadata, sketches, dialect)
 
 
 def queries() -> dict:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .dialect import to_spark
+
 #: The plan nodes that a statement may consist of.
 READ_ONLY = {
     "Aggregate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "Pivot", "Project", "Sample", "Sort", "SubqueryAlias",
@@ -102,9 +104,11 @@ def _check_resolved(plan, tables: set[str]) -> None:
         _check_resolved(child, tables)
 
 
-def console(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int | None = None, args: dict | list | None = None) -> DataFrame:
+def console(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int | None = None, args: dict | list | None = None, dialect: str = "spark") -> DataFrame:
     """The rows of a read-only statement over the tables, which are temporary views by these names. ``args`` are the values of its
-    parameters (``:name`` or ``?``); ``max_rows`` limits the report."""
+    parameters (``:name`` or ``?``); ``max_rows`` limits the report. With ``dialect`` duckdb its forms are rewritten as Spark's
+    first; what has become of it is what is checked."""
+    sql = to_spark(sql) if dialect == "duckdb" else sql
     check(spark, sql, set(tables))
     for name, table in tables.items():
         table.createOrReplaceTempView(name)
