@@ -29,7 +29,7 @@ FEW_GROUPS, SALTS = 100_000, 64
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), documents; and per (lang, source) a row with a null term and the number of its documents."""
+    """lang, source, term, n (occurrences), documents: what each task has counted, a row or few for a group's term."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[tuple, list] = {}
@@ -37,12 +37,12 @@ def counts(docs: DataFrame) -> DataFrame:
 
         def passed_on() -> pa.RecordBatch:
             langs, sources, terms, n, documents = [], [], [], [], []
-            for (lang, source), (rows, seen, within) in groups.items():
-                langs += [lang] * (len(seen) + 1)
-                sources += [source] * (len(seen) + 1)
-                terms += [None, *seen]
-                n += [0, *seen.values()]
-                documents += [rows, *map(within.__getitem__, seen)]
+            for (lang, source), (seen, within) in groups.items():
+                langs += [lang] * len(seen)
+                sources += [source] * len(seen)
+                terms += seen
+                n += seen.values()
+                documents += map(within.__getitem__, seen)
             groups.clear()
             columns = [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(documents, pa.int64())]
             return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "documents"])
@@ -52,24 +52,24 @@ def counts(docs: DataFrame) -> DataFrame:
             raw = data.tobytes().lower()  # of bytes: A to Z only
             at = at.tolist()
             for key, a, z in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), at[:-1], at[1:], strict=True):
-                group = groups.get(key) or groups.setdefault(key, [0, Counter(), Counter()])
+                group = groups.get(key) or groups.setdefault(key, (Counter(), Counter()))
                 terms = TERM.findall(raw, a, z)
-                group[0] += 1
-                group[1].update(terms)
-                group[2].update(set(terms))
+                group[0].update(terms)
+                group[1].update(set(terms))
                 size += z - a
                 if size >= HELD_BYTES:
                     size = 0
-                    if sum(len(g[1]) for g in groups.values()) >= HELD_TERMS:
+                    if sum(len(seen) for seen, _ in groups.values()) >= HELD_TERMS:
                         yield passed_on()
             del raw
         if groups:
             yield passed_on()
 
-    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    schema = "lang string, source string, term string, n long, documents long"
-    parts = docs.select(*named, whole_text().alias("text")).mapInArrow(step, schema)
-    return written(parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents")))
+    return docs.select(*_group(), whole_text().alias("text")).mapInArrow(step, "lang string, source string, term string, n long, documents long")
+
+
+def _group() -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
 
 
 def _share(count: str, of: str) -> str:
@@ -91,20 +91,23 @@ def divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int
     source has no pairs. Other columns are left out. No rows give no rows. An array has an entry per source of the language, and
     the pairs are as many as the sources squared, which is what is asked for.
     """
-    counted = counts(docs)
     numbered = Window.partitionBy("lang").orderBy("source")
-    groups = written(counted.where("term IS NULL").select("lang", "source", (F.row_number().over(numbered) - 1).alias("at")))
+    groups = written(docs.select(*_group()).distinct().withColumn("at", F.row_number().over(numbered) - 1))
     few = groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
     small = F.broadcast if few else lambda table: table
-    placed = counted.where("term IS NOT NULL").join(small(groups), ["lang", "source"])
-    kept = placed.groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.collect_list(F.struct("at", "n")).alias("found"))
+    # One shuffle, by language and term, for the sums per source and for the arrays: tasks have summed up what they read.
+    placed = counts(docs).join(small(groups), ["lang", "source"]).select("lang", "at", "term", "n", "documents").repartition("lang", "term")
+    counted = placed.groupBy("lang", "term", "at").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    kept = counted.groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.collect_list(F.struct("at", "n")).alias("found"))
     kept = written(kept.where(F.col("documents") >= least_documents).select("lang", "term", "found"))
 
     inside = kept.select("lang", F.explode("found").alias("x")).groupBy("lang", F.col("x.at").alias("at")).agg(F.sum("x.n").alias("n"))
     sums = groups.join(small(inside), ["lang", "at"], "left").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("all"))
     vocabulary = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     per_lang = sums.join(vocabulary, "lang", "left").select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.expr("transform(all, x -> x.n)").alias("sums"))
-    per_lang = written(per_lang.withColumn("total", F.expr("aggregate(sums, 0L, (s, x) -> s + x)")))
+    pairs = "flatten(transform(sequence(0, size(sums) - 2), i -> transform(sequence(i + 1, size(sums) - 1), j -> struct(i, j))))"
+    pairs = F.expr(f"IF(size(sums) > 1, {pairs}, array())")
+    per_lang = written(per_lang.withColumns({"total": F.expr("aggregate(sums, 0L, (s, x) -> s + x)"), "pairs": pairs}))
 
     if few:
         wide = kept.join(F.broadcast(per_lang), "lang")
@@ -115,19 +118,21 @@ def divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int
     filled = "aggregate(sort_array(found), array(), (a, x) -> concat(a, array_repeat(0L, x.at - size(a)), array(x.n)), a -> concat(a, array_repeat(0L, size(sums) - size(a))))"
     wide = wide.withColumn("counts", F.expr(filled.replace("array()", "CAST(array() AS ARRAY<BIGINT>)")))
     wide = wide.withColumn("p", F.expr(f"transform(counts, (c, i) -> {_share('c', 'sums[i]')})"))
-
-    apart = _apart("p[i]", "p[j]")
-    pairs = f"flatten(transform(sequence(0, size(p) - 2), i -> transform(sequence(i + 1, size(p) - 1), j -> struct(i, j, {apart} AS value))))"
-    none = "flatten(transform(sequence(0, size(sums) - 2), i -> transform(sequence(i + 1, size(sums) - 1), j -> struct(i, j, 0L AS value))))"
-    emitted = wide.where("size(p) > 1").select("lang", F.explode(F.expr(pairs)).alias("x")).unionByName(per_lang.where("size(sums) > 1").select("lang", F.explode(F.expr(none)).alias("x")))
-    summed = emitted.groupBy("lang", F.col("x.i").alias("i"), F.col("x.j").alias("j")).agg(F.sum("x.value").alias("value"))
-    both = summed.select("lang", F.explode(F.expr("array(struct(i AS at, j AS other), struct(j AS at, i AS other))")).alias("x"), "value").select("lang", "x.*", "value")
+    # Written, so that nothing computes an array again for each of its pairs.
+    wide = written(wide.select("lang", "term", "counts", "p", F.expr(_share("aggregate(counts, 0L, (s, x) -> s + x)", "total")).alias("q")))
+
+    # A contribution for each pair of the language, in the pairs' order; a language without terms has zeros.
+    each = f"flatten(transform(sequence(0, size(p) - 2), i -> transform(slice(p, i + 2, size(p)), x -> {_apart('p[i]', 'x')})))"
+    values = wide.where("size(p) > 1").select("lang", F.expr(each).alias("values"))
+    values = values.unionByName(per_lang.select("lang", F.expr("transform(pairs, x -> 0L)").alias("values")))
+    summed = values.select("lang", F.posexplode("values").alias("pair", "value")).groupBy("lang", "pair").agg(F.sum("value").alias("value"))
+    named = per_lang.select("lang", F.posexplode("pairs").alias("pair", "x"))
+    both = summed.join(small(named), ["lang", "pair"]).select("lang", F.explode(F.expr("array(struct(x.i AS at, x.j AS other), struct(x.j AS at, x.i AS other))")).alias("x"), "value").select("lang", "x.*", "value")
     others = groups.select("lang", F.col("at").alias("other"), F.col("source").alias("item"))
     of_pairs = both.join(small(others), ["lang", "other"]).select("lang", "at", F.lit("pair").alias("part"), "item", "value")
 
-    own = wide.withColumn("q", F.expr(_share("aggregate(counts, 0L, (s, x) -> s + x)", "total")))
     above = "filter(transform(p, (x, i) -> struct(i AS at, x AS p, counts[i] AS n)), x -> x.n > 0 AND x.p > q)"
-    of_terms = own.select("lang", "term", "q", F.explode(F.expr(above)).alias("x"))
+    of_terms = wide.select("lang", "term", "q", F.explode(F.expr(above)).alias("x"))
     of_terms = of_terms.select("lang", "x.at", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_apart("x.p", "q")).alias("value"))
     ordered = Window.partitionBy("lang", "at").orderBy(F.col("value").desc(), "item")
     of_terms = ranked(of_terms, ordered)
