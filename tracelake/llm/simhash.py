@@ -29,7 +29,7 @@ MAX_BITS = 2
 KEPT_BYTES = 8 - MAX_BITS
 #: Members of a list whose pairs are all tallied; pairs tallied at one go.
 LIST = 512
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 
 def entries(depth: int) -> list[tuple[int, ...]]:

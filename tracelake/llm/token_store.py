@@ -32,7 +32,7 @@ FIRST = 49408
 END = 1
 SHARD_TOKENS = 1 << 20
 FREQUENT = 24
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 PIECE = 4 << 20
 
 
@@ -178,15 +178,14 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.tokenizer.model)
-        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.four = [i.to_bytes(4, "little") for i in range(len(self.ends))]
         self.words: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
@@ -206,8 +205,8 @@ class Encoder:
     def learn(self, words: set[bytes]) -> None:
         """Remembers the ids of new words."""
         plain = [w for w in words if w.isalpha()]
-        for i in range(0, len(plain), 1000):
-            self.words.update(zip(plain[i : i + 1000], self.runs(plain[i : i + 1000], self.model), strict=True))
+        tokenize, four = self.tokenizer.model.tokenize, self.four
+        self.words.update((w, b"".join([four[t.id] for t in tokenize(w.decode())])) for w in plain)
         parts, split, letters, tails, whole = self.parts, [], {}, {}, []
         for w in words.difference(plain):
             head = w.rstrip(TAIL)
