@@ -20,6 +20,7 @@ Items are fetched in blocks of at most BLOCK_BYTES, each of which goes through a
 from __future__ import annotations
 
 import math
+import warnings
 from functools import lru_cache
 
 import numpy as np
@@ -213,6 +214,7 @@ class Index:
             found = np.append(found, np.stack([tried[sides[0][3][x[hit]]], sides[1][3][y[hit]], here - ahead, ahead]), axis=1)
             if len(np.unique(self.twice(found)[1])) >= TARGET * len(copies):
                 return r + 1
+        warnings.warn(f"{MOST_REPEATS} walks meet fewer than {TARGET} of these items' damaged copies", stacklevel=2)
         return MOST_REPEATS
 
     def _seeds(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:

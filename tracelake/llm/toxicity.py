@@ -39,6 +39,8 @@ STEMS = (4, 5, 6, 7)
 REJECT = 0.7
 TOKEN = re.compile(r"[^\W\d_]+")
 CACHE = 100_000
+#: Clean documents that the chain is fitted on, at least; more if there are more with toxic words. The curve is fitted on all.
+FEWEST_CLEAN = 1000
 
 
 def tokens_of(text: str) -> list[str]:
@@ -185,11 +187,11 @@ def fit(texts: list[str], labels: list[int], passes: int = 30, seed: int = 1) ->
     forms = toxic_forms(docs, y)
     bad = {w for d, t in zip(docs, y, strict=True) if t for w in set(d) if not forms.isdisjoint(forms_of(w))}
     crf = Crf(np.zeros(SLOTS), -4.0, np.zeros((2, 2)))
-    # The documents that hold a toxic word, and as many others again (a thousand at least).
+    # The documents that hold a toxic word, and as many others again (FEWEST_CLEAN at least).
     rng = np.random.RandomState(seed)
     with_bad = [d for d, t in zip(docs, y, strict=True) if t and not bad.isdisjoint(d)]
     others = [d for d in docs if d and bad.isdisjoint(d)]
-    pick = with_bad + [others[i] for i in rng.permutation(len(others))[: max(1000, len(with_bad))]]
+    pick = with_bad + [others[i] for i in rng.permutation(len(others))[: max(FEWEST_CLEAN, len(with_bad))]]
     if with_bad:
         number: dict[str, int] = {}
         which = np.array([number.setdefault(w, len(number)) for d in pick for w in d])
