@@ -266,3 +266,24 @@ def test_very_long_text(docs_of):
     t = " ".join(str(r.getrandbits(20)) for _ in range(900_000))
     got = {x.doc_id: x for x in suffix_dedup.suffix_dedup(docs_of([(1, t), (2, "x " + t[5_000_000:5_004_000])]), with_text=False).collect()}
     assert got[1].n_removed == 4000 and got[2].n_removed == 4000 and got[1].n_spans == 1
+
+
+def test_many_rows_of_one_id(spark):
+    """A passage of tens of thousands of rows without an id: its places and spans are held once."""
+    r = random.Random(6)
+    passage = " ".join(str(r.getrandbits(30)) for _ in range(80))
+    alone = " ".join(str(r.getrandbits(30)) for _ in range(80))
+    many = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", f"'{passage}' AS text")
+    docs = many.unionByName(spark.createDataFrame([(7, f"before {passage} after"), (8, alone), (8, alone)], "doc_id long, text string"))
+    for module in (substring_dedup, suffix_dedup):
+        spans = module.repeated_spans(docs).selectExpr("max(size(spans)) AS n", "count(*) AS rows").first()
+        assert spans.n <= 200 and spans.rows <= 3
+    got = {(x.doc_id, x.n_words): x.n_removed for x in substring_dedup.substring_dedup(docs, with_text=False).distinct().collect()}
+    assert got == {(None, 80): 0, (7, 82): 80, (8, 80): 0}
+    size = len(passage)
+    got = {(x.doc_id, x.n_bytes): x.n_removed for x in suffix_dedup.suffix_dedup(docs, with_text=False).distinct().collect()}
+    assert got == {(None, size): size, (7, size + 13): size, (8, len(alone)): len(alone)}
+    from tracelake.llm import token_store
+
+    stored = token_store.token_store(docs)
+    assert stored.count() == 20_003 and stored.select("start").distinct().count() == 20_003

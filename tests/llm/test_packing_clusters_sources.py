@@ -220,3 +220,24 @@ def test_shares_of_large_counts(spark):
     n, of, v = 4 * 10**15, 9 * 10**15, 10**6
     got = spark.range(1).selectExpr(f"{n}L AS n", f"{of}L AS m", f"{v}L AS v").selectExpr(divergence._share("n", "m").replace("v ", "v "))
     assert got.first()[0] == 1 + 10**9 * (n + 2) // (of + 2 * v)
+
+
+def test_packing_odd_rows(docs_of):
+    rows = [(1, "Some text of a few words."), (1, "Some text of a few words."), (2, None), (3, ""), (None, "no id here"), (None, None), (4, " \n\t "), (5, "ünïcodé 漢字 🙂"), (6, "x" * 5000)]
+    docs = docs_of(rows)
+    odd = docs.selectExpr("*", *(f"{i} AS `{c}`" for i, c in enumerate(["piece", "start", "length", "ids", "task", "nth", "n", "before", "place", "sequence_id", "offset", "t"])))
+    kept = ["doc_id", "piece", "start", "length", "ids"]
+    assert Counter(map(str, packing.packed(odd).select(kept).collect())) == Counter(map(str, packing.packed(docs).select(kept).collect()))
+    empty = packing.packed(odd.limit(0))
+    assert empty.collect() == [] and empty.columns == [*kept, "sequence_id", "offset"]
+    small = packing.packed(docs, capacity=16).collect()
+    assert all(r.length <= 16 for r in small) and max(r.offset + r.length for r in small) <= 16
+
+
+def test_other_numbers_of_centroids(spark):
+    r = np.random.RandomState(8)
+    rows = [(i, v) for i, v in enumerate((r.normal(size=(700, 5)) + 3 * (np.arange(700) % 9)[:, None]).tolist())]
+    got, centroids = kmeans.clusters(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2), k=9, rounds=2, seed=7, dimensions=5, scale=100)
+    x = np.floor(100 * np.array([v for _, v in rows])).astype(np.int64)
+    d = ((x[:, None] - centroids[None]) ** 2).sum(-1)
+    assert len(centroids) == 9 and {v.vec_id: (v.cluster, v.distance) for v in got.collect()} == {i: (int(c), int(m)) for i, (c, m) in enumerate(zip(d.argmin(1), d.min(1)))}
