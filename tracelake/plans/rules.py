@@ -62,6 +62,9 @@ SQL_SHAPES = {
         ("SELECT a FROM (SELECT t.a FROM t LEFT JOIN u ON u.i = t.i) q WHERE u.b > {n}", []),
         ("SELECT t.a FROM t RIGHT JOIN u ON u.i = t.i WHERE u.b > {n}", []),
         ("SELECT [OR] FROM t WHERE [OR] = {n}", []),
+        ("SELECT a FROM t WHERE CASE WHEN (a = 1 OR b = 2) THEN 1 END = {n}", []),
+        ("SELECT a FROM t WHERE iif((a = 1 OR b = 2), 1, 0) = {n}", []),
+        ("SELECT a FROM t WHERE iif(c = 3 AND (a = 1 OR b = 2), 1, 0) = {n}", [("or_in_where", "Major")]),
         ("SELECT a FROM t WHERE b = '-- no comment' OR c = {n}", [("or_in_where", "Major")]),
         ("SELECT a FROM t WHERE b = {n} -- 'x\nOR c = 2", [("or_in_where", "Major")]),
         ("SELECT TOP 5 PERCENT * FROM t WHERE a = {n}", [("select_star", "Minor")]),
