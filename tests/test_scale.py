@@ -2,6 +2,7 @@
 
 import re
 
+from tracelake.functions import plan_lines
 from tracelake.operators import dictionary
 
 
@@ -14,3 +15,14 @@ def test_names_are_matched_once(spark):
     assert "id#" not in re.search(r"Aggregate \[([^\]]*)\]", probes)[1]
     want = [("Stob", 1), ("Stock", 1), ("Stokk", 1), ("Stack", 2)]
     assert sorted(map(tuple, out.collect())) == sorted((i, "K", "Stok", *w) for i in range(50) if i != 7 for w in want)
+
+
+def test_plan_lines_are_matched_once(spark):
+    lines = ["Hash Joined  (x)", "Hash Join", "  ->  Hash  (rows=1)", "    ->Index Only Scan using i", "Index Scanner", "Index Scan_", "SortКлюч", "Bitmap", "", "  -> ", "\tGather Merge (a)", "Aggregate", "-> ->Sort"]
+    plans = spark.createDataFrame([(1, "\r\n".join(lines)), (2, None)], "id long, plan_text string")
+    told = plan_lines.annotated(plans)
+    filtered = plan_lines.parents(told)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("regexp_replace(_line" in line or "lambdafunction" in line for line in filtered.split("\n") if "Filter" in line)
+    nodes = [(r.n, r.name, r.depth) for r in told.where("kind = 'node'").orderBy("n").collect()]
+    assert nodes == [(1, "Hash", 0), (2, "Hash Join", 0), (3, "Hash", 6), (4, "Index Only Scan", 6), (7, "Sort", 0), (11, "Gather Merge", 1), (12, "Aggregate", 0)]
+    assert told.count() == len(lines)
