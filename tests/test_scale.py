@@ -2,8 +2,11 @@
 
 import re
 
+import duckdb
+
 from tracelake.functions import plan_lines
 from tracelake.operators import dictionary
+from tracelake.sources.console import console
 
 
 def test_names_are_matched_once(spark):
@@ -26,3 +29,20 @@ def test_plan_lines_are_matched_once(spark):
     nodes = [(r.n, r.name, r.depth) for r in told.where("kind = 'node'").orderBy("n").collect()]
     assert nodes == [(1, "Hash", 0), (2, "Hash Join", 0), (3, "Hash", 6), (4, "Index Only Scan", 6), (7, "Sort", 0), (11, "Gather Merge", 1), (12, "Aggregate", 0)]
     assert told.count() == len(lines)
+
+
+def test_first_of_equal_rows_is_taken(spark, tmp_path):
+    """As DuckDB does it: of rows with the same value the first in the table, and none whose argument is null."""
+    rows = "SELECT i * 7919 % 1000 AS id, i % 9 AS g, CASE WHEN i % 5 = 0 THEN NULL WHEN i % 11 = 0 THEN 'nan'::DOUBLE WHEN i % 13 = 0 THEN -0.0 ELSE (i % 4)::DOUBLE END AS v, CASE WHEN i % 3 > 0 THEN 'n' || i % 50 END AS name FROM range(1000) t(i)"
+    con, path = duckdb.connect(), str(tmp_path / "t.parquet")
+    con.execute(f"COPY ({rows}) TO '{path}'")
+    con.execute(f"SET threads = 1; CREATE VIEW t AS SELECT * FROM '{path}'")
+    tables = {"t": spark.read.parquet(path)}
+    for sql in (
+        "SELECT g, arg_max(id, v) AS a, arg_min(id, v) AS b, arg_max(name, v) AS c, argmin(name || '!', v + 1) AS d, count(*) AS n FROM t GROUP BY g",
+        "SELECT max_by(x.id, x.v) FILTER (WHERE x.g > 3) AS a, min_by(id, name) AS b FROM (SELECT * FROM t WHERE v < 3) x",
+        "SELECT DISTINCT g, arg_max(name, v) OVER (PARTITION BY g) AS a FROM t",
+        "SELECT g, arg_max(g, sum(id)) OVER () AS a FROM t GROUP BY g",
+    ):
+        assert sorted(map(tuple, console(spark, sql, tables, dialect="duckdb").collect())) == sorted(con.execute(sql).fetchall()), sql
+    assert console(spark, "SELECT *, arg_max(id, id) OVER (PARTITION BY g) AS a FROM t", tables, dialect="duckdb").columns == ["id", "g", "v", "name", "a"]
