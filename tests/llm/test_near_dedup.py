@@ -287,3 +287,26 @@ def test_many_rows_of_one_id(spark):
 
     stored = token_store.token_store(docs)
     assert stored.count() == 20_003 and stored.select("start").distinct().count() == 20_003
+
+
+def test_passages_that_repeat_across_documents(docs_of):
+    """Passages of over 50 words go from each document that has one, if they have 400 bytes; n_removed tells it, not n_bytes, the whole length."""
+    r = random.Random(8)
+    say = lambda n: " ".join(f"{r.getrandbits(22):x}" for _ in range(n))
+    passages = [say(r.randint(53, 120)) for _ in range(30)]
+    assert len({len(p) >= 400 for p in passages}) == 2
+    rows, planted = [], {}
+    for p in passages:
+        for _ in range(r.randint(2, 3)):
+            planted[len(rows)] = p
+            mark = chr(65 + len(rows) % 26)  # another one in each copy, so no more than the passage is equal
+            rows.append((len(rows), f"{say(r.randint(0, 80))} {mark}{p}{mark} {say(r.randint(0, 80))}"))
+    clean = range(len(rows), len(rows) + 60)
+    rows += [(i, say(r.randint(1, 250))) for i in clean]
+    got = suffix_dedup.suffix_dedup(docs_of(rows)).collect()
+    found = {x.doc_id: x for x in got}
+    for i, p in planted.items():
+        lost = p.encode() not in found[i].kept
+        assert lost == (len(p) >= 400) and found[i].n_removed == lost * len(p) and found[i].n_bytes == len(rows[i][1])
+    assert not any(found[i].n_removed for i in clean)
+    assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == brute_bytes(rows, 400)
